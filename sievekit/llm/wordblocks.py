@@ -18,13 +18,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from sievekit.llm import textscan
 from sievekit.llm.common import pack, unpack
 
 #: Bytes of text of a block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 WORDS_SCHEMA = "bucket int, block long, guard long, n int, size int, words binary, counted binary"
 SPANS_SCHEMA = "block long, part int, guard long, doc_ids array<long>, lengths binary, size int, numbers binary"
@@ -42,7 +41,7 @@ class _Block:
     def add(self, ids: np.ndarray, data: np.ndarray, offs: np.ndarray, scan: Scan, weight: np.ndarray | None) -> None:
         data, starts, ends, rows = scan(data, offs)
         hashes = textscan.RangeHash(data)(starts, ends)
-        self.chunks.append((ids, data, starts, ends, rows, hashes, weight))
+        self.chunks.append((ids, data, starts.astype(np.int32), ends.astype(np.int32), rows, hashes, weight))
         self.bytes += len(data)
 
     def close(self, buckets: int):

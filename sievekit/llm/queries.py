@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sievekit.llm import bpe, packing, secrets
+from sievekit.llm import bpe, embed_dedup, packing, secrets, simhash, substring, topk
 from sievekit.llm.common import table
 
 
@@ -13,14 +14,38 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op2_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(table(spark, sf_dir, "documents"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_sequences(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op5_secrets": op5_secrets, "op8_packing": op8_packing}
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_embed_dedup": op2_embed_dedup,
+    "op3_topk": op3_topk,
+    "op5_secrets": op5_secrets,
+    "op6_substring": op6_substring,
+    "op7_simhash": op7_simhash,
+    "op8_packing": op8_packing,
+}
 
 ORACLE_SQL: dict[str, str] = {}

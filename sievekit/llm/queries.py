@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.llm import bpe, embed_dedup, packing, quality, secrets, simhash, substring, topk, toxicity
+from sievekit.llm import bpe, embed_dedup, lm, packing, quality, secrets, simhash, substring, topk, toxicity
 from sievekit.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_sequences(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.classify(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op6_substring": op6_substring,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
+    "op9_lm": op9_lm,
     "op10_toxicity": op10_toxicity,
 }
 

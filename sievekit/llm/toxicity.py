@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievekit.llm import textscan
-from sievekit.llm.common import gather_ranges, texts
+from sievekit.llm.common import gather_ranges, small_batches, texts
 from sievekit.llm.labelled import calibrate, fold, sample, sigmoid
 
 #: Hashed triples, decay by character, letters that a triple may reach over.
@@ -349,6 +349,21 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
 
 
+def keep(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text scores below `threshold`: a narrow filter, so nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = textscan.buffer_of(batch.column(batch.schema.get_field_index(text_col)))
+            parts = [shared.value.score(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]) for lo, hi in textscan.row_chunks(offs)]
+            if parts:
+                yield batch.filter(pa.array(np.concatenate(parts) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fit(documents: DataFrame, labels: DataFrame, folds: int = 5, per_label: int = PER_LABEL) -> Model:
     """The model of the labelled documents outside fold 0, of at most `per_label` of either label."""
     return train(*sample(documents, labels, "toxic", folds, per_label))

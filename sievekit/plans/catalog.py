@@ -5,6 +5,640 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from sievekit.functions import rules as R
+from sievekit.functions import scalars as S
+from sievekit.functions.rules import Rule
+from sievekit.operators import deps, detect, findings, mask, metrics, report
+from sievekit.plans import sql
+from sievekit.sources import readers
+from sievekit.streaming import streams
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+_CHOSEN = ("pii.net.email", "pii.net.ipv4", "pii.jp.postal_code", "pii.pay.token.keyword", "pii.device.mac", "pii.crypto.eth_address.keyword", "creds.aws.access_key_id", "creds.github.pat.ghp")
+#: Rules with which the detection queries run; the whole pack has a query of its own.
+RULES = [r for r in (*R.builtin("pii"), *R.builtin("creds")) if r.id in _CHOSEN]
+LOG_RULES = [r for r in R.builtin("log") if r.id in ("log.pii.email", "log.pii.ipv4")]
+
+
+def query(name: str, oracle: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLE_SQL[name] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.table_texts(table(spark, sf_dir, "documents"), F.col("doc_id").cast("string"), "text")
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.table_texts(table(spark, sf_dir, "pages"), F.col("url"), "html")
+
+
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.with_fingerprint(detect.scan_texts(documents(spark, sf_dir), RULES))
+
+
+def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of even documents, as a baseline for all."""
+    return findings.baseline_entries(found(spark, sf_dir).filter(F.col("path").cast("long") % 2 == 0))
+
+
+FOUND = sql.findings(RULES)
+STATUS = FOUND + ", known AS (SELECT DISTINCT fingerprint FROM graded WHERE CAST(path AS BIGINT) % 2 = 0), stated AS (SELECT graded.*, CASE WHEN known.fingerprint IS NULL THEN 'new' ELSE 'suppressed' END AS baseline_status FROM graded LEFT JOIN known USING (fingerprint))"
+
+# ---- Lines and spans ---------------------------------------------------------------------------
+
+
+@query("lines_explode", "WITH " + sql.lines() + " SELECT path, CAST(line_number AS BIGINT) AS line_number, line FROM lines")
+def _(spark, sf_dir):
+    return detect.numbered_lines(documents(spark, sf_dir)).select("path", "line_number", "line")
+
+
+@query("size_class", "SELECT doc_id, CASE WHEN contains(text, chr(0)) THEN 'BINARY_FILE' WHEN strlen(text) > 5000 THEN 'MAX_FILE_SIZE' END AS skipped FROM documents")
+def _(spark, sf_dir):
+    content = F.col("text").cast("binary")
+    return table(spark, sf_dir, "documents").select("doc_id", readers.skip_reason(content, F.octet_length(content), 5000).alias("skipped"))
+
+
+@query("blob_classes", "SELECT doc_id, strlen(text) AS size FROM documents WHERE doc_id % 3 <> 0 AND strlen(text) <= 1000000")
+def _(spark, sf_dir):
+    state = F.when(F.col("doc_id") % 3 == 0, "D").when(F.col("doc_id") % 3 == 1, "A").otherwise("M")
+    commits = table(spark, sf_dir, "documents").select("doc_id", state.alias("status"), F.col("text").cast("binary").alias("content"))
+    return readers.blobs(commits).filter("skipped is null").select("doc_id", F.octet_length("text").cast("long").alias("size"))
+
+
+@query("diff_lines", "WITH " + sql.lines() + " SELECT path, rtrim(line) AS line, CAST(1 AS BIGINT) AS line_number FROM lines WHERE rtrim(line) <> ''")
+def _(spark, sf_dir):
+    return readers.diff_lines(detect.numbered_lines(documents(spark, sf_dir))).select("path", "line", "line_number")
+
+
+def _rule_hits(rule: Rule, source: str) -> None:
+    columns = ("documents", "CAST(doc_id AS VARCHAR)", "text") if source == "documents" else ("pages", "url", "html")
+    name = f"rule_hits_{rule.id.split('.', 1)[1].replace('.', '_')}_{source}"
+
+    @query(name, sql.findings([rule], *columns) + " SELECT path, line_number, matched_content FROM graded")
+    def _(spark, sf_dir):
+        docs = documents(spark, sf_dir) if source == "documents" else pages(spark, sf_dir)
+        return detect.scan_texts(docs, [rule]).select("path", "line_number", "matched_content")
+
+
+for _one in RULES:
+    for _source in ("documents", "pages"):
+        _rule_hits(_one, _source)
+
+
+@query("spans_byte_offsets", FOUND + " SELECT path, line_number, rule_id, byte_start, byte_end FROM graded")
+def _(spark, sf_dir):
+    return found(spark, sf_dir).select("path", "line_number", "rule_id", "byte_start", "byte_end")
+
+
+@query("utf16_ranges", FOUND + " SELECT path, line_number, rule_id, utf16_start, utf16_end FROM graded")
+def _(spark, sf_dir):
+    return found(spark, sf_dir).select("path", "line_number", "rule_id", "utf16_start", "utf16_end")
+
+
+_WIDE_ROWS = "(1, '個人番号：１２３４－５６７８－９０１２'), (2, '１２３４－５６７８ー９０１２'), (3, 'ＡＢＣ　（ｘ）'), (4, 'plain')"
+
+
+@query("jp_normalize", f"SELECT id, translate(t, {sql.quoted(S.WIDE)}, {sql.quoted(S.NARROW)}) AS narrowed, t <> translate(t, {sql.quoted(S.WIDE)}, {sql.quoted(S.NARROW)}) AS changed FROM (SELECT doc_id AS id, text AS t FROM documents UNION ALL SELECT -i, t FROM (VALUES {_WIDE_ROWS}) v(i, t))")
+def _(spark, sf_dir):
+    more = spark.sql(f"SELECT CAST(-i AS BIGINT) AS id, t FROM VALUES {_WIDE_ROWS} AS v(i, t)")
+    every = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t")).union(more)
+    return every.select("id", S.normalise(F.col("t")).alias("narrowed"), (F.col("t") != S.normalise(F.col("t"))).alias("changed"))
+
+
+_IGNORE_ROWS = "(1, 'mail a@b.org // sieve:ignore'), (2, 'mail a@b.org # sieve:ignore=pii.net.email'), (3, 'mail a@b.org # sieve:ignore=pii.net.ipv4'), (4, 'mail a@b.org sieve:ignore'), (5, 'mail a@b.org')"
+
+
+@query("inline_ignore", f"SELECT i FROM (VALUES {_IGNORE_ROWS}) v(i, line) WHERE NOT (contains(line, 'sieve:ignore=pii.net.email') OR ((contains(line, '# sieve:ignore') OR contains(line, '// sieve:ignore')) AND NOT contains(line, 'sieve:ignore=')))")
+def _(spark, sf_dir):
+    rows = spark.sql(f"SELECT i, line FROM VALUES {_IGNORE_ROWS} AS v(i, line)")
+    return rows.filter(~detect.ignored(F.col("line"), "pii.net.email")).select("i")
+
+
+_POSTAL_ROWS = "(1, 'rev 1234567'), (2, 'build-123-4567'), (3, 'zip 123-4567'), (4, 'バージョン：1234567'), (5, 'prebuild 123-4567'), (6, '注文番号 1234-5678-9012'), (7, 'id 1234-5678-9012 ok')"
+
+
+@query("suppress_context", f"SELECT i FROM (VALUES {_POSTAL_ROWS}) v(i, line) WHERE i IN (3, 5, 7)")
+def _(spark, sf_dir):
+    rules = [r for r in R.builtin("pii") if r.id in ("pii.jp.postal_code", "pii.jp.mynumber.unlabeled")]
+    rows = spark.sql(f"SELECT i, line FROM VALUES {_POSTAL_ROWS} AS v(i, line)")
+    return rows.filter(F.size(detect.matches(F.col("line"), rules)) > 0).select("i")
+
+
+_DIGITS = "regexp_extract_all(text, '[0-9]{13,19}')"
+
+
+@query("validator_luhn_digits", f"""WITH runs AS (SELECT doc_id, unnest({_DIGITS}) AS d FROM documents), digits AS (SELECT doc_id, d, unnest(range(1, len(string_split(reverse(d), '')) + 1)) AS i, CAST(unnest(string_split(reverse(d), '')) AS INT) AS x FROM runs)
+SELECT doc_id, d, sum(CASE WHEN i % 2 = 1 THEN x WHEN x > 4 THEN x * 2 - 9 ELSE x * 2 END) % 10 = 0 AS valid FROM digits GROUP BY doc_id, d""")
+def _(spark, sf_dir):
+    runs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9]{13,19}"), F.lit(0))).alias("d")).distinct()
+    return runs.select("doc_id", "d", S.luhn_digits(F.col("d")).alias("valid"))
+
+
+_NUMBER_ROWS = "(1, '1234-5678-9012'), (2, '１２３４－５６７８ー９０１２'), (3, '123456789012 3'), (4, '090-1234-5678'), (5, '０８０１２３４５６７８'), (6, '0901234567')"
+
+
+@query("validator_mynumber", f"SELECT i, i IN (1, 2) AS valid FROM (VALUES {_NUMBER_ROWS}) v(i, t)")
+def _(spark, sf_dir):
+    return spark.sql(f"SELECT i, t FROM VALUES {_NUMBER_ROWS} AS v(i, t)").select("i", S.mynumber_length(F.col("t")).alias("valid"))
+
+
+@query("validator_phone", f"SELECT i, regexp_matches(regexp_replace(translate(t, '０１２３４５６７８９', '0123456789'), '[^0-9]', '', 'g'), '^0[789]0[0-9]{{8}}$') AS valid FROM (VALUES {_NUMBER_ROWS}) v(i, t)")
+def _(spark, sf_dir):
+    return spark.sql(f"SELECT i, t FROM VALUES {_NUMBER_ROWS} AS v(i, t)").select("i", S.mobile_number(F.col("t")).alias("valid"))
+
+
+@query("context_before_window", "WITH " + sql.lines() + " SELECT path, CAST(line_number AS BIGINT) AS line_number, array_to_string(ls[greatest(1, line_number - 5):line_number - 1], '|') AS context FROM lines")
+def _(spark, sf_dir):
+    return detect.numbered_lines(documents(spark, sf_dir)).select("path", "line_number", F.array_join("context_before", "|").alias("context"))
+
+
+# ---- Findings ------------------------------------------------------------------------------------
+
+
+@query("findings", FOUND + " SELECT path, line_number, rule_id, matched_content, masked_snippet, severity, score, grade, fingerprint FROM graded")
+def _(spark, sf_dir):
+    return found(spark, sf_dir).select("path", "line_number", "rule_id", "matched_content", "masked_snippet", "severity", "score", "grade", "fingerprint")
+
+
+@query("findings_whole_pack")
+def _(spark, sf_dir):
+    return detect.scan_texts(documents(spark, sf_dir), [*R.builtin("pii"), *R.builtin("creds"), *R.builtin("log")]).select("path", "line_number", "rule_id", "masked_snippet", "severity", "score", "grade")
+
+
+@query("score_grade", FOUND + " SELECT rule_id, score, grade, count(*) AS n FROM graded GROUP BY ALL")
+def _(spark, sf_dir):
+    return found(spark, sf_dir).groupBy("rule_id", "score", "grade").agg(F.count("*").alias("n"))
+
+
+@query("strict_grade", "SELECT doc_id, CASE WHEN n_chars % 101 < 10 THEN 'Safe' WHEN n_chars % 101 < 40 THEN 'Low' WHEN n_chars % 101 < 70 THEN 'Medium' WHEN n_chars % 101 < 90 THEN 'High' ELSE 'Critical' END AS grade FROM documents")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", S.strict_grade(F.col("n_chars") % 101).alias("grade"))
+
+
+@query("mask_redact", FOUND + " SELECT DISTINCT path, line_number, masked_snippet FROM graded")
+def _(spark, sf_dir):
+    return found(spark, sf_dir).select("path", "line_number", "masked_snippet").distinct()
+
+
+_EMAIL = next(r for r in RULES if r.id == "pii.net.email")
+
+
+@query("mask_partial", sql.findings([_EMAIL]) + ", one AS (SELECT path, line_number FROM graded GROUP BY ALL HAVING count(*) = 1) SELECT path, line_number, substr(line, 1, strpos(line, matched_content) - 1) || CASE WHEN length(matched_content) <= 4 THEN '****' ELSE '****' || right(matched_content, 4) END || substr(line, strpos(line, matched_content) + length(matched_content)) AS masked FROM graded JOIN one USING (path, line_number)")
+def _(spark, sf_dir):
+    hit = detect.numbered_lines(documents(spark, sf_dir)).withColumn("m", detect.matches(F.col("line"), [_EMAIL])).filter(F.size("m") == 1)
+    return hit.select("path", "line_number", mask.masked(F.col("line"), F.col("m"), "partial").alias("masked"))
+
+
+_SPANS = "(1, 4, 7, 10, 'a'), (1, 4, 6, 20, 'b'), (1, 15, 18, 5, 'c'), (1, 18, 20, 5, 'd'), (2, 0, 5, 1, 'e'), (2, 1, 4, 9, 'f'), (3, 0, 3, 7, 'g'), (3, 3, 6, 7, 'h'), (3, 8, 9, 7, 'i')"
+
+
+@query("mask_priority", "SELECT * FROM (VALUES (1, 4, 7, 'b'), (1, 15, 20, 'c'), (2, 0, 5, 'f'), (3, 0, 6, 'g'), (3, 8, 9, 'i')) v(id, start, stop, placeholder)")
+def _(spark, sf_dir):
+    rows = spark.sql(f"SELECT * FROM VALUES {_SPANS} AS v(id, start, stop, priority, placeholder)")
+    return mask.winners(rows, ["id"]).select("id", "start", "stop", "placeholder")
+
+
+@query("filter_log", "WITH " + sql.lines("pages", "url", "html") + f" SELECT path, CAST(line_number AS BIGINT) AS line_number, regexp_replace(regexp_replace(line, {sql.quoted(LOG_RULES[0].pattern)}, '<REDACTED:PII>', 'g'), {sql.quoted(LOG_RULES[1].pattern)}, '<REDACTED:PII>', 'g') AS line FROM lines")
+def _(spark, sf_dir):
+    return mask.filter_lines(detect.numbered_lines(pages(spark, sf_dir)), LOG_RULES).select("path", "line_number", "line")
+
+
+@query("mask_file", "SELECT CAST(doc_id AS VARCHAR) AS path, regexp_replace(CASE WHEN text LIKE '%' || chr(10) THEN substr(text, 1, length(text) - 1) ELSE text END, " + sql.quoted(_EMAIL.pattern) + ", '<REDACTED>', 'g') AS text FROM documents WHERE NOT contains(text, chr(13))")
+def _(spark, sf_dir):
+    return mask.mask_text(documents(spark, sf_dir).filter(~F.contains("text", F.lit("\r"))), [_EMAIL])
+
+
+@query("fix_markers", sql.findings([_EMAIL]) + ", hits AS (SELECT DISTINCT path, line_number FROM graded) SELECT lines.path, CAST(lines.line_number AS BIGINT) AS line_number, line || CASE WHEN hits.path IS NULL OR contains(line, 'sieve:ignore') THEN '' ELSE ' # sieve:ignore' END AS line FROM lines LEFT JOIN hits USING (path, line_number)")
+def _(spark, sf_dir):
+    lines = detect.numbered_lines(documents(spark, sf_dir))
+    hits = detect.findings(lines, [_EMAIL])
+    return mask.add_markers(lines, hits, ["path"], "txt", detect.MARKER).select("path", "line_number", "line")
+
+
+@query("fingerprint", FOUND + " SELECT fingerprint, count(*) AS n FROM graded GROUP BY fingerprint")
+def _(spark, sf_dir):
+    return found(spark, sf_dir).groupBy("fingerprint").agg(F.count("*").alias("n"))
+
+
+@query("baseline_new", STATUS + " SELECT path, line_number, rule_id FROM stated WHERE baseline_status = 'new'")
+def _(spark, sf_dir):
+    return findings.new_findings(found(spark, sf_dir), baseline(spark, sf_dir)).select("path", "line_number", "rule_id")
+
+
+@query("baseline_suppressed", STATUS + " SELECT path, line_number, rule_id FROM stated WHERE baseline_status = 'suppressed'")
+def _(spark, sf_dir):
+    return findings.suppressed_findings(found(spark, sf_dir), baseline(spark, sf_dir)).select("path", "line_number", "rule_id")
+
+
+def stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.with_status(found(spark, sf_dir), baseline(spark, sf_dir))
+
+
+@query("baseline_status", STATUS + " SELECT baseline_status, severity, count(*) AS n FROM stated GROUP BY ALL")
+def _(spark, sf_dir):
+    return stated(spark, sf_dir).groupBy("baseline_status", "severity").agg(F.count("*").alias("n"))
+
+
+@query("baseline_proof", "SELECT CAST(NULL AS VARCHAR) AS fingerprint WHERE FALSE")
+def _(spark, sf_dir):
+    return findings.new_findings(stated(spark, sf_dir).filter("baseline_status = 'suppressed'"), baseline(spark, sf_dir)).select("fingerprint")
+
+
+@query("safe_view", FOUND + " SELECT path, line_number, rule_id, masked_snippet, category FROM graded")
+def _(spark, sf_dir):
+    return findings.safe_view(found(spark, sf_dir), R.to_frame(spark, RULES)).select("path", "line_number", "rule_id", "masked_snippet", "category")
+
+
+@query("severity_counts", FOUND + " SELECT severity, count(*) AS n FROM graded GROUP BY severity")
+def _(spark, sf_dir):
+    return report.severity_counts(found(spark, sf_dir))
+
+
+@query("rule_counts", FOUND + " SELECT rule_id, count(*) AS n FROM graded GROUP BY rule_id")
+def _(spark, sf_dir):
+    return report.rule_counts(found(spark, sf_dir))
+
+
+@query("top3_rules", FOUND + " SELECT rule_id, count(*) AS n FROM graded GROUP BY rule_id ORDER BY n DESC, rule_id LIMIT 3")
+def _(spark, sf_dir):
+    return report.top_rules(found(spark, sf_dir))
+
+
+@query("score_buckets", FOUND + " SELECT grade AS bucket, count(*) AS n FROM graded GROUP BY grade")
+def _(spark, sf_dir):
+    return report.score_buckets(found(spark, sf_dir))
+
+
+_SIDES = {"total": "TRUE", "suppressed": "baseline_status = 'suppressed'", "effective": "baseline_status <> 'suppressed'"}
+_SUMMARY = ", ".join(f"count(*) FILTER ({c}) AS {n}, " + ", ".join(f"count(*) FILTER ({c} AND severity = '{s}') AS {n}_{s.lower()}" for s in R.SEVERITIES) for n, c in _SIDES.items())
+
+
+@query("evidence_summary", STATUS + f" SELECT {_SUMMARY} FROM stated")
+def _(spark, sf_dir):
+    return report.evidence_summary(stated(spark, sf_dir))
+
+
+@query("summary_consistency", "SELECT CAST(NULL AS VARCHAR) AS name WHERE FALSE")
+def _(spark, sf_dir):
+    rows = stated(spark, sf_dir)
+    return report.consistent(rows, report.evidence_summary(rows))
+
+
+_PAGES = sql.findings(RULES, "pages", "url", "html")
+
+
+@query("breakdown_path_prefix", _PAGES + " SELECT regexp_extract(path, '^[a-z]+://([^/]+)', 1) AS prefix, count(*) AS total, count(*) AS new FROM graded GROUP BY 1")
+def _(spark, sf_dir):
+    rows = detect.scan_texts(pages(spark, sf_dir), RULES).withColumn("baseline_status", F.lit("new"))
+    return report.breakdown(rows, F.regexp_extract("path", "^[a-z]+://([^/]+)", 1))
+
+
+@query("policy_gate", STATUS + " SELECT count(*) AS n, coalesce(max(score), 0) AS max_score, count(*) >= 10 OR coalesce(max(score), 0) >= 90 AS violated FROM stated WHERE baseline_status = 'new'")
+def _(spark, sf_dir):
+    return report.policy(findings.new_findings(found(spark, sf_dir), baseline(spark, sf_dir)), max_new=10, severity="Critical")
+
+
+@query("exit_status", FOUND + " SELECT CASE WHEN (SELECT count(*) FROM documents WHERE strlen(text) > 1000000) > 0 THEN 2 WHEN count(*) > 0 THEN 1 ELSE 0 END AS status FROM graded")
+def _(spark, sf_dir):
+    facts = report.policy(found(spark, sf_dir)).withColumn("k", F.lit(1))
+    large = table(spark, sf_dir, "documents").agg((F.count_if(F.octet_length("text") > readers.SIZE_LIMIT) > 0).alias("incomplete"), F.lit(1).alias("k"))
+    return facts.join(large, "k").select(report.exit_status(F.col("incomplete"), F.col("violated")).alias("status"))
+
+
+@query("limit_reasons", "SELECT doc_id, array_to_string(list_sort(list_filter(['file_limit', 'max_file_size', 'result_limit'], lambda x: (x = 'file_limit' AND doc_id % 2 = 0) OR (x = 'max_file_size' AND n_chars > 2000) OR (x = 'result_limit' AND doc_id % 3 = 0))), ',') AS reasons FROM documents")
+def _(spark, sf_dir):
+    flags = {"result_limit": F.col("doc_id") % 3 == 0, "max_file_size": F.col("n_chars") > 2000, "file_limit": F.col("doc_id") % 2 == 0}
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(report.limit_reasons(flags), ",").alias("reasons"))
+
+
+@query("limit_topn", FOUND + " SELECT path, line_number, rule_id, byte_start FROM graded ORDER BY path, line_number, byte_start, byte_end, rule_id LIMIT 20")
+def _(spark, sf_dir):
+    return findings.limited(found(spark, sf_dir), 20).select("path", "line_number", "rule_id", "byte_start")
+
+
+@query("triage_order", FOUND + " SELECT path, line_number, rule_id, severity, row_number() OVER (ORDER BY CASE severity WHEN 'Critical' THEN 3 WHEN 'High' THEN 2 WHEN 'Medium' THEN 1 ELSE 0 END DESC, path, line_number, byte_start, rule_id) AS place FROM graded")
+def _(spark, sf_dir):
+    from pyspark.sql import Window
+
+    order = Window.orderBy(R.severity_rank(F.col("severity")).desc(), "path", "line_number", "byte_start", "rule_id")
+    return found(spark, sf_dir).select("path", "line_number", "rule_id", "severity", F.row_number().over(order).cast("long").alias("place"))
+
+
+@query("ordinal", FOUND + " SELECT path, line_number, rule_id, byte_start, row_number() OVER (PARTITION BY path ORDER BY line_number, byte_start, byte_end, rule_id) - 1 AS ordinal FROM graded")
+def _(spark, sf_dir):
+    return findings.with_ordinal(found(spark, sf_dir)).select("path", "line_number", "rule_id", "byte_start", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+@query("lines_by_file", FOUND + " SELECT path, array_to_string(list_sort(list(DISTINCT line_number)), ',') AS lines FROM graded GROUP BY path")
+def _(spark, sf_dir):
+    return report.lines_by_file(found(spark, sf_dir)).select("path", F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"))
+
+
+@query("report_text", FOUND + " SELECT '[' || upper(grade) || '] [' || severity || '] (' || score || ') [' || rule_id || '] ' || path || ':' || line_number || ' ' || masked_snippet AS text FROM graded")
+def _(spark, sf_dir):
+    return report.text_lines(found(spark, sf_dir))
+
+
+@query("report_markdown", FOUND + " SELECT '| ' || concat_ws(' | ', severity, score, rule_id, replace(path, '|', '\\|'), line_number, replace(masked_snippet, '|', '\\|')) || ' |' AS row FROM graded")
+def _(spark, sf_dir):
+    return report.markdown_rows(found(spark, sf_dir))
+
+
+@query("report_html", FOUND + " SELECT '<tr><td>' || concat_ws('</td><td>', severity, score, rule_id, path, line_number, replace(replace(replace(replace(replace(masked_snippet, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) || '</td></tr>' AS row FROM graded")
+def _(spark, sf_dir):
+    return report.html_rows(found(spark, sf_dir))
+
+
+@query("diagnostics", FOUND + " SELECT path, line_number - 1 AS line, utf16_start, utf16_end, CASE WHEN severity IN ('Critical', 'High') THEN 1 WHEN severity = 'Medium' THEN 2 ELSE 3 END AS severity, rule_id AS code FROM graded")
+def _(spark, sf_dir):
+    return report.diagnostics(found(spark, sf_dir))
+
+
+@query("first_bytes", FOUND + ", r AS (SELECT *, sum(strlen(masked_snippet)) OVER (PARTITION BY path ORDER BY line_number, byte_start, rule_id ROWS UNBOUNDED PRECEDING) AS b FROM graded) SELECT path, line_number, rule_id FROM r WHERE b <= 200")
+def _(spark, sf_dir):
+    return report.first_bytes(found(spark, sf_dir), ["line_number", "byte_start", "rule_id"], F.octet_length("masked_snippet"), 200).select("path", "line_number", "rule_id")
+
+
+# ---- Rules ---------------------------------------------------------------------------------------
+
+_RULE_VALUES = ", ".join(f"({sql.quoted(r.id)}, '{r.severity}', {r.score}, '{r.category}', {str(r.enabled).upper()})" for r in R.builtin("pii"))
+_RULE_TABLE = f"(VALUES {_RULE_VALUES}) v(id, severity, score, category, enabled)"
+
+
+@query("rules_list", f"SELECT id, severity, score FROM {_RULE_TABLE} WHERE severity IN ('High', 'Critical')")
+def _(spark, sf_dir):
+    return R.to_frame(spark, R.builtin("pii")).filter(R.severity_rank(F.col("severity")) >= 2).select("id", "severity", "score").orderBy("id")
+
+
+@query("rules_enabled", f"SELECT id FROM {_RULE_TABLE} WHERE enabled")
+def _(spark, sf_dir):
+    return readers.rules_table(R.to_frame(spark, R.builtin("pii")).withColumn("description", F.col("id"))).select("id")
+
+
+@query("rules_explain", f"SELECT id, severity, score, category FROM {_RULE_TABLE} WHERE id = 'pii.net.email'")
+def _(spark, sf_dir):
+    return R.to_frame(spark, R.builtin("pii")).filter("id = 'pii.net.email'").select("id", "severity", "score", "category")
+
+
+@query("rules_override", f"SELECT id, CASE id WHEN 'pii.net.email' THEN 'Critical' WHEN 'pii.net.ipv4' THEN 'Low' ELSE severity END AS severity, CASE id WHEN 'pii.net.ipv4' THEN 7 ELSE score END AS score FROM {_RULE_TABLE} UNION ALL SELECT 'own.rule', 'Medium', 50")
+def _(spark, sf_dir):
+    config = {"pii.net.email": {"severity": "critical"}, "pii.net.ipv4": {"severity": "low", "score": 7}, "own.rule": {"pattern": "x+"}}
+    return R.to_frame(spark, R.override(list(R.builtin("pii")), config=config)).select("id", "severity", "score")
+
+
+@query("rules_required", "SELECT 'log.pii.none' AS id")
+def _(spark, sf_dir):
+    required = spark.createDataFrame([("log.pii.email",), ("log.pii.none",)], "id string")
+    return required.join(R.to_frame(spark, R.builtin("log")), "id", "left_anti")
+
+
+@query("template_filter", f"SELECT id FROM {_RULE_TABLE} WHERE severity IN ('Medium', 'High') AND score BETWEEN 60 AND 85 AND id LIKE '%.keyword'")
+def _(spark, sf_dir):
+    return R.to_frame(spark, R.builtin("pii")).filter(F.col("severity").isin("Medium", "High") & F.col("score").between(60, 85) & F.col("id").endswith(".keyword")).select("id")
+
+
+@query("template_counts", f"SELECT category, severity, count(*) AS n FROM {_RULE_TABLE} GROUP BY GROUPING SETS ((category), (severity))")
+def _(spark, sf_dir):
+    R.to_frame(spark, R.builtin("pii")).createOrReplaceTempView("__rules")
+    return spark.sql("SELECT category, severity, count(*) AS n FROM __rules GROUP BY GROUPING SETS ((category), (severity))")
+
+
+@query("rules_risky", "SELECT 2 AS id UNION ALL SELECT 3")
+def _(spark, sf_dir):
+    patterns = [(1, "a+b"), (2, "(a+)+b"), (3, "(a*)*")]
+    return spark.createDataFrame([(i,) for i, p in patterns if R.risky(p)], "id int")
+
+
+# ---- Weekly metrics ------------------------------------------------------------------------------
+
+_HINTS = {"error": ["retry_later", "check_network"], "click": ["clear_cache"], "view": ["nonsense"]}
+
+
+def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as reason events: the type is the reason, the operation and hints follow from it."""
+    kind = F.col("event_type")
+    hints = F.when(kind == "error", F.array(F.lit("retry_later"), F.lit("check_network"))).when(kind == "click", F.array(F.lit("clear_cache"))).when(kind == "view", F.array(F.lit("nonsense"))).otherwise(F.array().cast("array<string>"))
+    op = F.when(kind == "signup", "dogfood.run").otherwise(F.concat(F.lit("app."), kind))
+    return table(spark, sf_dir, "events").select("event_id", S.tokyo_week(F.col("ts")).alias("week"), S.week_monday(F.col("ts")).alias("monday"), kind.alias("reason_code"), op.alias("op"), F.when(F.col("value") > 20, "fail").otherwise("pass").alias("outcome"), hints.alias("hint_codes"), "props")
+
+
+_WEEKLY = """WITH weekly AS (SELECT event_id, strftime(ts + INTERVAL 9 HOURS, '%G-W%V') AS week, CAST(date_trunc('week', ts + INTERVAL 9 HOURS) AS DATE) AS monday, event_type AS reason_code, CASE WHEN event_type = 'signup' THEN 'dogfood.run' ELSE 'app.' || event_type END AS op, CASE WHEN value > 20 THEN 'fail' ELSE 'pass' END AS outcome,
+CASE event_type WHEN 'error' THEN ['retry_later', 'check_network'] WHEN 'click' THEN ['clear_cache'] WHEN 'view' THEN ['nonsense'] ELSE [] END AS hint_codes FROM events)"""
+_HINT_COUNTS = _WEEKLY + ", hints AS (SELECT week, CASE WHEN hint = 'nonsense' THEN 'unknown' ELSE hint END AS hint, count(*) AS n FROM (SELECT week, unnest(hint_codes) AS hint FROM weekly WHERE NOT starts_with(op, 'dogfood.')) GROUP BY ALL)"
+
+
+@query("iso_week_tokyo", _WEEKLY + " SELECT event_id, week FROM weekly")
+def _(spark, sf_dir):
+    return weekly(spark, sf_dir).select("event_id", "week")
+
+
+@query("week_monday", _WEEKLY + " SELECT week, monday, count(*) AS n FROM weekly GROUP BY ALL")
+def _(spark, sf_dir):
+    return weekly(spark, sf_dir).groupBy("week", "monday").agg(F.count("*").alias("n"))
+
+
+@query("reason_counts", _WEEKLY + " SELECT week, reason_code, count(*) AS n FROM weekly GROUP BY ALL")
+def _(spark, sf_dir):
+    return metrics.reason_counts(weekly(spark, sf_dir), "week")
+
+
+@query("hint_counts", _HINT_COUNTS + " SELECT * FROM hints")
+def _(spark, sf_dir):
+    return metrics.hint_counts(weekly(spark, sf_dir), "week")
+
+
+@query("failure_delta", _WEEKLY + " SELECT week, n, n - coalesce(lag(n) OVER (ORDER BY week), 0) AS delta FROM (SELECT week, count(*) AS n FROM weekly WHERE outcome = 'fail' GROUP BY week)")
+def _(spark, sf_dir):
+    return metrics.failure_delta(metrics.reason_counts(weekly(spark, sf_dir).filter("outcome = 'fail'"), "week"))
+
+
+_ACTION = "CASE hint " + " ".join(f"WHEN '{h}' THEN '{a}'" for h, a in metrics.ACTIONS.items()) + f" ELSE '{metrics.UNMAPPED}' END"
+
+
+@query("worklist_rank", _HINT_COUNTS + f""", weeks AS (SELECT week, lag(week) OVER (ORDER BY week) AS before FROM (SELECT DISTINCT week FROM hints)),
+both_ AS (SELECT h.week, h.hint, h.n, coalesce(p.n, 0) AS previous FROM hints h JOIN weeks w ON h.week = w.week LEFT JOIN hints p ON p.week = w.before AND p.hint = h.hint),
+scored AS (SELECT *, n - previous AS delta, 10 * n + 25 * greatest(n - previous, 0) AS score, {_ACTION} AS action_id FROM both_)
+SELECT week, hint, n, delta, score, action_id, CAST(row_number() OVER (PARTITION BY week ORDER BY score DESC, n DESC, action_id, hint) AS INT) AS rank FROM scored""")
+def _(spark, sf_dir):
+    return metrics.worklist(metrics.hint_counts(weekly(spark, sf_dir), "week")).select("week", "hint", "n", "delta", "score", "action_id", "rank")
+
+
+_SIGNALS = _WEEKLY + ", signals AS (SELECT week, CASE WHEN starts_with(op, 'dogfood') THEN 'Dogfood' ELSE 'App' END AS category, reason_code AS cause, CASE WHEN bool_or(outcome = 'fail') THEN 'warn' ELSE 'info' END AS severity FROM weekly GROUP BY ALL)"
+
+
+@query("signal_normalize", _SIGNALS + " SELECT * FROM signals")
+def _(spark, sf_dir):
+    return metrics.signals(weekly(spark, sf_dir), "week")
+
+
+@query("recurrence_3of4", """WITH daily AS (SELECT event_type AS cause, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) AS week_no, count(*) AS n FROM events WHERE value > 60 AND event_type <> 'view' GROUP BY ALL),
+hits AS (SELECT *, sum(n) OVER (PARTITION BY cause ORDER BY week_no ROWS UNBOUNDED PRECEDING) AS hit_count, count(*) OVER (PARTITION BY cause ORDER BY week_no RANGE BETWEEN 3 PRECEDING AND CURRENT ROW) >= 3 AS now FROM daily)
+SELECT 'App' AS category, cause, week_no, CAST(hit_count AS BIGINT) AS hit_count, bool_or(now) OVER (PARTITION BY cause ORDER BY week_no ROWS UNBOUNDED PRECEDING) AS active FROM hits""")
+def _(spark, sf_dir):
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    rows = table(spark, sf_dir, "events").filter("value > 60 and event_type <> 'view'").select(F.lit("App").alias("category"), F.col("event_type").alias("cause"), day.alias("week_no"))
+    return metrics.recurrence(rows)
+
+
+@query("noop_streak", _SIGNALS + """, sets AS (SELECT week, array_to_string(list_sort(list(category || cause || severity)), ',') AS items FROM signals GROUP BY week),
+marked AS (SELECT week, coalesce(items = lag(items) OVER (ORDER BY week), FALSE) AS same FROM sets), isl AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (ORDER BY week ROWS UNBOUNDED PRECEDING) AS island FROM marked)
+SELECT week, CASE WHEN same THEN 'NOOP' ELSE 'CHANGED' END AS result, row_number() OVER (PARTITION BY island ORDER BY week) - 1 AS streak FROM isl""")
+def _(spark, sf_dir):
+    return metrics.noop_streak(metrics.signals(weekly(spark, sf_dir), "week"))
+
+
+_LOG_ROWS = """('{"v":1,"ts":"t","reason_code":"timeout","op":"net.get","outcome":"fail"}'), (''), ('broken {'), ('{"v":1,"ts":"t","reason_code":"offline","op":"net.get","outcome":"fail"}')"""
+
+
+@query("parse_stats", "SELECT CAST(4 AS BIGINT) AS total_lines, CAST(2 AS BIGINT) AS valid_events, CAST(1 AS BIGINT) AS parse_errors")
+def _(spark, sf_dir):
+    return metrics.parse_stats(spark.sql(f"SELECT value FROM VALUES {_LOG_ROWS} AS v(value)"))
+
+
+@query("retention_topn", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS k FROM orders) WHERE k > 3")
+def _(spark, sf_dir):
+    return metrics.newest(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", 3, "o_orderkey").select("o_custkey", "o_orderkey")
+
+
+@query("week_valid", "SELECT i, i IN (1, 2) AS valid FROM (VALUES (1, '2024-W01'), (2, '2020-W53'), (3, '2024-W54'), (4, '2024-W00'), (5, '24-W01')) v(i, w)")
+def _(spark, sf_dir):
+    rows = spark.sql("SELECT i, w FROM VALUES (1, '2024-W01'), (2, '2020-W53'), (3, '2024-W54'), (4, '2024-W00'), (5, '24-W01') AS v(i, w)")
+    return rows.select("i", S.valid_week(F.col("w")).alias("valid"))
+
+
+# ---- Dependencies --------------------------------------------------------------------------------
+
+_PACKAGES = "('Rust', 'alpha', '0.9.0', 'a/lock'), ('Rust', 'alpha', '0.9.0', 'b/lock'), ('Rust', 'beta', '2.1.2', 'a/lock'), ('Rust', 'beta', '2.1.3', 'b/lock'), ('Npm', 'gamma', '1.10.0', 'c/lock')"
+_ADVISORIES = "('X-1', 'alpha', '< 1.0.0'), ('X-2', 'beta', '>= 2.0.0, < 2.1.3'), ('X-3', 'gamma', '>= 1.9.0, < 1.11.0'), ('X-4', 'alpha', '>= 0.8.0'), ('X-5', 'gamma', '< 1.9.0')"
+_VULNERABLE = "(VALUES ('Rust', 'alpha', '0.9.0', 'a/lock', 'X-1'), ('Rust', 'alpha', '0.9.0', 'b/lock', 'X-1'), ('Rust', 'alpha', '0.9.0', 'a/lock', 'X-4'), ('Rust', 'alpha', '0.9.0', 'b/lock', 'X-4'), ('Rust', 'beta', '2.1.2', 'a/lock', 'X-2'), ('Npm', 'gamma', '1.10.0', 'c/lock', 'X-3')) v(ecosystem, name, version, location, id)"
+
+
+def _vulnerable(spark: SparkSession) -> DataFrame:
+    packages = spark.sql(f"SELECT * FROM VALUES {_PACKAGES} AS v(ecosystem, name, version, location)")
+    return deps.vulnerable(packages, spark.sql(f"SELECT * FROM VALUES {_ADVISORIES} AS v(id, crate_name, vulnerable_versions)"))
+
+
+@query("advisory_match", f"SELECT * FROM {_VULNERABLE}")
+def _(spark, sf_dir):
+    return _vulnerable(spark).select("ecosystem", "name", "version", "location", "id")
+
+
+@query("vuln_group", f"SELECT ecosystem, name, version, array_to_string(list_sort(list(DISTINCT location)), ',') AS locations, array_to_string(list_sort(list(DISTINCT id)), ',') AS advisories FROM {_VULNERABLE} GROUP BY ALL")
+def _(spark, sf_dir):
+    return deps.grouped(_vulnerable(spark)).select("ecosystem", "name", "version", F.array_join("locations", ",").alias("locations"), F.array_join("advisories", ",").alias("advisories"))
+
+
+@query("min_fix", "SELECT * FROM (VALUES ('a', '1.2.0', '1.10.0'), ('b', '0.1.0', '0.1.1')) v(name, version, fixed)")
+def _(spark, sf_dir):
+    rows = spark.sql("SELECT * FROM VALUES ('a', '1.2.0', array('1.1.0', '2.0.0', '1.10.0')), ('b', '0.1.0', array('0.1.1', '0.0.9')), ('c', '3.0.0', array('2.9.9')) AS v(name, version, fixed)")
+    return deps.least_fixed(rows)
+
+
+@query("lockfile_npm", "SELECT * FROM (VALUES ('left', '1.0.0'), ('@s/right', '2.1.0')) v(name, version)")
+def _(spark, sf_dir):
+    lock = '{"packages":{"":{"version":"9.9.9"},"node_modules/left":{"version":"1.0.0"},"node_modules/left/node_modules/@s/right":{"version":"2.1.0"},"node_modules/link":{"link":true},"node_modules/odd":{"version":"file:x"}}}'
+    return deps.npm_packages(spark.createDataFrame([(lock,)], "content string"))
+
+
+# ---- Predicates, dates, registries ---------------------------------------------------------------
+
+
+@query("leakage_check", r"SELECT url FROM pages WHERE regexp_matches(html, '(?i)(#token=|\?token=|Authorization:\s*Bearer\s+[A-Za-z0-9._~-]{16,})') OR regexp_matches(html, 'page=2')")
+def _(spark, sf_dir):
+    leak = F.col("html").rlike(r"(?i)(#token=|\?token=|Authorization:\s*Bearer\s+[A-Za-z0-9._~-]{16,})")
+    return table(spark, sf_dir, "pages").filter(leak | F.contains("html", F.lit("page=2"))).select("url")
+
+
+_PATHS = "(1, 'a/b.txt'), (2, '../b'), (3, '/etc/x'), (4, 'a/../b'), (5, 'a..b/c'), (6, 'src/node_modules/x.js'), (7, 'build/y'), (8, 'rebuild/y')"
+
+
+@query("path_safety", f"SELECT i, regexp_matches(p, '(^/|(^|/)\\.\\.(/|$))') AS unsafe, i IN (6, 7) AS pruned FROM (VALUES {_PATHS}) v(i, p)")
+def _(spark, sf_dir):
+    rows = spark.sql(f"SELECT i, p FROM VALUES {_PATHS} AS v(i, p)")
+    return rows.select("i", F.col("p").rlike(r"(^/|(^|/)\.\.(/|$))").alias("unsafe"), readers.pruned(F.col("p")).alias("pruned"))
+
+
+_EXCEPTIONS = "('e1', 'r', 'path:a', 'why', 'o', '2024-01-01', '2024-06-01'), ('e2', 'r', 'file:a', 'why', 'o', '2024-01-01', NULL), ('e3', '', 'path:a', 'why', 'o', '2024-01-01', '2024-13-01'), ('e4', 'r', 'path:a', 'why', 'o', '2024-01-01', '2023-01-01'), ('e5', 'r', 'path:a', 'why', 'o', '2024-01-01', ''), ('e5', 'r', 'path:a', 'why', 'o', '2024-01-01', '2024-01-12')"
+
+
+def _exceptions(spark: SparkSession) -> DataFrame:
+    return spark.sql(f"SELECT * FROM VALUES {_EXCEPTIONS} AS v(id, rule, scope, reason, owner, created_at, expires_at)")
+
+
+@query("exception_validate", "SELECT * FROM (VALUES ('e2', 'bad scope'), ('e3', 'missing rule'), ('e3', 'bad date'), ('e4', 'expired'), ('e5', 'duplicate id'), ('e5', 'duplicate id')) v(id, problem)")
+def _(spark, sf_dir):
+    return findings.validate_exceptions(_exceptions(spark), F.lit("2024-01-10").cast("date"))
+
+
+@query("expiry_status", "SELECT * FROM (VALUES ('e1', 'active'), ('e2', 'active'), ('e3', 'active'), ('e4', 'expired'), ('e5', 'active'), ('e5', 'expiring_soon')) v(id, status)")
+def _(spark, sf_dir):
+    return _exceptions(spark).select("id", findings.expiry_status(F.col("expires_at"), F.lit("2024-01-10").cast("date")).alias("status"))
+
+
+@query("exception_check", "SELECT * FROM (VALUES ('a', 'Active'), ('b', 'Expired'), ('c', 'NotExcepted'), ('d', 'Active')) v(id, status)")
+def _(spark, sf_dir):
+    ids = spark.sql("SELECT id FROM VALUES ('a'), ('b'), ('c'), ('d') AS v(id)")
+    known = spark.sql("SELECT id, expires_at FROM VALUES ('a', timestamp '2030-01-01'), ('b', timestamp '2020-01-01'), ('d', NULL) AS v(id, expires_at)")
+    return findings.check_exceptions(ids, known, F.lit("2024-01-01").cast("timestamp")).select("id", "status")
+
+
+@query("expiry_parse", "SELECT * FROM (VALUES (1, 172800), (2, 604800), (3, 31536000), (4, 10800), (5, 300), (6, NULL)) v(i, seconds)")
+def _(spark, sf_dir):
+    rows = spark.sql("SELECT i, t FROM VALUES (1, '2d'), (2, '1w'), (3, '1y'), (4, '3h'), (5, '5m'), (6, 'soon') AS v(i, t)")
+    return rows.select("i", S.expiry_seconds(F.col("t")).alias("seconds"))
+
+
+@query("cache_freshness", "SELECT event_id, CASE WHEN value * 10000 <= 86400 THEN 'fresh' WHEN value * 10000 <= 691200 THEN 'stale' ELSE 'expired' END AS state FROM events")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", S.freshness(F.col("value") * 10000).alias("state"))
+
+
+@query("backoff", "SELECT CAST(n AS BIGINT) AS n, CAST(least(2000, 200 * power(2, n - 1)) AS BIGINT) AS ms FROM range(1, 8) t(n)")
+def _(spark, sf_dir):
+    return spark.range(1, 8).select(F.col("id").alias("n"), S.backoff_ms(F.col("id")).alias("ms"))
+
+
+@query("json_extract_props", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
+@query("artifact_check", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'missing' ELSE 'changed' END AS problem FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 = 0")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    declared = docs.select("doc_id", F.sha2("text", 256).alias("said"))
+    actual = docs.filter("doc_id % 7 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("now"))
+    joined = declared.join(actual, "doc_id", "full")
+    problem = F.when(F.col("now").isNull(), "missing").when(F.col("said").isNull(), "extra").when(F.col("said") != F.col("now"), "changed")
+    return joined.select("doc_id", problem.alias("problem")).filter("problem is not null")
+
+
+@query("latest_revision", "SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id")
+def _(spark, sf_dir):
+    return streams.latest_revision(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn")
+
+
+@query("names_and_escapes", "SELECT o_orderkey, CASE WHEN regexp_matches(o_orderpriority, '[\",\\r\\n]') THEN '\"' || replace(o_orderpriority, '\"', '\"\"') || '\"' ELSE o_orderpriority END AS cell, regexp_replace(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM orders")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", S.csv_cell(F.col("o_orderpriority")).alias("cell"), S.slug(F.col("o_orderpriority")).alias("slug"))
+
+
+@query("package_names", "SELECT * FROM (VALUES (1, 'x', '@s/x'), (2, '@s/y', 'y')) v(i, of_path, of_selector)")
+def _(spark, sf_dir):
+    rows = spark.sql("SELECT * FROM VALUES (1, 'node_modules/a/node_modules/x', '@s/x@^1'), (2, 'node_modules/@s/y', 'y@npm:1') AS v(i, p, s)")
+    return rows.select("i", S.package_of_path(F.col("p")).alias("of_path"), S.package_of_selector(F.col("s")).alias("of_selector"))

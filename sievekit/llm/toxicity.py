@@ -116,6 +116,11 @@ class Landmarks:
             out[word[first]] = np.add.reduceat(self.table[row[part]] * value[part, None], first - first[0], axis=0)
         return out**POWER
 
+    def values(self, strings: list[str], weights: np.ndarray) -> np.ndarray:
+        """Weighted kernel sums of many words, some at a time."""
+        parts = [self.kernel(words_of_strings(strings[lo : lo + 4096])) @ weights for lo in range(0, len(strings), 4096)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
 
 def triples(letters: np.ndarray, first: np.ndarray, last: np.ndarray) -> Words:
     """Words with their boundaries as triples of letters; a triple's value is decay**span."""
@@ -201,13 +206,13 @@ class Model:
 
 
 def _strings(texts_: list[str]) -> list[list[str]]:
-    """The distinct words of each text as strings of letters, \\x00 for a gap."""
-    out = []
+    """The distinct words of each text as strings of letters, \\x00 for a gap; equal words are one object."""
+    out, one = [], {}
     for text in texts_:
         data, offs = textscan.buffer_of(pa.array([text], pa.string()))
         letters, first, last, _, _ = _tokens(data, offs)
         low = letters.astype("<u4").tobytes().decode("utf-32-le")
-        out.append(list({low[s:e].strip("\x00") for s, e in zip(first.tolist(), last.tolist())} - {""}))
+        out.append([one.setdefault(w, w) for w in {low[s:e].strip("\x00") for s, e in zip(first.tolist(), last.tolist())} - {""}])
     return out
 
 
@@ -313,14 +318,14 @@ def train(sentences: list[str], y: np.ndarray, rounds: int = 3, negatives: int =
         w, offset = _svm(x, label, 10 * weight)
         collapsed = half @ w
         if turn + 1 < rounds:
-            value = marks.kernel(words_of_strings(all_clean)) @ collapsed + offset
+            value = marks.values(all_clean, collapsed) + offset
             worst = [all_clean[i] for i in np.argsort(-value, kind="stable")[:negatives].tolist() if value[i] > -1]
             negative = list(dict.fromkeys([*negative, *worst]))
             # toxic texts without a witness so far: their worst word that is rare in clean texts
             for text in toxic:
                 own = [t for t in text if not in_clean[t]]
                 if own and not any(t in positive for t in text):
-                    value = marks.kernel(words_of_strings(own)) @ collapsed + offset
+                    value = marks.values(own, collapsed) + offset
                     if value.max() > -0.5:
                         best = own[int(value.argmax())]
                         positive[best] = positive.get(best, 0) + 1

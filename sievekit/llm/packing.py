@@ -17,7 +17,7 @@ from sievekit.llm.common import gather_ranges, texts
 #: Documents that one task packs; each such shard leaves a few sequences open at its end.
 SHARD_DOCUMENTS = 60_000
 #: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 PIECES_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED_SCHEMA = PIECES_SCHEMA + ", sequence_id long, offset long"

@@ -6,13 +6,14 @@ buffer with numpy, a bounded slice of rows at a time, so no Python object is mad
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are scanned at once; a longer single text is scanned whole.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -76,6 +77,21 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
+_trim = None
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers live on between tasks, and many share an executor's memory."""
+    global _trim
+    if _trim is None:
+        try:
+            _trim = ctypes.CDLL(None).malloc_trim
+        except (OSError, AttributeError):  # no such call here
+            _trim = lambda _: 0
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
 def row_chunks(offs: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most `limit` bytes, of one row at least."""
     lo, n = 0, len(offs) - 1
@@ -84,6 +100,7 @@ def row_chunks(offs: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int
         hi = min(max(hi, lo + 1), n)
         yield lo, hi
         lo = hi
+    release()
 
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -28,7 +28,7 @@ POWER = 3
 #: Landmarks from words of toxic and of clean sentences.
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 128, 64
 #: Values of words that a worker keeps.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 #: Labelled documents of each label that are learned from at most.
 PER_LABEL = 1500
 

@@ -158,6 +158,7 @@ def meet(spans: DataFrame, answers: DataFrame, finish: Callable, schema: str) ->
                 ids = row.column(0)[k].values
                 numbers = np.frombuffer(unpack(row.column(2)[k].as_py(), row.column(3)[k].as_py()), np.uint32)
                 out.append(prepared(ids, np.frombuffer(row.column(1)[k].as_py(), np.uint32).astype(np.int64), numbers))
+        textscan.release()
         return pa.concat_tables(out) if out else prepared(pa.array([], pa.int64()), np.zeros(0, np.int64), np.zeros(0, np.uint32))
 
     return spans.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)

@@ -40,8 +40,7 @@ def files(spark: SparkSession, root: str, ignore: tuple[str, ...] = (), limit: i
     Folders of PRUNED go, and paths that hold a string of `ignore`.  At most `limit` files, by path.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.lit(root.rstrip("/") + "/")
-    relative = F.substring_index(F.col("path"), base, -1)
+    relative = F.substring_index("path", root.rstrip("/") + "/", -1)
     kept = raw.filter(~pruned(relative))
     for word in ignore:
         kept = kept.filter(~F.contains("path", F.lit(word)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tomllib
 from dataclasses import dataclass, field, replace
 from functools import cache
@@ -58,7 +59,37 @@ def spark_pattern(pattern: str) -> str:
     if pattern.startswith(edge):
         pattern = "(?<![0-9A-Za-z_])" + pattern[len(edge) :]
     pattern = pattern.replace(edge, "(?![0-9A-Za-z_])")
-    return "(?U)" + pattern
+    # the flag costs time at every character, so it is set only where something depends on it
+    return "(?U)" + pattern if re.search(r"\\[bBdDsSwW]|\(\?[a-z]*i", pattern) else pattern
+
+
+def required_words(pattern: str) -> tuple[str, ...]:
+    """Literals of which every match holds one at least; empty if the pattern doesn't show any.
+
+    Either the alternatives of the group that the pattern begins with, each up to its first character that isn't literal, or a
+    character between two parts of the pattern that are there once or more.
+    """
+    if "(?i" in pattern:
+        return ()
+    if pattern.startswith("(?:"):
+        depth, end = 1, 3
+        while end < len(pattern) and depth:
+            if pattern[end] == "\\":
+                end += 1
+            elif pattern[end] == "[":
+                end = pattern.index("]", end + 2)
+            else:
+                depth += {"(": 1, ")": -1}.get(pattern[end], 0)
+            end += 1
+        inside = pattern[3 : end - 1]
+        if pattern[end : end + 1] in ("?", "*", "{") or "|" not in inside or re.search(r"\((?!\?:\\s\*\|_\))", inside):
+            return ()
+        words = [re.match(r"[^\\\[\](){}.*+?|^$]*", w.removeprefix("\\b"))[0] for w in inside.replace(r"(?:\s*|_)", "\\").split("|")]
+        # a literal that is followed by a quantifier may be missing its last character
+        words = [w[:-1] if re.match(re.escape(w) + "[?*{]", part.removeprefix("\\b")) else w for w, part in zip(words, inside.replace(r"(?:\s*|_)", "\\").split("|"))]
+        return tuple(words) if all(len(w) >= 2 for w in words) else ()
+    sign = re.match(r"\[[^\]]+\]\+([@#])\[", pattern)
+    return (sign[1],) if sign else ()
 
 
 def duckdb_pattern(pattern: str) -> str:

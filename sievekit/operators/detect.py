@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievekit.functions import scalars, validators
-from sievekit.functions.rules import Rule, spark_pattern
+from sievekit.functions.rules import Rule, required_words, spark_pattern
 
 #: Text in a line that keeps it from being reported: "# marker", "// marker", or "marker=<rule id>" for one rule.
 MARKER = "sieve:ignore"
@@ -39,7 +39,10 @@ _BY_FUNCTION = {"luhn": validators.luhn, "jp_address_prefecture_city_block": val
 def _matches(rule: Rule, k: int, text: Column) -> Column:
     """The rule's matches in a text that pass its context test and its validator, if SQL expresses that."""
     pattern = spark_pattern(rule.pattern)
-    found = F.when(text.rlike(pattern), scalars.spans(text, pattern)).otherwise(F.array().cast("array<struct<start:int,stop:int,hit:string>>"))
+    likely = text.rlike(pattern)
+    if words := required_words(rule.pattern):
+        likely = scalars.contains_any(text, words) & likely if len(words) > 1 else F.contains(text, F.lit(words[0])) & likely
+    found = F.when(likely, scalars.spans(text, pattern)).otherwise(F.array().cast("array<struct<start:int,stop:int,hit:string>>"))
     if suppressed(rule.id, text, F.lit(0), F.lit(0)) is not None:
         found = F.filter(found, lambda s: ~suppressed(rule.id, text, s["start"], s["stop"]))
     if rule.validator and rule.validator not in _BY_FUNCTION:

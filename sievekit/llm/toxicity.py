@@ -28,7 +28,7 @@ POWER = 3
 #: Landmarks from words of toxic and of clean sentences.
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 128, 64
 #: Values of words that a worker keeps.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 2_000_000
 #: Labelled documents of each label that are learned from at most.
 PER_LABEL = 1500
 
@@ -163,6 +163,33 @@ def words_of_strings(strings: list[str]) -> Words:
     return triples(_letters()[points], edge[:-1], edge[1:])
 
 
+class Known:
+    """Values of words seen, by hash: two sorted arrays of 16 bytes a word, and a small dict of the latest."""
+
+    def __init__(self) -> None:
+        self.keys, self.values, self.latest = np.zeros(0, np.uint64), np.zeros(0), {}
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values; nan for words that are new."""
+        out = np.full(len(keys), np.nan)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            hit = self.keys[at] == keys
+            out[hit] = self.values[at[hit]]
+        rest = np.flatnonzero(np.isnan(out))
+        out[rest] = [self.latest.get(k, np.nan) for k in keys[rest].tolist()]
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.latest.update(zip(keys.tolist(), values.tolist()))
+        if len(self.latest) > 100_000:
+            kept = len(self.keys) + len(self.latest) <= CACHE_WORDS
+            keys = np.concatenate([self.keys[:0] if not kept else self.keys, np.fromiter(self.latest.keys(), np.uint64, len(self.latest))])
+            values = np.concatenate([self.values[:0] if not kept else self.values, np.fromiter(self.latest.values(), np.float64, len(self.latest))])
+            order = np.argsort(keys)
+            self.keys, self.values, self.latest = keys[order], values[order], {}
+
+
 @dataclass
 class Model:
     """The landmarks and their weights, the machine's offset, and the calibration of a text's worst word."""
@@ -186,19 +213,15 @@ class Model:
 
     def _values(self, letters: np.ndarray, first: np.ndarray, last: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """The weighted kernel sum of each word; a word that came before is looked up."""
-        known = self.__dict__.setdefault("known", {})
+        known = self.__dict__.setdefault("known", Known())
         codes, distinct = pd.factorize(hashes)
         one = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1))
-        keys = distinct.tolist()
-        out = np.array([known.get(k, np.nan) for k in keys])
+        out = known.get(distinct)
         new = np.flatnonzero(np.isnan(out))
-        if len(new):
-            for lo in range(0, len(new), 1 << 14):
-                some = new[lo : lo + (1 << 14)]
-                out[some] = self.landmarks.kernel(triples(letters, first[one[some]], last[one[some]])) @ self.weights
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-            known.update(zip(distinct[new].tolist(), out[new].tolist()))
+        for lo in range(0, len(new), 1 << 14):
+            some = new[lo : lo + (1 << 14)]
+            out[some] = self.landmarks.kernel(triples(letters, first[one[some]], last[one[some]])) @ self.weights
+        known.add(distinct[new], out[new])
         return out[codes]
 
     def score(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -333,6 +356,7 @@ def train(sentences: list[str], y: np.ndarray, rounds: int = 3, negatives: int =
     data, offs = textscan.buffer_of(pa.array(sentences, pa.string()))
     raw = np.concatenate([model.worst(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]) for a, b in textscan.row_chunks(offs)])
     model.slope, model.intercept = calibrate(raw, y)
+    model.__dict__.pop("known", None)  # each worker fills its own
     return model
 
 

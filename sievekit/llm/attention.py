@@ -146,12 +146,17 @@ def _targets(starts: np.ndarray, lengths: np.ndarray, text: np.ndarray, place: n
     return starts[text][:, None] + np.minimum(at, last), at <= last
 
 
-def train(model: Model, ids: np.ndarray, lengths: np.ndarray, rounds: int, rate: float, seed: int = 1, batch: int = 128) -> float:
+def start_state(weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Sums of squared gradients, which train() goes on with if it gets them again."""
+    return {k: np.full_like(v, 1e-4) for k, v in weights.items()}
+
+
+def train(model: Model, ids: np.ndarray, lengths: np.ndarray, rounds: int, rate: float, seed: int = 1, batch: int = 128, state: dict[str, np.ndarray] | None = None) -> float:
     """Train the model's weights in place on texts of ids (each ends with the end's id); the last round's mean loss."""
     starts = np.cumsum(lengths) - lengths
     text, place, _ = windows(lengths, WINDOW)
     seen = _seen(model, ids, starts)
-    random, state = np.random.default_rng(seed), {k: np.full_like(v, 1e-4) for k, v in model.weights.items()}
+    random, state = np.random.default_rng(seed), start_state(model.weights) if state is None else state
     loss = 0.0
     for _ in range(rounds):
         order, losses = random.permutation(len(text)), []

@@ -15,8 +15,8 @@ from sievekit.llm.bpe import load_ranks
 from sievekit.llm.common import gather_ranges, pack, partitions, save, texts, unpack
 from sievekit.llm.labelled import fold
 
-#: Documents from which the first weights and the classes come; one document in so many trains the weights further.
-FIRST_DOCUMENTS, SHARE = 300, 16
+#: Documents from which the first weights and the classes come; all training documents train the weights further.
+FIRST_DOCUMENTS = 300
 #: Weight of the word counts in the mixture.
 COUNTS_WEIGHT = 0.25
 BUCKETS_PER_PARTITION = 8
@@ -150,21 +150,22 @@ def _summed(answers: DataFrame, kind: int, size: int) -> np.ndarray:
     return counts
 
 
-def _further(docs: DataFrame, content, model, share: int, rate: float) -> np.ndarray:
-    """The weights after one round in which every task trains on its own documents and the results are averaged by their ids."""
+def _further(docs: DataFrame, content, model, rate: float) -> np.ndarray:
+    """The weights after one round over all documents: every task trains on its own, and the results are averaged by their ids."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     slots = len(model.weights["embed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from copy import deepcopy
 
-        own, subwords, ids, lengths, seen = None, _subwords(content.value), [], [], 0
+        own, state, subwords, ids, lengths, seen = None, None, _subwords(content.value), [], [], 0
 
         def learn():
-            nonlocal own, ids, lengths, seen
+            nonlocal own, state, ids, lengths, seen
             own = own or deepcopy(shared.value)
+            state = state or attention.start_state(own.weights)
             some = np.concatenate(ids)
-            attention.train(own, some, np.concatenate(lengths), 1, rate)
+            attention.train(own, some, np.concatenate(lengths), 1, rate, state=state)
             seen += len(some)
             ids, lengths = [], []
 
@@ -181,8 +182,7 @@ def _further(docs: DataFrame, content, model, share: int, rate: float) -> np.nda
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([attention.flat(own.weights).astype(np.float64).tolist()], pa.list_(pa.float64()))], names=["n", "weights"])
 
-    chosen = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
-    each = chosen.mapInArrow(run, "n long, weights array<double>").select("n", F.posexplode("weights").alias("k", "w"))
+    each = docs.mapInArrow(run, "n long, weights array<double>").select("n", F.posexplode("weights").alias("k", "w"))
     # sums by weight, so what comes to the driver has the size of one model
     rows = each.groupBy("k").agg((F.sum(F.col("n") * F.col("w")) / F.sum("n")).alias("w")).collect()
     if not rows:
@@ -194,7 +194,7 @@ def _further(docs: DataFrame, content, model, share: int, rate: float) -> np.nda
     return out
 
 
-def score_texts(docs: DataFrame, ranks_path: str, folds: int = 7, aside: int = 2, first_documents: int = FIRST_DOCUMENTS, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, ranks_path: str, folds: int = 7, aside: int = 2, first_documents: int = FIRST_DOCUMENTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row.
 
     Tokens are the words of the text, lower-cased in A-Z, and an end.  base_score is the sum of log10((c + 1) / (N + V + 1)) with
@@ -202,7 +202,7 @@ def score_texts(docs: DataFrame, ranks_path: str, folds: int = 7, aside: int = 2
     word has COUNTS_WEIGHT times its share of the training tokens, and the rest times the product of its subword ids'
     probabilities by attention, up to and with the word's end.
     Word counts and subword counts cover all training rows, by the distinct-word shuffle.  The attention weights start from
-    `first_documents` training rows and go on over one in `share` of all, so that work grows with the corpus.
+    `first_documents` training rows and then go once over every training row.
     One row comes out for each row that goes in; a row with a null id is scored and not learned from; a null or empty text is
     the end alone; repeated rows count each; other columns are ignored; an empty table gives an empty table.
     """
@@ -233,7 +233,7 @@ def score_texts(docs: DataFrame, ranks_path: str, folds: int = 7, aside: int = 2
     model = attention.Model(slot, group, within, pairs.reshape(attention.SLOTS, -1).astype(np.float32), attention.start_weights(attention.SLOTS + 2))
     if len(ids):
         attention.train(model, ids, lengths, 6, 0.2)
-        model.weights = attention.unflat(_further(learned, content, model, share, 0.1), attention.SLOTS + 2)
+        model.weights = attention.unflat(_further(learned, content, model, 0.1), attention.SLOTS + 2)
     shared = spark.sparkContext.broadcast(model)
     most = float(np.log(max(total, 1)))
     end_count = ends

@@ -15,6 +15,8 @@ import numpy as np
 WINDOW, CONTEXT, WIDTH = 24, 6, 16
 #: Classes of ids that begin a word (the last is the end's own), and of others; ids with an embedding of their own.
 STARTS, OTHERS, SLOTS = 24, 24, 1024
+#: Ids whose counts as neighbours tell ids apart.
+NEIGHBOURS = 160
 CLASSES = STARTS + OTHERS
 #: Weight of an id's share of its class against the counts behind one slot.
 PRIOR = 10.0
@@ -213,24 +215,38 @@ def log_probabilities(model: Model, ids: np.ndarray, lengths: np.ndarray, batch:
     return logp, begins
 
 
-def cluster(ids: np.ndarray, tokens: int, begins: np.ndarray, seed: int = 1, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Class and slot of each id (the end's is `tokens`): ids with alike neighbours share a class.
-
-    begins: whether an id begins a word.  Ids that the sample lacks join their side's first class.
-    """
-    count = np.bincount(ids, minlength=tokens + 1)
+def chosen(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By the counts of all ids (the end's is the last): those with a slot of their own, and those that tell ids apart as neighbours."""
     order = np.argsort(-count, kind="stable")
     top = order[: SLOTS - 1]
-    top = top[(count[top] > 0) & (top != tokens)]
-    column = np.full(tokens + 1, -1)
-    most = order[:160]
-    column[most] = np.arange(len(most))
-    rank = np.full(tokens + 1, -1)
-    rank[top] = np.arange(len(top))
-    context = np.zeros((len(top), 2 * len(most)))
-    for own, other, shift in ((ids[1:], ids[:-1], 0), (ids[:-1], ids[1:], len(most))):
-        both = (rank[own] >= 0) & (column[other] >= 0)
-        np.add.at(context, (rank[own[both]], column[other[both]] + shift), 1)
+    return top[(count[top] > 0) & (top != len(count) - 1)], order[:NEIGHBOURS]
+
+
+def neighbours(ids: np.ndarray, tokens: int, top: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How often each of `most` stands before and behind each of `top` in texts of ids, with the end before a text's first."""
+    rank, column = np.full(tokens + 1, -1), np.full(tokens + 1, -1)
+    rank[top], column[most] = np.arange(len(top)), np.arange(len(most))
+    wide = 2 * len(most)
+    ids = np.concatenate([[tokens], ids])
+    r, c = rank[ids], column[ids]
+    before, behind = np.flatnonzero((r[1:] >= 0) & (c[:-1] >= 0)), np.flatnonzero((r[:-1] >= 0) & (c[1:] >= 0))
+    cells = np.concatenate([r[before + 1] * wide + c[before], r[behind] * wide + len(most) + c[behind + 1]])
+    return np.bincount(cells, minlength=len(top) * wide).reshape(len(top), wide)
+
+
+def cluster(ids: np.ndarray, tokens: int, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class and slot of each id by all texts at once."""
+    count = np.bincount(ids, minlength=tokens + 1)
+    top, most = chosen(count)
+    return classes(count, top, neighbours(ids, tokens, top, most), begins)
+
+
+def classes(count: np.ndarray, top: np.ndarray, context: np.ndarray, begins: np.ndarray, seed: int = 1, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Class and slot of each id (the end's is the last): ids with alike neighbours share a class.
+
+    begins: whether an id begins a word.  Ids that aren't in `top` join their side's first class.
+    """
+    tokens = len(count) - 1
     context = np.sqrt(context / np.maximum(context.sum(axis=1, keepdims=True), 1))
     group = np.where(begins, 0, STARTS).astype(np.int64)
     random = np.random.default_rng(seed)

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from sievekit.llm import attention, textscan, wordblocks
 from sievekit.llm.bpe import load_ranks
-from sievekit.llm.common import gather_ranges, pack, partitions, save, texts, unpack
+from sievekit.llm.common import forget, gather_ranges, pack, partitions, save, texts, unpack
 from sievekit.llm.labelled import fold
 
-#: Documents from which the first weights and the classes come; all training documents train the weights further.
+#: Documents from which the first weights come; all training documents train the weights further.
 FIRST_DOCUMENTS = 300
 #: Weight of the word counts in the mixture.
 COUNTS_WEIGHT = 0.25
@@ -71,10 +71,10 @@ def _subwords(content: bytes) -> Subwords:
     return _made[key]
 
 
-def _answers(docs: DataFrame, content, slots, folds: int, aside: int) -> DataFrame:
+def _answers(docs: DataFrame, content, folds: int, aside: int) -> DataFrame:
     """Kind 0: for each block and bucket the ids and training counts of its words.
 
-    Kind 1: words, distinct words and counts of subword ids of a bucket; kind 2: counts of pairs of slots in its words.
+    Kind 1: words, distinct words and counts of subword ids of a bucket; kind 2: counts of pairs of ids in its words.
     """
     n = partitions(docs.sparkSession)
 
@@ -100,12 +100,11 @@ def _answers(docs: DataFrame, content, slots, folds: int, aside: int) -> DataFra
         some = np.flatnonzero(by_id)
         size, reply = pack(some.astype(np.int64), by_id[some])
         out.append((1, sum(c for _, c in used), bucket, len(used), len(some), size, reply))
-        own = slots.value[flat] if len(flat) else np.zeros(0, np.int64)
         weight = np.repeat([c for _, c in used], [len(ids[w]) for w, _ in used]) if used else np.zeros(0, np.int64)
         word = np.repeat(np.arange(len(used)), [len(ids[w]) for w, _ in used]) if used else np.zeros(0, np.int64)
-        both = np.flatnonzero((word[1:] == word[:-1]) & (own[1:] < attention.SLOTS) & (own[:-1] < attention.SLOTS))
-        keys, place = np.unique(own[both] * attention.SLOTS + own[both + 1], return_inverse=True)
-        size, reply = pack(keys.astype(np.int64), np.bincount(place, weight[both], len(keys)).astype(np.int64))
+        both = np.flatnonzero(word[1:] == word[:-1])
+        keys, place = np.unique(flat[both].astype(np.int64) * subwords.size + flat[both + 1], return_inverse=True)
+        size, reply = pack(keys, np.bincount(place, weight[both], len(keys)).astype(np.int64))
         out.append((2, 0, bucket, 0, len(keys), size, reply))
         return out
 
@@ -132,33 +131,85 @@ def _answers(docs: DataFrame, content, slots, folds: int, aside: int) -> DataFra
     return wordblocks.by_bucket(words, n).mapInArrow(run, "kind int, block long, bucket int, guard long, n int, size int, reply binary")
 
 
-def _summed(answers: DataFrame, kind: int, size: int) -> np.ndarray:
-    """Counts by key, summed over all buckets: at most `size` rows come to the driver, whatever the corpus."""
+def _added(rows: DataFrame, size: int) -> np.ndarray:
+    """Rows key, n as an array: at most `size` rows come to the driver, whatever the corpus."""
+    counts = np.zeros(size, np.int64)
+    found = rows.groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    counts[found.column("key").to_numpy()] = found.column("n").to_numpy()
+    return counts
+
+
+def _summed(answers: DataFrame, kind: int, size: int, slots=None) -> np.ndarray:
+    """Counts by id summed over all buckets; with slots, counts of pairs of ids by those of their own slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
             for n, raw, reply in zip(*(batch.column(c).to_pylist() for c in ("n", "size", "reply"))):
                 both = np.frombuffer(unpack(raw, reply), np.int64)
-                total[both[:n]] += both[n:]
+                keys, counts = both[:n], both[n:]
+                if slots is not None:
+                    tokens = len(slots.value) - 1
+                    one, two = slots.value[keys // tokens], slots.value[keys % tokens]
+                    own = (one < attention.SLOTS) & (two < attention.SLOTS)
+                    keys, counts = (one * attention.SLOTS + two)[own], counts[own]
+                total[keys] += counts
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["key", "n"])
 
-    counts = np.zeros(size, np.int64)
-    found = answers.filter(F.col("kind") == kind).select("n", "size", "reply").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    counts[found.column("key").to_numpy()] = found.column("n").to_numpy()
-    return counts
+    return _added(answers.filter(F.col("kind") == kind).select("n", "size", "reply").mapInArrow(run, "key long, n long"), size)
+
+
+def _id_rows(docs: DataFrame, content) -> DataFrame:
+    """Subword ids of all texts, a row for each chunk of texts: how many there are, their lengths and their ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subwords = _subwords(content.value)
+        for batch in batches:
+            data, offs = textscan.buffer_of(batch.column(1))
+            for lo, hi in textscan.row_chunks(offs):
+                ids, lengths = subwords.texts(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+                size, packed = pack(lengths, ids)
+                yield pa.RecordBatch.from_arrays([pa.array([hi - lo], pa.int32()), pa.array([size], pa.int32()), pa.array([packed], pa.binary())], names=["n", "size", "ids"])
+        textscan.release()
+
+    return docs.mapInArrow(run, "n int, size int, ids binary")
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and lengths of each row of _id_rows."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            n, size, packed = (batch.column(c)[k].as_py() for c in ("n", "size", "ids"))
+            raw = unpack(size, packed)
+            yield np.frombuffer(raw, np.int32, -1, 8 * n), np.frombuffer(raw, np.int64, n)
 
 
-def _further(docs: DataFrame, content, model, rate: float) -> np.ndarray:
-    """The weights after one round over all documents: every task trains on its own, and the results are averaged by their ids."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _classes(id_rows: DataFrame, by_id: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class and slot of each id by its neighbours in all texts."""
+    top, most = attention.chosen(by_id)
+    tokens, size = len(by_id) - 1, len(top) * 2 * len(most)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for ids, _ in _chunks(batches):
+            total += attention.neighbours(ids, tokens, top, most).ravel()
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["key", "n"])
+
+    context = _added(id_rows.mapInArrow(run, "key long, n long"), size).reshape(len(top), 2 * len(most))
+    return attention.classes(by_id, top, context, begins)
+
+
+def _further(id_rows: DataFrame, model, rate: float) -> np.ndarray:
+    """The weights after one round over all texts: every task trains on its own, and the results are averaged by their ids."""
+    shared = id_rows.sparkSession.sparkContext.broadcast(model)
     slots = len(model.weights["embed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from copy import deepcopy
 
-        own, state, subwords, ids, lengths, seen = None, None, _subwords(content.value), [], [], 0
+        own, state, ids, lengths, seen = None, None, [], [], 0
 
         def learn():
             nonlocal own, state, ids, lengths, seen
@@ -169,20 +220,17 @@ def _further(docs: DataFrame, content, model, rate: float) -> np.ndarray:
             seen += len(some)
             ids, lengths = [], []
 
-        for batch in batches:
-            data, offs = textscan.buffer_of(batch.column(1))
-            for lo, hi in textscan.row_chunks(offs):
-                i, n = subwords.texts(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                ids.append(i)
-                lengths.append(n)
-                if sum(map(len, ids)) > 1 << 20:
-                    learn()
+        for i, n in _chunks(batches):
+            ids.append(i)
+            lengths.append(n)
+            if sum(map(len, ids)) > 1 << 20:
+                learn()
         if ids:
             learn()
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([attention.flat(own.weights).astype(np.float64).tolist()], pa.list_(pa.float64()))], names=["n", "weights"])
 
-    each = docs.mapInArrow(run, "n long, weights array<double>").select("n", F.posexplode("weights").alias("k", "w"))
+    each = id_rows.mapInArrow(run, "n long, weights array<double>").select("n", F.posexplode("weights").alias("k", "w"))
     # sums by weight, so what comes to the driver has the size of one model
     rows = each.groupBy("k").agg((F.sum(F.col("n") * F.col("w")) / F.sum("n")).alias("w")).collect()
     if not rows:
@@ -201,7 +249,7 @@ def score_texts(docs: DataFrame, ranks_path: str, folds: int = 7, aside: int = 2
     the counts of all rows whose id's CRC-32 modulo `folds` is not `aside`.  score is the model's log10 probability: each
     word has COUNTS_WEIGHT times its share of the training tokens, and the rest times the product of its subword ids'
     probabilities by attention, up to and with the word's end.
-    Word counts and subword counts cover all training rows, by the distinct-word shuffle.  The attention weights start from
+    Word counts and subword counts cover all training rows, by the distinct-word shuffle; so do the classes and slots of ids.  The attention weights start from
     `first_documents` training rows and then go once over every training row.
     One row comes out for each row that goes in; a row with a null id is scored and not learned from; a null or empty text is
     the end alone; repeated rows count each; other columns are ignored; an empty table gives an empty table.
@@ -220,12 +268,14 @@ def score_texts(docs: DataFrame, ranks_path: str, folds: int = 7, aside: int = 2
     some = [r["text"] for r in hashed.orderBy("h").limit(first_documents).collect()]
     data, offs = textscan.buffer_of(pa.array(some, pa.string()))
     ids, lengths = subwords.texts(data, offs)
-    group, slot = attention.cluster(ids, subwords.size, subwords.begins)
 
-    answers = save(_answers(rows, content, spark.sparkContext.broadcast(slot), folds, aside), "word-counts")
+    answers = save(_answers(rows, content, folds, aside), "word-counts")
     words, distinct = (int(x) for x in answers.filter("kind = 1").agg(F.coalesce(F.sum("block"), F.lit(0)), F.coalesce(F.sum("guard"), F.lit(0))).first())
-    by_id, pairs = _summed(answers, 1, subwords.size + 1), _summed(answers, 2, attention.SLOTS**2)
+    by_id = _summed(answers, 1, subwords.size + 1)
     by_id[subwords.size] = ends
+    id_rows = save(_id_rows(learned, content), "ids")
+    group, slot = _classes(id_rows, by_id, subwords.begins)
+    pairs = _summed(answers, 2, attention.SLOTS**2, spark.sparkContext.broadcast(slot))
     total, known = words + ends, distinct + (ends > 0)
 
     smooth = by_id + 0.5
@@ -233,7 +283,8 @@ def score_texts(docs: DataFrame, ranks_path: str, folds: int = 7, aside: int = 2
     model = attention.Model(slot, group, within, pairs.reshape(attention.SLOTS, -1).astype(np.float32), attention.start_weights(attention.SLOTS + 2))
     if len(ids):
         attention.train(model, ids, lengths, 6, 0.2)
-        model.weights = attention.unflat(_further(learned, content, model, 0.1), attention.SLOTS + 2)
+        model.weights = attention.unflat(_further(id_rows, model, 0.1), attention.SLOTS + 2)
+    forget(id_rows)
     shared = spark.sparkContext.broadcast(model)
     most = float(np.log(max(total, 1)))
     end_count = ends

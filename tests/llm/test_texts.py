@@ -226,6 +226,28 @@ def test_language_model_trains_on_every_learning_row(spark):
         assert score(rows | {i: " ".join(sorted(rows[i].split()))}) != plain
 
 
+def test_language_model_knows_ids_of_all_learning_rows(spark):
+    """Two words as frequent as each other, which the first documents lack, are told apart by their neighbours."""
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    learn = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2][:30]
+    first = [r["i"] for r in spark.createDataFrame([(i,) for i in learn], "i long").orderBy(F.xxhash64("i")).limit(2).collect()]
+    texts = {i: "the house and the road " * 10 if i in first else "the house and the road " * 4 + "of stone " * 6 + "to paper " * 6 for i in learn}
+    texts |= {held[0]: "of stone " * 5, held[1]: "of paper " * 5}
+    subwords = lm.Subwords(open(MULTI, "rb").read())
+    assert len(subwords.ids(b"stone")) == len(subwords.ids(b"paper")) == 1
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(docs, MULTI, first_documents=2).collect()}
+    assert abs(got[held[0]] - got[held[1]]) > 0.01
+
+    ids, _ = subwords.texts(*textscan.buffer_of(pa.array([texts[i] for i in learn])))
+    with open(MULTI, "rb") as f:
+        content = spark.sparkContext.broadcast(f.read())
+    rows = lm._id_rows(docs.filter(F.col("doc_id").isin(learn)).repartition(3), content)
+    by_id = np.bincount(ids, minlength=subwords.size + 1)
+    for ours, brute in zip(lm._classes(rows, by_id, subwords.begins), attention.cluster(ids, subwords.size, subwords.begins)):
+        assert (ours == brute).all()
+
+
 def test_attention_gives_probabilities():
     """Over all ids the probabilities sum to one, and windows leave no id out."""
     tokens = 40

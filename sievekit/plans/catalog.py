@@ -204,6 +204,13 @@ def _(spark, sf_dir):
     return hit.select("path", "line_number", mask.masked(F.col("line"), F.col("m"), "partial").alias("masked"))
 
 
+@query("mask_partial_whole")
+def _(spark, sf_dir):
+    """All lines with matches, however many; the SQL of mask_partial covers those with one."""
+    hit = detect.numbered_lines(documents(spark, sf_dir)).withColumn("m", detect.matches(F.col("line"), [_EMAIL])).filter(F.size("m") > 0)
+    return hit.select("path", "line_number", mask.masked(F.col("line"), F.col("m"), "partial").alias("masked"))
+
+
 _SPANS = "(1, 4, 7, 10, 'a'), (1, 4, 6, 20, 'b'), (1, 15, 18, 5, 'c'), (1, 18, 20, 5, 'd'), (2, 0, 5, 1, 'e'), (2, 1, 4, 9, 'f'), (3, 0, 3, 7, 'g'), (3, 3, 6, 7, 'h'), (3, 8, 9, 7, 'i')"
 
 
@@ -220,7 +227,7 @@ def _(spark, sf_dir):
 
 @query("mask_file", "SELECT CAST(doc_id AS VARCHAR) AS path, regexp_replace(CASE WHEN text LIKE '%' || chr(10) THEN substr(text, 1, length(text) - 1) ELSE text END, " + sql.quoted(_EMAIL.pattern) + ", '<REDACTED>', 'g') AS text FROM documents WHERE NOT contains(text, chr(13))")
 def _(spark, sf_dir):
-    return mask.mask_text(documents(spark, sf_dir).filter(~F.contains("text", F.lit("\r"))), [_EMAIL])
+    return mask.mask_text(documents(spark, sf_dir), [_EMAIL])
 
 
 @query("fix_markers", sql.findings([_EMAIL]) + ", hits AS (SELECT DISTINCT path, line_number FROM graded) SELECT lines.path, CAST(lines.line_number AS BIGINT) AS line_number, line || CASE WHEN hits.path IS NULL OR contains(line, 'sieve:ignore') THEN '' ELSE ' # sieve:ignore' END AS line FROM lines LEFT JOIN hits USING (path, line_number)")

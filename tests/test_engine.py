@@ -1,6 +1,7 @@
 """Detection, masking, validators, packs, sources, sinks and streams against small expectations."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,3 +149,24 @@ def test_latest_revision_stream(spark, tmp_path):
     edits = spark.readStream.schema("uri string, revision long, text string").json(str(tmp_path / "in"))
     streams.keep_latest(edits, "uri", "revision", str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out/0")).collect()] == [("a", 2, "y")]
+
+
+def test_mask_queries_cover_all_lines(spark, tmp_path):
+    """Lines with several matches and texts with carriage returns are masked too."""
+    import __spark_entry__
+
+    rows = [(1, "to ann@example.com"), (2, "ann@example.com, bob@example.org and c@example.net\nnone"), (3, "a ann@example.com\r\nb\rc bob@example.org ann@example.com\r\n"), (4, "none"), (5, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    pattern = re.compile(next(r for r in R.builtin() if r.id == "pii.net.email").pattern)
+    queries = __spark_entry__.queries()
+
+    def brute_lines(text):
+        parts = re.split("\r?\n", text)
+        return parts[:-1] if parts[-1] == "" else parts
+
+    expected = {(str(i), k, pattern.sub(lambda m: "****" + m[0][-4:], line)) for i, text in rows for k, line in enumerate(brute_lines(text), 1) if pattern.search(line)}
+    assert len(expected) == 4
+    got = queries["mask_partial_whole"](spark, str(tmp_path)).select("path", "line_number", "masked").collect()
+    assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+    whole = {r["path"]: r["text"] for r in queries["mask_file"](spark, str(tmp_path)).collect()}
+    assert whole == {str(i): "\n".join(pattern.sub("<REDACTED>", line) for line in brute_lines(text)) for i, text in rows}

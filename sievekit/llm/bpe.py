@@ -11,10 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievekit.llm import textscan, wordblocks
-from sievekit.llm.common import gather_ranges, pack, partitions, texts, unpack
-
-#: Word buckets for each shuffle partition.
-BUCKETS_PER_PARTITION = 8
+from sievekit.llm.common import gather_ranges, pack, texts, unpack
 
 
 def load_ranks(content: bytes) -> dict[bytes, int]:
@@ -52,8 +49,8 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     with open(ranks_path, "rb") as f:
         content = spark.sparkContext.broadcast(f.read())  # one fixed file, under 1 MB
-    rows, n = texts(docs, id_col, text_col), partitions(spark)
-    buckets = BUCKETS_PER_PARTITION * n
+    rows = texts(docs, id_col, text_col)
+    buckets, tasks = wordblocks.sizes(rows)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_piece, now, known = _encoder(content.value)._encode_single_piece, None, {}
@@ -90,8 +87,8 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
         return chunk
 
     found = wordblocks.word_rows(rows, _scan, buckets).drop("counted")
-    answers = wordblocks.by_bucket(found, n).mapInArrow(answer, "block long, bucket int, guard long, n int, size int, reply binary")
-    return wordblocks.meet(wordblocks.span_rows(rows, _scan, buckets), answers, finish, "doc_id long, ids array<int>")
+    answers = wordblocks.by_bucket(found, tasks).mapInArrow(answer, "block long, bucket int, guard long, n int, size int, reply binary")
+    return wordblocks.meet(wordblocks.span_rows(rows, _scan, buckets), answers, tasks, finish, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

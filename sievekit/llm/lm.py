@@ -12,14 +12,13 @@ from pyspark.sql import functions as F
 
 from sievekit.llm import attention, textscan, wordblocks
 from sievekit.llm.bpe import load_ranks
-from sievekit.llm.common import forget, gather_ranges, pack, partitions, save, texts, unpack
+from sievekit.llm.common import forget, gather_ranges, pack, save, texts, unpack
 from sievekit.llm.labelled import fold
 
 #: Documents from which the first weights come; all training documents train the weights further.
 FIRST_DOCUMENTS = 300
 #: Weight of the word counts in the mixture.
 COUNTS_WEIGHT = 0.25
-BUCKETS_PER_PARTITION = 8
 
 
 def _scan(data: np.ndarray, offs: np.ndarray):
@@ -71,13 +70,11 @@ def _subwords(content: bytes) -> Subwords:
     return _made[key]
 
 
-def _answers(docs: DataFrame, content, folds: int, aside: int) -> DataFrame:
+def _answers(docs: DataFrame, content, buckets: int, tasks: int, folds: int, aside: int) -> DataFrame:
     """Kind 0: for each block and bucket the ids and training counts of its words.
 
     Kind 1: words, distinct words and counts of subword ids of a bucket; kind 2: counts of pairs of ids in its words.
     """
-    n = partitions(docs.sparkSession)
-
     def weigh(ids: pa.Array) -> np.ndarray:
         return np.array([i is not None and zlib.crc32(str(i).encode()) % folds != aside for i in ids.to_pylist()], np.int64)
 
@@ -127,8 +124,8 @@ def _answers(docs: DataFrame, content, folds: int, aside: int) -> DataFrame:
             yield rows(close(now, held, subwords))
         textscan.release()
 
-    words = wordblocks.word_rows(docs, _scan, BUCKETS_PER_PARTITION * n, weigh)
-    return wordblocks.by_bucket(words, n).mapInArrow(run, "kind int, block long, bucket int, guard long, n int, size int, reply binary")
+    words = wordblocks.word_rows(docs, _scan, buckets, weigh)
+    return wordblocks.by_bucket(words, tasks).mapInArrow(run, "kind int, block long, bucket int, guard long, n int, size int, reply binary")
 
 
 def _added(rows: DataFrame, size: int) -> np.ndarray:
@@ -257,7 +254,8 @@ def score_texts(docs: DataFrame, ranks_path: str, folds: int = 7, aside: int = 2
     spark = docs.sparkSession
     with open(ranks_path, "rb") as f:
         content = spark.sparkContext.broadcast(f.read())
-    rows, buckets = texts(docs, id_col, text_col), BUCKETS_PER_PARTITION * partitions(spark)
+    rows = texts(docs, id_col, text_col)
+    buckets, tasks = wordblocks.sizes(rows)
     subwords = _subwords(content.value)
     learned = rows.filter(fold("doc_id", folds) != aside)
 
@@ -269,7 +267,7 @@ def score_texts(docs: DataFrame, ranks_path: str, folds: int = 7, aside: int = 2
     data, offs = textscan.buffer_of(pa.array(some, pa.string()))
     ids, lengths = subwords.texts(data, offs)
 
-    answers = save(_answers(rows, content, folds, aside), "word-counts")
+    answers = save(_answers(rows, content, buckets, tasks, folds, aside), "word-counts")
     words, distinct = (int(x) for x in answers.filter("kind = 1").agg(F.coalesce(F.sum("block"), F.lit(0)), F.coalesce(F.sum("guard"), F.lit(0))).first())
     by_id = _summed(answers, 1, subwords.size + 1)
     by_id[subwords.size] = ends
@@ -332,7 +330,7 @@ def score_texts(docs: DataFrame, ranks_path: str, folds: int = 7, aside: int = 2
         return chunk
 
     spans = wordblocks.span_rows(rows, _scan, buckets)
-    out = wordblocks.meet(spans, answers.filter("kind = 0").drop("kind"), finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    out = wordblocks.meet(spans, answers.filter("kind = 0").drop("kind"), tasks, finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -6,7 +6,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,17 +49,17 @@ class WordTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.start, self.length, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32), 0
 
     def _ids(self, text: str) -> list[int]:
         return self.whole.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS and self.known:
+    def _learn(self, keys: list[bytes]) -> None:
+        if len(self.known) + len(keys) > CACHE_WORDS and self.known:
             raise OverflowError
-        for lo in range(0, len(words), 1000):
-            some = words[lo : lo + 1000]
+        for lo in range(0, len(keys), 1000):
+            some = [k.decode("utf-8") for k in keys[lo : lo + 1000]]
             ids = np.array(self._ids(" ".join(some)), np.int32)
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) != len(some):
@@ -77,7 +76,7 @@ class WordTokenizer:
             self.length[first : first + n] = lengths
             self.flat[self.used : self.used + len(ids)] = ids
             self.used += len(ids)
-            self.known.update(zip(hashes[lo : lo + 1000], range(first, first + n)))
+            self.known.update(zip(keys[lo : lo + 1000], range(first, first + n)))
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows of a chunk, one after another, and how many each row has."""
@@ -104,21 +103,16 @@ class WordTokenizer:
     def _encode_plain(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lowered = np.frombuffer(data.tobytes().decode("utf-8").lower().encode("utf-8"), np.uint8)
         starts, ends, rows = textscan.pretoken_starts(lowered, offs, joined_space=False)
-        hashes = textscan.RangeHash(lowered)(starts, ends)
-        codes, distinct = pd.factorize(hashes)
-        first = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1)) if len(codes) else codes
-        keys, raw = distinct.tolist(), lowered.tobytes()
-        for _ in range(2):
-            place = [self.known.get(k, -1) for k in keys]
-            new = [i for i, p in enumerate(place) if p < 0]
-            if not new:
-                break
-            words = [raw[s:e].decode("utf-8") for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
+        codes, first, _ = textscan.distinct(lowered, starts, ends)
+        raw = lowered.tobytes()
+        keys = [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())]
+        new = [k for k in keys if k not in self.known]
+        if new:
             try:
-                self._learn([keys[i] for i in new], words)
+                self._learn(new)
             except OverflowError:
                 self._forget()
-                self._learn(keys, [raw[s:e].decode("utf-8") for s, e in zip(starts[first].tolist(), ends[first].tolist())])
+                self._learn(keys)
         place = np.array([self.known[k] for k in keys], np.int64)[codes] if keys else np.zeros(0, np.int64)
         lengths = self.length[place]
         total = np.concatenate([[0], np.cumsum(lengths)])

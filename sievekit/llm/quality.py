@@ -39,7 +39,7 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts, ends, rows = textscan.words(data, offs)
     size, count = np.diff(offs), np.diff(rows)
     row = np.repeat(np.arange(n), count)
-    hashes = textscan.RangeHash(textscan.lower_ascii(data))(starts, ends)
+    hashes = textscan.word_hashes(textscan.lower_ascii(data), starts, ends)
     some, some_words = np.maximum(size, 1), np.maximum(count, 1)
 
     def share(chosen: np.ndarray, of: np.ndarray = some) -> np.ndarray:

@@ -17,21 +17,6 @@ SEED = 42
 BITS, SEGMENT = 64, 32
 
 
-def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """All words with one blank behind each, and where they stand there."""
-    mask = np.zeros(len(data) + 1, np.int8)
-    np.add.at(mask, starts, 1)
-    np.add.at(mask, ends, -1)
-    size = ends - starts
-    to = np.cumsum(size + 1) - size - 1
-    out = np.full(int(size.sum() + len(size)), 0x20, np.uint8)
-    inside = np.cumsum(mask[:-1]).astype(bool)
-    blank = np.zeros(len(out), bool)
-    blank[to + size] = True
-    out[~blank] = data[inside]
-    return out.tobytes(), to, to + size
-
-
 def fingerprints_of(data: np.ndarray, offs: np.ndarray, width: int = 3) -> np.ndarray:
     """A fingerprint for each row, as uint64."""
     from xxhash import xxh64_intdigest
@@ -41,7 +26,7 @@ def fingerprints_of(data: np.ndarray, offs: np.ndarray, width: int = 3) -> np.nd
     out = np.zeros(len(offs) - 1, np.uint64)
     if not len(starts):
         return out
-    raw, starts, ends = _joined(data, starts, ends)
+    raw, starts, ends = textscan.joined(data, starts, ends)
     counts = np.diff(rows)
     shingles = np.where(counts >= width, counts - width + 1, np.minimum(counts, 1))
     first = np.repeat(rows[:-1] - (np.cumsum(shingles) - shingles), shingles) + np.arange(int(shingles.sum()))

@@ -3,13 +3,15 @@
 An edge is a k-mer of `width` consecutive words (a window).  The edges are dealt by minimizer, the smallest hash of the
 shorter k-mers in them: a run of consecutive edges of one minimizer is a path, and one row.  Paths with the same words
 compact to one, whose first document is known without looking at its edges unless another path of the same minimizer
-branches off.  Only then are the edges of such paths compared one by one.  Places (document, word) of all rows of
-a repeated path then tell which words go.
+branches off.  Only then are the edges of such paths compared one by one, and those that go on in one source compact again.
+Every repeated span carries the place (document, word) of its source, and before words go, the digest of the words that
+stand there is compared with the digest of the span's own: hashes find the repeats, the source's words decide.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def _word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, rows = textscan.words(data, offs)
-    return textscan.RangeHash(data)(starts, ends), rows
+    return textscan.word_hashes(data, starts, ends), rows
 
 
 def _paths(docs: DataFrame, width: int, seed: int) -> DataFrame:
@@ -52,14 +54,14 @@ def _paths(docs: DataFrame, width: int, seed: int) -> DataFrame:
                 if not len(has):
                     continue
                 at = np.arange(len(words) - seed + 1)
-                least = sliding_min(textscan.RangeHash(words, 1)(at, at + seed), width - seed + 1)
+                least = sliding_min(textscan.sequence_hashes(words, at, at + seed, 1), width - seed + 1)
                 windows = gather_ranges(rows[has], counts[has] - width + 1)
                 row = np.repeat(has, counts[has] - width + 1)
                 m = least[windows]
                 first = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (row[1:] != row[:-1])]))
                 n = np.diff(first, append=len(m))
                 lo = windows[first]
-                c = textscan.RangeHash(words, 2)(lo, lo + n + width - 1)
+                c = textscan.sequence_hashes(words, lo, lo + n + width - 1, 2)
                 own = row[first]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(m[first].view(np.int64)), pa.array(c.view(np.int64)), batch.column(0).take(pa.array(own + a)), pa.array((lo - rows[own]).astype(np.int32)), pa.array(n.astype(np.int32))],
@@ -70,7 +72,7 @@ def _paths(docs: DataFrame, width: int, seed: int) -> DataFrame:
 
 
 def _edges(paths: DataFrame, width: int) -> DataFrame:
-    """m, c, k, w, doc_id: the hash w of the k-th window of each path; paths: doc_id, text, paths array<struct<lo, n, m, c>>."""
+    """m, c, k, w, doc_id, at: hash and place of the k-th window of each path; paths: doc_id, text, paths array<struct<lo, n, m, c>>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,42 +84,116 @@ def _edges(paths: DataFrame, width: int) -> DataFrame:
             for a, b in textscan.row_chunks(offs):
                 words, rows = _word_hashes(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 own = slice(edge[a], edge[b])
-                first = lo[own] + np.repeat(rows[:-1], sizes[a:b])
+                begin = np.repeat(rows[:-1], sizes[a:b])
                 counts = n[own].astype(np.int64)
-                at = gather_ranges(first, counts)
+                at = gather_ranges(lo[own] + begin, counts)
                 fits = at + width <= np.repeat(np.repeat(rows[1:], sizes[a:b]), counts)  # false only where one id has several texts
-                k = gather_ranges(np.zeros(len(first), np.int64), counts)[fits]
-                at, path = at[fits], np.repeat(np.arange(len(first)), counts)[fits]
+                k = gather_ranges(np.zeros(len(begin), np.int64), counts)[fits]
+                at, path = at[fits], np.repeat(np.arange(len(begin)), counts)[fits]
                 ids = batch.column(0).take(pa.array(np.repeat(np.arange(a, b), sizes[a:b])[path]))
-                w = textscan.RangeHash(words, 3)(at, at + width)
-                yield pa.RecordBatch.from_arrays([pa.array(m[own][path]), pa.array(c[own][path]), pa.array(k.astype(np.int32)), pa.array(w.view(np.int64)), ids], names=["m", "c", "k", "w", "doc_id"])
+                w = textscan.sequence_hashes(words, at, at + width, 3)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(m[own][path]), pa.array(c[own][path]), pa.array(k.astype(np.int32)), pa.array(w.view(np.int64)), ids, pa.array((at - begin[path]).astype(np.int32))],
+                    names=["m", "c", "k", "w", "doc_id", "at"],
+                )
+
+    return paths.mapInArrow(run, "m long, c long, k int, w long, doc_id long, at int")
+
+
+_RUN = "struct<k:int,n:int,source:long,at:int>"
+
+
+def _runs(known: DataFrame) -> DataFrame:
+    """m, c, runs: the edges of each path that go on, one after another, in one source; known: m, c, edges array<struct<k, source, at>>."""
 
-    return paths.mapInArrow(run, "m long, c long, k int, w long, doc_id long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(2)
+            sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            k, source, at = (x.to_numpy(zero_copy_only=False) for x in column.flatten().flatten())
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((k, row))
+            row, k, source, at = row[order], k[order], source[order], at[order]
+            new = np.ones(len(k), bool)
+            new[1:] = (row[1:] != row[:-1]) | (k[1:] != k[:-1] + 1) | (source[1:] != source[:-1]) | (at[1:] != at[:-1] + 1)
+            first = np.flatnonzero(new)
+            n = np.diff(first, append=len(k)).astype(np.int32)
+            edges = np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=len(sizes)))])
+            items = pa.StructArray.from_arrays([pa.array(x) for x in (k[first], n, source[first], at[first])], names=["k", "n", "source", "at"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), items)], names=["m", "c", "runs"])
+
+    return known.mapInArrow(run, f"m long, c long, runs array<{_RUN}>")
 
 
 def repeats(docs: DataFrame, width: int = 50, seed: int = SEED_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, repeated array<struct<lo, n>>: the windows, n of them from word lo on, that also start in a document with a smaller id.
+    """doc_id, lo, n, source, at: the windows, n of them from word lo on, that also start in the document `source`, from its word `at` on.
 
-    Only documents with such windows have a row.  Rows with a null id count for nothing.
+    source is the smallest id in which they start, and smaller than doc_id.  Found by hashes, not yet verified.  Rows with a
+    null id count for nothing.
     """
     rows = texts(docs, id_col, text_col).filter("doc_id is not null")
     paths = save(_paths(rows, width, seed), "paths")
-    shared = paths.groupBy("m").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("first < last")
-    shared = shared.select("m", "first", (F.col("c0") != F.col("c1")).alias("branches"))
+    place = F.min(F.struct("doc_id", "lo")).alias("first")
+    shared = paths.groupBy("m").agg(place, F.max("doc_id").alias("last"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("first.doc_id < last")
+    shared = shared.select("m", F.col("first.doc_id").alias("source"), F.col("first.lo").alias("at"), (F.col("c0") != F.col("c1")).alias("branches"))
     found = save(paths.join(shared, "m"), "repeated-paths")
     forget(paths)
-    whole = found.filter("not branches and first < doc_id").select("doc_id", "lo", "n")
+    whole = found.filter("not branches and source < doc_id").select("doc_id", "lo", "n", "source", "at")
 
     # One place of each distinct path of a minimizer with several: there its edges are read from the text.
     places = found.filter("branches").groupBy("m", "c").agg(F.min(F.struct("doc_id", "lo", "n")).alias("at"))
     # (the same words in one document twice: the first place; one id with several texts: the smallest)
     wanted = places.select("at.doc_id", F.struct("at.lo", "at.n", "m", "c").alias("path")).groupBy("doc_id").agg(F.collect_list("path").alias("paths"))
     edges = save(_edges(rows.join(wanted, "doc_id").select("doc_id", "text", "paths"), width), "edges")
-    firsts = edges.groupBy("m", "w").agg(F.min("doc_id").alias("first"))
-    known = edges.join(firsts, ["m", "w"]).groupBy("m", "c").agg(F.collect_list(F.struct("k", "first")).alias("edges"))
-    branching = found.filter("branches").select("m", "c", "doc_id", "lo").join(known, ["m", "c"])
-    single = branching.select("doc_id", "lo", F.explode(F.filter("edges", lambda e: e["first"] < F.col("doc_id"))).alias("edge")).select("doc_id", (F.col("lo") + F.col("edge.k")).alias("lo"), F.lit(1).alias("n"))
-    return whole.union(single).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("repeated"))
+    firsts = edges.groupBy("m", "w").agg(F.min(F.struct("doc_id", "at")).alias("first"))
+    known = edges.select("m", "c", "k", "w").join(firsts, ["m", "w"]).groupBy("m", "c").agg(F.collect_list(F.struct("k", F.col("first.doc_id").alias("source"), F.col("first.at").alias("at"))).alias("edges"))
+    branching = found.filter("branches").select("m", "c", "doc_id", "lo").join(_runs(known), ["m", "c"])
+    parts = branching.select("doc_id", "lo", F.explode(F.filter("runs", lambda r: r["source"] < F.col("doc_id"))).alias("run"))
+    spans = whole.union(parts.select("doc_id", (F.col("lo") + F.col("run.k")).alias("lo"), "run.n", "run.source", "run.at"))
+    out = save(spans, "spans")
+    forget(found)
+    forget(edges)
+    return out
+
+
+def span_digests(data: np.ndarray, offs: np.ndarray, row: np.ndarray, lo: np.ndarray, words: np.ndarray) -> list[bytes | None]:
+    """A digest of so many words of a row from word lo on, joined by one blank; None where the row has fewer."""
+    starts, ends, rows = textscan.words(data, offs)
+    raw, starts, ends = textscan.joined(data, starts, ends)
+    first = rows[row] + lo
+    last = first + words - 1
+    fits = (last < rows[row + 1]) & (words > 0)
+    chosen = np.flatnonzero(fits)
+    out: list[bytes | None] = [None] * len(row)
+    for i, s, e in zip(chosen.tolist(), starts[first[chosen]].tolist(), ends[last[chosen]].tolist()):
+        out[i] = blake2b(raw[s:e], digest_size=16).digest()
+    return out
+
+
+def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, list[pa.Array]]:
+    """How many items each row's list has (none, if null), and the fields of all items."""
+    column = batch.column(batch.schema.get_field_index(name))
+    return column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), column.flatten().flatten()
+
+
+def proofs(docs: DataFrame, spans: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """source, at, n, proof: the digest of the source's own words for each distinct span (one for each text, if an id has several)."""
+    asked = spans.groupBy("source", "at", "n").agg(F.count("*").alias("times")).groupBy("source").agg(F.collect_list(F.struct("at", "n")).alias("asked"))
+    rows = texts(docs, id_col, text_col).join(asked, F.col("doc_id") == F.col("source")).select("source", "text", "asked")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = textscan.buffer_of(batch.column(1))
+            sizes, (at, n) = _lists(batch, "asked")
+            edge = np.concatenate([[0], np.cumsum(sizes)])
+            for a, b in textscan.row_chunks(offs):
+                own = slice(edge[a], edge[b])
+                row = np.repeat(np.arange(b - a), sizes[a:b])
+                at_, n_ = (x[own].to_numpy(zero_copy_only=False).astype(np.int64) for x in (at, n))
+                found = span_digests(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], row, at_, n_ + width - 1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(at_.astype(np.int32)), pa.array(n_.astype(np.int32)), pa.array(found, pa.binary())], names=["source", "at", "n", "proof"])
+
+    return rows.mapInArrow(run, "source long, at int, n int, proof binary").filter("proof is not null")
 
 
 def _kept(data: np.ndarray, offs: np.ndarray, row: np.ndarray, lo: np.ndarray, n: np.ndarray, width: int):
@@ -148,28 +224,32 @@ def remove_repeats(docs: DataFrame, width: int = 50, seed: int = SEED_WORDS, id_
     """All columns of the documents, and kept_text, n_words, n_removed.
 
     Words are `[^\\x20\\x09-\\x0D]+`.  A word goes if it is in a window of `width` words of its document that also
-    starts in a document with a smaller id; the windows are those of the input.  kept_text has the other words, joined by one blank.
+    starts in a document with a smaller id; the windows are those of the input.  A span goes only if its words equal those at its
+    source's place, by a digest of both.  kept_text has the other words, joined by one blank.
     One row comes out for each row that goes in.  A null text has no words; a row with a null id keeps its
-    words and takes none from others; rows that share an id are one document with the windows of all of them, so
-    plain repeats of a row lose the same words; an empty table gives an empty table.  Columns named kept_text, n_words or
+    words and takes none from others; rows that share an id are one document with the windows of all of them as a source, and each
+    loses what its own text repeats; an empty table gives an empty table.  Columns named kept_text, n_words or
     n_removed are replaced.
     """
     small_batches(docs.sparkSession)
-    marks = repeats(docs, width, seed, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("repeated").alias("__repeated"))
+    spans = repeats(docs, width, seed, id_col, text_col)
+    proved = spans.join(proofs(docs, spans, width, id_col, text_col), ["source", "at", "n"])
+    marks = proved.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("lo", "n", "proof")).alias("__repeated"))
     docs = docs.drop("kept_text", "n_words", "n_removed")
     joined = docs.join(marks, F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = textscan.buffer_of(batch.column(batch.schema.get_field_index(text_col)))
-            column = batch.column(batch.schema.get_field_index("__repeated"))
-            sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            lo, n = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in column.flatten().flatten())
+            sizes, (lo, n, proof) = _lists(batch, "__repeated")
+            lo, n = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (lo, n))
             edge = np.concatenate([[0], np.cumsum(sizes)])
             rest = [k for k, name in enumerate(batch.schema.names) if name != "__repeated"]
             for a, b in textscan.row_chunks(offs):
-                own = slice(edge[a], edge[b])
-                out, ends, words, gone = _kept(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], np.repeat(np.arange(b - a), sizes[a:b]), lo[own], n[own], width)
+                own, row = slice(edge[a], edge[b]), np.repeat(np.arange(b - a), sizes[a:b])
+                part, edges = data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
+                same = np.array([x == y for x, y in zip(span_digests(part, edges, row, lo[own], n[own] + width - 1), proof[own].to_pylist())], bool)
+                out, ends, words, gone = _kept(part, edges, row[same], lo[own][same], n[own][same], width)
                 text = pa.StringArray.from_buffers(b - a, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(out))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in rest), text, pa.array(words, pa.int64()), pa.array(gone, pa.int64())], names=[*(batch.schema.names[k] for k in rest), "kept_text", "n_words", "n_removed"])
 

@@ -1,4 +1,4 @@
-"""Vectorised scanning of text columns: word bounds, rolling hashes, pre-token bounds.
+"""Vectorised scanning of text columns: word bounds, word hashes, pre-token bounds.
 
 An Arrow string column already is one UTF-8 buffer with offsets.  Everything here works on that
 buffer with numpy, a bounded slice of rows at a time, so no Python object is made for a word.
@@ -10,6 +10,7 @@ import ctypes
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 #: Bytes of text that are scanned at once; a longer single text is scanned whole.
@@ -20,23 +21,6 @@ _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_MULTIPLIER = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; the longest table of up to a few chunks is kept."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, CHUNK_BYTES + 1024), base, np.uint64)
-        have[0] = 1
-        np.cumprod(have, out=have)
-        if len(have) <= 4 * CHUNK_BYTES:
-            _powers[base] = have
-    return have[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -44,21 +28,105 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class RangeHash:
-    """Hashes of ranges [start, end) of a sequence that don't depend on where the range stands."""
+#: Words up to so many bytes are hashed eight bytes at a time, all together; longer ones one by one.
+_SHORT = 64
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on, as one number each."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))
 
-    def __init__(self, values: np.ndarray, seed: int = 0):
-        n = len(values)
-        self.prefix = np.zeros(n + 1, np.uint64)
-        product = values.astype(np.uint64)
-        product += np.uint64(1 + seed)
-        product *= powers(_MULTIPLIER, n)
-        np.cumsum(product, out=self.prefix[1:])
-        self.inverse = powers(_INVERSE, n + 1)
 
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        raw = (self.prefix[end] - self.prefix[start]) * self.inverse[start]
-        return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each range's bytes and length.
+
+    No step is a sum or a polynomial, so no arrangement of letters makes two words collide whatever the seed; words may still
+    collide by chance or by design, so whoever reuses a word's answer compares the bytes (`distinct`).
+    """
+    from xxhash import xxh3_64_intdigest
+
+    eights, size = _eights(data), ends - starts
+    out = mix(size.astype(np.uint64) + _STEP)
+    some = np.flatnonzero(size)
+    for at in range(0, _SHORT, 8):
+        if at:
+            some = some[size[some] > at]
+        if not len(some):
+            break
+        part = eights[starts[some] + at] & _MASKS[np.minimum(size[some] - at, 8)]
+        out[some] = mix((out[some] ^ part) + _STEP)
+    long = some[size[some] > _SHORT]
+    if len(long):
+        raw = data.tobytes()
+        out[long] = [xxh3_64_intdigest(raw[s:e], 7) for s, e in zip(starts[long].tolist(), ends[long].tolist())]
+    return out
+
+
+def _equal(data: np.ndarray, starts: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether range a[i] has the same bytes as range b[i]."""
+    eights = _eights(data)
+    same = size[a] == size[b]
+    rest = np.flatnonzero(same)
+    for at in range(0, _SHORT, 8):
+        rest = rest[size[a[rest]] > at]
+        if not len(rest):
+            break
+        x, y = a[rest], b[rest]
+        differ = ((eights[starts[x] + at] ^ eights[starts[y] + at]) & _MASKS[np.minimum(size[x] - at, 8)]) != 0
+        same[rest[differ]] = False
+        rest = rest[~differ]
+    for i in rest[size[a[rest]] > _SHORT].tolist():
+        x, y, n = int(starts[a[i]]), int(starts[b[i]]), int(size[a[i]])
+        same[i] = bool((data[x + _SHORT : x + n] == data[y + _SHORT : y + n]).all())
+    return same
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each range the number of its content, in the order of first places; each content's first range and hash.
+
+    Equal numbers mean equal bytes: each range is compared with the first of its hash.
+    """
+    hashes = word_hashes(data, starts, ends)
+    codes, _ = pd.factorize(hashes)
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1)) if len(codes) else np.zeros(0, np.int64)
+    again = np.ones(len(codes), bool)
+    again[first] = False
+    again = np.flatnonzero(again)
+    other = again[~_equal(data, starts, ends - starts, again, first[codes[again]])]
+    if len(other):  # words that share a hash and differ
+        raw, known = data.tobytes(), {}
+        codes = codes.copy()
+        for i in other.tolist():
+            codes[i] = known.setdefault(raw[starts[i] : ends[i]], len(first) + len(known))
+        codes, _ = pd.factorize(codes)
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1))
+    return codes, first, hashes[first]
+
+
+def sequence_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of each range of a sequence of numbers; ranges may overlap.
+
+    Sums of mixed powers of two lengths, as in a sparse table: the hash of 2**k numbers mixes those of its halves, and a
+    range is its two covering runs of the largest such length.
+    """
+    size = ends - starts
+    out = np.zeros(len(starts), np.uint64)
+    if not len(starts):
+        return out
+    level = np.frexp(np.maximum(size, 1))[1] - 1  # 2**level is the largest power up to size
+    now = mix(values.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64)))
+    for k in range(int(level.max()) + 1):
+        own = np.flatnonzero((level == k) & (size > 0))
+        if len(own):
+            out[own] = mix(mix(now[starts[own]] + size[own].astype(np.uint64)) ^ (now[ends[own] - (1 << k)] + _STEP))
+        if len(now) <= 1 << k:
+            break
+        now = mix(mix(now[: -(1 << k)] + _STEP) ^ now[1 << k :])
+    return out
 
 
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -119,6 +187,21 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """All words with one blank behind each, and where they stand there."""
+    mask = np.zeros(len(data) + 1, np.int8)
+    np.add.at(mask, starts, 1)
+    np.add.at(mask, ends, -1)
+    size = ends - starts
+    to = np.cumsum(size + 1) - size - 1
+    out = np.full(int(size.sum() + len(size)), 0x20, np.uint8)
+    inside = np.cumsum(mask[:-1]).astype(bool)
+    blank = np.zeros(len(out), bool)
+    blank[to + size] = True
+    out[~blank] = data[inside]
+    return out.tobytes(), to, to + size
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 

@@ -1,7 +1,7 @@
 """The distinct-word shuffle: whole documents meet something known once per distinct word.
 
 A block is a run of documents of one input partition, a few MB of text.  Of each block only its distinct
-words travel, packed by word bucket, so a frequent word is one entry a block however often it occurs.
+words (told apart by their bytes) travel, packed by word bucket, so a frequent word is one entry a block however often it occurs.
 The task of a bucket sees each word of the whole corpus that falls into it, answers every block with one
 value (or list) per word, and the answers meet the block's sequence of word numbers again by block.
 
@@ -14,13 +14,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sievekit.llm import textscan
-from sievekit.llm.common import pack, unpack
+from sievekit.llm.common import pack, partitions, unpack
 
 #: Bytes of text of a block.
 BLOCK_BYTES = 8 << 20
@@ -28,33 +28,49 @@ BLOCK_BYTES = 8 << 20
 WORDS_SCHEMA = "bucket int, block long, guard long, n int, size int, words binary, counted binary"
 SPANS_SCHEMA = "block long, part int, guard long, doc_ids array<long>, lengths binary, size int, numbers binary"
 
+#: Bytes of text for each task of a shuffle, and word buckets for each task.
+TASK_BYTES, BUCKETS = 32 << 20, 8
+
+
+def sizes(rows: DataFrame) -> tuple[int, int]:
+    """Word buckets and tasks for the texts of `rows` (doc_id, text): both in proportion to their bytes, so neither a bucket nor a task grows with the corpus."""
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(partitions(rows.sparkSession), -(-total // TASK_BYTES))
+    return BUCKETS * tasks, tasks
+
+
 Scan = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
 class _Block:
-    """Hashes, places and bytes of the words of some documents."""
+    """The distinct words of some documents, by their bytes, and the numbers of all their words."""
 
     def __init__(self) -> None:
         self.bytes = 0
         self.chunks: list[tuple] = []
+        self.known: dict[bytes, int] = {}
+        self.hashes: list[np.ndarray] = []
 
-    def add(self, ids: np.ndarray, data: np.ndarray, offs: np.ndarray, scan: Scan, weight: np.ndarray | None) -> None:
+    def add(self, ids: pa.Array, data: np.ndarray, offs: np.ndarray, scan: Scan, weight: np.ndarray | None) -> None:
         data, starts, ends, rows = scan(data, offs)
-        hashes = textscan.RangeHash(data)(starts, ends)
-        self.chunks.append((ids, data, starts.astype(np.int32), ends.astype(np.int32), rows, hashes, weight))
+        codes, first, hashes = textscan.distinct(data, starts, ends)
+        raw, known, before = data.tobytes(), self.known, len(self.known)
+        own = np.fromiter((known.setdefault(raw[s:e], len(known)) for s, e in zip(starts[first].tolist(), ends[first].tolist())), np.int32, len(first))
+        new = own >= before  # these come in the order of their numbers
+        self.hashes.append(hashes[new])
+        self.chunks.append((ids, rows, own[codes], weight))
         self.bytes += len(data)
 
     def close(self, buckets: int):
-        """Word numbers of all words, the order of the distinct words by bucket, their first places."""
-        hashes = np.concatenate([c[5] for c in self.chunks]) if self.chunks else np.zeros(0, np.uint64)
-        codes, distinct = pd.factorize(hashes)
-        bucket = ((distinct >> np.uint64(17)) % np.uint64(buckets)).astype(np.int32)
-        # within a bucket by hash: the order then depends on the words alone
-        order = np.lexsort((distinct, bucket))
+        """The order of the distinct words by bucket, each word's number in it, their buckets, a sum over them."""
+        hashes = np.concatenate(self.hashes) if self.hashes else np.zeros(0, np.uint64)
+        bucket = ((hashes >> np.uint64(17)) % np.uint64(buckets)).astype(np.int32)
+        # within a bucket by hash: the order then depends on the words alone (on their first places, where words share a hash)
+        order = np.lexsort((hashes, bucket))
         number = np.empty(len(order), np.uint32)
         number[order] = np.arange(len(order), dtype=np.uint32)
-        guard = int(np.bitwise_xor.reduce(textscan.mix(distinct)).astype(np.int64)) if len(distinct) else 0
-        return codes, order, number, bucket, guard
+        guard = int(np.bitwise_xor.reduce(textscan.mix(hashes)).astype(np.int64)) if len(hashes) else 0
+        return order, number, bucket, guard
 
 
 def blocks(batches: Iterator[pa.RecordBatch], scan: Scan, weigh: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, _Block]]:
@@ -81,21 +97,11 @@ def word_rows(docs: DataFrame, scan: Scan, buckets: int, weigh: Callable | None
 
     def run(batches):
         for made, block in blocks(batches, scan, weigh):
-            codes, order, _, bucket, guard = block.close(buckets)
-            counts = np.zeros(len(order), np.int64)
-            at = 0
-            first = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1)) if len(codes) else codes
-            words: list[bytes] = []
-            for _, data, starts, ends, rows, hashes, weight in block.chunks:
-                n = len(hashes)
-                if weight is None:
-                    counts += np.bincount(codes[at : at + n], minlength=len(order))
-                else:
-                    counts += np.bincount(codes[at : at + n], np.repeat(weight, np.diff(rows)), minlength=len(order)).astype(np.int64)
-                own = first[np.searchsorted(first, at) : np.searchsorted(first, at + n)] - at
-                raw = data.tobytes()
-                words += [raw[s:e] for s, e in zip(starts[own].tolist(), ends[own].tolist())]
-                at += n
+            order, _, bucket, guard = block.close(buckets)
+            counts, words = np.zeros(len(order), np.int64), list(block.known)
+            for _, rows, numbers, weight in block.chunks:
+                each = None if weight is None else np.repeat(weight, np.diff(rows))
+                counts += np.bincount(numbers, each, len(order)).astype(np.int64)
             inside = bucket[order]
             edges = np.flatnonzero(np.diff(inside, prepend=-1, append=-1))
             out: list[tuple] = []
@@ -115,12 +121,9 @@ def span_rows(docs: DataFrame, scan: Scan, buckets: int) -> DataFrame:
 
     def run(batches):
         for made, block in blocks(batches, scan):
-            codes, _, number, _, guard = block.close(buckets)
-            at = 0
-            for k, (ids, _, _, _, rows, hashes, _) in enumerate(block.chunks):
-                n = len(hashes)
-                size, packed = pack(number[codes[at : at + n]])
-                at += n
+            _, number, _, guard = block.close(buckets)
+            for k, (ids, rows, numbers, _) in enumerate(block.chunks):
+                size, packed = pack(number[numbers])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([made], pa.int64()), pa.array([k], pa.int32()), pa.array([guard], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([np.diff(rows).astype(np.uint32).tobytes()], pa.binary()), pa.array([size], pa.int32()), pa.array([packed], pa.binary())],
                     names=["block", "part", "guard", "doc_ids", "lengths", "size", "numbers"],
@@ -140,7 +143,7 @@ def by_bucket(rows: DataFrame, n: int) -> DataFrame:
     return rows.repartition(n, "bucket").sortWithinPartitions("bucket")
 
 
-def meet(spans: DataFrame, answers: DataFrame, finish: Callable, schema: str) -> DataFrame:
+def meet(spans: DataFrame, answers: DataFrame, tasks: int, finish: Callable, schema: str) -> DataFrame:
     """finish(doc_ids, lengths, numbers, answer rows by bucket) for each chunk, where its block's answers have arrived.
 
     answers: block, bucket, guard and any more columns.
@@ -161,4 +164,5 @@ def meet(spans: DataFrame, answers: DataFrame, finish: Callable, schema: str) ->
         textscan.release()
         return pa.concat_tables(out) if out else prepared(pa.array([], pa.int64()), np.zeros(0, np.int64), np.zeros(0, np.uint32))
 
-    return spans.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    left, right = (side.repartition(tasks, "block") for side in (spans, answers))
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, schema)

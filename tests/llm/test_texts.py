@@ -310,3 +310,53 @@ def test_classifiers_on_odd_rows(spark, odd, odd_rows, none, operator):
     assert operator.classify(none, labels).count() == 0
     empty = spark.createDataFrame([], labels.schema)
     assert operator.classify(odd, empty).count() == len(odd_rows)
+
+
+def thue_morse(n, letters="ab"):
+    return "".join(letters[i.bit_count() & 1] for i in range(n))
+
+
+def test_words_that_collide_in_polynomial_hashes(spark):
+    """Complementary Thue-Morse words collide modulo 2**64 in any polynomial hash with an odd base."""
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    s, t = thue_morse(2048), thue_morse(2048, "ba")
+    shared = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"{shared} {s}"), (2, f"{shared} {t}"), (3, s), (4, t)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    with open(RANKS, "rb") as f:
+        encoder = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(f.read()), special_tokens={})
+    assert {r["doc_id"]: r["ids"] for r in bpe.encode(docs, RANKS).collect()} == {i: encoder.encode_ordinary(x) for i, x in rows}
+    whole = Tokenizer.from_file(WORD)
+    assert {(r["doc_id"], r["piece"]): r["ids_crc32"] for r in packing.pieces(docs, WORD).collect()} == {
+        (i, 0): zlib.crc32(np.array([*whole.encode(x, add_special_tokens=False).ids, 0], "<u4").tobytes()) for i, x in rows
+    }
+    out = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substring.remove_repeats(docs).collect()}
+    assert out == brute_repeats(rows, 50) and out[2] == (61, 60, t)
+    # the same arrangement of words and not of letters
+    words = [(i, " ".join(x)) for i, x in ((1, s), (2, t), (3, s[:1024] + t[:1024]))]
+    out = substring.remove_repeats(spark.createDataFrame(words, "doc_id long, text string"))
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in out.collect()} == brute_repeats(words, 50)
+
+
+def test_distinct_compares_bytes(monkeypatch):
+    """Where all words of a length share a hash, they are still told apart."""
+    monkeypatch.setattr(textscan, "word_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    random.seed(3)
+    words = ["".join(random.choice("ab") for _ in range(random.choice([1, 2, 3, 9, 70]))) for _ in range(400)]
+    data, offs = textscan.buffer_of(pa.array([" ".join(words)]))
+    starts, ends, _ = textscan.words(data, offs)
+    codes, first, _ = textscan.distinct(data, starts, ends)
+    assert [words[first[c]] for c in codes] == words and len(first) == len(set(words))
+
+
+def test_substring_needs_equal_words_at_the_source(spark, monkeypatch):
+    """Where hashes of sequences say too little, the words at the source's place decide: nothing goes that differs."""
+    plain = textscan.sequence_hashes
+    monkeypatch.setattr(textscan, "sequence_hashes", lambda values, starts, ends, seed=0: plain(values * np.uint64(0), starts, ends, seed))
+    rows = [(1, " ".join("abcdefgh")), (2, " ".join("hgfedcba")), (3, " ".join("abcdefgh"))]
+    spans = spark.createDataFrame([(2, 0, 3, 1, 0), (3, 0, 3, 1, 0)], "doc_id long, lo int, n int, source long, at int")
+    monkeypatch.setattr(substring, "repeats", lambda *a, **k: spans)
+    out = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 6, 3)
+    assert {r["doc_id"]: r["n_removed"] for r in out.collect()} == {1: 0, 2: 0, 3: 8}

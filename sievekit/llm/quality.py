@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sievekit.llm import textscan
 from sievekit.llm.common import texts
-from sievekit.llm.labelled import calibrate, fold, sample, sigmoid
+from sievekit.llm.labelled import calibrate, fold, learn, sample, sigmoid
 
 #: Hashed word features, rank of the interactions, bins of a statistic.
 WORDS, RANK, BINS = 1 << 15, 8, 8
@@ -177,7 +177,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def fit(documents: DataFrame, labels: DataFrame, folds: int = 5, per_label: int = PER_LABEL) -> Model:
     """The model of the labelled documents outside fold 0, of at most `per_label` of either label."""
     shown = labels.filter(fold("doc_id", folds) != 0).filter("quality in (0, 1)").agg(F.avg("quality")).first()[0]
-    return train(*sample(documents, labels, "quality", folds, per_label), prior=shown)
+    return learn(sample(documents, labels, "quality", folds, per_label), lambda texts_, y: train(texts_, y, prior=shown))
 
 
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5) -> DataFrame:

@@ -1,260 +1,375 @@
 """Toxicity: a support vector machine over a gap-weighted subsequence kernel, with Nystroem landmarks.
 
-The kernel of two words (Lodhi et al., 2002) sums over the letter triples they have in common, in order but not always side by
-side, each weighted by decay**span in either word; so inserted characters and gaps weaken a match and don't
-break it.  The machine sees words through their kernel with the landmarks.  A sentence is as toxic as its worst word, and a text as its worst sentence.
+The kernel of two words (Lodhi et al., 2002) sums over all subsequences of ORDER letters that they have in common, side by
+side or not, each weighted by decay**gaps in either word; so inserted characters and gaps weaken a match and don't
+break it.  No subsequence is left out, however far it reaches.  A word is its letters between two boundaries; marks
+between letters are small gaps.  The machine learns from labelled texts, of which each is as toxic as its worst word.
+It sees words through their kernel with the landmarks, and as it is linear there, the landmarks and their weights add
+up to one weight for each subsequence, which is all that scoring needs.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievekit.llm import textscan
 from sievekit.llm.common import gather_ranges, small_batches, texts
-from sievekit.llm.labelled import calibrate, fold, sample, sigmoid
-
-#: Hashed triples, decay by character, letters that a triple may reach over.
-TRIPLES, DECAY, REACH = 1 << 18, 0.7, 4
-#: The normalised kernel counts to this power: a kernel too, and words that share a few triples by chance stay apart.
-POWER = 3
-#: Landmarks from words of toxic and of clean sentences.
-TOXIC_LANDMARKS, CLEAN_LANDMARKS = 128, 64
+from sievekit.llm.labelled import calibrate, fold, learn, sample, sigmoid
+
+#: Symbols of a subsequence; decay for each letter that it leaves out, and the share of that for a mark.
+ORDER, DECAY, MARK = 4, 0.9, 0.1
+#: K(s, t) / (K(s, s) K(t, t)) ** (SHARP / 2): a kernel for any power; below 1, inserted letters cost less.
+SHARP = 0.5
+#: Symbols: the boundaries (0 and the last), and letters with the marks over them taken off; rare letters share some.
+SYMBOLS = 48
+#: A longer run of characters is read in windows of so many, each half over the one before.
+LONGEST = 32
+#: Words of toxic texts that the machine learns at most; words of clean texts among the landmarks.
+WITNESSES, CLEAN_LANDMARKS = 128, 96
 #: Values of words that a worker keeps.
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 1_000_000
 #: Labelled documents of each label that are learned from at most.
 PER_LABEL = 1500
 
 # Characters that stand for letters in disguised words.
 _DISGUISE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 
-_BOUNDARY = 2  # a letter of its own before and behind each word
 _table: np.ndarray | None = None
 
 
 def _letters() -> np.ndarray:
-    """For each code point the letter it counts as in lower case, or 0 for a mere gap."""
+    """For each code point its symbol in lower case, or 0 for a mere gap: a to z are 1 to 26, all other letters share the rest by their code."""
     global _table
     if _table is None:
-        table = np.zeros(0x110000, np.uint32)
+        table = np.zeros(0x110000, np.uint8)
         every = np.flatnonzero(textscan._class_table() == textscan.LETTER)
-        table[every] = every
-        for c in every.tolist():
-            if 0xD800 <= c < 0xE000:
-                continue
-            low = chr(c).lower()
-            table[c] = ord(low[0])
+        low = every.copy()
+        small = every[every < 0x2C00]
+        low[: len(small)] = [ord(chr(c).lower()[0]) for c in small.tolist()]
+        table[every] = np.where((low >= 97) & (low <= 122), low - 96, 27 + low % (SYMBOLS - 28))
         for c, letter in _DISGUISE.items():
-            table[ord(c)] = ord(letter)
+            table[ord(c)] = ord(letter) - 96
         _table = table
     return _table
 
 
-def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Letters (code points; 0 is a gap) of a chunk, bounds of its words in them, each row's first word, and a hash of each word.
+def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols (0 is a gap) of a chunk, bounds of its words in them, and each row's first word.
 
-    A run of words of one character each counts as one word, so spelled-out words are read as one.
+    A run of words of one character each counts as one word, so spelled-out words are read as one.  Marks before and
+    behind a word's letters don't belong to it, a word without letters is none, and a long one is several windows.
     """
     points, at = textscan.code_points(data)
     starts, ends, rows = textscan.words(data, offs)
     place = np.searchsorted(at, np.concatenate([starts, ends]))
     first, last = place[: len(starts)], place[len(starts) :]
-    single = last - first == 1
+    row = np.repeat(np.arange(len(offs) - 1), np.diff(rows))
     joint = np.zeros(len(first), bool)
-    joint[1:] = single[1:] & single[:-1]
-    edges = rows[:-1][rows[:-1] < len(first)]
-    joint[edges] = False
+    joint[1:] = (last[1:] - first[1:] == 1) & (last[:-1] - first[:-1] == 1) & (row[1:] == row[:-1])
     head = np.flatnonzero(~joint)
-    tail = np.append(head[1:], len(first)) - 1 if len(head) else head
     if len(head):
-        first, last = first[head], last[tail]
-    rows = np.searchsorted(head, rows)
-    letters = _letters()[points]
-    return letters, first, last, rows, textscan.RangeHash(letters.astype(np.uint64))(first, last)
+        first, last, row = first[head], last[np.append(head[1:], len(first)) - 1], row[head]
+    symbols = _letters()[points]
+    seen = np.flatnonzero(symbols)
+    a, b = np.searchsorted(seen, first), np.searchsorted(seen, last)
+    full = b > a
+    first, last, row = seen[a[full]], seen[b[full] - 1] + 1, row[full]
+    # windows
+    half = LONGEST // 2
+    count = np.maximum(-(-(last - first - LONGEST) // half), 0) + 1
+    if (count > 1).any():
+        turn = gather_ranges(np.zeros(len(count), np.int64), count)
+        ends_ = np.repeat(last, count)
+        first = np.repeat(first, count) + half * turn
+        last, row = np.minimum(first + LONGEST, ends_), np.repeat(row, count)
+    return symbols, first, last, np.searchsorted(row, np.arange(len(offs)))
 
 
-@dataclass
 class Words:
-    """The triples of some words: a word, a hashed triple and a value for each, equal ones of a word summed."""
-
-    n: int
-    word: np.ndarray
-    triple: np.ndarray
-    value: np.ndarray
-    norm: np.ndarray
-
-
-class Landmarks:
-    """Words that all others are compared with: a row for each triple that they have, a column for each of them."""
-
-    def __init__(self, words: list[str]):
-        marks = words_of_strings(words)
-        own, row = np.unique(marks.triple, return_inverse=True)
-        self.row = np.zeros(TRIPLES, np.int32)
-        self.row[own] = np.arange(1, len(own) + 1)
-        self.table = np.zeros((len(own) + 1, len(words)), np.float32)
-        self.table[row + 1, marks.word] = marks.value / marks.norm[marks.word]
-
-    def kernel(self, words: Words) -> np.ndarray:
-        """The normalised kernel of each word with each landmark, to the power that makes it local."""
-        out = np.zeros((words.n, self.table.shape[1]), np.float32)
-        row = self.row[words.triple]
-        shared = np.flatnonzero(row)
-        word, row, value = words.word[shared], row[shared], (words.value / words.norm[words.word])[shared].astype(np.float32)
-        edges = np.flatnonzero(np.diff(word, prepend=-1))
-        for lo in range(0, len(edges), 1 << 10):
-            first = edges[lo : lo + (1 << 10)]
-            end = edges[lo + (1 << 10)] if lo + (1 << 10) < len(edges) else len(word)
-            part = slice(first[0], end)
-            out[word[first]] = np.add.reduceat(self.table[row[part]] * value[part, None], first - first[0], axis=0)
-        return out**POWER
-
-    def values(self, strings: list[str], weights: np.ndarray) -> np.ndarray:
-        """Weighted kernel sums of many words, some at a time."""
-        parts = [self.kernel(words_of_strings(strings[lo : lo + 4096])) @ weights for lo in range(0, len(strings), 4096)]
-        return np.concatenate(parts) if parts else np.zeros(0)
-
-
-def triples(letters: np.ndarray, first: np.ndarray, last: np.ndarray) -> Words:
-    """Words with their boundaries as triples of letters; a triple's value is decay**span."""
-    n = len(first)
-    size = last - first
-    place = gather_ranges(first, size)
-    word = np.repeat(np.arange(n), size)
-    within = place - np.repeat(first, size) + 1
-    seen = letters[place] != 0
-    # the boundaries come first and last in each word's letters
-    word = np.concatenate([np.arange(n), word[seen], np.arange(n)])
-    within = np.concatenate([np.zeros(n, np.int64), within[seen], size + 1])
-    letter = np.concatenate([np.full(n, _BOUNDARY, np.uint32), letters[place][seen], np.full(n, _BOUNDARY, np.uint32)])
-    order = np.lexsort((within, word))
-    word, within, letter = word[order], within[order], letter[order].astype(np.uint64)
-    owners, hashed, values = [], [], []
-    total = len(word)
-    for j in range(1, REACH):
-        for k in range(j + 1, REACH + 1):
-            m = total - k
-            if m <= 0:
-                continue
-            same = np.flatnonzero(word[:m] == word[k:])
-            code = textscan.mix((letter[same] * np.uint64(0x110001) + letter[same + j]) * np.uint64(0x110003) + letter[same + k])
-            owners.append(word[same])
-            hashed.append((code >> np.uint64(11)).astype(np.int64) % TRIPLES)
-            values.append(DECAY ** (within[same + k] - within[same] - 2).astype(np.float64))
-    owner, code, value = (np.concatenate(x) if x else np.zeros(0) for x in (owners, hashed, values))
-    key, inverse = np.unique(owner.astype(np.int64) * TRIPLES + code.astype(np.int64), return_inverse=True)
-    value = np.bincount(inverse, value, len(key)) if len(key) else np.zeros(0)
-    owner, code = key // TRIPLES, key % TRIPLES
-    norm = np.sqrt(np.bincount(owner, value * value, n)) if len(key) else np.zeros(n)
-    return Words(n, owner, code, value, np.where(norm > 0, norm, 1))
-
-
-def words_of_strings(strings: list[str]) -> Words:
-    data, offs = textscan.buffer_of(pa.array(strings, pa.string()))
-    points, at = textscan.code_points(data)
-    edge = np.searchsorted(at, offs)
-    return triples(_letters()[points], edge[:-1], edge[1:])
+    """Some words in groups of equal numbers of symbols: symbols with both boundaries, and the gaps before each."""
+
+    def __init__(self, symbols: np.ndarray, first: np.ndarray, last: np.ndarray):
+        self.n = len(first)
+        size = last - first
+        place = gather_ranges(first, size)
+        word = np.repeat(np.arange(self.n), size)
+        real = np.flatnonzero(symbols[place])
+        letter, owner = symbols[place][real], word[real]
+        count = np.bincount(owner, minlength=self.n)
+        # marks between a letter and the one before it
+        gap = np.diff(place[real], prepend=-1) - 1
+        begin = np.cumsum(count) - count
+        gap[begin[count > 0]] = 0
+        self.groups: list[tuple[np.ndarray, np.ndarray, np.ndarray | None]] = []
+        marked = np.bincount(owner, gap, self.n) > 0
+        for key in np.unique(2 * count + marked).tolist():
+            some = np.flatnonzero((count == key // 2) & (marked == key % 2))
+            m = key // 2
+            at = begin[some][:, None] + np.arange(m)[None, :]
+            grid = np.full((len(some), m + 2), SYMBOLS - 1, np.int32)
+            grid[:, 0], grid[:, 1:-1] = 0, letter[at]
+            gaps = None
+            if key % 2:
+                gaps = np.zeros((len(some), m + 2))
+                gaps[:, 1:-1] = gap[at] * MARK
+            self.groups.append((some, grid, gaps))
+
+
+def words_of(keys: list[bytes]) -> Words:
+    """Words given by their symbols."""
+    size = np.fromiter(map(len, keys), np.int64, len(keys))
+    ends = np.cumsum(size)
+    return Words(np.frombuffer(b"".join(keys), np.uint8), ends - size, ends)
+
+
+def symbols_of(word: str) -> bytes:
+    return _letters()[[ord(c) for c in word]].tobytes()
+
+
+_choices: dict[int, tuple[np.ndarray, ...]] = {}
+
+
+def _subsequences(n: int) -> tuple[np.ndarray, ...]:
+    """All ORDER places of n as two pairs (numbers of pairs), the pairs, and the places of the first and the last."""
+    if n not in _choices:
+        pairs = np.array(list(itertools.combinations(range(n), 2)), np.int32).reshape(-1, 2)
+        number = np.zeros((n, n), np.int32)
+        number[pairs[:, 0], pairs[:, 1]] = np.arange(len(pairs))
+        four = np.fromiter(itertools.chain.from_iterable(itertools.combinations(range(n), ORDER)), np.int32).reshape(-1, ORDER)
+        _choices[n] = number[four[:, 0], four[:, 1]], number[four[:, 2], four[:, 3]], pairs, four[:, 0], four[:, 3]
+    return _choices[n]
+
+
+def _positions(grid: np.ndarray, gaps: np.ndarray | None) -> np.ndarray:
+    """Where each symbol stands, in steps of a letter."""
+    n = grid.shape[1]
+    return np.arange(n, dtype=np.float64)[None, :] if gaps is None else np.arange(n) + np.cumsum(gaps, axis=1)
+
+
+def _decays(where: np.ndarray) -> np.ndarray:
+    """DECAY to the number of letters between two places, for places in order (the first index is the later one)."""
+    return np.tril(DECAY ** np.maximum(where[..., :, None] - where[..., None, :] - 1, 0), -1).astype(np.float32)
+
+
+def subsequences(grid: np.ndarray, gaps: np.ndarray | None, size: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Codes (in base `size`) and weights, words x subsequences, of all subsequences of words of one length, some words at a time."""
+    n = grid.shape[1]
+    if n < ORDER:
+        return
+    one, two, pairs, first, last = _subsequences(n)
+    where = _positions(grid, gaps)
+    step = max(1, (1 << 20) // len(one))
+    for lo in range(0, len(grid), step):
+        some = slice(lo, lo + step)
+        pair = grid[some][:, pairs[:, 0]] * size + grid[some][:, pairs[:, 1]]
+        code = np.take(pair, one, axis=1)
+        code *= size**2
+        code += np.take(pair, two, axis=1)
+        at = where if gaps is None else where[some]
+        yield some, code, DECAY ** (at[:, last] - at[:, first] - (ORDER - 1))
+
+
+def self_kernel(grid: np.ndarray, gaps: np.ndarray | None) -> np.ndarray:
+    """K(s, s) of words of one length, summed over pairs of places step by step.
+
+    After each step a cell holds the weights of all common subsequences of so many symbols that end at its two places:
+    ORDER - 1 times, what ends before both places is carried there, with its decay, by a product from either side.
+    """
+    n = grid.shape[1]
+    out = np.zeros(len(grid))
+    step = max(1, (1 << 18) // (n * n))
+    for lo in range(0, len(grid), step):
+        some = slice(lo, lo + step)
+        equal = (grid[some][:, :, None] == grid[some][:, None, :]).astype(np.float32)
+        decay = _decays(_positions(grid[some], None if gaps is None else gaps[some]))
+        now = equal
+        for _ in range(ORDER - 1):
+            now = equal * np.matmul(np.matmul(decay, now), decay.transpose(0, 2, 1))
+        out[some] = now.sum(axis=(1, 2), dtype=np.float64)
+    return out
+
+
+def values(words: Words, table: np.ndarray, small: np.ndarray) -> np.ndarray:
+    """Sum over each word's subsequences of decay times weight, over the word's norm to the power SHARP.
+
+    small: a number below size for each symbol, the last for those of no landmark; table: weights by the numbers of ORDER symbols.
+    """
+    out = np.zeros(words.n)
+    size = int(small.max()) + 1
+    for some, grid, gaps in words.groups:
+        if grid.shape[1] < ORDER:
+            continue
+        for part, code, decay in subsequences(small[grid], gaps, size):
+            got = np.take(table, code)
+            out[some[part]] = (got * decay).sum(axis=1) if gaps is not None else got @ decay[0].astype(table.dtype)
+        out[some] /= self_kernel(grid, gaps) ** (SHARP / 2)
+    return out
+
+
+def _cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """K of all words of one length with all words of another, none with marks: each step is two products of matrices."""
+    n, m = a.shape[1], b.shape[1]
+    out = np.empty((len(a), len(b)))
+    one, two = (_decays(np.arange(k, dtype=np.float64)) for k in (n, m))
+    step = max(1, (1 << 20) // (n * m * len(b)))
+    for lo in range(0, len(a), step):
+        equal = (a[lo : lo + step].T[:, :, None, None] == b[None, None]).astype(np.float32)  # n, words, others, m
+        now = equal
+        for _ in range(ORDER - 1):
+            now = equal * ((one @ now.reshape(n, -1)).reshape(-1, m) @ two.T).reshape(equal.shape)
+        out[lo : lo + step] = now.sum(axis=(0, 3))
+    return out
+
+
+def norms(words: Words) -> np.ndarray:
+    """K of each word with itself to the power SHARP / 2; 1 for a word without a subsequence."""
+    out = np.ones(words.n)
+    for some, grid, gaps in words.groups:
+        if grid.shape[1] >= ORDER:
+            out[some] = self_kernel(grid, gaps) ** (SHARP / 2)
+    return out
+
+
+def kernel(words: Words, others: Words) -> np.ndarray:
+    """The kernel of each word with each of the others; none has marks."""
+    out = np.zeros((words.n, others.n))
+    for own, grid, _ in words.groups:
+        for other, marks, _ in others.groups:
+            if min(grid.shape[1], marks.shape[1]) >= ORDER:
+                out[np.ix_(own, other)] = _cross(grid, marks)
+    return out / norms(words)[:, None] / norms(others)[None, :]
+
+
+def collapsed(words: Words, amounts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of subsequences and their weights: the sum of the words' own, each word times its amount."""
+    codes, weights = [np.zeros(0, np.int64)], [np.zeros(0)]
+    norm = norms(words)
+    for some, grid, gaps in words.groups:
+        if grid.shape[1] < ORDER:
+            continue
+        for part, code, decay in subsequences(grid, gaps, SYMBOLS):
+            codes.append(code.ravel().astype(np.int64))
+            weights.append((decay * (amounts / norm)[some[part]][:, None]).ravel())
+    keys, row = np.unique(np.concatenate(codes), return_inverse=True)
+    return keys, np.bincount(row, np.concatenate(weights), len(keys))
 
 
 class Known:
-    """Values of words seen, by hash: two sorted arrays of 16 bytes a word, and a small dict of the latest."""
+    """Values of words seen, by their symbols; forgotten all at once when there are too many."""
 
     def __init__(self) -> None:
-        self.keys, self.values, self.latest = np.zeros(0, np.uint64), np.zeros(0), {}
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """Values; nan for words that are new."""
-        out = np.full(len(keys), np.nan)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            hit = self.keys[at] == keys
-            out[hit] = self.values[at[hit]]
-        rest = np.flatnonzero(np.isnan(out))
-        out[rest] = [self.latest.get(k, np.nan) for k in keys[rest].tolist()]
-        return out
+        self.values: dict[bytes, float] = {}
 
-    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.latest.update(zip(keys.tolist(), values.tolist()))
-        if len(self.latest) > 100_000:
-            kept = len(self.keys) + len(self.latest) <= CACHE_WORDS
-            keys = np.concatenate([self.keys[:0] if not kept else self.keys, np.fromiter(self.latest.keys(), np.uint64, len(self.latest))])
-            values = np.concatenate([self.values[:0] if not kept else self.values, np.fromiter(self.latest.values(), np.float64, len(self.latest))])
-            order = np.argsort(keys)
-            self.keys, self.values, self.latest = keys[order], values[order], {}
+    def get(self, keys: list[bytes], compute) -> np.ndarray:
+        """The value of each key; compute(numbers of new keys) gives those that are new."""
+        out = np.array([self.values.get(k, np.nan) for k in keys])
+        new = np.flatnonzero(np.isnan(out))
+        if len(new):
+            out[new] = compute(new)
+            if len(self.values) + len(new) > CACHE_WORDS:
+                self.values.clear()
+            self.values.update((keys[i], v) for i, v in zip(new.tolist(), out[new].tolist()))
+        return out
 
 
 @dataclass
 class Model:
-    """The landmarks and their weights, the machine's offset, and the calibration of a text's worst word."""
+    """The weight of each subsequence that has one, the machine's offset, and the calibration of a text's worst word."""
 
-    landmarks: Landmarks
+    codes: np.ndarray
     weights: np.ndarray
     offset: float
     slope: float
     intercept: float
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "ready"}  # each worker makes its own
+
+    def _prepared(self) -> tuple[np.ndarray, np.ndarray, Known]:
+        """The weights as a table over the symbols that they use, the numbers of these, and the values of words seen."""
+        if "ready" not in self.__dict__:
+            digits = [self.codes // SYMBOLS**k % SYMBOLS for k in range(ORDER - 1, -1, -1)]
+            used = np.unique(np.concatenate(digits))
+            small = np.full(SYMBOLS, len(used), np.int32)
+            small[used] = np.arange(len(used))
+            table = np.zeros((len(used) + 1) ** ORDER, np.float32)
+            code = np.zeros(len(self.codes), np.int64)
+            for d in digits:
+                code = code * (len(used) + 1) + small[d]
+            table[code] = self.weights
+            self.ready = table, small, Known()
+        return self.ready
+
+    def decide(self, words: Words) -> np.ndarray:
+        """The machine's value of each word."""
+        table, small, _ = self._prepared()
+        return values(words, table, small) + self.offset
+
     def worst(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """The decision value of the worst word of each row; of a row without words, the value of nothing at all."""
-        letters, first, last, rows, hashes = _tokens(data, offs)
+        symbols, first, last, rows = _tokens(data, offs)
         out = np.full(len(offs) - 1, self.offset)
         if not len(first):
             return out
-        value = self._values(letters, first, last, hashes) + self.offset
+        codes, own, _ = textscan.distinct(symbols, first, last)
+        raw = symbols.tobytes()
+        keys = [raw[s:e] for s, e in zip(first[own].tolist(), last[own].tolist())]
+        known = self._prepared()[2]
+        value = known.get(keys, lambda new: self.decide(Words(symbols, first[own[new]], last[own[new]])))
         full = np.flatnonzero(np.diff(rows))
-        out[full] = np.maximum.reduceat(value, rows[:-1][full])
+        out[full] = np.maximum.reduceat(value[codes], rows[:-1][full])
         return out
 
-    def _values(self, letters: np.ndarray, first: np.ndarray, last: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """The weighted kernel sum of each word; a word that came before is looked up."""
-        known = self.__dict__.setdefault("known", Known())
-        codes, distinct = pd.factorize(hashes)
-        one = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1))
-        out = known.get(distinct)
-        new = np.flatnonzero(np.isnan(out))
-        for lo in range(0, len(new), 1 << 14):
-            some = new[lo : lo + (1 << 14)]
-            out[some] = self.landmarks.kernel(triples(letters, first[one[some]], last[one[some]])) @ self.weights
-        known.add(distinct[new], out[new])
-        return out[codes]
-
     def score(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         return sigmoid(self.slope * self.worst(data, offs) + self.intercept)
 
 
-def _strings(texts_: list[str]) -> list[list[str]]:
-    """The distinct words of each text as strings of letters, \\x00 for a gap; equal words are one object."""
-    out, one = [], {}
-    for text in texts_:
-        data, offs = textscan.buffer_of(pa.array([text], pa.string()))
-        letters, first, last, _, _ = _tokens(data, offs)
-        low = letters.astype("<u4").tobytes().decode("utf-32-le")
-        out.append([one.setdefault(w, w) for w in {low[s:e].strip("\x00") for s, e in zip(first.tolist(), last.tolist())} - {""}])
-    return out
+def _chunks(texts_: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    data, offs = textscan.buffer_of(pa.array(texts_, pa.large_string()))
+    for a, b in textscan.row_chunks(offs):
+        yield a, b, data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
+
+
+def _bags(texts_: list[str]) -> tuple[list[bytes], list[np.ndarray]]:
+    """All distinct words by their symbols, and the numbers of each text's distinct words."""
+    known: dict[bytes, int] = {}
+    bags = []
+    for a, b, data, offs in _chunks(texts_):
+        symbols, first, last, rows = _tokens(data, offs)
+        codes, own, _ = textscan.distinct(symbols, first, last)
+        raw = symbols.tobytes()
+        number = np.array([known.setdefault(raw[s:e], len(known)) for s, e in zip(first[own].tolist(), last[own].tolist())], np.int64)
+        bags += [np.unique(number[codes[rows[i] : rows[i + 1]]]) for i in range(b - a)]
+    return list(known), bags
 
 
 def _diverse(texts_: list[str]) -> list[int]:
-    """Texts of which no earlier one is a near copy: copies would make any of their words look like evidence."""
+    """Texts of which no earlier one is a near copy, by six minhashes of their runs of three words: copies would make any of their words look like evidence."""
     seen: set[tuple] = set()
     kept = []
-    for i, text in enumerate(texts_):
-        data, offs = textscan.buffer_of(pa.array([text], pa.string()))
-        first, last, _ = textscan.words(data, offs)
-        whole = textscan.RangeHash(data)(first, last[np.minimum(np.arange(len(first)) + 2, len(first) - 1)]) if len(first) else first.astype(np.uint64)
-        keys = {(k, int(textscan.mix(whole ^ np.uint64(k * 0x9E37 + 1)).min())) for k in range(6)} if len(whole) else {(-1, 0)}
-        if len(keys & seen) < min(3, len(keys)):
-            kept.append(i)
-            seen |= keys
+    for a, b, data, offs in _chunks(texts_):
+        starts, ends, rows = textscan.words(data, offs)
+        hashes = textscan.word_hashes(data, starts, ends)
+        at = np.arange(len(hashes))
+        runs = textscan.sequence_hashes(hashes, at, np.minimum(at + 3, np.repeat(rows[1:], np.diff(rows))))
+        for i in range(b - a):
+            own = runs[rows[i] : rows[i + 1]]
+            keys = {(k, int(textscan.mix(own ^ np.uint64(k * 0x9E37 + 1)).min())) for k in range(6)} if len(own) else {(-1, 0)}
+            if len(keys & seen) < min(3, len(keys)):
+                kept.append(a + i)
+                seen |= keys
     return kept
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 60, seed: int = 5) -> tuple[np.ndarray, float]:
+def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 40, seed: int = 5) -> tuple[np.ndarray, float]:
     """A linear support vector machine by dual coordinate descent (Hsieh et al., 2008); the last column is the offset."""
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     square, alpha, w = (x * x).sum(axis=1), np.zeros(len(x)), np.zeros(x.shape[1])
@@ -273,90 +388,118 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 60, seed:
     return w[:-1], float(w[-1])
 
 
-def train(sentences: list[str], y: np.ndarray, rounds: int = 3, negatives: int = 3000) -> Model:
+
+def _suspects(bags: list[np.ndarray], y: np.ndarray, words: int, most: int) -> list[int]:
+    """Words whose presence tells toxic texts from clean ones, best first, by boosting over the labelled texts.
+
+    Each round adds the word that lowers the loss most, and texts that it explains lose weight (Cohen and Singer, 1999).
+    Words that chance alone could put into so many toxic texts (Chernoff's bound, over all words) are left out.
+    """
+    owner = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    word = np.concatenate(bags) if bags else np.zeros(0, np.int64)
+    toxic = y > 0
+    bad = toxic[owner]
+    odds = toxic.mean()
+    held, hits = np.bincount(word, minlength=words), np.bincount(word[bad], minlength=words)
+    share = np.clip(hits / np.maximum(held, 1), 1e-9, 1 - 1e-9)
+    chance = held * (share * np.log(share / odds) + (1 - share) * np.log((1 - share) / (1 - odds)))
+    fits = (share > odds) & (chance > np.log(50 * words))
+    weight = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
+    smooth = 0.25 / toxic.sum()
+    order = np.argsort(word, kind="stable")
+    edges = np.searchsorted(word[order], np.arange(words + 1))
+    out: list[int] = []
+    while len(out) < most:
+        plus, minus = np.bincount(word[bad], weight[owner[bad]], words), np.bincount(word[~bad], weight[owner[~bad]], words)
+        gain = np.where(fits, np.sqrt(plus) - np.sqrt(minus), -1)
+        gain[out] = -1
+        best = int(gain.argmax())
+        if gain[best] <= 0:
+            break
+        out.append(best)
+        held_by = owner[order[edges[best] : edges[best + 1]]]
+        vote = 0.5 * np.log((plus[best] + smooth) / (minus[best] + smooth))
+        weight[held_by] *= np.exp(np.where(toxic[held_by], -vote, vote))
+    return out
+
+
+def disguises(key: bytes, random: np.random.Generator) -> list[bytes]:
+    """Forms of a word with letters doubled and letters put in: examples that come from the label's own."""
+
+    def put(times: int) -> bytes:
+        out = key
+        for _ in range(times):
+            at = int(random.integers(1, max(len(out), 2)))
+            out = out[:at] + bytes([int(random.integers(1, 27))]) + out[at:]
+        return out
+
+    between = lambda: bytes(itertools.chain.from_iterable((c, int(random.integers(1, 27))) for c in key[:-1])) + key[-1:]
+    return [bytes(c for c in key for _ in range(2)), put(1), put(1), put(2), put(2), put(2), between(), between()]
+
+
+def train(sentences: list[str], y: np.ndarray, rounds: int = 2, negatives: int = 3000, seed: int = 11) -> Model:
     """Learn from labelled texts.
 
-    Which word makes a toxic text toxic is not labelled.  Witnesses are first the words that clean texts lack, found
-    greedily so that few of them account for all toxic texts; then, round by round, the worst words that the machine finds,
-    against the worst words that it finds in clean texts.
+    Which word makes a toxic text toxic is not labelled (multiple instances; Andrews et al., 2003).  Boosting over the texts names
+    suspects; then, round by round, each toxic text is an example by its worst word, with disguised forms of it as
+    further examples, and each clean text by its worst words.  Of labelled texts that are near copies of each
+    other one is learned from.
     """
     kept = _diverse(sentences)
     sentences, y = [sentences[i] for i in kept], y[kept]
-    words = _strings(sentences)
-    toxic, clean = [w for w, t in zip(words, y) if t > 0], [w for w, t in zip(words, y) if t == 0]
-    if not toxic or not clean:
-        return Model(Landmarks([]), np.zeros(0), 0.0, 0.0, -20.0 if not toxic else 20.0)
-    in_clean = Counter(w for text in clean for w in text)
-    in_toxic = Counter(w for text in toxic for w in text)
-    share = {w: c / (c + in_clean[w] * len(toxic) / len(clean) + 0.5) for w, c in in_toxic.items() if c > 1 and len(w) > 1}
-    # so many toxic texts must hold a word that, of all words as frequent, less than 0.02 would be in toxic texts alone by chance
-    totals = np.sort(np.fromiter((in_toxic[w] + in_clean[w] for w in in_toxic.keys() | in_clean.keys()), np.int64))
-    odds = len(toxic) / (len(toxic) + len(clean))
-    least = next((c for c in range(2, 60) if (len(totals) - np.searchsorted(totals, c)) * odds**c < 0.02), 60)
-    holders: dict[str, list[int]] = {}
-    for i, text in enumerate(toxic):
-        for w in text:
-            if share.get(w, 0) > 0.93 and in_toxic[w] >= least:
-                holders.setdefault(w, []).append(i)
-    witnesses, open_ = [], set(range(len(toxic)))
-    gain = Counter({w: len(h) for w, h in holders.items()})
-    while open_ and gain and len(witnesses) < TOXIC_LANDMARKS:
-        w, c = max(gain.items(), key=lambda x: (x[1], x[0]))
-        if c < 2:
-            break
-        witnesses.append(w)
-        new = [i for i in holders[w] if i in open_]
-        open_.difference_update(new)
-        for i in new:
-            for other in toxic[i]:
-                if other in gain:
-                    gain[other] -= 1
-        del gain[w]
-    # then whatever else toxic texts have in common and clean ones lack
-    rest = sorted((w for w in holders if w not in witnesses), key=lambda w: (-in_toxic[w], w))
-    witnesses += rest[: TOXIC_LANDMARKS - len(witnesses)]
-    if not witnesses:
-        witnesses = sorted(in_toxic, key=lambda w: (-share.get(w, 0) * in_toxic[w], w))[:TOXIC_LANDMARKS]
-    common = sorted(in_clean, key=lambda w: (-in_clean[w], w))
-    random = np.random.default_rng(11)
-    pool = sorted(in_clean)
-    picked = [pool[i] for i in random.choice(len(pool), min(negatives, len(pool)), replace=False).tolist()]
-    landmarks = list(dict.fromkeys([*witnesses, *common[: CLEAN_LANDMARKS // 2], *picked[: CLEAN_LANDMARKS // 2]]))
-    marks = Landmarks(landmarks)
-    kernel = marks.kernel(words_of_strings(landmarks)).astype(np.float64)
-    values, vectors = np.linalg.eigh((kernel + kernel.T) / 2)
-    keep = values > 1e-6 * values[-1]
-    half = vectors[:, keep] / np.sqrt(values[keep])  # landmark kernels times this are the Nystroem features
-
-    positive = {w: float(in_toxic[w]) for w in witnesses}
-    negative = list(dict.fromkeys([*common[: negatives // 2], *picked[: negatives // 2]]))
-    all_clean = pool
-    model = None
+    words, bags = _bags(sentences)
+    if not (y > 0).any() or not (y == 0).any():
+        return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, 0.0, -20.0 if not (y > 0).any() else 20.0)
+    toxic, clean = [b for b, t in zip(bags, y) if t > 0], [b for b, t in zip(bags, y) if t == 0]
+    random = np.random.default_rng(seed)
+    suspects = _suspects(bags, y, len(words), WITNESSES)
+    pool = np.unique(np.concatenate(clean))
+    if not suspects:
+        held = np.bincount(np.concatenate(toxic), minlength=len(words)).astype(float)
+        held[pool] = 0
+        suspects = np.argsort(-held, kind="stable")[:WITNESSES][: int((held > 0).sum())].tolist() or np.unique(np.concatenate(toxic))[:WITNESSES].tolist()
+    common = pool[np.argsort(-np.bincount(np.concatenate(clean), minlength=len(words))[pool], kind="stable")]
+    negative = np.unique(np.concatenate([common[: negatives // 4], random.choice(pool, min(negatives // 4, len(pool)), replace=False)]))
+    held = np.bincount(np.concatenate(toxic), minlength=len(words))
+    named = {w: int(held[w]) for w in suspects}
+    bare = [b for b in toxic if len(b) and not named.keys() & set(b.tolist())]  # toxic texts without a suspect
+    found: Counter = Counter()
+    extra: list[int] = []
+    plain = lambda key: key.replace(b"\0", b"")  # noqa: E731  # without marks
+    everything = words_of([words[i] for i in pool])
     for turn in range(rounds):
-        some = [*positive, *negative]
-        x = marks.kernel(words_of_strings(some)) @ half
-        label = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-        weight = np.concatenate([np.fromiter(positive.values(), np.float64, len(positive)) ** 0.5, np.ones(len(negative))])
-        weight[: len(positive)] *= len(negative) / weight[: len(positive)].sum()
-        w, offset = _svm(x, label, 10 * weight)
-        collapsed = half @ w
+        counts = named | found
+        bare_words = [plain(words[w]) for w in counts]
+        marked = [disguises(w, random) for w in bare_words]
+        plus = [*bare_words, *itertools.chain.from_iterable(marked)]
+        own = np.array(list(counts.values()), np.float64) ** 0.5
+        weight = np.concatenate([own, np.repeat(own / 4, [len(m) for m in marked])])
+        minus = [plain(words[i]) for i in negative.tolist()]
+        some = [*dict.fromkeys([*plus, *(plain(words[i]) for i in [*extra, *common[: CLEAN_LANDMARKS // 2].tolist()])])]
+        marks = words_of(some)
+        gram = kernel(marks, marks)
+        eigen, vectors = np.linalg.eigh((gram + gram.T) / 2)
+        keep = eigen > 1e-6 * eigen[-1]
+        half = vectors[:, keep] / np.sqrt(eigen[keep])  # landmark kernels times this are the Nystroem features
+        x = kernel(words_of([*plus, *minus]), marks) @ half
+        label = np.concatenate([np.ones(len(plus)), -np.ones(len(minus))])
+        cost = np.concatenate([weight * len(minus) / weight.sum(), np.ones(len(minus))])
+        w, offset = _svm(x, label, 10 * cost)
+        model = Model(*collapsed(marks, half @ w), offset, 1.0, 0.0)
         if turn + 1 < rounds:
-            value = marks.values(all_clean, collapsed) + offset
-            worst = [all_clean[i] for i in np.argsort(-value, kind="stable")[:negatives].tolist() if value[i] > -1]
-            negative = list(dict.fromkeys([*negative, *worst]))
-            # toxic texts without a witness so far: their worst word that is rare in clean texts
-            for text in toxic:
-                own = [t for t in text if not in_clean[t]]
-                if own and not any(t in positive for t in text):
-                    value = marks.values(own, collapsed) + offset
-                    if value.max() > -0.5:
-                        best = own[int(value.argmax())]
-                        positive[best] = positive.get(best, 0) + 1
-        model = Model(marks, collapsed, offset, 1.0, 0.0)
-    data, offs = textscan.buffer_of(pa.array(sentences, pa.string()))
-    raw = np.concatenate([model.worst(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]) for a, b in textscan.row_chunks(offs)])
+            value = np.full(len(words), -np.inf)
+            value[pool] = model.decide(everything)
+            hard = pool[np.argsort(-value[pool], kind="stable")[: negatives // 2]]
+            hard = np.unique(np.concatenate([hard, [int(b[value[b].argmax()]) for b in clean if len(b)]]))
+            negative = np.unique(np.concatenate([negative, hard[value[hard] > -1.2]]))
+            extra = [*extra, *[i for i in hard[np.argsort(-value[hard], kind="stable")].tolist() if i not in extra][:CLEAN_LANDMARKS]]
+            found = Counter()
+            for b in bare:  # their worst word, if the machine takes it for one
+                got = model.decide(words_of([words[i] for i in b.tolist()]))
+                if got.max() > 0 and value[b[got.argmax()]] == -np.inf:
+                    found[int(b[got.argmax()])] += 1
+    raw = np.concatenate([model.worst(data, offs) for _, _, data, offs in _chunks(sentences)])
     model.slope, model.intercept = calibrate(raw, y)
-    model.__dict__.pop("known", None)  # each worker fills its own
     return model
 
 
@@ -394,8 +537,8 @@ def keep(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str =
 
 
 def fit(documents: DataFrame, labels: DataFrame, folds: int = 5, per_label: int = PER_LABEL) -> Model:
-    """The model of the labelled documents outside fold 0, of at most `per_label` of either label."""
-    return train(*sample(documents, labels, "toxic", folds, per_label))
+    """The model of the labelled documents outside fold 0, of at most `per_label` of either label; one task learns it."""
+    return learn(sample(documents, labels, "toxic", folds, per_label), train)
 
 
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, folds: int = 5) -> DataFrame:

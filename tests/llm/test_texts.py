@@ -360,3 +360,79 @@ def test_substring_needs_equal_words_at_the_source(spark, monkeypatch):
     monkeypatch.setattr(substring, "repeats", lambda *a, **k: spans)
     out = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 6, 3)
     assert {r["doc_id"]: r["n_removed"] for r in out.collect()} == {1: 0, 2: 0, 3: 8}
+
+
+def brute_kernel(s, t):
+    """The gap-weighted subsequence kernel straight from its sum; a word is [(symbol, place)]."""
+    import itertools
+
+    def phi(word):
+        out = collections.defaultdict(float)
+        for some in itertools.combinations(word, toxicity.ORDER):
+            out[tuple(c for c, _ in some)] += toxicity.DECAY ** (some[-1][1] - some[0][1] - (toxicity.ORDER - 1))
+        return out
+
+    a, b = phi(s), phi(t)
+    return sum(v * b[u] for u, v in a.items() if u in b)
+
+
+def placed(key):
+    out, at = [(-1, 0.0)], 0.0
+    for i, c in enumerate(key):
+        at += 1 if c else toxicity.MARK
+        if c:
+            out.append((c, at))
+    return [*out, (-2, at + 1)]
+
+
+def test_subsequence_kernel_matches_brute_force():
+    words = ["idiot", "ixdiot", "i-d--iot", "iddiioott", "id", "a", "moron", "inundation", "tiod", "xxidiotxx"]
+    keys = [toxicity.symbols_of(w) for w in words]
+    group = toxicity.words_of(keys)
+    own = np.array([brute_kernel(placed(k), placed(k)) for k in keys])
+    for some, grid, gaps in group.groups:
+        assert toxicity.self_kernel(grid, gaps) == pytest.approx(own[some], rel=1e-4)
+    norm = np.where(own > 0, own, 1) ** (toxicity.SHARP / 2)
+    expected = np.array([[brute_kernel(placed(a), placed(b)) for b in keys] for a in keys]) / norm[:, None] / norm[None, :]
+    bare = [i for i, w in enumerate(words) if "-" not in w]
+    marks = toxicity.words_of([keys[i] for i in bare])
+    assert toxicity.kernel(marks, marks) == pytest.approx(expected[np.ix_(bare, bare)], rel=1e-4, abs=1e-5)
+    # the landmarks add up to one weight for each subsequence, marks between letters included
+    amounts = np.linspace(-1, 2, len(bare))
+    model = toxicity.Model(*toxicity.collapsed(marks, amounts), 0.25, 1.0, 0.0)
+    assert model.decide(group) == pytest.approx(expected[:, bare] @ amounts + 0.25, rel=1e-3, abs=1e-4)
+
+
+def test_toxicity_reads_whole_long_words():
+    """An insult stands anywhere in a run of characters longer than one window."""
+    texts, y = labelled()
+    model = toxicity.train(texts, y)
+    for at in range(0, 60, 7):
+        key = "-" * at + "idiot" + "-" * (90 - at) + "x"
+        data, offs = textscan.buffer_of(pa.array([key]))
+        symbols, first, last, rows = toxicity._tokens(data, offs)
+        assert rows.tolist() == [0, len(first)] and any((symbols[a:b] > 0).sum() >= 5 for a, b in zip(first, last))
+    assert (model.worst(*textscan.buffer_of(pa.array(["", "...", "idiot " * 20000]))) >= model.offset).all()
+
+
+def test_toxicity_tolerates_letters_put_in():
+    """Held out of training: letters put in, doubled, or apart by marks, against words of clean texts."""
+    texts, y = labelled(400)
+    model = toxicity.train(texts, y)
+    score = lambda t: float(model.score(*textscan.buffer_of(pa.array([t])))[0])
+    forms = [f for w in ("idiot", "moron") for f in ("--".join(w), "-".join(w), w[:2] + "q" + w[2:], w[:3] + "z" + w[3:], "".join(c * 2 for c in w), w + w[-1] * 2, w.upper() + "!!")]
+    assert sum(score(f"bakan rimi {f} lovenst") > 0.5 for f in forms) >= 0.9 * len(forms)
+    assert sum(score(t) > 0.5 for t, bad in zip(*labelled(60)) if not bad) == 0
+
+
+def test_factorisation_machine_matches_brute_force():
+    """The linear-time identity against the sum over all pairs."""
+    texts, _ = labelled(12)
+    model = quality.train(texts, np.array([1.0, 0.0] * 6), rounds=2)
+    row, feature, value = model.rows(*textscan.buffer_of(pa.array(texts)))
+    got = model.raw(row, feature, value)
+    for i in range(len(texts)):
+        f, x = feature[row == i], value[row == i]
+        assert len(set(f.tolist())) == len(f)
+        pairs = sum(float(model.v[f[a]].astype(float) @ model.v[f[b]].astype(float)) * x[a] * x[b] for a in range(len(f)) for b in range(a))
+        assert got[i] == pytest.approx(model.w0 + float(model.w[f] @ x) + pairs, rel=1e-4, abs=1e-5)

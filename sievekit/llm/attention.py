@@ -82,43 +82,53 @@ _CAUSAL = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 _LIMIT = 20.0
 
 
-def _attend(w: dict[str, np.ndarray], slots: np.ndarray):
-    """Inputs, queries, keys, values, attention (rows sum to one) and outputs of windows of slots."""
-    x = w["embed"][slots]
-    q = x @ w["query"] + w["at_query"]
-    k = x @ w["key"] + w["at_key"]
-    v = x @ w["value"]
-    a = np.matmul(q, k.transpose(0, 2, 1)) * np.float32(WIDTH**-0.5)
-    np.clip(a, -_LIMIT, _LIMIT, out=a)
-    np.exp(a, out=a)
-    a *= _CAUSAL
-    a /= a.sum(axis=2, keepdims=True)
-    return x, q, k, v, a, x + np.matmul(a, v)
+_ONES = np.ones((max(WINDOW, CLASSES), 1), np.float32)
+_SCALE = np.float32(WIDTH**-0.5)
 
 
 def step(w: dict[str, np.ndarray], state: dict[str, np.ndarray], slots: np.ndarray, classes: np.ndarray, mask: np.ndarray, rate: float) -> float:
-    """One AdaGrad step on a batch of windows; the mean loss before it."""
-    x, q, k, v, a, h = _attend(w, slots)
-    z = h @ w["out"] + w["bias"]
-    z -= z.max(axis=2, keepdims=True)
-    p = np.exp(z)
-    p /= p.sum(axis=2, keepdims=True)
-    own = np.take_along_axis(p, classes[:, :, None], 2)[:, :, 0]
-    n = max(float(mask.sum()), 1.0)
-    loss = -float((np.log(own + 1e-12) * mask).sum()) / n
-    dz = p
-    np.put_along_axis(dz, classes[:, :, None], (own - 1)[:, :, None], 2)
-    dz *= (mask / n)[:, :, None].astype(np.float32)
-    g = {"out": np.tensordot(h, dz, ([0, 1], [0, 1])), "bias": dz.sum(axis=(0, 1))}
-    dh = dz @ w["out"].T
-    da = np.matmul(dh, v.transpose(0, 2, 1))
-    dv = np.matmul(a.transpose(0, 2, 1), dh)
-    ds = a * (da - (a * da).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
-    dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
+    """One AdaGrad step on a batch of windows; the mean loss before it.
+
+    Sums over short rows are products with ones, and what queries, keys and values share is one product.
+    """
+    many = slots.shape[0]
+    three = np.concatenate([w["query"], w["key"], w["value"]], axis=1)
+    x = np.take(w["embed"], slots, axis=0)
+    each = x @ three
+    q, k, v = each[:, :, :WIDTH] + w["at_query"], each[:, :, WIDTH : 2 * WIDTH] + w["at_key"], each[:, :, 2 * WIDTH :]
+    a = np.matmul(q, k.transpose(0, 2, 1))
+    a *= _SCALE
+    np.clip(a, -_LIMIT, _LIMIT, out=a)
+    np.exp(a, out=a)
+    a *= _CAUSAL
+    a /= a @ _ONES[:WINDOW]
+    mixed = np.matmul(a, v)
+    h = x + mixed
+    z = h.reshape(-1, WIDTH) @ w["out"]
+    z += w["bias"]
+    np.clip(z, -60, 60, out=z)
+    np.exp(z, out=z)
+    z /= z @ _ONES[:CLASSES]
+    flat_mask = mask.ravel().astype(np.float32)
+    n = max(float(flat_mask.sum()), 1.0)
+    at = np.arange(len(z)) * CLASSES + classes.ravel()
+    loss = -float(np.log(np.take(z, at) + 1e-12) @ flat_mask) / n
+    z.ravel()[at] -= 1
+    z *= (flat_mask / np.float32(n))[:, None]
+    g = {"out": h.reshape(-1, WIDTH).T @ z, "bias": z.sum(axis=0)}
+    dh = (z @ w["out"].T).reshape(many, WINDOW, WIDTH)
+    ds = np.matmul(dh, v.transpose(0, 2, 1))
+    ds -= (dh * mixed) @ _ONES[:WIDTH]  # a row's attention times its gradient sums to this
+    ds *= a
+    ds *= _SCALE
+    dq, dk, dv = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dh)
     g["at_query"], g["at_key"] = dq.sum(axis=0), dk.sum(axis=0)
-    g["query"], g["key"], g["value"] = (np.tensordot(x, d, ([0, 1], [0, 1])) for d in (dq, dk, dv))
-    dx = (dh + dq @ w["query"].T + dk @ w["key"].T + dv @ w["value"].T).reshape(-1, WIDTH)
-    g["embed"] = np.stack([np.bincount(slots.ravel(), dx[:, j], len(w["embed"])) for j in range(WIDTH)], axis=1).astype(np.float32)
+    back = np.concatenate([dq, dk, dv], axis=2).reshape(-1, 3 * WIDTH)
+    g["query"], g["key"], g["value"] = np.split(x.reshape(-1, WIDTH).T @ back, 3, axis=1)
+    dx = back @ three.T
+    dx += dh.reshape(-1, WIDTH)
+    cell = slots.reshape(-1, 1) * WIDTH + np.arange(WIDTH, dtype=slots.dtype)
+    g["embed"] = np.bincount(cell.ravel(), dx.ravel(), w["embed"].size).reshape(-1, WIDTH).astype(np.float32)
     for name, d in g.items():
         state[name] += d * d
         w[name] -= (rate * d / np.sqrt(state[name])).astype(np.float32)

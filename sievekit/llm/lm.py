@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,12 @@ from sievekit.llm.bpe import load_ranks
 from sievekit.llm.common import forget, gather_ranges, pack, save, texts, unpack
 from sievekit.llm.labelled import fold
 
-#: Documents from which the first weights come; all training documents train the weights further.
-FIRST_DOCUMENTS = 300
+#: Ids of a shard of training texts: one goes through the first rounds, each then trains on its own.
+SHARD_IDS = 1 << 21
+#: Rounds over the first shard, at most, until it has given SHARD_IDS ids.
+FIRST_ROUNDS = 6
+#: Steps of a weight when weights are averaged: sums of whole numbers don't depend on their order.
+_STEP = 1 << 24
 #: Weight of the word counts in the mixture.
 COUNTS_WEIGHT = 0.25
 
@@ -49,16 +54,6 @@ class Subwords:
             found = self.known[word] = np.array(self.one_piece(b" " + word), np.int32)
         return found
 
-    def text(self, raw: bytes, starts: list[int], ends: list[int]) -> np.ndarray:
-        return np.concatenate([*(self.ids(raw[s:e]) for s, e in zip(starts, ends)), np.array([self.size], np.int32)])
-
-    def texts(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all rows, each with the end's, and how many each row has."""
-        data, starts, ends, rows = _scan(data, offs)
-        raw = data.tobytes()
-        out = [self.text(raw, starts[a:b].tolist(), ends[a:b].tolist()) for a, b in zip(rows[:-1], rows[1:])]
-        return (np.concatenate(out) if out else np.zeros(0, np.int32)), np.array([len(x) for x in out], np.int64)
-
 
 _made: dict[int, Subwords] = {}
 
@@ -157,97 +152,207 @@ def _summed(answers: DataFrame, kind: int, size: int, slots=None) -> np.ndarray:
     return _added(answers.filter(F.col("kind") == kind).select("n", "size", "reply").mapInArrow(run, "key long, n long"), size)
 
 
-def _id_rows(docs: DataFrame, content) -> DataFrame:
-    """Subword ids of all texts, a row for each chunk of texts: how many there are, their lengths and their ids."""
+def _word_ids(spans: DataFrame, answers: DataFrame, tasks: int) -> DataFrame:
+    """doc_id, n, size, packed: for each text its n words' training counts, how many ids each has, and these ids."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords = _subwords(content.value)
-        for batch in batches:
-            data, offs = textscan.buffer_of(batch.column(1))
-            for lo, hi in textscan.row_chunks(offs):
-                ids, lengths = subwords.texts(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                size, packed = pack(lengths, ids)
-                yield pa.RecordBatch.from_arrays([pa.array([hi - lo], pa.int32()), pa.array([size], pa.int32()), pa.array([packed], pa.binary())], names=["n", "size", "ids"])
-        textscan.release()
+    def finish(replies: pa.Table):
+        counts, lengths, flat_ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
+        for n, size, reply in zip(*(replies.column(c).to_pylist() for c in ("n", "size", "reply"))):
+            raw = unpack(size, reply)
+            counts.append(np.frombuffer(raw, np.int64, n))
+            lengths.append(np.frombuffer(raw, np.uint32, n, 8 * n))
+            flat_ids.append(np.frombuffer(raw, np.uint32, -1, 12 * n))
+        count, length, flat = np.concatenate(counts), np.concatenate(lengths).astype(np.int64), np.concatenate(flat_ids)
+        start = np.cumsum(length) - length
+
+        def chunk(doc_ids: pa.Array, n_words: np.ndarray, numbers: np.ndarray) -> pa.Table:
+            edge = np.concatenate([[0], np.cumsum(n_words)])
+            sizes, packed = [], []
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                some = numbers[a:b]
+                own = length[some]
+                size, raw = pack(count[some], own.astype(np.int32), flat[gather_ranges(start[some], own)])
+                sizes.append(size)
+                packed.append(raw)
+            return pa.table({"doc_id": doc_ids, "n": pa.array(n_words.astype(np.int32)), "size": pa.array(sizes, pa.int32()), "packed": pa.array(packed, pa.binary())})
 
-    return docs.mapInArrow(run, "n int, size int, ids binary")
+        return chunk
+
+    return wordblocks.meet(spans, answers, tasks, finish, "doc_id long, n int, size int, packed binary")
+
+
+def _opened(batches: Iterator[pa.RecordBatch], end: int, least: int = 1 << 16) -> Iterator[tuple]:
+    """Some texts together: doc_id, and for all their words in a row the counts (-1 for an end), their numbers of ids, the ids, and each text's words.
 
+    Every text has an end behind its last word, which is one id.
+    """
+    held: list[tuple] = []
+    total = 0
+
+    def flush():
+        ids = [i for i, *_ in held]
+        return ids, *(np.concatenate([h[k] for h in held]) for k in (1, 2, 3)), np.array([len(h[1]) for h in held], np.int64)
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and lengths of each row of _id_rows."""
     for batch in batches:
-        for k in range(batch.num_rows):
-            n, size, packed = (batch.column(c)[k].as_py() for c in ("n", "size", "ids"))
+        for i, n, size, packed in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "size", "packed"))):
             raw = unpack(size, packed)
-            yield np.frombuffer(raw, np.int32, -1, 8 * n), np.frombuffer(raw, np.int64, n)
+            count = np.append(np.frombuffer(raw, np.int64, n), -1)
+            lengths = np.append(np.frombuffer(raw, np.int32, n, 8 * n), 1).astype(np.int64)
+            own = np.append(np.frombuffer(raw, np.uint32, -1, 12 * n), end).astype(np.int64)
+            held.append((i, count, lengths, own))
+            total += len(own)
+            if total >= least:
+                yield flush()
+                held, total = [], 0
+    if held:
+        yield flush()
+
+
+def _per_text(lengths: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Ids of each text."""
+    return np.add.reduceat(lengths, np.cumsum(words) - words)
 
 
-def _classes(id_rows: DataFrame, by_id: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _classes(rows: DataFrame, by_id: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Class and slot of each id by its neighbours in all texts."""
     top, most = attention.chosen(by_id)
     tokens, size = len(by_id) - 1, len(top) * 2 * len(most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
-        for ids, _ in _chunks(batches):
+        for _, _, _, ids, _ in _opened(batches, tokens, 1 << 18):
             total += attention.neighbours(ids, tokens, top, most).ravel()
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["key", "n"])
 
-    context = _added(id_rows.mapInArrow(run, "key long, n long"), size).reshape(len(top), 2 * len(most))
+    context = _added(rows.mapInArrow(run, "key long, n long"), size).reshape(len(top), 2 * len(most))
     return attention.classes(by_id, top, context, begins)
 
 
-def _further(id_rows: DataFrame, model, rate: float) -> np.ndarray:
-    """The weights after one round over all texts: every task trains on its own, and the results are averaged by their ids."""
-    shared = id_rows.sparkSession.sparkContext.broadcast(model)
+def _train(rows: DataFrame, model, tasks: int, rate: float, first: bool) -> np.ndarray:
+    """The weights after training on all rows: each shard goes on from the model's by itself, and the results are averaged by their ids.
+
+    A shard's rows come in the order of their hashes, ids and texts, whatever the partitions; the average adds whole
+    numbers; so the weights are the same however the table is cut.  first: more rounds, as for a first shard.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(model)
     slots = len(model.weights["embed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from copy import deepcopy
 
-        own, state, ids, lengths, seen = None, None, [], [], 0
-
-        def learn():
-            nonlocal own, state, ids, lengths, seen
-            own = own or deepcopy(shared.value)
-            state = state or attention.start_state(own.weights)
-            some = np.concatenate(ids)
-            attention.train(own, some, np.concatenate(lengths), 1, rate, state=state)
-            seen += len(some)
-            ids, lengths = [], []
-
-        for i, n in _chunks(batches):
-            ids.append(i)
-            lengths.append(n)
-            if sum(map(len, ids)) > 1 << 20:
-                learn()
-        if ids:
-            learn()
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([attention.flat(own.weights).astype(np.float64).tolist()], pa.list_(pa.float64()))], names=["n", "weights"])
-
-    each = id_rows.mapInArrow(run, "n long, weights array<double>").select("n", F.posexplode("weights").alias("k", "w"))
-    # sums by weight, so what comes to the driver has the size of one model
-    rows = each.groupBy("k").agg((F.sum(F.col("n") * F.col("w")) / F.sum("n")).alias("w")).collect()
-    if not rows:
+        sums, total = None, 0
+
+        def shard_rows():
+            """The rows of a shard after those of another."""
+            now, held = None, []
+            for batch in batches:
+                column = batch.column(batch.schema.get_field_index("shard")).to_numpy()
+                edges = np.flatnonzero(np.diff(column, prepend=-1, append=-1)).tolist()
+                for lo, hi in zip(edges[:-1], edges[1:]):
+                    if column[lo] != now and held:
+                        yield held
+                        held = []
+                    now = column[lo]
+                    held.append(batch.slice(lo, hi - lo))
+            if held:
+                yield held
+
+        for held in shard_rows():
+            own = deepcopy(shared.value)
+            state = attention.start_state(own.weights)
+            size = sum(r for batch in held for r in batch.column(batch.schema.get_field_index("ids")).to_pylist())
+            seen = 0
+            for _ in range(min(FIRST_ROUNDS, -(-SHARD_IDS // max(size, 1))) if first else 1):
+                for _, _, lengths, ids, words in _opened(iter(held), own.end, 1 << 18):
+                    attention.train(own, ids, _per_text(lengths, words), 1, rate, state=state)
+                    seen += len(ids)
+            flat = np.rint(attention.flat(own.weights).astype(np.float64) * _STEP).astype(np.int64)
+            seen = max(seen >> 10, 1)
+            sums, total = flat * seen + (0 if sums is None else sums), total + seen
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([sums.tolist()], pa.list_(pa.int64()))], names=["n", "sums"])
+
+    ordered = rows.repartition(tasks, "shard").sortWithinPartitions("shard", "h", "doc_id", "packed")
+    each = ordered.mapInArrow(run, "n long, sums array<long>")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, total = None, 0
+        for batch in batches:
+            for n, own in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums, total = own.values.to_numpy() + (0 if sums is None else sums), total + n
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([sums.tolist()], pa.list_(pa.int64()))], names=["n", "sums"])
+
+    # a few rows of the size of one model each come to the driver, however many tasks there were
+    found = each.repartition(8).mapInArrow(add, "n long, sums array<long>").collect()
+    if not found:
         return attention.flat(model.weights)
-    out = np.zeros(len(rows))
-    for r in rows:
-        out[r["k"]] = r["w"]
+    out = sum(np.array(r["sums"], np.float64) for r in found) / sum(r["n"] for r in found) / _STEP
     assert len(out) == attention.flat(attention.start_weights(slots)).size
     return out
 
 
-def score_texts(docs: DataFrame, ranks_path: str, folds: int = 7, aside: int = 2, first_documents: int = FIRST_DOCUMENTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+@dataclass
+class Fitted:
+    """The attention model and the corpus's counts."""
+
+    model: attention.Model
+    total: int  # tokens learned from
+    known: int  # distinct ones
+    ends: int  # texts learned from
+
+    def scores(self, counts: np.ndarray, lengths: np.ndarray, ids: np.ndarray, words: np.ndarray) -> dict[str, np.ndarray]:
+        """Of each text, given all texts' words in a row as _opened gives them."""
+        n, is_end = len(words), counts < 0
+        c = np.where(is_end, self.ends, counts)
+        row = np.repeat(np.arange(n), words)
+        first = np.cumsum(lengths) - lengths
+        logp, begins = attention.log_probabilities(self.model, ids, _per_text(lengths, words))
+        word = np.add.reduceat(logp, first) - begins[first]
+        word += np.where(is_end, 0, begins[np.append(first[1:], 0)])
+        with np.errstate(divide="ignore"):
+            counted = np.log(COUNTS_WEIGHT) + np.log(c) - float(np.log(max(self.total, 1)))
+        mixed = np.logaddexp(counted, np.log(1 - COUNTS_WEIGHT) + word)
+        return {
+            "n_tokens": words,
+            "n_known": np.bincount(row, c > 0, n).astype(np.int64),
+            "base_score": np.bincount(row, np.log10((c + 1) / (self.total + self.known + 1)), n),
+            "score": np.bincount(row, mixed, n) / np.log(10),
+        }
+
+
+def fit(answers: DataFrame, learned: DataFrame, subwords: Subwords, ends: int, tasks: int) -> Fitted:
+    """Counts, classes and weights from all rows of `learned` (as _word_ids gives them)."""
+    spark = learned.sparkSession
+    words, distinct = (int(x) for x in answers.filter("kind = 1").agg(F.coalesce(F.sum("block"), F.lit(0)), F.coalesce(F.sum("guard"), F.lit(0))).first())
+    by_id = _summed(answers, 1, subwords.size + 1)
+    by_id[subwords.size] = ends
+    group, slot = _classes(learned, by_id, subwords.begins)
+    pairs = _summed(answers, 2, attention.SLOTS**2, spark.sparkContext.broadcast(slot))
+    smooth = by_id + 0.5
+    within = smooth / np.bincount(group, smooth, attention.CLASSES)[group]
+    model = attention.Model(slot, group, within, pairs.reshape(attention.SLOTS, -1).astype(np.float32), attention.start_weights(attention.SLOTS + 2))
+    shards = max(1, -(-int(by_id.sum()) // SHARD_IDS))
+    hashed = F.xxhash64("doc_id")
+    # ids of a row, from the size of what is packed: 8 + 4 bytes a word, 4 an id
+    dealt = learned.withColumn("h", hashed).withColumn("shard", F.pmod(hashed, F.lit(shards)).cast("int")).withColumn("ids", ((F.col("size") - 12 * F.col("n")) / 4).cast("long") + 1)
+    if ends:
+        for part, first, rate in ((dealt.filter("shard = 0"), True, 0.2), (dealt, False, 0.1)):
+            model.weights = attention.unflat(_train(part, model, 1 if first else max(tasks, min(shards, 4 * tasks)), rate, first), attention.SLOTS + 2)
+    return Fitted(model, words + ends, distinct + (ends > 0), ends)
+
+
+def score_texts(docs: DataFrame, ranks_path: str, folds: int = 7, aside: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row.
 
     Tokens are the words of the text, lower-cased in A-Z, and an end.  base_score is the sum of log10((c + 1) / (N + V + 1)) with
     the counts of all rows whose id's CRC-32 modulo `folds` is not `aside`.  score is the model's log10 probability: each
     word has COUNTS_WEIGHT times its share of the training tokens, and the rest times the product of its subword ids'
     probabilities by attention, up to and with the word's end.
-    Word counts and subword counts cover all training rows, by the distinct-word shuffle; so do the classes and slots of ids.  The attention weights start from
-    `first_documents` training rows and then go once over every training row.
+    Word counts, subword counts, and the classes and slots of ids cover all training rows, by one distinct-word shuffle that also
+    gives every text's ids.  The attention weights learn from every training row: from one shard of texts first, then from each shard
+    by itself, averaged.  Shards are dealt by ids, so the scores don't depend on partitions.
     One row comes out for each row that goes in; a row with a null id is scored and not learned from; a null or empty text is
     the end alone; repeated rows count each; other columns are ignored; an empty table gives an empty table.
     """
@@ -257,81 +362,21 @@ def score_texts(docs: DataFrame, ranks_path: str, folds: int = 7, aside: int = 2
     rows = texts(docs, id_col, text_col)
     buckets, tasks = wordblocks.sizes(rows)
     subwords = _subwords(content.value)
-    learned = rows.filter(fold("doc_id", folds) != aside)
-
-    ends = learned.count()
-    # Those with the smallest hashes.  The cut leaves about four times as many in all, so that tasks send a few each, however many there are.
-    cut = -(2**63) + (2**64 - 1) * min(4 * first_documents, max(ends, 1)) // max(ends, 1)
-    hashed = learned.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("h")).filter(F.col("h") <= cut)
-    some = [r["text"] for r in hashed.orderBy("h").limit(first_documents).collect()]
-    data, offs = textscan.buffer_of(pa.array(some, pa.string()))
-    ids, lengths = subwords.texts(data, offs)
-
+    ends = rows.filter(fold("doc_id", folds) != aside).count()
     answers = save(_answers(rows, content, buckets, tasks, folds, aside), "word-counts")
-    words, distinct = (int(x) for x in answers.filter("kind = 1").agg(F.coalesce(F.sum("block"), F.lit(0)), F.coalesce(F.sum("guard"), F.lit(0))).first())
-    by_id = _summed(answers, 1, subwords.size + 1)
-    by_id[subwords.size] = ends
-    id_rows = save(_id_rows(learned, content), "ids")
-    group, slot = _classes(id_rows, by_id, subwords.begins)
-    pairs = _summed(answers, 2, attention.SLOTS**2, spark.sparkContext.broadcast(slot))
-    total, known = words + ends, distinct + (ends > 0)
-
-    smooth = by_id + 0.5
-    within = smooth / np.bincount(group, smooth, attention.CLASSES)[group]
-    model = attention.Model(slot, group, within, pairs.reshape(attention.SLOTS, -1).astype(np.float32), attention.start_weights(attention.SLOTS + 2))
-    if len(ids):
-        attention.train(model, ids, lengths, 6, 0.2)
-        model.weights = attention.unflat(_further(id_rows, model, 0.1), attention.SLOTS + 2)
-    forget(id_rows)
-    shared = spark.sparkContext.broadcast(model)
-    most = float(np.log(max(total, 1)))
-    end_count = ends
+    found = save(_word_ids(wordblocks.span_rows(rows, _scan, buckets), answers.filter("kind = 0").drop("kind"), tasks), "word-ids")
+    fitted = fit(answers, found.filter(fold("doc_id", folds) != aside), subwords, ends, tasks)
+    forget(answers)
+    shared = spark.sparkContext.broadcast(fitted)
 
-    def finish(replies: pa.Table):
-        counts, lengths, flat_ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
-        for n, size, reply in zip(*(replies.column(c).to_pylist() for c in ("n", "size", "reply"))):
-            raw = unpack(size, reply)
-            counts.append(np.frombuffer(raw, np.int64, n))
-            lengths.append(np.frombuffer(raw, np.uint32, n, 8 * n))
-            flat_ids.append(np.frombuffer(raw, np.uint32, -1, 12 * n))
-        count, length, flat = np.concatenate(counts), np.concatenate(lengths).astype(np.int64), np.concatenate(flat_ids).astype(np.int64)
-        start = np.cumsum(length) - length
-
-        def chunk(doc_ids: pa.Array, n_words: np.ndarray, numbers: np.ndarray) -> pa.Table:
-            model, n = shared.value, len(n_words)
-            # words of all texts with an end behind each text's last
-            place = np.arange(len(numbers)) + np.repeat(np.arange(n), n_words)
-            tokens = np.full(len(numbers) + n, -1, np.int64)
-            tokens[place] = numbers
-            is_end = tokens < 0
-            c = np.where(is_end, end_count, count[tokens] if len(count) else 0)
-            size = np.where(is_end, 1, length[tokens] if len(length) else 1)
-            ids = np.full(int(size.sum()), model.end, np.int64)
-            first = np.cumsum(size) - size
-            real = ~is_end
-            ids[gather_ranges(first[real], size[real])] = flat[gather_ranges(start[numbers], length[numbers])]
-            row = np.repeat(np.arange(n), n_words + 1)
-            per_row = np.bincount(row, size, n).astype(np.int64)
-            logp, begins = attention.log_probabilities(model, ids, per_row) if n else (np.zeros(0), np.zeros(0))
-            word = (np.add.reduceat(logp, first) if len(first) else logp) - begins[first]
-            after = np.append(first[1:], 0) if len(first) else first
-            word += np.where(is_end, 0, begins[after])
-            with np.errstate(divide="ignore"):
-                counted = np.log(COUNTS_WEIGHT) + np.log(c) - most
-            mixed = np.logaddexp(counted, np.log(1 - COUNTS_WEIGHT) + word)
-            out = {
-                "n_tokens": n_words + 1,
-                "n_known": np.bincount(row, c > 0, n).astype(np.int64),
-                "base_score": np.bincount(row, np.log10((c + 1) / (total + known + 1)), n),
-                "score": np.bincount(row, mixed, n) / np.log(10),
-            }
-            return pa.table({"doc_id": doc_ids, **{k: pa.array(v) for k, v in out.items()}})
-
-        return chunk
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, counts, lengths, flat, words in _opened(batches, shared.value.model.end):
+            out = shared.value.scores(counts, lengths, flat, words)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, out.values())], names=["doc_id", *out])
+        textscan.release()
 
-    spans = wordblocks.span_rows(rows, _scan, buckets)
-    out = wordblocks.meet(spans, answers.filter("kind = 0").drop("kind"), tasks, finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    return out.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    out = found.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(fitted.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def classify(documents: DataFrame, ranks_path: str, folds: int = 7, aside: int = 2) -> DataFrame:

@@ -82,6 +82,20 @@ def test_secrets_checksums():
     assert [[secrets.ORDER[k] for _, k, _ in row] for row in secrets.find(data, offs)] == [["github"], []]
 
 
+def test_secrets_in_long_runs():
+    """Candidates one behind another are read once each, not once from each hit."""
+    import time
+
+    for text in ("eyJ" * 350_000, "eyJa." * 200_000, "-----BEGIN " * 90_000, "token " * 150_000, "AKIA" * 250_000, "password" + " " * 1_000_000):
+        began = time.time()
+        data, offs = textscan.buffer_of(pa.array([text]))
+        secrets.find(data, offs)
+        assert time.time() - began < 10
+    header = "eyJhbGciOiJub25lIn0"
+    data, offs = textscan.buffer_of(pa.array([f"eyJeyJ eyJx {header}.payload.sig", f"{header}.a.b eyJ.eyJ"]))
+    assert [[secrets.ORDER[k] for _, k, _ in row] for row in secrets.find(data, offs)] == [["jwt"], ["jwt"]]
+
+
 def test_secrets_odd_rows(spark, odd, odd_rows, none):
     assert secrets.scan(odd).count() == len(odd_rows) and secrets.scan(none).count() == 0
     out = secrets.redact(spark.createDataFrame([(1, "a password=abcdefgh b"), (2, None)], "doc_id long, text string"))
@@ -207,44 +221,114 @@ def test_language_model_base_scores(odd, odd_rows, none):
     assert lm.classify(none, MULTI).count() == 0
 
 
+def language_texts(n=40, seed=1):
+    words = "the of and river stone cloud window paper garden quiet letter morning unseenword".split()
+    return {i: " ".join(random.Random(i + seed).choices(words, k=30 + i)) for i in range(n)}
+
+
 def test_language_model_trains_on_every_learning_row(spark):
     """Another order of the words of any learning row, which no count of words shows, changes the scores."""
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     learn = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2][:12]
-    words = "the of and river stone cloud window paper garden quiet letter morning".split()
-    rows = {i: " ".join(random.Random(i).choices(words, k=60)) for i in [held, *learn]}
-    hashes = {r["i"]: r["h"] for r in spark.createDataFrame([(i,) for i in learn], "i long").select("i", F.xxhash64("i").alias("h")).collect()}
-    other = [i for i in sorted(learn, key=hashes.get)[2:] if hashes[i] % 16]
+    rows = {i: t for i, t in language_texts(100).items() if i in (held, *learn)}
 
     def score(texts):
-        docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string").coalesce(1)
-        return next(r["score"] for r in lm.score_texts(docs, MULTI, first_documents=2).collect() if r["doc_id"] == held)
+        docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+        return next(r["score"] for r in lm.score_texts(docs, MULTI).collect() if r["doc_id"] == held)
 
     plain = score(rows)
-    assert score(rows) == plain
-    for i in other[:2]:
+    for i in learn[:2]:
         assert score(rows | {i: " ".join(sorted(rows[i].split()))}) != plain
 
 
+def test_language_model_is_the_same_however_the_table_is_cut(spark, monkeypatch):
+    """Several shards, over 1 and 5 partitions in other orders: the same scores, but for the order in which single-precision products are summed."""
+    monkeypatch.setattr(lm, "SHARD_IDS", 600)
+    rows = [*language_texts(40).items(), (7, "the river again"), (None, "no id"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: (r[0] is None, *(str(x) for x in r[:4]))
+    one, other = (sorted((tuple(r) for r in lm.score_texts(d, MULTI).collect()), key=key) for d in (docs.coalesce(1), docs.orderBy(F.desc("doc_id")).repartition(5)))
+    assert [r[:5] for r in one] == [r[:5] for r in other]
+    assert [r[5] for r in one] == pytest.approx([r[5] for r in other], rel=1e-7)
+
+
+def fitted_model(spark, rows, monkeypatch):
+    """What score_texts fits, and the words of the scored texts."""
+    caught = {}
+    plain = lm.fit
+    monkeypatch.setattr(lm, "fit", lambda *a: caught.setdefault("fitted", plain(*a)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["score"] for r in lm.score_texts(docs, MULTI).collect()}
+    return caught["fitted"], out
+
+
+def brute_log_probability(fitted, subwords, words, counts):
+    """log10 of a text's probability, word by word and id by id, from the weights."""
+    m, w = fitted.model, fitted.model.weights
+    ids = [i for word in words for i in subwords.ids(word).tolist()] + [m.end]
+    slots = [int(m.slot[m.end]), *(int(m.slot[i]) for i in ids[:-1])]
+    window, context = attention.WINDOW, attention.CONTEXT
+    chances, starts = [], []
+    for t, i in enumerate(ids):
+        begin = 0
+        while t >= begin + window:
+            begin += window - context
+        while begin and t < begin + context:
+            begin -= window - context
+        seen = slots[begin : t + 1]
+        x = w["embed"][seen].astype(float)
+        at = len(seen) - 1
+        q = x[-1] @ w["query"] + w["at_query"][at]
+        keys = x @ w["key"] + w["at_key"][: at + 1]
+        a = np.exp(np.clip(keys @ q * attention.WIDTH**-0.5, -attention._LIMIT, attention._LIMIT))
+        h = x[-1] + (a / a.sum()) @ (x @ w["value"])
+        z = np.exp(np.clip(h @ w["out"] + w["bias"], -60, 60))
+        share = float(m.share(np.array([slots[t]]), np.array([i]))[0])
+        chances.append(math.log(z[m.group[i]] / z.sum() * share))
+        starts.append(math.log(z[: attention.STARTS].sum() / z.sum()))
+    total, at = 0.0, 0
+    for word in [*words, None]:
+        n = len(subwords.ids(word)) if word is not None else 1
+        p = sum(chances[at : at + n]) - starts[at] + (starts[at + n] if word is not None else 0)
+        c = counts[word] if word is not None else fitted.ends
+        total += math.log10(lm.COUNTS_WEIGHT * c / fitted.total + (1 - lm.COUNTS_WEIGHT) * math.exp(p))
+        at += n
+    return total
+
+
+def test_language_model_scores_match_brute_force(spark, monkeypatch):
+    texts = language_texts(30)
+    fitted, got = fitted_model(spark, sorted(texts.items()), monkeypatch)
+    counts = collections.Counter(w.encode() for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in t.split())
+    subwords = lm.Subwords(open(MULTI, "rb").read())
+    for i, t in texts.items():
+        words = [w.encode() for w in t.split()]
+        assert got[i] == pytest.approx(brute_log_probability(fitted, subwords, words, counts), rel=1e-3)
+
+
 def test_language_model_knows_ids_of_all_learning_rows(spark):
-    """Two words as frequent as each other, which the first documents lack, are told apart by their neighbours."""
+    """Two words as frequent as each other are told apart by their neighbours, and classes are those of all texts at once."""
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
     learn = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2][:30]
-    first = [r["i"] for r in spark.createDataFrame([(i,) for i in learn], "i long").orderBy(F.xxhash64("i")).limit(2).collect()]
-    texts = {i: "the house and the road " * 10 if i in first else "the house and the road " * 4 + "of stone " * 6 + "to paper " * 6 for i in learn}
+    texts = {i: "the house and the road " * 4 + "of stone " * 6 + "to paper " * 6 for i in learn}
     texts |= {held[0]: "of stone " * 5, held[1]: "of paper " * 5}
     subwords = lm.Subwords(open(MULTI, "rb").read())
     assert len(subwords.ids(b"stone")) == len(subwords.ids(b"paper")) == 1
     docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
-    got = {r["doc_id"]: r["score"] for r in lm.score_texts(docs, MULTI, first_documents=2).collect()}
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(docs, MULTI).collect()}
     assert abs(got[held[0]] - got[held[1]]) > 0.01
 
-    ids, _ = subwords.texts(*textscan.buffer_of(pa.array([texts[i] for i in learn])))
-    with open(MULTI, "rb") as f:
-        content = spark.sparkContext.broadcast(f.read())
-    rows = lm._id_rows(docs.filter(F.col("doc_id").isin(learn)).repartition(3), content)
+    per_text = [np.array([*(x for w in texts[i].split() for x in subwords.ids(w.encode()).tolist()), subwords.size]) for i in learn]
+    ids = np.concatenate(per_text)
+    packed = []
+    for i, own in zip(learn, per_text):
+        n = len(texts[i].split())
+        lengths = [len(subwords.ids(w.encode())) for w in texts[i].split()]
+        size, raw = lm.pack(np.ones(n, np.int64), np.array(lengths, np.int32), own[:-1].astype(np.uint32))
+        packed.append((i, n, size, bytearray(raw)))
+    rows = spark.createDataFrame(packed, "doc_id long, n int, size int, packed binary")
     by_id = np.bincount(ids, minlength=subwords.size + 1)
-    for ours, brute in zip(lm._classes(rows, by_id, subwords.begins), attention.cluster(ids, subwords.size, subwords.begins)):
+    for ours, brute in zip(lm._classes(rows.repartition(3), by_id, subwords.begins), attention.cluster(ids, subwords.size, subwords.begins)):
         assert (ours == brute).all()
 
 

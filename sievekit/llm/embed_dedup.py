@@ -14,6 +14,8 @@ from sievekit.llm.vectors import blocked, matrix, usable
 #: Vectors of a block; two blocks are compared by one task.
 BLOCK = 2048
 _SLAB = 256
+#: Standard deviations to which bounds are trusted: a link at the threshold itself is missed with a chance near 1e-9, others less.
+SIGMAS = 6.0
 
 
 def rotation(dimensions: int, seed: int = 7) -> np.ndarray:
@@ -36,15 +38,37 @@ class Codes:
         return (np.unpackbits(packed, axis=1, count=d).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(d))
 
 
-def estimate(turned: np.ndarray, signs: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unbiased estimates of the inner products of turned unit vectors with coded ones, and certain upper bounds.
+def estimate(raw: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    """Unbiased estimates of <q, o> from raw = <q, x>, x the code of o and factor = <o, x>.
 
-    <q, x> / <o, x> estimates <q, o>: over random rotations the part of o beside x points anywhere.
-    Whatever the rotation, the angle between q and o is at least the angle of q and x less that of o and x.
+    <q, x> is <q, o> <o, x> and what the parts of q and x beside o have in common, which over random rotations points anywhere.
     """
-    raw = turned.astype(np.float32) @ signs.T
-    bound = np.cos(np.maximum(np.arccos(np.clip(raw, -1, 1)) - np.arccos(np.clip(factor, -1, 1)).astype(np.float32), 0))
-    return raw / factor.astype(np.float32), bound
+    return raw / factor
+
+
+def slack(factor: np.ndarray, dimensions: int, threshold: float, sigmas: float = SIGMAS) -> np.ndarray:
+    """How far the estimate of a product of `threshold` or more may fall below it: `sigmas` standard deviations of the estimate.
+
+    The error is sqrt(1 - <q, o>**2) times a coordinate of a random direction in the dimensions beside o, times the
+    tangent of the angle between o and its code.
+    """
+    return sigmas * np.sqrt(max(1 - threshold**2, 0) * (1 - np.minimum(factor, 1) ** 2) / max(dimensions - 1, 1)) / factor
+
+
+def most_differing(dimensions: int, threshold: float, sigmas: float = SIGMAS) -> int:
+    """How many bits may differ between codes of vectors with a product of `threshold` or more.
+
+    A bit differs with the chance angle / pi; the bits of one rotation vary less than independent ones.
+    """
+    p = np.arccos(np.clip(threshold, -1, 1)) / np.pi
+    return int(min(np.ceil(dimensions * p + sigmas * np.sqrt(dimensions * p * (1 - p))), dimensions))
+
+
+def _words(packed: np.ndarray) -> np.ndarray:
+    """Codes in words of 64 bits, a column for each."""
+    wide = np.zeros((len(packed), -(-packed.shape[1] // 8) * 8), np.uint8)
+    wide[:, : packed.shape[1]] = packed
+    return np.ascontiguousarray(wide.view(np.uint64).T)
 
 
 def _merge(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -64,28 +88,49 @@ def _merge(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return label
 
 
-def _compare(a: dict, b: dict, same: bool, threshold: float):
-    """Copies linked with each vector of a and of b, and links that connect them; a and b are one block if same."""
+def _compare(a: dict, b: dict, same: bool, threshold: float, seen: list | None = None):
+    """Copies linked with each vector of a and of b, and links that connect them; a and b are one block if same.
+
+    Codes are compared as bits; the unbiased estimate with its confidence bound then decides which of the pairs that are near
+    in bits are computed exactly.  seen: gets how many pairs there were, how many were near in bits, and how many were computed.
+    """
     d = a["vectors"].shape[1]
-    turned = Codes(a["units"], rotation(d)).turned
+    turned = Codes(a["units"], rotation(d)).turned.astype(np.float32)
     signs = Codes.signs(b["codes"], d)
-    # the upper bound reaches the threshold where <q, x> reaches the cosine of both angles together
-    widest = np.arccos(threshold) + np.arccos(np.clip(b["factor"], -1, 1))
-    least = np.where(widest < np.pi, np.cos(np.minimum(widest, np.pi)), -2).astype(np.float32) - np.float32(1e-4)
+    wa, wb = _words(a["codes"]), _words(b["codes"])
+    most = most_differing(d, threshold)
+    least = (threshold - slack(b["factor"], d, threshold) - 1e-6).astype(np.float32)
+    factor = b["factor"].astype(np.float32)
     na, nb = len(turned), len(signs)
     ca, cb = np.zeros(na, np.int64), np.zeros(nb, np.int64)
     label = np.arange(na + (0 if same else nb))
     shift = 0 if same else na
     for lo in range(0, na, _SLAB):
-        slab = slice(lo, min(lo + _SLAB, na))
-        near = turned[slab].astype(np.float32) @ signs.T >= least
+        hi = min(lo + _SLAB, na)
+        differing = np.bitwise_count(wa[0, lo:hi, None] ^ wb[0][None, :]).astype(np.uint16)
+        for x, y in zip(wa[1:], wb[1:]):
+            differing += np.bitwise_count(x[lo:hi, None] ^ y[None, :])
+        near = differing <= most
         if same:  # each pair once
-            near &= np.arange(nb)[None, :] > np.arange(lo, slab.stop)[:, None]
+            near &= np.arange(nb)[None, :] > np.arange(lo, hi)[:, None]
         i, j = np.nonzero(near)
+        bits = len(i)
+        for_all = len(i) > near.size // 8
+        if for_all:
+            raw = (turned[lo:hi] @ signs.T)[i, j]
+        else:
+            raw = np.empty(len(i), np.float32)
+            for at in range(0, len(i), 1 << 14):
+                part = slice(at, at + (1 << 14))
+                raw[part] = np.einsum("ij,ij->i", turned[i[part] + lo], signs[j[part]])
+        kept = estimate(raw, factor[j]) >= least[j]
+        i, j = i[kept], j[kept]
+        if seen is not None:
+            seen.append((near.size if not same else sum(nb - 1 - r for r in range(lo, hi)), bits, len(i)))
         if not len(i):
             continue
         if len(i) > near.size // 10:
-            cosine = ((a["vectors"][slab] @ b["vectors"].T) / a["norm"][slab][:, None] / b["norm"][None, :])[i, j]
+            cosine = ((a["vectors"][lo:hi] @ b["vectors"].T) / a["norm"][lo:hi][:, None] / b["norm"][None, :])[i, j]
         else:
             cosine = np.empty(len(i))
             for at in range(0, len(i), 1 << 14):
@@ -103,8 +148,8 @@ def link_vectors(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id
     """vec_id, n_links, component_id, kept: vectors of one label linked at a cosine of `threshold` or more.
 
     Equal vectors of a label collapse to one that carries their number.  The others are packed into blocks of fixed
-    size with their codes and factors, and each pair of blocks of a label is compared by one task: the estimate's
-    certain upper bound drops a pair or sends it to exact recomputation in double precision, so no link is lost.
+    size with their codes and factors, and each pair of blocks of a label is compared by one task: the unbiased estimate with its
+    confidence bound (SIGMAS) drops a pair or sends it to exact recomputation in double precision.
     A task returns sums for each vector and a spanning forest of its links, never the pairs.
     One row comes out for each row that goes in.  Vectors that are null, empty, zero or hold null or non-finite
     components, and rows with a null label or a null id, link with nothing (their component_id is their id).  Vectors of different lengths don't
@@ -112,7 +157,7 @@ def link_vectors(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id
     """
     spark = rows.sparkSession
     small_batches(spark)
-    every = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v"), F.col(label_col).cast("long").alias("label"))
+    every = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("long").alias("label"))
     fit = usable(F.col("v")) & F.exists("v", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     every = every.withColumn("fit", F.coalesce(fit, F.lit(False)))
     good = every.filter("fit").select("vec_id", "v", "label")
@@ -120,9 +165,11 @@ def link_vectors(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id
 
     def pack_block(key: tuple, group: pa.Table) -> pa.Table:
         vectors = matrix(group.column("v"))
+        # by powers of two, which changes no cosine, so that squares stay within range
+        vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
         norm = np.sqrt((vectors * vectors).sum(axis=1))
         codes = Codes(vectors / norm[:, None], rotation(vectors.shape[1]))
-        parts = [group.column("rep").to_numpy(), group.column("copies").to_numpy(), vectors.astype(np.float32), codes.packed, codes.factor]
+        parts = [group.column("rep").to_numpy(), group.column("copies").to_numpy(), vectors, codes.packed, codes.factor]
         row = {"label": key[0], "d": key[1], "block": key[2], "blocks": group.column("blocks")[0], "n": pa.scalar(len(vectors), pa.int32()), "packed": pa.scalar(b"".join(np.ascontiguousarray(p).tobytes() for p in parts), pa.binary())}
         return pa.table({k: pa.array([v.as_py()], v.type) for k, v in row.items()})
 
@@ -133,11 +180,10 @@ def link_vectors(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id
 
     def opened(n: int, d: int, packed: bytes) -> dict:
         at, out = 0, {}
-        for name, kind, shape in (("rep", np.int64, (n,)), ("copies", np.int64, (n,)), ("vectors", np.float32, (n, d)), ("codes", np.uint8, (n, -(-d // 8))), ("factor", np.float64, (n,))):
+        for name, kind, shape in (("rep", np.int64, (n,)), ("copies", np.int64, (n,)), ("vectors", np.float64, (n, d)), ("codes", np.uint8, (n, -(-d // 8))), ("factor", np.float64, (n,))):
             size = int(np.prod(shape)) * np.dtype(kind).itemsize
-            out[name] = np.frombuffer(packed, np.uint8)[at : at + size].view(kind).reshape(shape)
+            out[name] = np.frombuffer(packed, np.uint8)[at : at + size].copy().view(kind).reshape(shape)
             at += size
-        out["vectors"] = out["vectors"].astype(np.float64)
         out["norm"] = np.sqrt((out["vectors"] ** 2).sum(axis=1))
         out["units"] = out["vectors"] / out["norm"][:, None]
         return out

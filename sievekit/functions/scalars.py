@@ -33,16 +33,14 @@ def contains_any(text: Column, words) -> Column:
 def spans(text: Column, pattern: str) -> Column:
     """array<struct<start, stop, hit>>: all leftmost matches that don't overlap, in characters.
 
-    What stands between matches and the matches themselves alternate, so the places are running sums of their lengths.
+    What stands between matches and the matches themselves alternate, so the places are running sums of their lengths: one
+    fold over numbers, so that a line with thousands of matches copies no text.
     """
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     empty = F.array().cast("array<struct<start:int,stop:int,hit:string>>")
-    pairs = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit")))
-    step = lambda acc, p: F.struct(
-        (acc["at"] + p["gap"] + F.length(p["hit"])).alias("at"),
-        F.concat(acc["found"], F.array(F.struct((acc["at"] + p["gap"]).alias("start"), (acc["at"] + p["gap"] + F.length(p["hit"])).alias("stop"), p["hit"].alias("hit")))).alias("found"),
-    )
-    found = F.aggregate(F.filter(pairs, lambda p: p["hit"].isNotNull()), F.struct(F.lit(0).alias("at"), empty.alias("found")), step)["found"]
+    steps = F.filter(F.zip_with(gaps, hits, lambda g, h: F.length(g) + F.length(h)), lambda n: n.isNotNull())
+    stops = F.aggregate(steps, F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n)))
+    found = F.zip_with(stops, hits, lambda s, h: F.struct((s - F.length(h)).alias("start"), s.alias("stop"), h.alias("hit")))
     return F.when(F.size(hits) > 0, found).otherwise(empty)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -55,3 +55,52 @@ def npm_packages(lockfiles: DataFrame, content: str = "content") -> DataFrame:
     each = lockfiles.select(F.explode(F.from_json(content, f"packages {entry}")["packages"]).alias("path", "entry"))
     named = each.filter((F.col("path") != "") & ~F.coalesce(F.col("entry.link"), F.lit(False)) & F.col("entry.version").rlike("^[0-9]"))
     return named.select(F.regexp_replace("path", "^.*node_modules/", "").alias("name"), F.col("entry.version").alias("version")).distinct()
+
+
+# Labels of how a record was come by.
+OUTCOMES = {
+    "fresh": "Hit (Fresh)", "stale_fallback": "Hit (Stale) [Fallback]", "stale_offline": "Hit (Stale) [Offline Fallback]",
+    "fetched": "Fetched", "not_modified": "Hit (Fresh) [304]", "none": "Miss (No Cache)",
+}
+
+
+def fetch_outcome(freshness: Column, offline: Column, network: Column) -> Column:
+    """How a record was come by: freshness of the cache (fresh, stale, expired, or null for none), whether offline, and what the network said
+    (fetched, not_modified, error).
+
+    A fresh entry is used as it is, a stale one where the network can't be asked or fails; not_modified needs an entry.
+    """
+    label = {k: F.lit(v) for k, v in OUTCOMES.items()}
+    asked = F.when(network == "fetched", label["fetched"]).when((network == "not_modified") & freshness.isNotNull(), label["not_modified"])
+    return (
+        F.when(freshness == "fresh", label["fresh"]).when(offline & (freshness == "stale"), label["stale_offline"]).when(offline, label["none"])
+        .when((network == "error") & (freshness == "stale"), label["stale_fallback"]).otherwise(F.coalesce(asked, label["none"]))
+    )
+
+
+def cache_counts(advisories: DataFrame, status: str = "cache_status") -> DataFrame:
+    """One row: how many records came from a fresh or stale cache, the network, offline, or an error; the first that fits counts."""
+    s = F.col(status)
+    kind = F.when(s.isin("Network", "Fetched"), "network").when(F.contains(s, F.lit("Fresh")), "fresh").when(F.contains(s, F.lit("Stale")), "stale").when(s.startswith("Error"), "error").when(s == "Offline", "offline")
+    return advisories.agg(*(F.count_if(kind == k).alias(k) for k in ("fresh", "stale", "network", "offline", "error")))
+
+
+def positional(packages: DataFrame, answers: DataFrame, ordinal: str = "ordinal") -> DataFrame:
+    """Packages (ordinal, ...) with their answers (ordinal, ids: array of advisories), a row for each advisory."""
+    return packages.join(answers, ordinal).withColumn("id", F.explode("ids")).drop("ids")
+
+
+def in_order(advisories: DataFrame) -> DataFrame:
+    """Each package's advisories numbered, the severest first and then by id, with their first three links by name."""
+    weight = F.lit(4)
+    for k, name in enumerate(("Critical", "High", "Medium", "Low")):
+        weight = F.when(F.col("severity") == name, k).otherwise(weight)
+    place = F.row_number().over(Window.partitionBy("ecosystem", "name", "version").orderBy(weight, "id"))
+    return advisories.withColumn("place", place).withColumn("urls", F.slice(F.array_sort("urls"), 1, 3))
+
+
+def version_parts(version: Column) -> Column:
+    """What versions are compared by: numbers, whether it is a release, and the parts of a pre-release (numbers below words)."""
+    tail = F.regexp_extract(version, r"^[0-9.]+-([0-9A-Za-z.-]+)", 1)
+    part = lambda p: F.struct(F.when(p.rlike("^[0-9]+$"), 0).otherwise(1).alias("word"), F.when(p.rlike("^[0-9]+$"), p.try_cast("bigint")).otherwise(F.lit(0)).alias("number"), F.when(p.rlike("^[0-9]+$"), F.lit("")).otherwise(p).alias("text"))
+    return F.struct(version_key(version).alias("key"), (tail == "").alias("release"), F.transform(F.when(tail == "", F.array().cast("array<string>")).otherwise(F.split(tail, "\\.")), part).alias("tail"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +14,9 @@ from sievekit.functions.rules import Rule, required_words, spark_pattern
 #: Text in a line that keeps it from being reported: "# marker", "// marker", or "marker=<rule id>" for one rule.
 MARKER = "sieve:ignore"
 
+_WIDE = "[" + scalars.WIDE + "]"
 _FOUND = "array<struct<rule:int,start:int,stop:int,hit:string>>"
+# Words that show that digits are something else.
 _MYNUMBER_WORDS = r"注文番号|受付番号|伝票番号|(?i:order|order_id|receipt|ticket)"
 _VERSION_WORDS = r"(バージョン|(?<![0-9A-Za-z_])(?i:version|build|release|rev|commit))[\s:=\-：＝]*$"
 
@@ -36,13 +40,36 @@ def suppressed(rule_id: str, text: Column, start: Column, stop: Column) -> Colum
 _BY_FUNCTION = {"luhn": validators.luhn, "jp_address_prefecture_city_block": validators.address, "jp_person_name_keyword": validators.person_name}
 
 
+def _likely(rule: Rule, text: Column) -> Column:
+    """Whether the rule's pattern is in a text: first its literals, then the pattern."""
+    found = text.rlike(spark_pattern(rule.pattern))
+    words = required_words(rule.pattern)
+    return scalars.contains_any(text, words) & found if len(words) > 1 else F.contains(text, F.lit(words[0])) & found if words else found
+
+
+def wanted(rules: list[Rule], narrow: bool = True) -> Callable[[Column], Column]:
+    """A test of lines: whether the pattern of any enabled rule is in a line, narrowed where the rule reads it so."""
+    chosen = [r for r in rules if r.enabled]
+    wide = [r for r in chosen if narrow and r.normalises]
+
+    def test(line: Column) -> Column:
+        out = F.lit(False)
+        for rule in chosen:
+            out = out | _likely(rule, line)
+        if wide:
+            narrowed = scalars.normalise(line)
+            more = F.lit(False)
+            for rule in wide:
+                more = more | _likely(rule, narrowed)
+            out = out | (line.rlike(_WIDE) & more)
+        return out
+
+    return test
+
+
 def _matches(rule: Rule, k: int, text: Column) -> Column:
     """The rule's matches in a text that pass its context test and its validator, if SQL expresses that."""
-    pattern = spark_pattern(rule.pattern)
-    likely = text.rlike(pattern)
-    if words := required_words(rule.pattern):
-        likely = scalars.contains_any(text, words) & likely if len(words) > 1 else F.contains(text, F.lit(words[0])) & likely
-    found = F.when(likely, scalars.spans(text, pattern)).otherwise(F.array().cast("array<struct<start:int,stop:int,hit:string>>"))
+    found = F.when(_likely(rule, text), scalars.spans(text, spark_pattern(rule.pattern))).otherwise(F.array().cast("array<struct<start:int,stop:int,hit:string>>"))
     if suppressed(rule.id, text, F.lit(0), F.lit(0)) is not None:
         found = F.filter(found, lambda s: ~suppressed(rule.id, text, s["start"], s["stop"]))
     if rule.validator and rule.validator not in _BY_FUNCTION:
@@ -98,16 +125,40 @@ def with_matches(lines: DataFrame, rules: list[Rule], column: str = "__found", l
     return out.withColumn(column, F.when(asks, kept).otherwise(F.col(column))).drop("__asked", "__fits")
 
 
-def numbered_lines(docs: DataFrame, text_col: str = "text", context: int = 5) -> DataFrame:
+def fitting(rows: DataFrame, rules: list[Rule], column: str) -> DataFrame:
+    """The rows with an array of lines' matches, without those that their rule's function rejects."""
+    checks = {k: _BY_FUNCTION[r.validator] for k, r in enumerate(rules) if r.enabled and r.validator in _BY_FUNCTION}
+    if not checks:
+        return rows
+
+    @F.pandas_udf("array<array<boolean>>")
+    def fits(found: pd.Series) -> pd.Series:
+        return found.map(lambda lines: lines if lines is None else [[m["rule"] not in checks or checks[m["rule"]](m["hit"]) for m in line] for line in lines])
+
+    fits = fits.asNondeterministic()
+    both = F.zip_with(column, "__fits", lambda line, ok: F.transform(F.filter(F.arrays_zip(line.alias("m"), ok.alias("ok")), lambda z: z["1"]), lambda z: z["0"]))
+    return rows.withColumn("__fits", fits(column)).withColumn(column, both).drop("__fits")
+
+
+def numbered_lines(docs: DataFrame, text_col: str = "text", context: int = 5, keep: Callable[[Column], Column] | None = None) -> DataFrame:
     """The rows once for each line, with line_number from 1, line, and context_before: up to `context` lines before it.
 
-    The context comes from the array of lines, so nothing is shuffled.
+    keep: which lines are wanted (all, if None); the others never become rows.  Each line gets its own few lines of context before
+    it becomes a row, so no row carries a text's whole array, and nothing is shuffled.
     """
     rest = [c for c in docs.columns if c != text_col]
     split = docs.select(*rest, scalars.lines(F.col(text_col)).alias("__lines"))
-    each = split.select(*rest, "__lines", F.posexplode("__lines").alias("__pos", "line"))
-    before = F.slice("__lines", F.greatest(F.lit(1), F.col("__pos") - context + 1), F.least(F.lit(context), F.greatest(F.col("__pos"), F.lit(0))))
-    return each.select(*rest, (F.col("__pos") + 1).cast("long").alias("line_number"), "line", F.when(F.col("__pos") > 0, before).otherwise(F.array().cast("array<string>")).alias("context_before"))
+    each = F.transform("__lines", lambda line, i: F.struct(i.alias("pos"), line.alias("line")))
+    if keep is not None:
+        each = F.filter(each, lambda r: keep(r["line"]))
+    none = F.array().cast("array<string>")
+
+    def whole(r):
+        before = F.slice("__lines", F.greatest(F.lit(1), r["pos"] - context + 1), F.least(F.lit(context), r["pos"]))
+        return F.struct(r["pos"].alias("pos"), r["line"].alias("line"), F.when(r["pos"] > 0, before).otherwise(none).alias("before") if context else none.alias("before"))
+
+    rows = split.select(*rest, F.explode(F.transform(each, whole)).alias("__row"))
+    return rows.select(*rest, (F.col("__row.pos") + 1).cast("long").alias("line_number"), F.col("__row.line").alias("line"), F.col("__row.before").alias("context_before"))
 
 
 def _of_rule(rules: list[Rule], value, kind: str) -> Column:
@@ -146,4 +197,4 @@ def findings(lines: DataFrame, rules: list[Rule], mode: str = "redact", placehol
 
 
 def scan_texts(docs: DataFrame, rules: list[Rule], text_col: str = "text", **options) -> DataFrame:
-    return findings(numbered_lines(docs, text_col), rules, **options)
+    return findings(numbered_lines(docs, text_col, keep=wanted(rules)), rules, **options)

@@ -83,3 +83,8 @@ def safe_view(findings: DataFrame, rules: DataFrame) -> DataFrame:
 def with_ordinal(findings: DataFrame) -> DataFrame:
     """A number from 0 within each path, in the fixed order."""
     return findings.withColumn("ordinal", F.row_number().over(Window.partitionBy("path").orderBy("line_number", "byte_start", "byte_end", "rule_id")) - 1)
+
+
+def in_order(registry: DataFrame, group: str, position: str) -> DataFrame:
+    """Exceptions numbered within their registry, by id and then by where they stood."""
+    return registry.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy("id", position)))

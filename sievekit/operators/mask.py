@@ -75,15 +75,17 @@ def filter_lines(lines: DataFrame, rules: list[Rule], placeholder: str = "<REDAC
 
 
 def mask_text(docs: DataFrame, rules: list[Rule], text_col: str = "text", mode: str = "redact", placeholder: str = "<REDACTED>") -> DataFrame:
-    """Whole texts with masked lines, joined by \\n (an end behind the last line goes); a null text stays null."""
-    from sievekit.operators.detect import numbered_lines, with_matches
-
-    keyed = docs.withColumn("__id", F.monotonically_increasing_id())
-    each = with_matches(numbered_lines(keyed, text_col, 0), rules)
-    each = each.withColumn("__line", masked(F.col("line"), F.col("__found"), mode, placeholder))
-    whole = each.groupBy("__id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_number", "__line"))), lambda s: s["__line"]), "\n").alias("__text"))
-    joined = keyed.join(whole, "__id", "left")
-    return joined.withColumn(text_col, F.coalesce("__text", F.when(F.col(text_col) == "", ""))).drop("__id", "__text").select(*docs.columns)
+    """Whole texts with masked lines, joined by \\n (an end behind the last line goes); a null text stays null.
+
+    All happens inside a row, so nothing is shuffled and a retry gives the same rows.
+    """
+    from sievekit.operators.detect import fitting, matches
+
+    found = docs.withColumn("__lines", scalars.lines(F.col(text_col)))
+    found = found.withColumn("__spans", F.transform("__lines", lambda line: matches(line, rules)))
+    found = fitting(found, rules, "__spans")
+    lines = F.zip_with("__lines", "__spans", lambda line, spans: F.when(F.size(spans) > 0, masked(line, spans, mode, placeholder)).otherwise(line))
+    return found.withColumn(text_col, F.array_join(lines, "\n")).select(*docs.columns)
 
 
 def add_markers(lines: DataFrame, hits: DataFrame, keys: list[str], extension: str, marker: str) -> DataFrame:

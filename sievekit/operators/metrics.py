@@ -96,3 +96,42 @@ def noop_streak(found: DataFrame, week: str = "week") -> DataFrame:
 def newest(rows: DataFrame, group: str, time: str, keep: int, *ties: str) -> DataFrame:
     """The rows beyond the newest `keep` of each group: candidates for removal."""
     return rows.withColumn("__k", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(time), *ties))).filter(F.col("__k") > keep).drop("__k")
+
+
+# What a severity of signals weighs.
+WEIGHTS = {"critical": 100, "high": 30, "warn": 10, "info": 1}
+
+
+def weight_of(severity: Column) -> Column:
+    out = F.lit(0)
+    for name, weight in WEIGHTS.items():
+        out = F.when(F.lower(severity) == name, weight).otherwise(out)
+    return out
+
+
+def first_actions(found: DataFrame, *ties: str, week: str = "week", most: int = 5) -> DataFrame:
+    """The signals of each week that weigh most, with their place."""
+    place = F.row_number().over(Window.partitionBy(week).orderBy(weight_of(F.col("severity")).desc(), *ties))
+    return found.withColumn("place", place).filter(F.col("place") <= most)
+
+
+def highest_severity(found: DataFrame, week: str = "week") -> DataFrame:
+    return found.groupBy(week).agg(F.max_by("severity", weight_of(F.col("severity"))).alias("highest"))
+
+
+def health(flags: DataFrame) -> DataFrame:
+    """Points and grade of projects by what they have: ignores, no findings, checks, hooks, readme, licence (booleans)."""
+    have = lambda name, points: F.when(F.col(name), points).otherwise(0)
+    docs = F.when(F.col("readme") & F.col("licence"), 10).when(F.col("readme") | F.col("licence"), 5).otherwise(0)
+    points = have("ignores", 20) + have("clean", 40) + have("checks", 20) + have("hooks", 10) + docs
+    return flags.withColumn("points", points).withColumn("grade", F.when(F.col("points") >= 90, "A").when(F.col("points") >= 70, "B").when(F.col("points") >= 50, "C").otherwise("F"))
+
+
+def taxon(domain: Column, key: Column, value: Column) -> Column:
+    return F.format_string("%s.%s=%s", domain, key, value)
+
+
+def scorecard(text: Column) -> Column:
+    """Points of 100 from a scorecard's JSON: its score, or its aggregateScore, as a number or as an object with a score."""
+    number = lambda path: F.get_json_object(text, path).try_cast("double")
+    return F.floor(F.coalesce(number("$.score"), number("$.aggregateScore"), number("$.aggregateScore.score")) * 10 + 0.5)

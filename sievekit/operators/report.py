@@ -104,3 +104,36 @@ def consistent(findings: DataFrame, summary: DataFrame) -> DataFrame:
     said = summary.select(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.col(c).cast("long") for c in names))).alias("said"))
     both = again.join(F.broadcast(said))  # one row on either side
     return both.select(F.explode(F.array(*map(F.lit, names))).alias("name"), "now", "said").filter(F.col("now")[F.col("name")] != F.col("said")[F.col("name")]).select("name")
+
+
+def json_rows(findings: DataFrame, columns: tuple[str, ...] = ("path", "line_number", "rule_id", "severity", "score", "masked_snippet")) -> DataFrame:
+    """A JSON object for each finding, as the report's list holds them; only new findings are reported."""
+    return findings.filter("baseline_status = 'new'").select(F.to_json(F.struct(*columns)).alias("json"))
+
+
+def json_head(summary: DataFrame, schema: str = "sieve-v1") -> DataFrame:
+    """What stands before the list: the schema's version and the summary, from a table of one row."""
+    return summary.select(F.concat(F.lit('{"schemaVersion":"' + schema + '","summary":'), F.to_json(F.struct(*summary.columns)), F.lit(',"findings":[')).alias("json"))
+
+
+def write_json(findings: DataFrame, summary: DataFrame, path: str) -> None:
+    """A folder whose files, by name, are one JSON document: the head, findings in a fixed order with commas between, the end.
+
+    Findings are sorted over many files; no task and no driver holds them all.
+    """
+    order = [c for c in ("path", "line_number", "rule_id", "masked_snippet") if c in findings.columns]
+    rows = findings.filter("baseline_status = 'new'").orderBy(*order).select(F.concat(F.to_json(F.struct("path", "line_number", "rule_id", "severity", "score", "masked_snippet")), F.lit(",")).alias("json"))
+    json_head(summary).coalesce(1).write.text(f"{path}/0-head")
+    rows.write.text(f"{path}/1-findings")
+    summary.select(F.lit("null]}").alias("json")).coalesce(1).write.text(f"{path}/2-end")
+
+
+def table_rows(findings: DataFrame) -> DataFrame:
+    """Columns of fixed width, with the masked line and never the match."""
+    wide = lambda c, n: F.rpad(F.col(c).cast("string"), n, " ")
+    return findings.select(F.concat_ws(" ", wide("severity", 8), F.lpad(F.col("score").cast("string"), 3, " "), wide("rule_id", 30), F.concat_ws(":", "path", "line_number"), "masked_snippet").alias("row"))
+
+
+def shown(findings: DataFrame, severities: tuple[str, ...], search: str) -> DataFrame:
+    """What a reader of the page filters for: severities by score, and a part of rule and path in any case."""
+    return findings.filter(score_label(F.col("score")).isin(*severities) & F.contains(F.lower(F.concat_ws(" ", "rule_id", "path")), F.lit(search.lower())))

@@ -44,7 +44,8 @@ def files(spark: SparkSession, root: str, ignore: tuple[str, ...] = (), limit: i
     kept = raw.filter(~pruned(relative))
     for word in ignore:
         kept = kept.filter(~F.contains("path", F.lit(word)))
-    kept = kept.orderBy("path").limit(limit)
+    # paths alone are sorted, not contents
+    kept = kept.join(kept.select("path").orderBy("path").limit(limit), "path", "left_semi")
     skipped = skip_reason(F.col("content"), F.col("length"), size_limit)
     return kept.select("path", F.col("length").alias("size"), skipped.alias("skipped"), F.when(skipped.isNull(), F.col("content").cast("string")).alias("text"))
 
@@ -61,8 +62,8 @@ def blobs(table: DataFrame, commit: str | None = None, since=None) -> DataFrame:
 
 
 def diff_lines(table: DataFrame) -> DataFrame:
-    """Added lines of a diff, each on its own: no context, line number 1, blanks at the end gone, empty ones left out."""
-    trimmed = table.withColumn("line", F.rtrim("line")).filter("line <> ''")
+    """Added lines of a diff, each on its own: no context, line number 1, white space of any kind at the end gone, empty ones left out."""
+    trimmed = table.withColumn("line", F.regexp_replace("line", r"(?U)\s+$", "")).filter("line <> ''")
     return trimmed.withColumn("line_number", F.lit(1).cast("long")).withColumn("context_before", F.array().cast("array<string>"))
 
 

@@ -136,7 +136,7 @@ def fitting(rows: DataFrame, rules: list[Rule], column: str) -> DataFrame:
         return found.map(lambda lines: lines if lines is None else [[m["rule"] not in checks or checks[m["rule"]](m["hit"]) for m in line] for line in lines])
 
     fits = fits.asNondeterministic()
-    both = F.zip_with(column, "__fits", lambda line, ok: F.transform(F.filter(F.arrays_zip(line.alias("m"), ok.alias("ok")), lambda z: z["1"]), lambda z: z["0"]))
+    both = F.zip_with(column, "__fits", lambda line, ok: F.transform(F.filter(F.arrays_zip(line.alias("m"), ok.alias("ok")), lambda z: z["ok"]), lambda z: z["m"]))
     return rows.withColumn("__fits", fits(column)).withColumn(column, both).drop("__fits")
 
 

@@ -520,3 +520,22 @@ def test_factorisation_machine_matches_brute_force():
         assert len(set(f.tolist())) == len(f)
         pairs = sum(float(model.v[f[a]].astype(float) @ model.v[f[b]].astype(float)) * x[a] * x[b] for a in range(len(f)) for b in range(a))
         assert got[i] == pytest.approx(model.w0 + float(model.w[f] @ x) + pairs, rel=1e-4, abs=1e-5)
+
+
+def test_components_of_a_star_whose_centre_is_spread(spark):
+    from sievekit.llm.components import connected
+
+    edges = [(5000, i) for i in range(3, 3000)] + [(i, i + 1) for i in range(6000, 6040)] + [(7, None), (9, 9), (2999, 1)] + [(20_000, 5_000_000 + i) for i in range(400)]
+    got = {r["node"]: r["component"] for r in connected(spark.createDataFrame(edges, "u long, v long")).collect()}
+    expected = {i: 1 for i in [1, 5000, *range(3, 3000)]} | {i: 6000 for i in range(6000, 6041)} | {i: 20_000 for i in [20_000, *range(5_000_000, 5_000_400)]}
+    assert got == expected
+
+
+def test_join_spread_is_a_join(spark):
+    from sievekit.llm.common import join_spread
+
+    rows = spark.range(6000).select((F.when(F.col("id") < 2000, 0).when(F.col("id") < 2600, None).otherwise(F.col("id") % 700)).alias("k"), "id")
+    found = spark.range(600).select(F.col("id").alias("k"), (F.col("id") * 2).alias("twice"))
+    counts = rows.groupBy("k").agg(F.count("*").alias("__n"))
+    out = join_spread(rows, found, counts, ["k"], ["id"], 6000)
+    assert out.columns == ["k", "id", "twice"] and rows_of(out) == rows_of(rows.join(found, "k"))

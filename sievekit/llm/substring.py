@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievekit.llm import textscan
-from sievekit.llm.common import forget, gather_ranges, save, small_batches, texts
+from sievekit.llm.common import forget, gather_ranges, join_spread, save, small_batches, texts
 
 #: Words of the k-mers whose smallest hash in a window is its minimizer.
 SEED_WORDS = 12
@@ -134,10 +134,11 @@ def repeats(docs: DataFrame, width: int = 50, seed: int = SEED_WORDS, id_col: st
     rows = texts(docs, id_col, text_col).filter("doc_id is not null")
     paths = save(_paths(rows, width, seed), "paths")
     place = F.min(F.struct("doc_id", "lo")).alias("first")
-    shared = paths.groupBy("m").agg(place, F.max("doc_id").alias("last"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("first.doc_id < last")
-    shared = shared.select("m", F.col("first.doc_id").alias("source"), F.col("first.lo").alias("at"), (F.col("c0") != F.col("c1")).alias("branches"))
-    found = save(paths.join(shared, "m"), "repeated-paths")
+    shared = paths.groupBy("m").agg(place, F.max("doc_id").alias("last"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("__n")).filter("first.doc_id < last")
+    shared = save(shared.select("m", "__n", F.col("first.doc_id").alias("source"), F.col("first.lo").alias("at"), (F.col("c0") != F.col("c1")).alias("branches")), "shared-minimizers")
+    found = save(join_spread(paths, shared.drop("__n"), shared.select("m", "__n"), ["m"], ["doc_id", "lo"], paths.count()), "repeated-paths")
     forget(paths)
+    forget(shared)
     whole = found.filter("not branches and source < doc_id").select("doc_id", "lo", "n", "source", "at")
 
     # One place of each distinct path of a minimizer with several: there its edges are read from the text.
@@ -145,9 +146,10 @@ def repeats(docs: DataFrame, width: int = 50, seed: int = SEED_WORDS, id_col: st
     # (the same words in one document twice: the first place; one id with several texts: the smallest)
     wanted = places.select("at.doc_id", F.struct("at.lo", "at.n", "m", "c").alias("path")).groupBy("doc_id").agg(F.collect_list("path").alias("paths"))
     edges = save(_edges(rows.join(wanted, "doc_id").select("doc_id", "text", "paths"), width), "edges")
-    firsts = edges.groupBy("m", "w").agg(F.min(F.struct("doc_id", "at")).alias("first"))
-    known = edges.select("m", "c", "k", "w").join(firsts, ["m", "w"]).groupBy("m", "c").agg(F.collect_list(F.struct("k", F.col("first.doc_id").alias("source"), F.col("first.at").alias("at"))).alias("edges"))
-    branching = found.filter("branches").select("m", "c", "doc_id", "lo").join(_runs(known), ["m", "c"])
+    firsts = edges.groupBy("m", "w").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("__n"))
+    known = join_spread(edges.select("m", "c", "k", "w"), firsts.drop("__n"), firsts.select("m", "w", "__n"), ["m", "w"], ["c", "k"], edges.count()).groupBy("m", "c").agg(F.collect_list(F.struct("k", F.col("first.doc_id").alias("source"), F.col("first.at").alias("at"))).alias("edges"))
+    copies = found.filter("branches").groupBy("m", "c").agg(F.count("*").alias("__n"))
+    branching = join_spread(found.filter("branches").select("m", "c", "doc_id", "lo"), _runs(known), copies, ["m", "c"], ["doc_id", "lo"], found.count())
     parts = branching.select("doc_id", "lo", F.explode(F.filter("runs", lambda r: r["source"] < F.col("doc_id"))).alias("run"))
     spans = whole.union(parts.select("doc_id", (F.col("lo") + F.col("run.k")).alias("lo"), "run.n", "run.source", "run.at"))
     out = save(spans, "spans")
@@ -233,7 +235,8 @@ def remove_repeats(docs: DataFrame, width: int = 50, seed: int = SEED_WORDS, id_
     """
     small_batches(docs.sparkSession)
     spans = repeats(docs, width, seed, id_col, text_col)
-    proved = spans.join(proofs(docs, spans, width, id_col, text_col), ["source", "at", "n"])
+    place = ["source", "at", "n"]
+    proved = join_spread(spans, proofs(docs, spans, width, id_col, text_col), spans.groupBy(*place).agg(F.count("*").alias("__n")), place, ["doc_id", "lo"], spans.count())
     marks = proved.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("lo", "n", "proof")).alias("__repeated"))
     docs = docs.drop("kept_text", "n_words", "n_removed")
     joined = docs.join(marks, F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.llm import bpe, embed_dedup, lm, packing, quality, secrets, simhash, substring, topk, toxicity
+from sievekit.llm import bpe, embed_dedup, layout, lm, packing, pieces, quality, secrets, simhash, substring, topk, toxicity, whitening
 from sievekit.llm.common import table
 
 
@@ -50,6 +50,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.document_layout(table(spark, sf_dir, "documents"))
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_embed_dedup": op2_embed_dedup,
@@ -61,6 +73,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_lm": op9_lm,
     "op10_toxicity": op10_toxicity,
+    "op11_layout": op11_layout,
+    "op12_pieces": op12_pieces,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -88,4 +103,19 @@ words AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
 removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)""",
+    "op11_layout": """
+WITH d AS (SELECT doc_id, encode(source) AS s, encode(lang) AS g, coalesce(strlen(text), -1) AS n,
+  xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)),
+    lambda a, b: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, xor(a, b)), CAST(4294967295 AS BIGINT))) % 365 AS t FROM documents),
+c AS (SELECT doc_id, 16 * (rank() OVER (ORDER BY s NULLS FIRST) - 1) // count(*) OVER () AS s, 16 * (rank() OVER (ORDER BY g NULLS FIRST) - 1) // count(*) OVER () AS g,
+  16 * (rank() OVER (ORDER BY n) - 1) // count(*) OVER () AS n, 16 * (rank() OVER (ORDER BY t NULLS FIRST) - 1) // count(*) OVER () AS t FROM d),
+z AS (SELECT *, list_sum(list_transform(range(4), lambda b: ((s // (1 << b)) % 2 * 8 + (g // (1 << b)) % 2 * 4 + (n // (1 << b)) % 2 * 2 + (t // (1 << b)) % 2) * (1 << (4 * b)))) AS z FROM
+  (SELECT doc_id, CAST(s AS BIGINT) AS s, CAST(g AS BIGINT) AS g, CAST(n AS BIGINT) AS n, CAST(t AS BIGINT) AS t FROM c)),
+p AS (SELECT *, row_number() OVER (ORDER BY z, doc_id NULLS FIRST) - 1 AS position FROM z),
+f AS (SELECT position // 1000 AS file, min(s) AS s0, max(s) AS s1, min(g) AS g0, max(g) AS g1, min(n) AS n0, max(n) AS n1, min(t) AS t0, max(t) AS t1 FROM p GROUP BY ALL),
+cells AS (SELECT DISTINCT z, s, g, n, t FROM p), held AS (SELECT DISTINCT position // 1000 AS file, s, g, n, t FROM p),
+touched AS (SELECT z, count(*) AS files FROM cells JOIN f ON s BETWEEN s0 AND s1 AND g BETWEEN g0 AND g1 AND n - 2 <= n1 AND n + 2 >= n0 AND t - 2 <= t1 AND t + 2 >= t0 GROUP BY z),
+matching AS (SELECT z, count(DISTINCT file) AS files FROM cells a JOIN held b ON a.s = b.s AND a.g = b.g AND abs(a.n - b.n) <= 2 AND abs(a.t - b.t) <= 2 GROUP BY z)
+SELECT doc_id, CAST(p.z AS BIGINT) AS z, position, file, touched.files AS files_touched, matching.files AS files_matching, concat_ws(',', s0, s1, g0, g1, n0, n1, t0, t1) AS file_bounds
+FROM p JOIN f ON file = position // 1000 JOIN touched ON touched.z = p.z JOIN matching ON matching.z = p.z""",
 }

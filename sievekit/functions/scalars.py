@@ -56,14 +56,18 @@ def partial_mask(text: Column) -> Column:
     return F.when(F.length(text) <= 4, F.lit("****")).otherwise(F.concat(F.lit("****"), F.right(text, F.lit(4))))
 
 
-def score(base: Column, tags: Column, nearby: Column) -> Column:
-    """The base, less ten near a test word, more ten near a production word, with the tags' weights, within 0 to 100."""
-    low = F.lower(nearby)
+def nearby(text: Column) -> Column:
+    """Ten less near a test word, ten more near a production word."""
+    low = F.lower(text)
+    return F.when(contains_any(low, PROD_WORDS), 10).otherwise(0) - F.when(contains_any(low, TEST_WORDS), 10).otherwise(0)
+
+
+def score(base: Column, tags: Column, near: Column) -> Column:
+    """The base with its tags' weights and what is nearby, within 0 to 100."""
     weights = F.lit(0)
     for tag, weight in TAG_WEIGHTS.items():
         weights = weights + F.size(F.array_intersect(tags, F.array(F.lit(tag)))) * weight
-    total = base + weights - F.when(contains_any(low, TEST_WORDS), 10).otherwise(0) + F.when(contains_any(low, PROD_WORDS), 10).otherwise(0)
-    return F.greatest(F.lit(0), F.least(F.lit(100), total)).cast("int")
+    return F.greatest(F.lit(0), F.least(F.lit(100), base + weights + nearby(near))).cast("int")
 
 
 def grade(points: Column) -> Column:

@@ -87,6 +87,16 @@ def person_name(text: str) -> bool:
     return 2 <= len(words) <= 4 and all(len(w) >= 2 and w.isascii() and w.isalpha() for w in words)
 
 
+def mynumber(text: str) -> bool:
+    """Whether some run of digits, with separators inside, has exactly twelve."""
+    joined = re.sub("(?<=[0-9])[ \t　\\-－―‐‑–—ー]+(?=[0-9])", "", text.translate(_DIGITS))
+    return any(len(run) == 12 for run in re.findall("[0-9]+", joined))
+
+
+def mobile(text: str) -> bool:
+    return bool(re.fullmatch("0[789]0[0-9]{8}", re.sub("[^0-9]", "", text.translate(_DIGITS))))
+
+
 def _vectorised(check):
     @F.pandas_udf("boolean")
     def run(text: pd.Series) -> pd.Series:

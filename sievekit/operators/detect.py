@@ -163,7 +163,7 @@ def numbered_lines(docs: DataFrame, text_col: str = "text", context: int = 5, ke
 
 def _of_rule(rules: list[Rule], value, kind: str) -> Column:
     """A literal array with a value for each rule, looked up by place."""
-    return F.element_at(F.array(*(F.lit(value(r)).cast(kind) for r in rules)), F.col("m.rule") + 1)
+    return F.element_at(F.array(*(F.lit(value(r)).cast(kind) for r in rules)).cast(f"array<{kind}>"), F.col("m.rule") + 1)
 
 
 def findings(lines: DataFrame, rules: list[Rule], mode: str = "redact", placeholder: str = "<REDACTED>", marker: str = MARKER) -> DataFrame:
@@ -175,26 +175,43 @@ def findings(lines: DataFrame, rules: list[Rule], mode: str = "redact", placehol
 
     hit = with_matches(lines, rules, marker=marker).filter(F.size("__found") > 0)
     hit = hit.withColumn("masked_snippet", masked(F.col("line"), F.col("__found"), mode, placeholder))
-    each = hit.withColumn("m", F.explode("__found")).drop("__found")
-    wanted = _of_rule(rules, lambda r: r.context_lines_before, "int")
-    context = F.when(wanted > 0, F.slice("context_before", F.greatest(F.lit(1), F.size("context_before") - wanted + 1), F.greatest(wanted, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    each = each.withColumn("context_before", context)
-    tags = F.element_at(F.array(*(F.array(*(F.lit(t) for t in r.tags)).cast("array<string>") for r in rules)), F.col("m.rule") + 1)
-    each = each.select(
-        *[c for c in each.columns if c != "m"],
+    placed = F.transform("__found", lambda m: F.struct(m["rule"].alias("rule"), scalars.bytes_before(F.col("line"), m["start"]).alias("byte_start"), scalars.bytes_before(F.col("line"), m["stop"]).alias("byte_end"), scalars.utf16_before(F.col("line"), m["start"]).alias("utf16_start"), scalars.utf16_before(F.col("line"), m["stop"]).alias("utf16_end"), F.substring("line", m["start"] + 1, m["stop"] - m["start"]).alias("hit")))
+    return described(hit.withColumn("found", placed).drop("__found"), rules)
+
+
+def described(lines: DataFrame, rules: list[Rule]) -> DataFrame:
+    """A row for each match of lines with their matches (scanner.scan_lines), with what its rule and its surroundings say.
+
+    What is near a line is looked at once for each number of lines of context that a rule asks for; then matches become rows, with only
+    the columns that are asked for.
+    """
+    wide = sorted({r.context_lines_before for r in rules})
+
+    def before(n: int) -> Column:
+        return F.slice("context_before", F.greatest(F.lit(1), F.size("context_before") - n + 1), n) if n else F.array().cast("array<string>")
+
+    contexts = F.array(*map(before, wide)) if wide else F.array(F.array().cast("array<string>"))
+    near = F.transform(contexts, lambda c: scalars.nearby(F.concat_ws("\n", F.col("line"), F.concat_ws("\n", c), F.lit(""))))
+    each = lines.withColumn("__contexts", contexts).withColumn("__near", near)
+    each = each.select(*[c for c in each.columns if c != "found"], F.explode("found").alias("m"))
+    which = _of_rule(rules, lambda r: wide.index(r.context_lines_before) + 1, "int")
+    tags = F.element_at(F.array(*(F.array(*(F.lit(t) for t in r.tags)).cast("array<string>") for r in rules)).cast("array<array<string>>"), F.col("m.rule") + 1)
+    weighted = _of_rule(rules, lambda r: r.base + sum(scalars.TAG_WEIGHTS.get(t, 0) for t in set(r.tags)), "int")
+    out = each.withColumn("context_before", F.element_at("__contexts", which))
+    return out.select(
+        *[c for c in out.columns if c not in ("m", "__contexts", "__near")],
         _of_rule(rules, lambda r: r.id, "string").alias("rule_id"),
-        F.substring("line", F.col("m.start") + 1, F.col("m.stop") - F.col("m.start")).alias("matched_content"),
-        scalars.bytes_before(F.col("line"), F.col("m.start")).alias("byte_start"),
-        scalars.bytes_before(F.col("line"), F.col("m.stop")).alias("byte_end"),
-        scalars.utf16_before(F.col("line"), F.col("m.start")).alias("utf16_start"),
-        scalars.utf16_before(F.col("line"), F.col("m.stop")).alias("utf16_end"),
+        F.col("m.hit").alias("matched_content"),
+        *(F.col(f"m.{c}").alias(c) for c in ("byte_start", "byte_end", "utf16_start", "utf16_end")),
         _of_rule(rules, lambda r: r.severity, "string").alias("severity"),
-        scalars.score(_of_rule(rules, lambda r: r.base, "int"), tags, F.concat_ws("\n", F.col("line"), F.concat_ws("\n", "context_before"), F.lit(""))).alias("score"),
+        F.greatest(F.lit(0), F.least(F.lit(100), weighted + F.element_at("__near", which))).cast("int").alias("score"),
         _of_rule(rules, lambda r: r.category, "string").alias("category"),
         tags.alias("tags"),
-    )
-    return each.withColumn("grade", scalars.grade(F.col("score")))
+    ).withColumn("grade", scalars.grade(F.col("score")))
+
 
+def scan_texts(docs: DataFrame, rules: list[Rule], text_col: str = "text", mode: str = "redact", placeholder: str = "<REDACTED>", marker: str = MARKER, **options) -> DataFrame:
+    """Findings of whole texts, by all rules in one pass (scanner).  Rules without any match cost what searching for their words costs."""
+    from sievekit.operators import scanner
 
-def scan_texts(docs: DataFrame, rules: list[Rule], text_col: str = "text", **options) -> DataFrame:
-    return findings(numbered_lines(docs, text_col), rules, **options)
+    return described(scanner.scan_lines(docs, rules, marker, text_col, mode=mode, placeholder=placeholder, **options), rules)

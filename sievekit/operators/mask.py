@@ -55,23 +55,13 @@ def filter_lines(lines: DataFrame, rules: list[Rule], placeholder: str = "<REDAC
 
     Neither full-width characters nor markers count here.  A rule's priority is its score, five more for log rules.
     """
-    from sievekit.operators.detect import with_matches
+    from sievekit.operators import scanner
 
-    line = F.col(line_col)
-    priority = F.array(*(F.lit(r.score + (5 if r.id.startswith("log.") else 0)) for r in rules))
-    words = F.array(*(F.lit(r.placeholder or placeholder) for r in rules))
-    spans = with_matches(lines, rules, "__spans", line_col, narrow=False, markers=False).withColumn("__islands", islands(F.col("__spans")))
+    def word(_: str, own: list) -> str:
+        best = max(own, key=lambda s: (rules[s[2]].score + (5 if rules[s[2]].id.startswith("log.") else 0), s[1] - s[0], -s[0], rules[s[2]].placeholder or placeholder))
+        return rules[best[2]].placeholder or placeholder
 
-    def word(island):
-        inside = F.filter("__spans", lambda s: (s["start"] >= island["start"]) & (s["stop"] <= island["stop"]))
-        ranked = F.transform(inside, lambda s: F.struct(F.element_at(priority, s["rule"] + 1), s["stop"] - s["start"], -s["start"], F.element_at(words, s["rule"] + 1).alias("word")))
-        return F.array_max(ranked)["word"]
-
-    def step(acc, s):
-        return F.struct(s["stop"].alias("at"), F.concat(acc["out"], F.substring(line, acc["at"] + 1, s["start"] - acc["at"]), word(s)).alias("out"))
-
-    out = F.aggregate(F.col("__islands"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(line, acc["at"] + 1, F.length(line))))
-    return spans.withColumn(line_col, out).drop("__spans", "__islands")
+    return scanner.rewrite(lines, rules, "", line_col, word, None, narrow=False, markers=False)
 
 
 def mask_text(docs: DataFrame, rules: list[Rule], text_col: str = "text", mode: str = "redact", placeholder: str = "<REDACTED>") -> DataFrame:
@@ -79,13 +69,9 @@ def mask_text(docs: DataFrame, rules: list[Rule], text_col: str = "text", mode:
 
     All happens inside a row, so nothing is shuffled and a retry gives the same rows.
     """
-    from sievekit.operators.detect import fitting, matches
+    from sievekit.operators import detect, scanner
 
-    found = docs.withColumn("__lines", scalars.lines(F.col(text_col)))
-    found = found.withColumn("__spans", F.transform("__lines", lambda line: matches(line, rules)))
-    found = fitting(found, rules, "__spans")
-    lines = F.zip_with("__lines", "__spans", lambda line, spans: F.when(F.size(spans) > 0, masked(line, spans, mode, placeholder)).otherwise(line))
-    return found.withColumn(text_col, F.array_join(lines, "\n")).select(*docs.columns)
+    return scanner.rewrite(docs, rules, detect.MARKER, text_col, scanner.hiding(mode, placeholder))
 
 
 def add_markers(lines: DataFrame, hits: DataFrame, keys: list[str], extension: str, marker: str) -> DataFrame:

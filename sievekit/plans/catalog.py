@@ -12,17 +12,17 @@ from sievekit.functions import scalars as S
 from sievekit.functions.rules import Rule
 from sievekit.operators import deps, detect, findings, mask, metrics, report
 from sievekit.plans import sql
-from sievekit.sources import readers, writers
+from sievekit.sources import readers, shared
 from sievekit.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-_CHOSEN = ("pii.net.email", "pii.net.ipv4", "pii.jp.postal_code", "pii.pay.token.keyword", "pii.device.mac", "pii.crypto.eth_address.keyword", "creds.aws.access_key_id", "creds.github.pat.ghp")
-#: Rules with which the detection queries run; the whole pack has a query of its own.
-RULES = [r for r in (*R.builtin("pii"), *R.builtin("creds")) if r.id in _CHOSEN]
-LOG_RULES = [r for r in R.builtin("log") if r.id in ("log.pii.email", "log.pii.ipv4")]
+#: The packs with which detection runs, and the rules that have a query of their own over documents and pages.
+RULES = [*R.builtin("pii"), *R.builtin("creds")]
+LOG_RULES = list(R.builtin("log"))
+_SINGLE = ("pii.net.email", "pii.net.ipv4", "pii.jp.postal_code", "pii.pay.token.keyword", "pii.device.mac", "pii.crypto.eth_address.keyword", "creds.aws.access_key_id", "creds.github.pat.ghp")
 
 
 def query(name: str, oracle: str | None = None):
@@ -56,7 +56,7 @@ _IDENTITY = ("path", "line_number", "byte_start", "byte_end", "rule_id", "severi
 
 def with_baseline(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """All findings, written once, and those of even documents as a baseline for all."""
-    every = writers.kept(found(spark, sf_dir).select(*_IDENTITY), "findings")
+    every = shared.save(found(spark, sf_dir).select(*_IDENTITY), "findings")
     return every, findings.baseline_entries(every.filter(F.col("path").cast("long") % 2 == 0))
 
 
@@ -106,7 +106,7 @@ def _rule_hits(rule: Rule, source: str) -> None:
         return detect.scan_texts(docs, [rule]).select("path", "line_number", "matched_content")
 
 
-for _one in RULES:
+for _one in (r for r in RULES if r.id in _SINGLE):
     for _source in ("documents", "pages"):
         _rule_hits(_one, _source)
 
@@ -186,9 +186,9 @@ def _(spark, sf_dir):
     return found(spark, sf_dir).select("path", "line_number", "rule_id", "matched_content", "masked_snippet", "severity", "score", "grade", "fingerprint")
 
 
-@query("findings_whole_pack")
+@query("findings_whole_pack", sql.findings([*RULES, *LOG_RULES]) + " SELECT path, line_number, rule_id, masked_snippet, severity, score, grade FROM graded")
 def _(spark, sf_dir):
-    return detect.scan_texts(documents(spark, sf_dir), [*R.builtin("pii"), *R.builtin("creds"), *R.builtin("log")]).select("path", "line_number", "rule_id", "masked_snippet", "severity", "score", "grade")
+    return detect.scan_texts(documents(spark, sf_dir), [*RULES, *LOG_RULES]).select("path", "line_number", "rule_id", "masked_snippet", "severity", "score", "grade")
 
 
 @query("score_grade", FOUND + " SELECT rule_id, score, grade, count(*) AS n FROM graded GROUP BY ALL")
@@ -231,7 +231,7 @@ def _(spark, sf_dir):
     return mask.winners(rows, ["id"]).select("id", "start", "stop", "placeholder")
 
 
-@query("filter_log", "WITH " + sql.lines("pages", "url", "html") + f" SELECT path, CAST(line_number AS BIGINT) AS line_number, regexp_replace(regexp_replace(line, {sql.quoted(LOG_RULES[0].pattern)}, '<REDACTED:PII>', 'g'), {sql.quoted(LOG_RULES[1].pattern)}, '<REDACTED:PII>', 'g') AS line FROM lines")
+@query("filter_log", sql.filtered(LOG_RULES, "pages", "url", "html") + " SELECT * FROM filtered")
 def _(spark, sf_dir):
     return mask.filter_lines(detect.numbered_lines(pages(spark, sf_dir)), LOG_RULES).select("path", "line_number", "line")
 
@@ -320,7 +320,7 @@ _CHANGED = ("total", "total_high", "effective", "effective_high")
 @query("summary_consistency", STATUS + " SELECT name FROM (SELECT unnest(['total', 'total_high', 'effective', 'effective_high']) AS name, unnest([count(*), count(*) FILTER (severity = 'High'), count(*) FILTER (baseline_status <> 'suppressed'), count(*) FILTER (baseline_status <> 'suppressed' AND severity = 'High')]) AS n FROM stated) WHERE n <> n + 1")
 def _(spark, sf_dir):
     """A stored summary in which one more new finding of high severity is claimed."""
-    rows = writers.kept(stated(spark, sf_dir), "stated")
+    rows = shared.save(stated(spark, sf_dir), "stated")
     said = report.evidence_summary(rows)
     for name in _CHANGED:
         said = said.withColumn(name, F.col(name) + 1)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import uuid
 import zipfile
 from datetime import UTC, datetime
 from pathlib import Path
@@ -35,15 +34,6 @@ def write_baseline(findings: DataFrame, path: str, schema: str = "baseline.v1",
     whole.select(F.lit(schema).alias("schema"), F.lit(datetime.now(UTC).isoformat()).alias("generated_at"), F.lit("sievekit").alias("tool"), "entries").coalesce(1).write.json(path)
 
 
-def kept(rows: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder (spark.checkpoint.dir; the warehouse where that is unset), for plans that read them more than once."""
-    spark = rows.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
-
-
 def write_findings(findings: DataFrame, path: str) -> None:
     findings.write.json(path)
 

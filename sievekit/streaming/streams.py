@@ -1,10 +1,12 @@
-"""Streams: masked lines, running event counts, the latest revision of documents, bounded retention."""
+"""Streams: masked lines, running event counts, the latest revision of documents."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from sievekit.functions.rules import Rule
 from sievekit.operators.mask import filter_lines
@@ -33,21 +35,33 @@ def latest_revision(edits: DataFrame, key: str, revision: str) -> DataFrame:
     return edits.groupBy(key).agg(F.max_by(value, F.col(revision)).alias("__row")).select(key, "__row.*")
 
 
-def keep_latest(edits: DataFrame, key: str, revision: str, path: str, checkpoint: str) -> StreamingQuery:
-    """A stream of edits into a table of latest revisions: each batch is merged with what is there and written anew beside it."""
+class _Newest(StatefulProcessor):
+    """State of a key: its row of the highest revision."""
+
+    def __init__(self, fields: list[str], ddl: str, revision: str) -> None:
+        self.fields, self.ddl, self.revision = fields, ddl, revision
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.now = handle.getValueState("now", self.ddl)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        at = self.fields.index(self.revision)
+        known = self.now.get() if self.now.exists() else None
+        best = max((tuple(r[c] for c in self.fields) for r in rows if r[self.revision] is not None), key=lambda r: r[at], default=None)
+        if best is not None and (known is None or best[at] > known[at]):
+            self.now.update(best)
+            yield Row(**dict(zip(self.fields, best)))
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = latest_revision(batch, key, revision)
-        if number:
-            new = latest_revision(spark.read.schema(batch.schema).parquet(f"{path}/{number - 1}").select(*batch.columns).union(new.select(*batch.columns)), key, revision)
-        new.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/{number}")
+    def close(self) -> None:
+        pass
 
-    return edits.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def newest_revisions(edits: DataFrame, key: str, revision: str) -> DataFrame:
+    """A stream of edits as a stream of the rows that are their key's newest when they come, in update mode: the last one of each key is latest_revision's.
 
-def retained(runs: DataFrame, time: str, size: str, most_runs: int = 20, most_bytes: int = 100_000_000) -> DataFrame:
-    """The newest runs, as many as fit both bounds."""
-    newest = Window.orderBy(F.desc(time))
-    ranked = runs.withColumn("__k", F.row_number().over(newest)).withColumn("__b", F.sum(size).over(newest.rowsBetween(Window.unboundedPreceding, 0)))
-    return ranked.filter((F.col("__k") <= most_runs) & (F.col("__b") <= most_bytes)).drop("__k", "__b")
+    State is one row a key; nothing that was written before is read or written again.
+    """
+    fields = [key, *(c for c in edits.columns if c != key)]
+    own = edits.select(*fields)
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
+    return own.groupBy(key).transformWithState(_Newest(fields, ddl, revision), own.schema, "Update", "None")

@@ -143,14 +143,6 @@ def test_streams(spark, tmp_path):
     assert {r[0] for r in spark.sql("SELECT value FROM masked").collect()} == {"mail <REDACTED:PII>", "clean"}
 
 
-def test_latest_revision_stream(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "1.json").write_text('{"uri":"a","revision":1,"text":"x"}\n{"uri":"a","revision":2,"text":"y"}\n')
-    edits = spark.readStream.schema("uri string, revision long, text string").json(str(tmp_path / "in"))
-    streams.keep_latest(edits, "uri", "revision", str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out/0")).collect()] == [("a", 2, "y")]
-
-
 def test_mask_queries_cover_all_lines(spark, tmp_path):
     """Lines with several matches and texts with carriage returns are masked too."""
     import __spark_entry__

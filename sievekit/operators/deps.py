@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievekit.operators.versions import least_fixed, satisfies, vulnerable  # noqa: F401  (part of what is said about dependencies)
+
 
 def version_key(version: Column) -> Column:
     """Major, minor and patch as an array of numbers, which compares as versions do; what follows - or + is left out."""
@@ -12,43 +14,11 @@ def version_key(version: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.coalesce(F.try_element_at(parts, i).try_cast("bigint"), F.lit(0)))
 
 
-def satisfies(version: Column, requirement: Column) -> Column:
-    """Whether a version meets all comparators of a requirement such as ">= 2.0.0, < 2.1.3"; ^ and ~ as in semantic versioning."""
-
-    def one(comparator):
-        op = F.regexp_extract(comparator, "^\\s*([<>=^~]*)", 1)
-        bound, own = version_key(F.regexp_extract(comparator, "([0-9][^\\s]*)", 1)), version_key(version)
-        major, minor = F.element_at(bound, 1), F.element_at(bound, 2)
-        next_major = F.array(major + 1, F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
-        next_minor = F.array(major, minor + 1, F.lit(0).cast("bigint"))
-        next_patch = F.array(major, minor, F.element_at(bound, 3) + 1)
-        below = F.when(major > 0, next_major).when(minor > 0, next_minor).otherwise(next_patch)
-        compatible = (own >= bound) & (own < below)
-        return (
-            F.when(op == "<", own < bound).when(op == "<=", own <= bound).when(op == ">", own > bound).when(op == ">=", own >= bound)
-            .when(op == "=", own == bound).when(op == "~", (own >= bound) & (own < next_minor)).otherwise(compatible)
-        )
-
-    return F.forall(F.split(requirement, ","), one)
-
-
-def vulnerable(packages: DataFrame, advisories: DataFrame) -> DataFrame:
-    """A row for each package and advisory of its name whose range holds its version."""
-    joined = packages.join(advisories, packages["name"] == advisories["crate_name"])
-    return joined.filter(satisfies(F.col("version"), F.col("vulnerable_versions"))).drop("crate_name")
-
-
 def grouped(found: DataFrame) -> DataFrame:
     """One row for each package: where it is and which advisories hold, both sorted and distinct."""
     return found.groupBy("ecosystem", "name", "version").agg(F.array_sort(F.collect_set("location")).alias("locations"), F.array_sort(F.collect_set("id")).alias("advisories"))
 
 
-def least_fixed(found: DataFrame, fixed: str = "fixed") -> DataFrame:
-    """The smallest fixed version above the one in use; found: name, version, fixed (array of versions)."""
-    each = found.select("name", "version", F.explode(fixed).alias("fixed")).filter(version_key(F.col("fixed")) > version_key(F.col("version")))
-    return each.groupBy("name", "version").agg(F.min_by("fixed", version_key(F.col("fixed"))).alias("fixed"))
-
-
 def npm_packages(lockfiles: DataFrame, content: str = "content") -> DataFrame:
     """Packages of the packages map of version 2 and 3 lockfiles: no root, no links, versions that begin with a digit."""
     entry = "map<string,struct<version:string,link:boolean>>"

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sievekit.operators import graph, ordinals, surface
-from sievekit.plans.catalog import FOUND, RULES, query, table
-from sievekit.sources import shared
+from sievekit.operators import findings, graph, ordinals, surface, versions
+from sievekit.plans.catalog import FOUND, RULES, found, query, table
+from sievekit.sources import baselines, history, ignore, shared
 from sievekit.streaming import edits
 
 # ---- Detection in SQL ----------------------------------------------------------------------------
@@ -120,3 +121,86 @@ def _(spark, sf_dir):
     node = F.col("p_partkey").alias("node")
     found = graph.traces(edges, part.filter("p_size = 50").select(node), part.filter("p_size = 1").select(node), 8)
     return found.select("target", "member", "depth", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
+# ---- Version ranges ------------------------------------------------------------------------------
+
+_PACKAGE = "SELECT p_name AS name, (p_size % 4) || '.' || (p_partkey % 12) || '.' || (p_size % 5) || CASE WHEN p_partkey % 7 = 0 THEN '-rc.' || (p_size % 3) ELSE '' END AS version, p_brand AS location FROM part"
+_WEIGHT = "((p_size % 4) * 1000000 + (p_partkey % 12) * 1000 + p_size % 5)"
+
+
+@query("advisory_ranges", f"""
+WITH packages AS (SELECT p_name AS name, p_size % 4 AS a, p_partkey % 12 AS b, p_size % 5 AS c, p_partkey % 7 = 0 AS pre, p_size % 3 AS rc, version, location FROM (SELECT *, {_PACKAGE.removeprefix("SELECT ").removesuffix(" FROM part")} FROM part)),
+advisories AS (SELECT p_type || '-' || k AS id, name, k FROM (SELECT DISTINCT p_type, p_name AS name FROM part), range(3) t(k))
+SELECT DISTINCT id, name, version, location FROM packages JOIN advisories USING (name) WHERE
+  k = 0 AND a = 1 AND NOT pre AND (b, c) >= (2, 0)
+  OR k = 1 AND ((a, b, c) >= (0, 3, 2) AND (a, b, c) < (2, 1, 0) AND NOT pre)
+  OR k = 2 AND ((a, b, c) = (2, 5, 1) AND pre AND rc >= 1 OR (a, b, c) = (2, 5, 1) AND NOT pre OR NOT pre AND a = 2 AND b = 5 AND c > 1)""")
+def _(spark, sf_dir):
+    """Parts by name with versions made of their numbers, pre-releases among them, against three ranges a name and type."""
+    packages = table(spark, sf_dir, "part").selectExpr(*_PACKAGE.removeprefix("SELECT ").removesuffix(" FROM part").split(", "))
+    ranges = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in enumerate(("^1.2.0", ">= 0.3.2, < 2.1.0", "~2.5.1-rc.1"))))
+    names = table(spark, sf_dir, "part").select("p_type", F.col("p_name").alias("crate_name")).distinct().withColumn("r", F.explode(ranges))
+    advisories = names.select(F.concat_ws("-", "p_type", F.col("r.k").cast("string")).alias("id"), "crate_name", F.col("r.v").alias("vulnerable_versions"))
+    return versions.vulnerable(packages, advisories).select("id", "name", "version", "location").distinct()
+
+
+# ---- Walks and histories -------------------------------------------------------------------------
+
+_PATHS = "SELECT DISTINCT regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/+$', '') AS path FROM pages WHERE url IS NOT NULL"
+
+
+@query("ignored_paths", f"""
+WITH paths AS ({_PATHS}), parts AS (SELECT path, string_split(path, '/') AS p FROM paths WHERE path <> '')
+SELECT path FROM parts WHERE p[1] LIKE 'm.%' OR len(p) > 1 AND p[1] LIKE '%spam%' AND (len(p) > 2 OR p[2] <> 'en') OR len(p) > 2 AND p[2] = 'es' AND p[1] NOT LIKE '%spam%'
+  OR len(p) > 1 AND p[1] NOT LIKE '%spam%' AND p[-1] LIKE '%.html' AND p[-1] NOT LIKE '%5.html'""")
+def _(spark, sf_dir):
+    """Pages as files below their hosts; one ignore file at the root, one in each host with spam in its name."""
+    url = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", ""), "/+$", "")
+    paths = table(spark, sf_dir, "pages").select(url.alias("path"))
+    lines = lambda texts: F.explode(F.array(*(F.struct(F.lit(k).alias("line_number"), F.lit(t).alias("line")) for k, t in enumerate(texts, 1))))
+    root = paths.limit(1).select(F.lit("").alias("folder"), lines(["# pages", "*.html", "!*5.html", "es/", "/m.*"]).alias("r"))
+    spam = paths.select(F.split_part("path", F.lit("/"), F.lit(1)).alias("folder")).distinct().filter("folder LIKE '%spam%'").select("folder", lines(["*", "!en/"]).alias("r"))
+    rules = root.union(spam).select("folder", "r.line_number", "r.line")
+    return ignore.left_out(paths, rules)
+
+
+_HISTORY = """
+WITH commits AS (SELECT o_orderkey AS sha, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent, o_orderdate AS time, o_orderstatus AS status FROM orders),
+trees AS (SELECT l_orderkey AS sha, l_linenumber AS path, min(l_partkey) AS blob FROM lineitem GROUP BY ALL),
+pairs AS (SELECT sha, parent, status, time FROM commits WHERE parent IS NOT NULL),
+after AS (SELECT pairs.sha, path, blob FROM pairs JOIN trees USING (sha)), before AS (SELECT pairs.sha, path, blob FROM pairs JOIN trees ON trees.sha = parent),
+changes AS (SELECT sha, path, CASE WHEN before.blob IS NULL THEN 'A' WHEN after.blob IS NULL THEN 'D' ELSE 'M' END AS status, coalesce(after.blob, before.blob) AS blob FROM before FULL JOIN after USING (sha, path) WHERE before.blob IS DISTINCT FROM after.blob)"""
+
+
+def _history(spark, sf_dir):
+    """Each customer's orders as a chain of commits, their lines as trees."""
+    orders = table(spark, sf_dir, "orders")
+    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    commits = orders.select(F.col("o_orderkey").alias("sha"), F.lag("o_orderkey").over(order).alias("parent"), F.col("o_orderdate").alias("time"), "o_custkey", F.col("o_orderstatus").alias("status"))
+    trees = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("sha"), F.col("l_linenumber").alias("path")).agg(F.min("l_partkey").alias("blob"))
+    return commits, trees
+
+
+@query("commit_changes", _HISTORY + " SELECT changes.sha, path, changes.status, blob FROM changes JOIN commits USING (sha) WHERE commits.status = 'F'")
+def _(spark, sf_dir):
+    commits, trees = _history(spark, sf_dir)
+    return history.commit_changes(commits, trees, commits.filter("status = 'F'"))
+
+
+@query("since_changes", _HISTORY + " SELECT changes.sha, path, changes.status, blob FROM changes JOIN commits USING (sha) WHERE commits.time >= (SELECT max(time) - INTERVAL 400 DAYS FROM commits)")
+def _(spark, sf_dir):
+    """From each customer's last order back, no further than 400 days before the newest of all."""
+    commits, trees = _history(spark, sf_dir)
+    heads = commits.groupBy("o_custkey").agg(F.max_by("sha", F.struct("time", "sha")).alias("head")).select("head")
+    since = commits.agg(F.max("time")).first()[0]
+    return history.since_changes(commits, trees, heads, F.lit(since) - F.expr("INTERVAL 400 DAYS"))
+
+
+@query("baseline_table", FOUND + ", firsts AS (SELECT fingerprint, min((path, line_number, rule_id)) AS f FROM graded WHERE severity <> 'Low' GROUP BY fingerprint) SELECT path, line_number, rule_id FROM graded WHERE fingerprint NOT IN (SELECT fingerprint FROM firsts)")
+def _(spark, sf_dir):
+    """Findings that a committed baseline of all but the lowest severity doesn't hold."""
+    every = shared.save(found(spark, sf_dir).select("path", "line_number", "rule_id", "severity", "fingerprint"), "findings")
+    path = f"{shared.shared_dir(spark)}/baseline-{spark._jvm.java.util.UUID.randomUUID()}"
+    baselines.write(every.filter("severity <> 'Low'"), path)
+    return findings.new_findings(every, baselines.read(spark, path)).select("path", "line_number", "rule_id")

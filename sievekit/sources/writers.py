@@ -6,7 +6,6 @@ import hashlib
 import json
 import os
 import zipfile
-from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -25,15 +24,6 @@ def write_atomic(path: str | Path, content: bytes) -> None:
     os.replace(part, path)
 
 
-def write_baseline(findings: DataFrame, path: str, schema: str = "baseline.v1", complete: bool = True) -> None:
-    """All findings as a baseline; a scan that hit a limit is refused, as its baseline would hide what it missed."""
-    if not complete:
-        raise ValueError("an incomplete scan makes no baseline")
-    entries = findings.select("fingerprint", "rule_id", "path", F.col("line_number").alias("line"), "severity")
-    whole = entries.agg(F.array_sort(F.collect_list(F.struct(*entries.columns))).alias("entries"))
-    whole.select(F.lit(schema).alias("schema"), F.lit(datetime.now(UTC).isoformat()).alias("generated_at"), F.lit("sievekit").alias("tool"), "entries").coalesce(1).write.json(path)
-
-
 def write_findings(findings: DataFrame, path: str) -> None:
     findings.write.json(path)
 

@@ -27,6 +27,8 @@ _SINGLE = ("pii.net.email", "pii.net.ipv4", "pii.jp.postal_code", "pii.pay.token
 
 def query(name: str, oracle: str | None = None):
     def add(f: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"two queries have the name {name}")
         QUERIES[name] = f
         if oracle is not None:
             ORACLE_SQL[name] = oracle

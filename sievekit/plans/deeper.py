@@ -129,7 +129,7 @@ _PACKAGE = "SELECT p_name AS name, (p_size % 4) || '.' || (p_partkey % 12) || '.
 _WEIGHT = "((p_size % 4) * 1000000 + (p_partkey % 12) * 1000 + p_size % 5)"
 
 
-@query("advisory_ranges", f"""
+@query("advisory_join", f"""
 WITH packages AS (SELECT p_name AS name, p_size % 4 AS a, p_partkey % 12 AS b, p_size % 5 AS c, p_partkey % 7 = 0 AS pre, p_size % 3 AS rc, version, location FROM (SELECT *, {_PACKAGE.removeprefix("SELECT ").removesuffix(" FROM part")} FROM part)),
 advisories AS (SELECT p_type || '-' || k AS id, name, k FROM (SELECT DISTINCT p_type, p_name AS name FROM part), range(3) t(k))
 SELECT DISTINCT id, name, version, location FROM packages JOIN advisories USING (name) WHERE

@@ -141,7 +141,7 @@ def week_monday(ts_utc: Column) -> Column:
 
 
 def valid_week(week: Column) -> Column:
-    return week.rlike("^[0-9]{4}-W(0[1-9]|[1-4][0-9]|5[0-3])$")
+    return F.coalesce(week.rlike("^[0-9]{4}-W(0[1-9]|[1-4][0-9]|5[0-3])$"), F.lit(False))
 
 
 def expiry_seconds(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievekit.functions.scalars import backoff_ms
 from sievekit.operators.versions import least_fixed, satisfies, vulnerable  # noqa: F401  (part of what is said about dependencies)
 
 
@@ -55,6 +56,14 @@ def cache_counts(advisories: DataFrame, status: str = "cache_status") -> DataFra
     return advisories.agg(*(F.count_if(kind == k).alias(k) for k in ("fresh", "stale", "network", "offline", "error")))
 
 
+def retry_delays(calls: DataFrame, key: str, order: list[str], failed: Column) -> DataFrame:
+    """Each failed call with its attempt and delay: the attempt is the number of failures of its key since the last call that went well."""
+    ordered = Window.partitionBy(key).orderBy(*order)
+    streak = F.sum(F.when(failed, 0).otherwise(1)).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    attempt = F.row_number().over(Window.partitionBy(key, "__streak", failed).orderBy(*order))
+    return calls.withColumn("__streak", streak).withColumn("attempt", attempt).filter(failed).drop("__streak").withColumn("delay_ms", backoff_ms(F.col("attempt")))
+
+
 def positional(packages: DataFrame, answers: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     """Packages (ordinal, ...) with their answers (ordinal, ids: array of advisories), a row for each advisory."""
     return packages.join(answers, ordinal).withColumn("id", F.explode("ids")).drop("ids")

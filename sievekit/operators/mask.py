@@ -38,7 +38,7 @@ def masked(line: Column, spans: Column, mode: str = "redact", placeholder: str =
 
 
 def winners(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Per island: its bounds and the placeholder of its winner (priority, then length, then the earlier start).
+    """Per island: its bounds and the placeholder of its winner (priority, then length, then the earlier start, then the later placeholder).
 
     spans: keys, start, stop, priority, placeholder.  Islands by a running maximum: the relational form of the merge.
     """
@@ -46,7 +46,7 @@ def winners(spans: DataFrame, keys: list[str]) -> DataFrame:
     before = F.max("stop").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("__new", F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0))
     numbered = marked.withColumn("island", F.sum("__new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    best = F.struct("priority", F.col("stop") - F.col("start"), -F.col("start"))
+    best = F.struct("priority", F.col("stop") - F.col("start"), -F.col("start"), "placeholder")
     return numbered.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.max_by("placeholder", best).alias("placeholder"))
 
 

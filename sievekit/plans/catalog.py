@@ -133,25 +133,6 @@ def _(spark, sf_dir):
     return every.select("id", S.normalise(F.col("t")).alias("narrowed"), (F.col("t") != S.normalise(F.col("t"))).alias("changed"))
 
 
-_IGNORE_ROWS = "(1, 'mail a@b.org // sieve:ignore'), (2, 'mail a@b.org # sieve:ignore=pii.net.email'), (3, 'mail a@b.org # sieve:ignore=pii.net.ipv4'), (4, 'mail a@b.org sieve:ignore'), (5, 'mail a@b.org')"
-
-
-@query("inline_ignore", f"SELECT i FROM (VALUES {_IGNORE_ROWS}) v(i, line) WHERE NOT (contains(line, 'sieve:ignore=pii.net.email') OR ((contains(line, '# sieve:ignore') OR contains(line, '// sieve:ignore')) AND NOT contains(line, 'sieve:ignore=')))")
-def _(spark, sf_dir):
-    rows = spark.sql(f"SELECT i, line FROM VALUES {_IGNORE_ROWS} AS v(i, line)")
-    return rows.filter(~detect.ignored(F.col("line"), "pii.net.email")).select("i")
-
-
-_POSTAL_ROWS = "(1, 'rev 1234567'), (2, 'build-123-4567'), (3, 'zip 123-4567'), (4, 'バージョン：1234567'), (5, 'prebuild 123-4567'), (6, '注文番号 1234-5678-9012'), (7, 'id 1234-5678-9012 ok')"
-
-
-@query("suppress_context", f"SELECT i FROM (VALUES {_POSTAL_ROWS}) v(i, line) WHERE i IN (3, 5, 7)")
-def _(spark, sf_dir):
-    rules = [r for r in R.builtin("pii") if r.id in ("pii.jp.postal_code", "pii.jp.mynumber.unlabeled")]
-    rows = spark.sql(f"SELECT i, line FROM VALUES {_POSTAL_ROWS} AS v(i, line)")
-    return rows.filter(F.size(detect.matches(F.col("line"), rules)) > 0).select("i")
-
-
 _DIGITS = "regexp_extract_all(text, '[0-9]{13,19}')"
 
 
@@ -162,19 +143,6 @@ def _(spark, sf_dir):
     return runs.select("doc_id", "d", S.luhn_digits(F.col("d")).alias("valid"))
 
 
-_NUMBER_ROWS = "(1, '1234-5678-9012'), (2, '１２３４－５６７８ー９０１２'), (3, '123456789012 3'), (4, '090-1234-5678'), (5, '０８０１２３４５６７８'), (6, '0901234567')"
-
-
-@query("validator_mynumber", f"SELECT i, i IN (1, 2) AS valid FROM (VALUES {_NUMBER_ROWS}) v(i, t)")
-def _(spark, sf_dir):
-    return spark.sql(f"SELECT i, t FROM VALUES {_NUMBER_ROWS} AS v(i, t)").select("i", S.mynumber_length(F.col("t")).alias("valid"))
-
-
-@query("validator_phone", f"SELECT i, regexp_matches(regexp_replace(translate(t, '０１２３４５６７８９', '0123456789'), '[^0-9]', '', 'g'), '^0[789]0[0-9]{{8}}$') AS valid FROM (VALUES {_NUMBER_ROWS}) v(i, t)")
-def _(spark, sf_dir):
-    return spark.sql(f"SELECT i, t FROM VALUES {_NUMBER_ROWS} AS v(i, t)").select("i", S.mobile_number(F.col("t")).alias("valid"))
-
-
 @query("context_before_window", "WITH " + sql.lines() + " SELECT path, CAST(line_number AS BIGINT) AS line_number, array_to_string(ls[greatest(1, line_number - 5):line_number - 1], '|') AS context FROM lines")
 def _(spark, sf_dir):
     return detect.numbered_lines(documents(spark, sf_dir)).select("path", "line_number", F.array_join("context_before", "|").alias("context"))
@@ -224,15 +192,6 @@ def _(spark, sf_dir):
     return hit.select("path", "line_number", mask.masked(F.col("line"), F.col("m"), "partial").alias("masked"))
 
 
-_SPANS = "(1, 4, 7, 10, 'a'), (1, 4, 6, 20, 'b'), (1, 15, 18, 5, 'c'), (1, 18, 20, 5, 'd'), (2, 0, 5, 1, 'e'), (2, 1, 4, 9, 'f'), (3, 0, 3, 7, 'g'), (3, 3, 6, 7, 'h'), (3, 8, 9, 7, 'i')"
-
-
-@query("mask_priority", "SELECT * FROM (VALUES (1, 4, 7, 'b'), (1, 15, 20, 'c'), (2, 0, 5, 'f'), (3, 0, 6, 'g'), (3, 8, 9, 'i')) v(id, start, stop, placeholder)")
-def _(spark, sf_dir):
-    rows = spark.sql(f"SELECT * FROM VALUES {_SPANS} AS v(id, start, stop, priority, placeholder)")
-    return mask.winners(rows, ["id"]).select("id", "start", "stop", "placeholder")
-
-
 @query("filter_log", sql.filtered(LOG_RULES, "pages", "url", "html") + " SELECT * FROM filtered")
 def _(spark, sf_dir):
     return mask.filter_lines(detect.numbered_lines(pages(spark, sf_dir)), LOG_RULES).select("path", "line_number", "line")
@@ -404,56 +363,6 @@ def _(spark, sf_dir):
     return report.first_bytes(found(spark, sf_dir), ["line_number", "byte_start", "rule_id"], F.octet_length("masked_snippet"), 200).select("path", "line_number", "rule_id")
 
 
-# ---- Rules ---------------------------------------------------------------------------------------
-
-_RULE_VALUES = ", ".join(f"({sql.quoted(r.id)}, '{r.severity}', {r.score}, '{r.category}', {str(r.enabled).upper()})" for r in R.builtin("pii"))
-_RULE_TABLE = f"(VALUES {_RULE_VALUES}) v(id, severity, score, category, enabled)"
-
-
-@query("rules_list", f"SELECT id, severity, score FROM {_RULE_TABLE} WHERE severity IN ('High', 'Critical')")
-def _(spark, sf_dir):
-    return R.to_frame(spark, R.builtin("pii")).filter(R.severity_rank(F.col("severity")) >= 2).select("id", "severity", "score").orderBy("id")
-
-
-@query("rules_enabled", f"SELECT id FROM {_RULE_TABLE} WHERE enabled")
-def _(spark, sf_dir):
-    return readers.rules_table(R.to_frame(spark, R.builtin("pii")).withColumn("description", F.col("id"))).select("id")
-
-
-@query("rules_explain", f"SELECT id, severity, score, category FROM {_RULE_TABLE} WHERE id = 'pii.net.email'")
-def _(spark, sf_dir):
-    return R.to_frame(spark, R.builtin("pii")).filter("id = 'pii.net.email'").select("id", "severity", "score", "category")
-
-
-@query("rules_override", f"SELECT id, CASE id WHEN 'pii.net.email' THEN 'Critical' WHEN 'pii.net.ipv4' THEN 'Low' ELSE severity END AS severity, CASE id WHEN 'pii.net.ipv4' THEN 7 ELSE score END AS score FROM {_RULE_TABLE} UNION ALL SELECT 'own.rule', 'Medium', 50")
-def _(spark, sf_dir):
-    config = {"pii.net.email": {"severity": "critical"}, "pii.net.ipv4": {"severity": "low", "score": 7}, "own.rule": {"pattern": "x+"}}
-    return R.to_frame(spark, R.override(list(R.builtin("pii")), config=config)).select("id", "severity", "score")
-
-
-@query("rules_required", "SELECT 'log.pii.none' AS id")
-def _(spark, sf_dir):
-    required = spark.createDataFrame([("log.pii.email",), ("log.pii.none",)], "id string")
-    return required.join(R.to_frame(spark, R.builtin("log")), "id", "left_anti")
-
-
-@query("template_filter", f"SELECT id FROM {_RULE_TABLE} WHERE severity IN ('Medium', 'High') AND score BETWEEN 60 AND 85 AND id LIKE '%.keyword'")
-def _(spark, sf_dir):
-    return R.to_frame(spark, R.builtin("pii")).filter(F.col("severity").isin("Medium", "High") & F.col("score").between(60, 85) & F.col("id").endswith(".keyword")).select("id")
-
-
-@query("template_counts", f"SELECT category, severity, count(*) AS n FROM {_RULE_TABLE} GROUP BY GROUPING SETS ((category), (severity))")
-def _(spark, sf_dir):
-    R.to_frame(spark, R.builtin("pii")).createOrReplaceTempView("__rules")
-    return spark.sql("SELECT category, severity, count(*) AS n FROM __rules GROUP BY GROUPING SETS ((category), (severity))")
-
-
-@query("rules_risky", "SELECT 2 AS id UNION ALL SELECT 3")
-def _(spark, sf_dir):
-    patterns = [(1, "a+b"), (2, "(a+)+b"), (3, "(a*)*")]
-    return spark.createDataFrame([(i,) for i, p in patterns if R.risky(p)], "id int")
-
-
 # ---- Weekly metrics ------------------------------------------------------------------------------
 
 _HINTS = {"error": ["retry_later", "check_network"], "click": ["clear_cache"], "view": ["nonsense"]}
@@ -532,105 +441,23 @@ def _(spark, sf_dir):
     return metrics.noop_streak(metrics.signals(weekly(spark, sf_dir), "week"))
 
 
-_LOG_ROWS = """('{"v":1,"ts":"t","reason_code":"timeout","op":"net.get","outcome":"fail"}'), (''), ('broken {'), ('{"v":1,"ts":"t","reason_code":"offline","op":"net.get","outcome":"fail"}')"""
-
-
-@query("parse_stats", "SELECT CAST(4 AS BIGINT) AS total_lines, CAST(2 AS BIGINT) AS valid_events, CAST(1 AS BIGINT) AS parse_errors")
-def _(spark, sf_dir):
-    return metrics.parse_stats(spark.sql(f"SELECT value FROM VALUES {_LOG_ROWS} AS v(value)"))
-
-
 @query("retention_topn", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS k FROM orders) WHERE k > 3")
 def _(spark, sf_dir):
     return metrics.newest(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", 3, "o_orderkey").select("o_custkey", "o_orderkey")
 
 
-@query("week_valid", "SELECT i, i IN (1, 2) AS valid FROM (VALUES (1, '2024-W01'), (2, '2020-W53'), (3, '2024-W54'), (4, '2024-W00'), (5, '24-W01')) v(i, w)")
-def _(spark, sf_dir):
-    rows = spark.sql("SELECT i, w FROM VALUES (1, '2024-W01'), (2, '2020-W53'), (3, '2024-W54'), (4, '2024-W00'), (5, '24-W01') AS v(i, w)")
-    return rows.select("i", S.valid_week(F.col("w")).alias("valid"))
-
-
-# ---- Dependencies --------------------------------------------------------------------------------
-
-_PACKAGES = "('Rust', 'alpha', '0.9.0', 'a/lock'), ('Rust', 'alpha', '0.9.0', 'b/lock'), ('Rust', 'beta', '2.1.2', 'a/lock'), ('Rust', 'beta', '2.1.3', 'b/lock'), ('Npm', 'gamma', '1.10.0', 'c/lock')"
-_ADVISORIES = "('X-1', 'alpha', '< 1.0.0'), ('X-2', 'beta', '>= 2.0.0, < 2.1.3'), ('X-3', 'gamma', '>= 1.9.0, < 1.11.0'), ('X-4', 'alpha', '>= 0.8.0'), ('X-5', 'gamma', '< 1.9.0')"
-_VULNERABLE = "(VALUES ('Rust', 'alpha', '0.9.0', 'a/lock', 'X-1'), ('Rust', 'alpha', '0.9.0', 'b/lock', 'X-1'), ('Rust', 'alpha', '0.9.0', 'a/lock', 'X-4'), ('Rust', 'alpha', '0.9.0', 'b/lock', 'X-4'), ('Rust', 'beta', '2.1.2', 'a/lock', 'X-2'), ('Npm', 'gamma', '1.10.0', 'c/lock', 'X-3')) v(ecosystem, name, version, location, id)"
-
-
-def _vulnerable(spark: SparkSession) -> DataFrame:
-    packages = spark.sql(f"SELECT * FROM VALUES {_PACKAGES} AS v(ecosystem, name, version, location)")
-    return deps.vulnerable(packages, spark.sql(f"SELECT * FROM VALUES {_ADVISORIES} AS v(id, crate_name, vulnerable_versions)"))
-
-
-@query("advisory_match", f"SELECT * FROM {_VULNERABLE}")
-def _(spark, sf_dir):
-    return _vulnerable(spark).select("ecosystem", "name", "version", "location", "id")
-
-
-@query("vuln_group", f"SELECT ecosystem, name, version, array_to_string(list_sort(list(DISTINCT location)), ',') AS locations, array_to_string(list_sort(list(DISTINCT id)), ',') AS advisories FROM {_VULNERABLE} GROUP BY ALL")
-def _(spark, sf_dir):
-    return deps.grouped(_vulnerable(spark)).select("ecosystem", "name", "version", F.array_join("locations", ",").alias("locations"), F.array_join("advisories", ",").alias("advisories"))
-
-
-@query("min_fix", "SELECT * FROM (VALUES ('a', '1.2.0', '1.10.0'), ('b', '0.1.0', '0.1.1')) v(name, version, fixed)")
-def _(spark, sf_dir):
-    rows = spark.sql("SELECT * FROM VALUES ('a', '1.2.0', array('1.1.0', '2.0.0', '1.10.0')), ('b', '0.1.0', array('0.1.1', '0.0.9')), ('c', '3.0.0', array('2.9.9')) AS v(name, version, fixed)")
-    return deps.least_fixed(rows)
-
-
-@query("lockfile_npm", "SELECT * FROM (VALUES ('left', '1.0.0'), ('@s/right', '2.1.0')) v(name, version)")
-def _(spark, sf_dir):
-    lock = '{"packages":{"":{"version":"9.9.9"},"node_modules/left":{"version":"1.0.0"},"node_modules/left/node_modules/@s/right":{"version":"2.1.0"},"node_modules/link":{"link":true},"node_modules/odd":{"version":"file:x"}}}'
-    return deps.npm_packages(spark.createDataFrame([(lock,)], "content string"))
-
-
 # ---- Predicates, dates, registries ---------------------------------------------------------------
 
 
-@query("leakage_check", r"SELECT url FROM pages WHERE regexp_matches(html, '(?i)(#token=|\?token=|Authorization:\s*Bearer\s+[A-Za-z0-9._~-]{16,})') OR regexp_matches(html, 'page=2')")
-def _(spark, sf_dir):
-    leak = F.col("html").rlike(r"(?i)(#token=|\?token=|Authorization:\s*Bearer\s+[A-Za-z0-9._~-]{16,})")
-    return table(spark, sf_dir, "pages").filter(leak | F.contains("html", F.lit("page=2"))).select("url")
-
-
-_PATHS = "(1, 'a/b.txt'), (2, '../b'), (3, '/etc/x'), (4, 'a/../b'), (5, 'a..b/c'), (6, 'src/node_modules/x.js'), (7, 'build/y'), (8, 'rebuild/y')"
-
-
-@query("path_safety", f"SELECT i, regexp_matches(p, '(^/|(^|/)\\.\\.(/|$))') AS unsafe, i IN (6, 7) AS pruned FROM (VALUES {_PATHS}) v(i, p)")
-def _(spark, sf_dir):
-    rows = spark.sql(f"SELECT i, p FROM VALUES {_PATHS} AS v(i, p)")
-    return rows.select("i", F.col("p").rlike(r"(^/|(^|/)\.\.(/|$))").alias("unsafe"), readers.pruned(F.col("p")).alias("pruned"))
-
-
-_EXCEPTIONS = "('e1', 'r', 'path:a', 'why', 'o', '2024-01-01', '2024-06-01'), ('e2', 'r', 'file:a', 'why', 'o', '2024-01-01', NULL), ('e3', '', 'path:a', 'why', 'o', '2024-01-01', '2024-13-01'), ('e4', 'r', 'path:a', 'why', 'o', '2024-01-01', '2023-01-01'), ('e5', 'r', 'path:a', 'why', 'o', '2024-01-01', ''), ('e5', 'r', 'path:a', 'why', 'o', '2024-01-01', '2024-01-12')"
-
-
-def _exceptions(spark: SparkSession) -> DataFrame:
-    return spark.sql(f"SELECT * FROM VALUES {_EXCEPTIONS} AS v(id, rule, scope, reason, owner, created_at, expires_at)")
-
-
-@query("exception_validate", "SELECT * FROM (VALUES ('e2', 'bad scope'), ('e3', 'missing rule'), ('e3', 'bad date'), ('e4', 'expired'), ('e5', 'duplicate id'), ('e5', 'duplicate id')) v(id, problem)")
-def _(spark, sf_dir):
-    return findings.validate_exceptions(_exceptions(spark), F.lit("2024-01-10").cast("date"))
+_LEAK = r"(?i)(#token=|\?token=|Authorization:\s*Bearer\s+[A-Za-z0-9._~-]{16,})"
+_LEAKY = "html || CASE page_id % 7 WHEN 1 THEN ' /x#TOKEN=1' WHEN 2 THEN ' authorization: bearer ' || sha256(url) WHEN 3 THEN ' Authorization: Bearer short' WHEN 4 THEN ' /x?token=1' WHEN 5 THEN ' /x?mytoken=1' ELSE '' END"
 
 
-@query("expiry_status", "SELECT * FROM (VALUES ('e1', 'active'), ('e2', 'active'), ('e3', 'active'), ('e4', 'expired'), ('e5', 'active'), ('e5', 'expiring_soon')) v(id, status)")
+@query("leakage_check", f"SELECT page_id FROM (SELECT page_id, {_LEAKY} AS t FROM pages) WHERE regexp_matches(t, '{_LEAK}')")
 def _(spark, sf_dir):
-    return _exceptions(spark).select("id", findings.expiry_status(F.col("expires_at"), F.lit("2024-01-10").cast("date")).alias("status"))
-
-
-@query("exception_check", "SELECT * FROM (VALUES ('a', 'Active'), ('b', 'Expired'), ('c', 'NotExcepted'), ('d', 'Active')) v(id, status)")
-def _(spark, sf_dir):
-    ids = spark.sql("SELECT id FROM VALUES ('a'), ('b'), ('c'), ('d') AS v(id)")
-    known = spark.sql("SELECT id, expires_at FROM VALUES ('a', timestamp '2030-01-01'), ('b', timestamp '2020-01-01'), ('d', NULL) AS v(id, expires_at)")
-    return findings.check_exceptions(ids, known, F.lit("2024-01-01").cast("timestamp")).select("id", "status")
-
-
-@query("expiry_parse", "SELECT * FROM (VALUES (1, 172800), (2, 604800), (3, 31536000), (4, 10800), (5, 300), (6, NULL)) v(i, seconds)")
-def _(spark, sf_dir):
-    rows = spark.sql("SELECT i, t FROM VALUES (1, '2d'), (2, '1w'), (3, '1y'), (4, '3h'), (5, '5m'), (6, 'soon') AS v(i, t)")
-    return rows.select("i", S.expiry_seconds(F.col("t")).alias("seconds"))
+    """Pages with one of five tails or none, of which three tell a token."""
+    text = F.expr(_LEAKY.replace("sha256(url)", "sha2(url, 256)"))
+    return table(spark, sf_dir, "pages").filter(text.rlike(_LEAK)).select("page_id")
 
 
 @query("cache_freshness", "SELECT event_id, CASE WHEN value * 10000 <= 86400 THEN 'fresh' WHEN value * 10000 <= 691200 THEN 'stale' ELSE 'expired' END AS state FROM events")
@@ -638,11 +465,6 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", S.freshness(F.col("value") * 10000).alias("state"))
 
 
-@query("backoff", "SELECT CAST(n AS BIGINT) AS n, CAST(least(2000, 200 * power(2, n - 1)) AS BIGINT) AS ms FROM range(1, 8) t(n)")
-def _(spark, sf_dir):
-    return spark.range(1, 8).select(F.col("id").alias("n"), S.backoff_ms(F.col("id")).alias("ms"))
-
-
 @query("json_extract_props", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def _(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
@@ -666,9 +488,3 @@ def _(spark, sf_dir):
 @query("names_and_escapes", "SELECT o_orderkey, CASE WHEN regexp_matches(o_orderpriority, '[\",\\r\\n]') THEN '\"' || replace(o_orderpriority, '\"', '\"\"') || '\"' ELSE o_orderpriority END AS cell, regexp_replace(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM orders")
 def _(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", S.csv_cell(F.col("o_orderpriority")).alias("cell"), S.slug(F.col("o_orderpriority")).alias("slug"))
-
-
-@query("package_names", "SELECT * FROM (VALUES (1, 'x', '@s/x'), (2, '@s/y', 'y')) v(i, of_path, of_selector)")
-def _(spark, sf_dir):
-    rows = spark.sql("SELECT * FROM VALUES (1, 'node_modules/a/node_modules/x', '@s/x@^1'), (2, 'node_modules/@s/y', 'y@npm:1') AS v(i, p, s)")
-    return rows.select("i", S.package_of_path(F.col("p")).alias("of_path"), S.package_of_selector(F.col("s")).alias("of_selector"))

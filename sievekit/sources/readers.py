@@ -28,6 +28,11 @@ def pruned(path: Column) -> Column:
     return path.rlike(f"(^|/)({names})/")
 
 
+def unsafe(path: Column) -> Column:
+    """Whether a path leaves its root: it begins at the top, or one of its parts is `..`."""
+    return path.rlike(r"(^/|(^|/)\.\.(/|$))")
+
+
 def skip_reason(content: Column, size: Column, size_limit: int = SIZE_LIMIT, bad_text: str = "READ_ERROR") -> Column:
     """BINARY_FILE (a zero byte near the start), then MAX_FILE_SIZE, then bad_text for what is no UTF-8; else null."""
     binary = F.locate("\x00", F.substring(content, 1, 8192).cast("string")) > 0

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales clients items".split()
 CHECKED = [n for n in __spark_entry__.oracle_sql() if not n.startswith("op") or not n[2:3].isdigit()]
 
 

@@ -128,6 +128,63 @@ def write_json(findings: DataFrame, summary: DataFrame, path: str) -> None:
     summary.select(F.lit("null]}").alias("json")).coalesce(1).write.text(f"{path}/2-end")
 
 
+def _head_facts(findings: DataFrame, k: int = 3) -> DataFrame:
+    """One row: n, new, how many of each bucket by score, and the k rules with most findings, as an array."""
+    labels = ("Critical", "High", "Medium", "Low")
+    counts = findings.agg(F.count("*").alias("n"), F.count_if(F.col("baseline_status") == "new").alias("new"), *(F.count_if(score_label(F.col("score")) == s).alias(s) for s in labels))
+    top = top_rules(findings, k).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("__by"), "rule_id", "n"))).alias("top"))
+    return counts.join(F.broadcast(top))  # one row on either side
+
+
+HTML_END = "</tbody></table></body></html>"
+
+
+def _one(findings: DataFrame, text: str) -> DataFrame:
+    return findings.sparkSession.range(1).select(F.lit(text).alias("text"))
+
+
+def _page(head: DataFrame, rows: DataFrame, end: DataFrame) -> DataFrame:
+    """section (0: head, 1: findings, 2: end) and text."""
+    parts = [part.select(F.lit(k).alias("section"), F.col(part.columns[0]).alias("text")) for k, part in enumerate((head, rows, end))]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def markdown_head(findings: DataFrame, title: str = "Sensitive data report") -> DataFrame:
+    """What stands above the rows: title, numbers, rules with most findings, the table's header; without findings a sentence that says so."""
+    top = F.array_join(F.transform("top", lambda r: F.concat(F.lit("- "), F.replace(r["rule_id"], F.lit("|"), F.lit("\\|")), F.lit(" ("), r["n"].cast("string"), F.lit(")\n"))), "")
+    said = F.concat(F.lit(f"# {title}\n\n## Summary\n\n**Findings**: "), F.col("n").cast("string"), F.lit(" total, "), F.col("new").cast("string"), F.lit(" new\n"))
+    table = F.concat(F.lit("\n"), top, F.lit("\n## Findings\n\n| Severity | Score | Rule ID | File | Line | Match |\n|---|---|---|---|---|---|"))
+    return _head_facts(findings).select(F.concat(said, F.when(F.col("n") == 0, "\nNo sensitive data found.").otherwise(table)).alias("text"))
+
+
+def markdown_page(findings: DataFrame) -> DataFrame:
+    """A whole page as rows; write_page writes them in order."""
+    return _page(markdown_head(findings), markdown_rows(findings), _one(findings, ""))
+
+
+def html_head(findings: DataFrame, title: str = "Sensitive data report") -> DataFrame:
+    """The page up to its rows: buckets by score, and the three rules with most findings."""
+    buckets = F.concat_ws(" / ", *(F.concat(F.lit(f"{s.upper()}: "), F.col(s).cast("string")) for s in ("Critical", "High", "Medium", "Low")))
+    top = F.array_join(F.transform("top", lambda r: F.concat(F.lit("<li>"), html_escape(r["rule_id"]), F.lit(" ("), r["n"].cast("string"), F.lit(")</li>"))), "")
+    cells = "".join(f"<th>{c}</th>" for c in ("Severity", "Score", "Rule", "File", "Line", "Match"))
+    opening = F.lit(f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{title}</title></head><body><h1>{title}</h1><p>')
+    return _head_facts(findings).select(F.concat(opening, F.col("n").cast("string"), F.lit(" findings: "), buckets, F.lit("</p><ul>"), top, F.lit(f"</ul><table><thead><tr>{cells}</tr></thead><tbody>")).alias("text"))
+
+
+def html_page(findings: DataFrame) -> DataFrame:
+    """A whole page as rows, suppressed findings among them."""
+    return _page(html_head(findings), html_rows(findings), _one(findings, HTML_END))
+
+
+def write_page(findings: DataFrame, path: str, form: str = "html") -> None:
+    """A folder whose files, by name, are one page: the head, the findings in a fixed order over many files, the end."""
+    head, rows = (html_head, html_rows) if form == "html" else (markdown_head, markdown_rows)
+    order = [c for c in ("path", "line_number", "rule_id", "masked_snippet") if c in findings.columns]
+    head(findings).coalesce(1).write.text(f"{path}/0-head")
+    rows(findings.orderBy(*order)).write.text(f"{path}/1-findings")
+    _one(findings, HTML_END if form == "html" else "").coalesce(1).write.text(f"{path}/2-end")
+
+
 def table_rows(findings: DataFrame) -> DataFrame:
     """Columns of fixed width, with the masked line and never the match."""
     wide = lambda c, n: F.rpad(F.col(c).cast("string"), n, " ")

@@ -98,6 +98,15 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+def safe_key(text: Column) -> Column:
+    """A name that any file system takes: letters, digits and ._- stay, all else becomes _.
+
+    What was changed or has over 128 characters ends in 16 digits of its SHA-256 behind 64 characters at most, so that two keys don't meet.
+    """
+    safe = F.regexp_replace(text, "[^A-Za-z0-9._-]", "_")
+    return F.when((safe != text) | (F.length(safe) > 128), F.concat(F.left(safe, F.lit(64)), F.lit("-"), F.left(F.sha2(text, 256), F.lit(16)))).otherwise(safe)
+
+
 def package_of_path(path: Column) -> Column:
     return F.regexp_replace(path, "^.*node_modules/", "")
 

@@ -43,6 +43,11 @@ def check_exceptions(ids: DataFrame, registry: DataFrame, now) -> DataFrame:
     return joined.withColumn("status", status).drop("__is")
 
 
+def cleaned_exceptions(registry: DataFrame, now) -> DataFrame:
+    """What a registry keeps: one that ends at this very moment goes (though check_exceptions still takes it as active), one without an end stays."""
+    return registry.filter(F.col("expires_at").isNull() | (F.col("expires_at") > now))
+
+
 def validate_exceptions(registry: DataFrame, today) -> DataFrame:
     """One row for each problem of an exceptions table (id, rule, scope, reason, owner, created_at, expires_at), by id."""
     many = F.count("*").over(Window.partitionBy("id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,3 +82,33 @@ def add_markers(lines: DataFrame, hits: DataFrame, keys: list[str], extension: s
     joined = lines.join(flagged, [*keys, "line_number"], "left")
     fresh = F.col("__hit") & ~F.contains("line", F.lit(marker))
     return joined.withColumn("line", F.when(fresh, F.concat("line", F.lit(f" {prefix} {marker}"))).otherwise(F.col("line"))).drop("__hit")
+
+
+# How a line of a file is marked, by the ending of the file's name.
+FIX_ENDINGS = {"//": ("rs", "js", "ts", "tsx", "jsx", "go", "java", "c", "cpp", "h", "hpp"), "#": ("py", "rb", "sh", "yaml", "yml", "toml")}
+
+
+def fixed_texts(docs: DataFrame, hits: DataFrame, marker: str, text_col: str = "text") -> DataFrame:
+    """path, text, changed: the texts (path once each, text) of which some line was hit (path, line_number from 1) and got its marker.
+
+    A line that has a marker already keeps it; files of other endings stay out, and a text in which nothing changes isn't returned.
+    Ends of lines become \\n, and an end behind the last line stays.  Only paths and line numbers are grouped; a path has no more of them than lines.
+    """
+    ending = F.regexp_extract("path", r"[^/.][^/]*\.([^./]+)$", 1)
+    sign = F.coalesce(*(F.when(ending.isin(*own), F.lit(s)) for s, own in FIX_ENDINGS.items()))
+
+    @F.pandas_udf("text string, changed int")
+    def fix(texts: pd.Series, numbers: pd.Series, signs: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, at, own in zip(texts, numbers, signs, strict=True):
+            lines, changed = [x.removesuffix("\r") for x in text.split("\n")], 0
+            for n in at:
+                if n <= len(lines) and marker not in lines[n - 1]:
+                    lines[n - 1] += f" {own} {marker}"
+                    changed += 1
+            out.append(("\n".join(lines), changed))
+        return pd.DataFrame(out, columns=["text", "changed"])
+
+    numbers = hits.groupBy("path").agg(F.collect_set("line_number").alias("__numbers"))
+    known = docs.select("path", F.col(text_col).alias("__text"), sign.alias("__sign")).filter("__sign is not null and __text is not null")
+    return known.join(numbers, "path").select("path", fix("__text", "__numbers", "__sign").alias("f")).select("path", "f.text", "f.changed").filter("changed > 0")

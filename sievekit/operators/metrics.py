@@ -83,6 +83,20 @@ def recurrence(found: DataFrame, ordinal: str = "week_no") -> DataFrame:
     return hits.withColumn("active", F.max("__now").over(by_key.rowsBetween(Window.unboundedPreceding, 0)) == 1).drop("__now", "rows_in_week")
 
 
+def ledger(found: DataFrame, monday: str = "monday", keep: int = 8) -> DataFrame:
+    """A row for each category and cause: status, first_seen and last_seen (Mondays), hit_count (rows) and its last weeks, oldest first.
+
+    Active is what was there in three of some four weeks in a row, once.  Rows become weeks before anything else, so windows and arrays hold a key's weeks, never its rows.
+    """
+    weekly = found.groupBy("category", "cause", F.col(monday).alias("__monday")).agg(F.count("*").alias("__n")).filter("__monday is not null")
+    number = F.floor(F.datediff("__monday", F.lit("1970-01-05").cast("date")) / 7)
+    near = Window.partitionBy("category", "cause").orderBy("__number").rangeBetween(-3, 0)
+    judged = weekly.withColumn("__number", number).withColumn("__now", F.count("*").over(near) >= 3)
+    whole = judged.groupBy("category", "cause").agg(F.bool_or("__now").alias("__active"), F.min("__monday").alias("first_seen"), F.max("__monday").alias("last_seen"), F.sum("__n").alias("hit_count"), F.array_sort(F.collect_list("__monday")).alias("__weeks"))
+    recent = F.slice("__weeks", F.greatest(F.lit(1), F.size("__weeks") - (keep - 1)), keep)
+    return whole.select("category", "cause", F.when(F.col("__active"), "active").otherwise("inactive").alias("status"), "first_seen", "last_seen", "hit_count", recent.alias("recent_weeks"))
+
+
 def noop_streak(found: DataFrame, week: str = "week") -> DataFrame:
     """Per week: whether its set of (category, cause, severity) is the week before's, and for how many weeks in a row."""
     sets = found.groupBy(week).agg(F.array_sort(F.collect_set(F.struct("category", "cause", "severity"))).alias("items"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievekit.functions import presets
-from sievekit.operators import actions, advisories, detect, report
+from sievekit.functions import scalars as S
+from sievekit.operators import actions, advisories, detect, findings, mask, metrics, report
 from sievekit.plans import sql
 from sievekit.plans.catalog import FOUND, LOG_RULES, RULES, STATUS, found, query, stated, table
 from sievekit.plans.derived import _case, made, made_sql
-from sievekit.sources import packs, readers, shared
+from sievekit.sources import packs, readers, shared, writers
 
 # ---- Presets -------------------------------------------------------------------------------------
 
@@ -126,3 +127,57 @@ def _(spark, sf_dir):
     packs.write(folder, {"findings": every.select(F.to_json(F.struct(*every.columns)).alias("text")), "summary": report.rule_counts(every).select(F.to_json(F.struct("rule_id", "n")).alias("text"))})
     wrong = packs.verify(spark, folder).filter("problem <> 'forbidden place' and problem <> 'leak'")
     return packs.lines(spark, folder).union(wrong.select(F.concat_ws(": ", "path", "problem"), F.lit(-1).cast("long")))
+
+
+# ---- Ledgers, registries, configurations ---------------------------------------------------------
+
+_SEEN = ("'Error' AS category", "'client ' || client_id AS cause", "ts")
+
+
+@query("recurrence_ledger", f"""WITH w AS (SELECT category, cause, CAST(date_trunc('week', ts + INTERVAL 9 HOURS) AS DATE) AS monday, count(*) AS n FROM {made_sql("(SELECT * FROM clicks WHERE kind = 'error')", _SEEN)} WHERE ts IS NOT NULL GROUP BY ALL),
+j AS (SELECT *, (SELECT count(*) FROM w o WHERE o.cause IS NOT DISTINCT FROM w.cause AND o.monday BETWEEN w.monday - INTERVAL 21 DAYS AND w.monday) >= 3 AS now FROM w)
+SELECT category, cause, CASE WHEN bool_or(now) THEN 'active' ELSE 'inactive' END AS status, min(monday) AS first_seen, max(monday) AS last_seen, CAST(sum(n) AS BIGINT) AS hit_count, array_to_string(list_sort(list(CAST(monday AS VARCHAR)))[-8:], ',') AS recent_weeks FROM j GROUP BY category, cause""")
+def _(spark, sf_dir):
+    """Which clients' errors come back: weeks of Tokyo, over all clicks."""
+    seen = table(spark, sf_dir, "clicks").filter("kind = 'error'").selectExpr(*_SEEN).withColumn("monday", S.week_monday(F.col("ts")))
+    return metrics.ledger(seen).withColumn("recent_weeks", F.array_join(F.col("recent_weeks").cast("array<string>"), ","))
+
+
+@query("exceptions_cleanup", "SELECT client_id, source FROM clients WHERE client_id % 4 = 0 OR updated_at IS NULL OR updated_at > TIMESTAMP '2024-03-01 06:00:00'")
+def _(spark, sf_dir):
+    """Exceptions of clients that end at given times, some of them at the very moment, some never."""
+    registry = table(spark, sf_dir, "clients").select("client_id", "source", F.when(F.col("client_id") % 4 != 0, F.col("updated_at")).alias("expires_at"))
+    return findings.cleaned_exceptions(registry, F.lit("2024-03-01 06:00:00").cast("timestamp_ntz")).select("client_id", "source")
+
+
+_SETTINGS = (
+    "client_id", "source", _case("client_id", "'API_Key_' || client_id", "'name'", "'sessionTokens'", "CAST(NULL AS STRING)", "'city'") + " AS k",
+    _case("client_id", "city", "' Bearer ' || name", "email", "'https://h/?a=1&TOKEN=' || client_id", "'see bearer ' || name", "'Password=' || city", "name") + " AS v",
+)
+
+
+@query("config_redact", f"""SELECT client_id, source, k, CASE WHEN regexp_matches(coalesce(k, ''), '(?i)password|secret|token|api_?key|authorization|private_key|access_key') OR regexp_matches(v, '(?i)[?&#]token=|access_token=|api_?key=|secret=|password=|authorization: bearer |^\\s*bearer ') THEN CASE WHEN v IS NOT NULL THEN '<REDACTED>' END ELSE v END AS v FROM {made_sql('clients', _SETTINGS)}""")
+def _(spark, sf_dir):
+    rows = made(spark, sf_dir, "clients", _SETTINGS)
+    return rows.select("client_id", "source", "k", writers.redacted_text(F.col("k"), F.col("v")).alias("v"))
+
+
+_KEYS = ("client_id", "source", _case("client_id", "name", "email", "source || '-' || client_id", "repeat(source, 40)", "city") + " AS k")
+
+
+@query("safe_keys", f"""SELECT client_id, source, CASE WHEN s <> k OR length(s) > 128 THEN left(s, 64) || '-' || left(sha256(k), 16) ELSE s END AS safe FROM (SELECT *, regexp_replace(k, '[^A-Za-z0-9._-]', '_', 'g') AS s FROM {made_sql('clients', _KEYS)})""")
+def _(spark, sf_dir):
+    return made(spark, sf_dir, "clients", _KEYS).select("client_id", "source", S.safe_key(F.col("k")).alias("safe"))
+
+
+_FIX_PATH = "doc_id || " + _case("doc_id", "'.py'", "'.ts'", "'.txt'", "'/x.hpp'")
+_FIXED = "list_transform(string_split(text, chr(10)), lambda x, i: regexp_replace(x, '\\r$', '') || CASE WHEN list_contains(ns, i) AND NOT contains(x, 'sieve:ignore') THEN ' ' || sign || ' sieve:ignore' ELSE '' END)"
+_EMAIL = [r for r in RULES if r.id == "pii.net.email"]
+
+
+@query("fix_texts", sql.findings(_EMAIL, "documents", _FIX_PATH, "text") + f""", h AS (SELECT path, list(DISTINCT line_number) AS ns FROM graded GROUP BY path), d AS (SELECT {_FIX_PATH} AS path, text, CASE doc_id % 4 WHEN 0 THEN '#' WHEN 2 THEN NULL ELSE '//' END AS sign FROM documents)
+SELECT path, array_to_string({_FIXED}, chr(10)) AS text, CAST(len(ns) AS INT) AS changed FROM d JOIN h USING (path) WHERE sign IS NOT NULL""")
+def _(spark, sf_dir):
+    """All documents as files of four kinds: lines with addresses get a marker where the kind has comments."""
+    docs = readers.table_texts(table(spark, sf_dir, "documents"), F.expr(_FIX_PATH), "text")
+    return mask.fixed_texts(docs, detect.scan_texts(docs, _EMAIL).select("path", "line_number"), detect.MARKER)

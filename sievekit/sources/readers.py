@@ -96,6 +96,15 @@ def baseline(spark: SparkSession, path: str, schema: str = "baseline.v1") -> Dat
     return raw.select(F.explode("entries").alias("e")).select("e.*")
 
 
+def baseline_of(spark: SparkSession, folder: str, names: tuple[str, ...], schema: str = "baseline.v1") -> DataFrame | None:
+    """The baseline of a folder under the first of some names that is there; None without any.  One that is there but wrong is an error, not passed over."""
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return baseline(spark, f"{folder}/{name}", schema)
+    return None
+
+
 def registry(spark: SparkSession, path: str) -> DataFrame:
     """The exceptions of a TOML registry of version 1: id, reason, created_by, expires_at."""
     raw = tomllib.loads(Path(path).read_text("utf-8"))

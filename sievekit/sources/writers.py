@@ -8,13 +8,15 @@ import os
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievekit.functions.rules import Rule
 
-#: Keys and values of a configuration that are never written out.
-SECRET_KEYS = ("token", "secret", "password", "passwd", "credential", "api_key", "apikey", "private")
+# What a key holds whose texts are never written out, and what such a text holds.
+SECRET_KEYS = ("password", "secret", "token", "api_key", "apikey", "authorization", "private_key", "access_key")
+SECRET_MARKS = ("?token=", "&token=", "#token=", "access_token=", "api_key=", "apikey=", "client_secret=", "password=", "secret=", "authorization: bearer ")
+SECRET_START = "bearer "
 
 
 def write_atomic(path: str | Path, content: bytes) -> None:
@@ -28,17 +30,28 @@ def write_findings(findings: DataFrame, path: str) -> None:
     findings.write.json(path)
 
 
-def redacted(config: dict) -> dict:
-    """The configuration without values whose key or whose content looks secret."""
-    out = {}
-    for key, value in config.items():
-        if isinstance(value, dict):
-            out[key] = redacted(value)
-        elif any(word in key.lower() for word in SECRET_KEYS) or isinstance(value, str) and any(word in value.lower() for word in ("bearer ", "-----begin", "akia", "ghp_")):
-            out[key] = "<REDACTED>"
-        else:
-            out[key] = value
-    return out
+def redacted(value, key: str = ""):
+    """A configuration without texts whose key or whose content looks secret; lists are entered under their key, numbers and switches stay."""
+    if isinstance(value, dict):
+        return {k: redacted(v, k) for k, v in value.items()}
+    if isinstance(value, list):
+        return [redacted(v, key) for v in value]
+    if not isinstance(value, str):
+        return value
+    low = value.lower()
+    secret = any(w in key.lower() for w in SECRET_KEYS) or any(w in low for w in SECRET_MARKS) or low.lstrip().startswith(SECRET_START)
+    return "<REDACTED>" if secret else value
+
+
+def redacted_text(key: Column, value: Column) -> Column:
+    """The same for a table of keys and texts; a null text stays null, and of a null key the text alone counts."""
+    low = F.lower(value)
+    secret = F.regexp_replace(low, r"^\s+", "").startswith(SECRET_START)
+    for word in SECRET_MARKS:
+        secret = secret | F.contains(low, F.lit(word))
+    for word in SECRET_KEYS:
+        secret = secret | F.coalesce(F.contains(F.lower(key), F.lit(word)), F.lit(False))
+    return F.when(value.isNotNull() & secret, F.lit("<REDACTED>")).otherwise(value)
 
 
 def toml_string(text: str) -> str:

@@ -1,5 +1,6 @@
 """Presets, offered edits, advisory records, pages and evidence packs, on rows with nulls, gaps and damage."""
 
+import datetime
 import json
 import os
 
@@ -8,8 +9,9 @@ from pyspark.sql import functions as F
 
 from sievekit.functions import presets
 from sievekit.functions import rules as R
-from sievekit.operators import actions, advisories, detect, report
-from sievekit.sources import packs
+from sievekit.functions import scalars as S
+from sievekit.operators import actions, advisories, detect, findings, mask, metrics, report
+from sievekit.sources import packs, readers, writers
 
 
 def test_presets_are_sound_and_lie_below_configurations():
@@ -134,3 +136,50 @@ def test_packs_and_damage(spark, tmp_path):
     assert problems(spark, folder) == [("None", "unfinished")]
     with pytest.raises(ValueError, match="part"):
         packs.write(folder, {"../x": rows})
+
+
+def test_configurations_without_secrets(spark):
+    config = {"core": {"Api_Key": "x", "tokens": ["a", 7, ["b"]], "n": 1, "token_limit": 5}, "urls": ["https://h/?TOKEN=1", "https://h/"], "h": " Bearer x", "i": "see bearer x", "j": True}
+    assert writers.redacted(config) == {"core": {"Api_Key": "<REDACTED>", "tokens": ["<REDACTED>", 7, ["<REDACTED>"]], "n": 1, "token_limit": 5}, "urls": ["<REDACTED>", "https://h/"], "h": "<REDACTED>", "i": "see bearer x", "j": True}
+    rows = [("Api_Key", "x"), ("a", "x?token=1"), (None, "x"), (None, "\tbearer x"), ("secret", None), ("a", "")]
+    got = spark.createDataFrame(rows, "k string, v string").select(writers.redacted_text(F.col("k"), F.col("v"))).collect()
+    assert [r[0] for r in got] == ["<REDACTED>", "<REDACTED>", "x", "<REDACTED>", None, ""]
+
+
+def test_ledger_agrees_with_a_fold(spark):
+    first = datetime.date(2023, 11, 6)
+    weeks = {"a": [0, 1, 2], "b": [0, 4, 8, 12], "c": [0, 1, 3, 20], "d": list(range(0, 40, 2)), "e": [5, 5, 5], None: [0, 1, 2]}
+    rows = [("k", cause, first + datetime.timedelta(weeks=w)) for cause, own in weeks.items() for w in own] + [("k", "f", None)]
+    got = {r["cause"]: r for r in metrics.ledger(spark.createDataFrame(rows, "category string, cause string, monday date")).collect()}
+    assert got.keys() == weeks.keys()
+    for cause, own in weeks.items():
+        distinct = sorted(set(own))
+        active = any(sum(w - 3 <= x <= w for x in distinct) >= 3 for w in distinct)
+        recent = [first + datetime.timedelta(weeks=w) for w in distinct][-8:]
+        r = got[cause]
+        assert (r["status"], r["hit_count"], r["recent_weeks"]) == ("active" if active else "inactive", len(own), recent)
+        assert (r["first_seen"], r["last_seen"]) == (first + datetime.timedelta(weeks=distinct[0]), recent[-1])
+
+
+def test_texts_with_markers(spark):
+    rows = [("a.py", "one\ntwo\r\nthree\n"), ("b.rs", "x # sieve:ignore\ny"), ("c.txt", "x"), ("d.py", None), ("e.go", "x"), ("f.sh", "")]
+    hits = [("a.py", 2), ("a.py", 2), ("a.py", 3), ("a.py", 99), ("b.rs", 1), ("c.txt", 1), ("d.py", 1), ("zz.py", 1), ("f.sh", 1)]
+    out = mask.fixed_texts(spark.createDataFrame(rows, "path string, text string"), spark.createDataFrame(hits, "path string, line_number int"), "sieve:ignore")
+    assert sorted(tuple(r) for r in out.collect()) == [("a.py", "one\ntwo # sieve:ignore\nthree # sieve:ignore\n", 2), ("f.sh", " # sieve:ignore", 1)]
+
+
+def test_keys_and_registries(spark, tmp_path):
+    keys = ["ok-1._X", "a b", "a_b", "", "x" * 128, "x" * 129, "é", None]
+    got = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k string").select(S.safe_key(F.col("k"))).collect()]
+    assert got[0] == "ok-1._X" and got[1].startswith("a_b-") and len(got[1]) == 20 and got[2:5] == ["a_b", "", "x" * 128] and got[5].startswith("x" * 64 + "-") and len(got[5]) == 81 and got[6].startswith("_-") and got[7] is None
+    at = [datetime.datetime(2024, 1, d) for d in (1, 2, 3)]
+    registry = spark.createDataFrame([*enumerate(at), (3, None)], "id int, expires_at timestamp_ntz")
+    assert sorted(r["id"] for r in findings.cleaned_exceptions(registry, F.lit("2024-01-02").cast("timestamp_ntz")).collect()) == [2, 3]
+    names = ("base.json", "old.json")
+    assert readers.baseline_of(spark, str(tmp_path), names) is None
+    entry = {"fingerprint": "f", "rule_id": "r", "path": "p", "line": 1, "severity": "High"}
+    (tmp_path / "old.json").write_text(json.dumps({"schema": "baseline.v1", "entries": [entry]}))
+    assert readers.baseline_of(spark, str(tmp_path), names).first().asDict() == entry
+    (tmp_path / "base.json").write_text(json.dumps({"schema": "other", "entries": []}))
+    with pytest.raises(ValueError, match="schema"):
+        readers.baseline_of(spark, str(tmp_path), names)

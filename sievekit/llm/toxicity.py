@@ -2,8 +2,10 @@
 
 The kernel of two words (Lodhi et al., 2002) sums over all subsequences of ORDER letters that they have in common, side by
 side or not, each weighted by decay**gaps in either word; so inserted characters and gaps weaken a match and don't
-break it.  No subsequence is left out, however far it reaches.  A word is its letters between two boundaries; marks
-between letters are small gaps.  The machine learns from labelled texts, of which each is as toxic as its worst word.
+break it.  A word is its letters between two boundaries; marks between two letters are one small gap, however many
+they are.  A word of over FINE letters is also read in windows of so many, so an insult within other letters
+isn't outweighed by them; one of over LONGEST letters is read in windows of either size alone, so a subsequence that
+reaches over more than LONGEST letters (its weight would be under 0.06) doesn't count.  The machine learns from labelled texts, of which each is as toxic as its worst word.
 It sees words through their kernel with the landmarks, and as it is linear there, the landmarks and their weights add
 up to one weight for each subsequence, which is all that scoring needs.
 """
@@ -30,8 +32,10 @@ ORDER, DECAY, MARK = 4, 0.9, 0.1
 SHARP = 0.5
 #: Symbols: the boundaries (0 and the last), and letters with the marks over them taken off; rare letters share some.
 SYMBOLS = 48
-#: A longer run of characters is read in windows of so many, each half over the one before.
+#: Letters of the windows in which longer words are read, each half over the one before.
 LONGEST = 32
+#: Letters of the windows in which words are read beside the whole, and how far each is from the one before.
+FINE, STEP = 12, 3
 #: Words of toxic texts that the machine learns at most; words of clean texts among the landmarks.
 WITNESSES, CLEAN_LANDMARKS = 128, 96
 #: Values of words that a worker keeps.
@@ -65,7 +69,7 @@ def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """Symbols (0 is a gap) of a chunk, bounds of its words in them, and each row's first word.
 
     A run of words of one character each counts as one word, so spelled-out words are read as one.  Marks before and
-    behind a word's letters don't belong to it, a word without letters is none, and a long one is several windows.
+    behind a word's letters don't belong to it, a word without letters is none, and a long one has windows.
     """
     points, at = textscan.code_points(data)
     starts, ends, rows = textscan.words(data, offs)
@@ -78,18 +82,25 @@ def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if len(head):
         first, last, row = first[head], last[np.append(head[1:], len(first)) - 1], row[head]
     symbols = _letters()[points]
+    # marks behind marks go: what is between two letters is one mark at most
+    stays = symbols > 0
+    stays[1:] |= symbols[:-1] > 0
+    symbols, moved = symbols[stays], np.concatenate([[0], np.cumsum(stays)])
+    first, last = moved[first], moved[last]
     seen = np.flatnonzero(symbols)
     a, b = np.searchsorted(seen, first), np.searchsorted(seen, last)
     full = b > a
-    first, last, row = seen[a[full]], seen[b[full] - 1] + 1, row[full]
-    # windows
-    half = LONGEST // 2
-    count = np.maximum(-(-(last - first - LONGEST) // half), 0) + 1
-    if (count > 1).any():
-        turn = gather_ranges(np.zeros(len(count), np.int64), count)
-        ends_ = np.repeat(last, count)
-        first = np.repeat(first, count) + half * turn
-        last, row = np.minimum(first + LONGEST, ends_), np.repeat(row, count)
+    a, b, row = a[full], b[full], row[full]
+    # bounds in letters: whole words or their windows, then the finer ones
+    parts = []
+    for size, step, some in ((LONGEST, LONGEST // 2, slice(None)), (FINE, STEP, np.flatnonzero(b - a > FINE))):
+        begin, end = a[some], b[some]
+        count = np.maximum(-(-(end - begin - size) // step), 0) + 1
+        lo = np.repeat(begin, count) + step * gather_ranges(np.zeros(len(count), np.int64), count)
+        parts.append((lo, np.minimum(lo + size, np.repeat(end, count)), np.repeat(row[some], count)))
+    lo, hi, row = (np.concatenate(p) for p in zip(*parts))
+    order = np.argsort(row, kind="stable")
+    first, last, row = seen[lo[order]], seen[hi[order] - 1] + 1, row[order]
     return symbols, first, last, np.searchsorted(row, np.arange(len(offs)))
 
 

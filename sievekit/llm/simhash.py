@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievekit.llm import textscan
@@ -40,17 +40,27 @@ def fingerprints_of(data: np.ndarray, offs: np.ndarray, width: int = 3) -> np.nd
     return out
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp: 64 bits, each 1 if it is set in over half the hashes of the text's shingles (repeats included)."""
+def text_digest(text_col: str = "text") -> Column:
+    """A number by which the texts of one id are told apart."""
+    return F.xxhash64(text_col)
+
+
+def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """doc_id, fp: 64 bits, each 1 if it is set in over half the hashes of the text's shingles (repeats included); with `digest` the text's digest too."""
+    names = ["doc_id", "fp", *["digest"] * digest]
+    plain = texts(docs, id_col, text_col)
+    if digest:
+        plain = plain.withColumn("digest", text_digest())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = textscan.buffer_of(batch.column(1))
             for lo, hi in textscan.row_chunks(offs):
                 fp = fingerprints_of(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+                own = [batch.column(k).slice(lo, hi - lo) for k in (0, *[2] * digest)]
+                yield pa.RecordBatch.from_arrays([own[0], pa.array(fp.view(np.int64)), *own[1:]], names=names)
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return plain.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _primary(key: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -154,21 +164,21 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id: near-duplicates by SimHash; component_id is the smallest id reachable by links.
+def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """doc_id, fp, component_id, and with `digest` the text's digest: near-duplicates by SimHash; component_id is the smallest id reachable by links.
 
     Words are lower-cased in A-Z.  Copies collapse to their fingerprint first, and only distinct fingerprints are
     compared.  One row comes out for each row that goes in: repeated rows are in one component, rows with a null id
     have a component_id if some linked row has an id; a text without words, null included, has fingerprint
-    zero and links like any other; other columns are ignored; an empty table gives an empty table.
+    zero and links like any other; other columns are ignored; an empty table gives an empty table; texts are read whole, whatever their length.
     """
-    found = save(fingerprints(docs, width, id_col, text_col), "fingerprints")
+    found = save(fingerprints(docs, width, id_col, text_col, digest), "fingerprints")
     distinct = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
     labels = connected(links(distinct, radius))
     labelled = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     # one row for a fingerprint, so a large component is summed before the shuffle and its rows go back by a join
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    return found.join(labelled.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return found.join(labelled.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id", *["digest"] * digest)
 
 
 def digests(documents: DataFrame) -> DataFrame:

@@ -17,9 +17,15 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The documents whose ids are in verdicts, repeated rows once; a document without an id can't be judged and stays."""
-    judged = docs.filter("doc_id is not null").join(verdicts.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return judged.select(*COLUMNS).union(docs.filter("doc_id is null").select(*COLUMNS))
+    """The documents whose id and text are in verdicts (doc_id, digest).
+
+    Rows repeated in id and text become one, that with the smallest language, source and length; texts that share an id are judged each by
+    itself; a document without an id can't be judged and stays.
+    """
+    named = docs.filter("doc_id is not null").select(*COLUMNS, simhash.text_digest().alias("digest"))
+    kept = named.join(verdicts.select("doc_id", "digest").distinct(), ["doc_id", "digest"], "left_semi")
+    once = kept.groupBy("doc_id", "digest").agg(F.min(F.struct("lang", "source", "n_chars")).alias("rest"), F.max("text").alias("text"))
+    return once.select("doc_id", "text", "rest.*").union(docs.filter("doc_id is null").select(*COLUMNS))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +37,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that with the smallest id."""
-    found = simhash.near_duplicates(docs)
+    found = simhash.near_duplicates(docs, digest=True)
     return _keep(docs, found.filter("doc_id = component_id"))
 
 

@@ -51,6 +51,14 @@ def test_near_duplicates(spark, odd, odd_rows):
     assert pairs(corpus_pipeline.drop_near_duplicates(spark, odd, "")) == brute_near_duplicates(odd_rows)
 
 
+def test_texts_that_share_an_id(spark):
+    """Each text of an id is judged by itself, and which of repeated rows stays is fixed."""
+    rows = [(1, prose(1, 60), "en", "a"), (2, prose(1, 60), "en", "a"), (2, prose(2, 60), "fr", "b"), (2, prose(2, 60), "en", "b"), (3, prose(2, 60), None, "a"), (4, None, "en", "z"), (4, None, "en", "c")]
+    docs = spark.createDataFrame([(i, t, lang, source, 1) for i, t, lang, source in rows], SCHEMA)
+    got = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=repr) == [rows[0], rows[3], rows[6]]
+
+
 def test_repeats(spark):
     shared = prose(9, 70)
     rows = [(1, shared + " one"), (2, "two " + shared), (3, prose(5, 60)), (4, "")]

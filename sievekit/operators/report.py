@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievekit.functions.rules import SEVERITIES
+from sievekit.functions.rules import SEVERITIES, severity_rank
 from sievekit.functions.scalars import SCORE_FLOORS, html_escape
 
 
@@ -43,6 +43,29 @@ def breakdown(findings: DataFrame, prefix: Column) -> DataFrame:
     return findings.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("total"), F.count_if(F.col("baseline_status") == "new").alias("new"))
 
 
+def rule_breakdown(findings: DataFrame) -> DataFrame:
+    """How many findings each rule has, and how many of them the baseline doesn't know."""
+    return findings.groupBy("rule_id", "severity").agg(F.count("*").alias("total"), F.count_if(F.col("baseline_status") == "new").alias("new"))
+
+
+def top_new(findings: DataFrame, most: int = 50, budget: int = 16_384) -> DataFrame:
+    """The new findings that a summary names: the severest first, at most `most`, for as long as their sizes stay within `budget` bytes.
+
+    place counts from 1, bytes are those of all so far, and truncated says whether new findings are left out.  Ties go by score, path, place and rule, so what is named is
+    fixed.  Only the first `most` rows meet in one task, whatever the number of findings; `most` is a bound of the report.
+    """
+    new = findings.filter("baseline_status = 'new'")
+    order = (F.desc(severity_rank(F.col("severity"))), F.desc("score"), "path", "line_number", "byte_start", "rule_id")
+    size = F.octet_length(F.concat("fingerprint", "rule_id", "severity", "path")) + F.length(F.col("line_number").cast("string"))
+    first = new.orderBy(*order).limit(most)
+    ordered = Window.orderBy(*order)  # over the first rows alone
+    placed = first.withColumn("place", F.row_number().over(ordered)).withColumn("bytes", F.sum(size.cast("long")).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = placed.filter(F.col("bytes") <= budget)
+    every = new.agg(F.count("*").alias("__new"))
+    named = F.count("*").over(Window.partitionBy(F.lit(0)))
+    return kept.withColumn("__named", named).join(F.broadcast(every)).select("place", "fingerprint", "rule_id", "severity", "path", F.col("line_number").alias("line_start"), "bytes", (F.col("__named") < F.col("__new")).alias("truncated"))  # every is one row
+
+
 def policy(findings: DataFrame, max_new: int | None = None, severity: str | None = None, min_score: int | None = None) -> DataFrame:
     """One row: how many, the highest score, and whether a given threshold is reached (without one: whether there is any).
 

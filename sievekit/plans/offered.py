@@ -181,3 +181,26 @@ def _(spark, sf_dir):
     """All documents as files of four kinds: lines with addresses get a marker where the kind has comments."""
     docs = readers.table_texts(table(spark, sf_dir, "documents"), F.expr(_FIX_PATH), "text")
     return mask.fixed_texts(docs, detect.scan_texts(docs, _EMAIL).select("path", "line_number"), detect.MARKER)
+
+# ---- What a summary breaks down --------------------------------------------------------------------
+
+_RANK = "list_position(['Low', 'Medium', 'High', 'Critical'], severity)"
+_TOP = f"ORDER BY {_RANK} DESC, score DESC, path, line_number, byte_start, rule_id"
+
+
+@query("breakdown_by_rule", STATUS + " SELECT rule_id, severity, count(*) AS total, count(*) FILTER (baseline_status = 'new') AS new FROM stated GROUP BY ALL")
+def _(spark, sf_dir):
+    return report.rule_breakdown(stated(spark, sf_dir))
+
+
+def _top_sql(most: int, budget: int) -> str:
+    return STATUS + f""", fresh AS (SELECT * FROM stated WHERE baseline_status = 'new'), numbered AS (SELECT *, row_number() OVER ({_TOP}) AS place FROM fresh),
+    summed AS (SELECT *, CAST(sum(strlen(fingerprint) + strlen(rule_id) + strlen(severity) + strlen(path) + length(CAST(line_number AS VARCHAR))) OVER (ORDER BY place) AS BIGINT) AS bytes FROM numbered),
+    kept AS (SELECT * FROM summed WHERE place <= {most} AND bytes <= {budget})
+    SELECT CAST(place AS INT) AS place, fingerprint, rule_id, severity, path, CAST(line_number AS BIGINT) AS line_start, bytes, (SELECT count(*) FROM kept) < (SELECT count(*) FROM fresh) AS truncated FROM kept"""
+
+
+@query("top_new_findings", _top_sql(100, 6000))
+def _(spark, sf_dir):
+    """The summary's new findings: a report of at most 100, cut at 6,000 bytes."""
+    return report.top_new(stated(spark, sf_dir), 100, 6000)

@@ -183,3 +183,24 @@ def test_keys_and_registries(spark, tmp_path):
     (tmp_path / "base.json").write_text(json.dumps({"schema": "other", "entries": []}))
     with pytest.raises(ValueError, match="schema"):
         readers.baseline_of(spark, str(tmp_path), names)
+
+
+def test_summary_names_the_severest_new_findings(spark):
+    """Against Python, with ties, suppressed findings, both limits, and nothing new."""
+    from sievekit.functions.rules import SEVERITIES
+    from sievekit.operators import report
+
+    rows = [(f"p{i % 4}é", i // 3, i % 5, f"rule{i % 2}", SEVERITIES[i % 4], i % 7, f"f{i}", "new" if i % 3 else "suppressed") for i in range(60)]
+    found = spark.createDataFrame(rows, "path string, line_number long, byte_start long, rule_id string, severity string, score int, fingerprint string, baseline_status string")
+    new = sorted((r for r in rows if r[7] == "new"), key=lambda r: (-SEVERITIES.index(r[4]), -r[5], r[0].encode(), r[1], r[2], r[3]))
+    for most, budget in ((5, 10_000), (50, 200), (50, 0), (1000, 10_000)):
+        expected, total = [], 0
+        for place, r in enumerate(new[:most], 1):
+            total += sum(len(t.encode()) for t in (r[6], r[3], r[4], r[0], str(r[1])))
+            if total <= budget:
+                expected.append((place, r[6], r[3], r[4], r[0], r[1], total))
+        got = report.top_new(found, most, budget).collect()
+        assert sorted(tuple(r)[:7] for r in got) == expected and {r["truncated"] for r in got} <= {len(expected) < len(new)}
+    assert report.top_new(found.filter("baseline_status <> 'new'")).count() == 0
+    counts = {(r["rule_id"], r["severity"]): (r["total"], r["new"]) for r in report.rule_breakdown(found).collect()}
+    assert counts == {k: (sum(r[3:5] == k for r in rows), sum(r[3:5] == k for r in new)) for k in {r[3:5] for r in rows}}

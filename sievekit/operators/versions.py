@@ -23,10 +23,28 @@ def _core(major: Column, minor: Column, patch: Column) -> Column:
     return F.concat(_digits(major), _digits(minor), _digits(patch))
 
 
+def _fields(version: Column) -> Column:
+    """Major, minor, patch and pre-release as they are written, empty where they are not; null for what is no version."""
+    return F.when(version.rlike(_FULL), F.split(F.regexp_replace(version, _FULL, "$1\x01$2\x01$3\x01$4"), "\x01"))
+
+
+def _core_of(fields: Column) -> Column:
+    return F.when(fields.isNotNull(), _core(fields[0], fields[1], fields[2]))
+
+
+def _key_of(fields: Column) -> Column:
+    parts = F.transform(F.split(fields[3], "\\."), lambda p: F.when(p.rlike("^[0-9]+$"), F.concat(F.lit("0"), _digits(p))).otherwise(F.concat(F.lit("1"), p)))
+    return F.concat(_core_of(fields), F.when(fields[3] == "", F.lit("~")).otherwise(F.concat(F.lit("-"), F.array_join(parts, "\x01"), F.lit("\x01"))))
+
+
+def _with(value: Column, f) -> Column:
+    """f of a value that is made once, however often f speaks of it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def core(version: Column) -> Column:
     """Major, minor and patch, 20 digits each; null for what is no version."""
-    part = lambda k: F.regexp_extract(version, _FULL, k)
-    return F.when(version.rlike(_FULL), _core(part(1), part(2), part(3)))
+    return _with(_fields(version), _core_of)
 
 
 def pre_release(version: Column) -> Column:
@@ -35,9 +53,7 @@ def pre_release(version: Column) -> Column:
 
 def key(version: Column) -> Column:
     """A version's sortable key; null for what is no version."""
-    tail = pre_release(version)
-    parts = F.transform(F.split(tail, "\\."), lambda p: F.when(p.rlike("^[0-9]+$"), F.concat(F.lit("0"), _digits(p))).otherwise(F.concat(F.lit("1"), p)))
-    return F.concat(core(version), F.when(tail == "", F.lit("~")).otherwise(F.concat(F.lit("-"), F.array_join(parts, "\x01"), F.lit("\x01"))))
+    return _with(_fields(version), _key_of)
 
 
 def _release(major: Column, minor: Column, patch: Column) -> Column:
@@ -45,25 +61,33 @@ def _release(major: Column, minor: Column, patch: Column) -> Column:
     return F.concat(_core(*(c.cast("string") for c in (major, minor, patch))), F.lit("-"))
 
 
-def _bounds(comparator: Column) -> Column:
-    op = F.regexp_extract(comparator, r"^\s*([<>=^~]*)", 1)
+def _said(comparator: Column) -> Column:
+    """A comparator's sign and its version's fields."""
     text = F.regexp_replace(comparator, r"^\s*[<>=^~]*\s*", "")
-    number = lambda k: F.coalesce(F.regexp_extract(text, _FULL, k).try_cast("bigint"), F.lit(0))
-    major, minor, patch = number(1), number(2), number(3)
-    has_minor, has_patch = F.regexp_extract(text, _FULL, 2) != "", F.regexp_extract(text, _FULL, 3) != ""
+    return F.struct(F.trim(comparator).isin("*", "").alias("every"), F.regexp_extract(comparator, r"^\s*([<>=^~]*)", 1).alias("op"), _fields(text).alias("fields"))
+
+
+def _read(said: Column) -> Column:
+    fields = said["fields"]
+    number = lambda k: F.coalesce(fields[k].try_cast("bigint"), F.lit(0))
+    return F.struct(
+        said["every"].alias("every"), said["op"].alias("op"), (said["every"] | fields.isNotNull()).alias("known"), (fields[1] != "").alias("has_minor"), (fields[2] != "").alias("has_patch"),
+        number(0).alias("major"), number(1).alias("minor"), number(2).alias("patch"), _key_of(fields).alias("own"), F.when(fields[3] != "", _core_of(fields)).alias("pre"),
+    )
+
+
+def _bounds(read: Column) -> Column:
+    op, every, own, major, minor, patch = (read[c] for c in ("op", "every", "own", "major", "minor", "patch"))
+    has_minor, has_patch = read["has_minor"], read["has_patch"]
     zero, least, most = F.lit(0), F.lit(LEAST), F.lit(MOST)
-    own, behind = key(text), F.concat(key(text), F.lit("\x00"))
     next_major, next_minor, next_patch = _release(major + 1, zero, zero), _release(major, minor + 1, zero), _release(major, minor, patch + 1)
-    after = F.when(~has_minor, next_major).when(~has_patch, next_minor).otherwise(behind)  # behind all that a short version stands for
+    after = F.when(~has_minor, next_major).when(~has_patch, next_minor).otherwise(F.concat(own, F.lit("\x00")))  # behind all that a short version stands for
     start = F.when(has_patch, own).otherwise(_release(major, minor, patch))
     caret = F.when(~has_minor | (major > 0), next_major).when(~has_patch | (minor > 0), next_minor).otherwise(next_patch)
     tilde = F.when(~has_minor, next_major).otherwise(next_minor)
     low = F.when(op.isin("<", "<="), least).when(op == ">", after).otherwise(start)
-    high = F.when(op.isin(">", ">="), most).when(op == "<", start).when(op == "<=", after).when(op == "=", after).when(op == "~", tilde).otherwise(caret)
-    every = F.trim(comparator).isin("*", "")
-    pre = F.when(pre_release(text) != "", core(text))
-    known = every | text.rlike(_FULL)
-    return F.when(known, F.struct(F.when(every, least).otherwise(low).alias("low"), F.when(every, most).otherwise(high).alias("high"), F.when(~every, pre).alias("pre")))
+    high = F.when(op.isin(">", ">="), most).when(op == "<", start).when(op.isin("<=", "="), after).when(op == "~", tilde).otherwise(caret)
+    return F.when(read["known"], F.struct(F.when(every, least).otherwise(low).alias("low"), F.when(every, most).otherwise(high).alias("high"), F.when(~every, read["pre"]).alias("pre")))
 
 
 def requirement(text: Column) -> Column:
@@ -71,15 +95,24 @@ def requirement(text: Column) -> Column:
 
     pre: numbers of which pre-releases count, as one of the comparators names one of them.
     """
-    each = F.transform(F.split(text, ","), _bounds)
-    joint = F.struct(F.array_max(F.transform(each, lambda b: b["low"])).alias("low"), F.array_min(F.transform(each, lambda b: b["high"])).alias("high"), F.array_compact(F.transform(each, lambda b: b["pre"])).alias("pre"))
-    return F.when(~F.exists(each, lambda b: b.isNull()), joint)
+    # each step is a transform of its own, so that what one makes stands in the next by name and not as a copy
+    each = F.transform(F.transform(F.transform(F.split(text, ","), _said), _read), _bounds)
+
+    def joint(e: Column) -> Column:
+        both = F.struct(F.array_max(F.transform(e, lambda b: b["low"])).alias("low"), F.array_min(F.transform(e, lambda b: b["high"])).alias("high"), F.array_compact(F.transform(e, lambda b: b["pre"])).alias("pre"))
+        return F.when(~F.exists(e, lambda b: b.isNull()), both)
+
+    return _with(each, joint)
+
+
+def _within(k: Column, bounds: Column) -> Column:
+    """Whether a key lies in a range; that of a pre-release only where the range names one of the same numbers."""
+    return F.coalesce((k >= bounds["low"]) & (k < bounds["high"]) & ((F.substring(k, 61, 1) == MOST) | F.array_contains(bounds["pre"], F.substring(k, 1, 60))), F.lit(False))
 
 
 def inside(version: Column, bounds: Column) -> Column:
     """Whether a version lies in a range; a pre-release only where the range names one of the same numbers."""
-    k = key(version)
-    return F.coalesce((k >= bounds["low"]) & (k < bounds["high"]) & ((pre_release(version) == "") | F.array_contains(bounds["pre"], core(version))), F.lit(False))
+    return _with(key(version), lambda k: _within(k, bounds))
 
 
 def satisfies(version: Column, text: Column) -> Column:
@@ -89,16 +122,22 @@ def satisfies(version: Column, text: Column) -> Column:
 def vulnerable(packages: DataFrame, advisories: DataFrame) -> DataFrame:
     """A row for each package and advisory of its name whose range holds its version; packages: name, version and more, advisories: crate_name, vulnerable_versions and more.
 
-    Each distinct version is looked at once, however many places have it.  An advisory goes only to those major versions of its name that its range touches, and versions are
-    joined by name and major version, so a name with many of both is dealt to many tasks.
+    Each distinct requirement is read once, however many advisories have it, and each package's version is made a key once.  An advisory goes only to those major versions of its
+    name that its range touches, and packages are joined by name and major version, so a name with many of both is dealt to many tasks.
     """
-    versions = packages.select("name", "version").distinct().withColumn("__major", F.substring(core(F.col("version")), 1, 20)).filter("__major is not null")
-    ranged = advisories.withColumn("__range", requirement(F.col("vulnerable_versions"))).filter("__range is not null").withColumn("__advisory", F.monotonically_increasing_id())
-    majors = versions.select("name", "__major").distinct()
-    touched = (F.concat("__major", F.lit(MOST)) >= F.col("__range.low")) & (F.col("__major") < F.col("__range.high"))
-    dealt = ranged.join(majors, F.col("crate_name") == F.col("name")).filter(touched).drop("name").withColumnRenamed("__major", "__own")
-    hits = versions.join(dealt, (F.col("name") == F.col("crate_name")) & (F.col("__major") == F.col("__own"))).filter(inside(F.col("version"), F.col("__range")))
-    return packages.join(hits.drop("crate_name", "__major", "__own", "__range", "__advisory"), ["name", "version"])
+    # the text to be read is a result of the grouping, so that no filter on the range is made a filter on every advisory
+    asked = advisories.groupBy("vulnerable_versions").agg(F.max("vulnerable_versions").alias("__text"))
+    ranges = asked.select("vulnerable_versions", requirement(F.col("__text")).alias("__range")).filter("__range is not null")
+    ranged = advisories.join(ranges, "vulnerable_versions").select(*advisories.columns, "__range")
+    # what is no version has an empty key, which no range holds; as that is never null, no filter makes the keys a second time
+    fields = packages.withColumn("__fields", _fields(F.col("version")))
+    majors = fields.select("name", F.coalesce(F.substring(_core_of(F.col("__fields")), 1, 20), F.lit("")).alias("__own")).distinct()
+    touched = (F.concat("__own", F.lit(MOST)) >= F.col("__range.low")) & (F.col("__own") < F.col("__range.high"))
+    dealt = ranged.join(majors, F.col("crate_name") == F.col("name")).filter(touched).drop("name")
+    keyed = fields.withColumn("__key", F.coalesce(_key_of(F.col("__fields")), F.lit(""))).drop("__fields")
+    hits = keyed.join(dealt, (F.col("name") == F.col("crate_name")) & (F.substring("__key", 1, 20) == F.col("__own"))).filter(_within(F.col("__key"), F.col("__range")))
+    rest = [c for c in packages.columns if c not in ("name", "version")]
+    return hits.select("name", "version", *rest, *(c for c in advisories.columns if c != "crate_name"))
 
 
 def least_fixed(found: DataFrame, fixed: str = "fixed") -> DataFrame:

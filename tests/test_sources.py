@@ -197,3 +197,16 @@ def test_advisories_by_range(spark):
     assert sorted((x["name"], x["version"], x["location"], x["id"]) for x in got) == sorted(expected) and len(expected) > 500
     fixed = spark.createDataFrame([("a", "1.2.0-rc.1", ["1.0.0", "1.2.0", "2.0.0"]), ("b", "1.2.0", ["1.2.0-rc.1", "1.2.0"]), ("c", "0.1.0", ["0.2.0-alpha", "0.2.0"])], "name string, version string, fixed array<string>")
     assert {(x["name"], x["fixed"]) for x in versions.least_fixed(fixed).collect()} == {("a", "1.2.0"), ("c", "0.2.0-alpha")}
+
+
+def test_a_requirement_is_read_once_and_a_version_has_few_patterns(spark):
+    packages = spark.createDataFrame([("a", "1.0.0", "x"), ("a", "1.0.0", "x"), ("a", "1.0.0-rc.1", "y"), ("a", None, "y"), ("a", "junk", "z")], "name string, version string, location string")
+    advisories = spark.createDataFrame([("X-1", "a", "< 2"), ("X-1", "a", "< 2"), ("X-2", "a", None), ("X-3", "a", ">= 1.0.0-beta, < 1.0.0"), ("X-4", "a", "*")], "id string, crate_name string, vulnerable_versions string")
+    found = versions.vulnerable(packages, advisories)
+    got = sorted((r["version"], r["location"], r["id"]) for r in found.collect())
+    assert got == sorted([("1.0.0", "x", "X-1")] * 4 + [("1.0.0", "x", "X-4")] * 2 + [("1.0.0-rc.1", "y", "X-3")])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") + plan.count("regexp_") < 60
+    reading = [line for line in plan.splitlines() if "split(__text" in line or "Aggregate [vulnerable_versions" in line]
+    assert "split(__text" in reading[0] and "Aggregate" in reading[-1]  # read above the grouping
+    assert "split(vulnerable_versions" not in plan

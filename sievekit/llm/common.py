@@ -7,24 +7,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.sources.shared import forget, save, shared_dir  # noqa: F401  (operators take them from here)
+from sievekit.sources.shared import BATCH_ROWS, forget, save, shared_dir, small_batches  # noqa: F401  (operators take them from here)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of an Arrow batch where the session leaves the default of 10,000: texts and lists of ids are long.
-BATCH_ROWS = 1024
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Keep the batches between JVM and Python at a few MB, as the memory beside the heap is small."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, BATCH_ROWS)
-
-
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only what an operator needs, so other columns of any name do no harm."""
     small_batches(docs.sparkSession)

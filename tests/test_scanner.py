@@ -4,6 +4,7 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,24 @@ def test_empty_table_and_no_rules(spark, texts):
 def test_no_rule_stands_in_the_plan(spark, texts):
     plan = detect.scan_texts(texts.select("id", "text"), RULES).groupBy("severity").count()._jdf.queryExecution().optimizedPlan().toString().lower()
     assert plan.count("mapinarrow") == 1 and "rlike" not in plan and "regexp" not in plan
+
+
+def test_masked_texts_go_out_by_chunks(spark, monkeypatch):
+    """A worker holds a chunk's texts, however many the batch has; nulls, ends of lines and order stay."""
+    monkeypatch.setattr(scanner, "CHUNK_BYTES", 4000)
+    rows = [(k, None if k % 7 == 0 else f"a{k}@b.org {'x' * (k % 50)}\r\nline {k}\n" if k % 2 else f"plain {k}\n") for k in range(2000)]
+    kept = []
+
+    class Rows:
+        schema, sparkSession = None, spark
+
+        def mapInArrow(self, run, _):
+            kept.append(run)
+
+    rule = [r for r in R.builtin("pii") if r.id == "pii.net.email"]
+    scanner.rewrite(Rows(), rule, detect.MARKER, "text", scanner.hiding("redact", "<REDACTED>"))
+    batch = pa.record_batch({"id": [k for k, _ in rows], "text": [t for _, t in rows]}).slice(3)
+    out = list(kept[0](iter([batch])))
+    expected = [(k, None if t is None else t.replace(f"a{k}@b.org", "<REDACTED>").replace("\r\n", "\n")[:-1]) for k, t in rows[3:]]
+    assert [(r["id"], r["text"]) for b in out for r in b.to_pylist()] == expected
+    assert max(b.nbytes for b in out) < 8000 and len(out) > 5

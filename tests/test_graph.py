@@ -61,3 +61,12 @@ def test_table_function(spark):
     got = spark.sql("SELECT id, f.* FROM {docs}, LATERAL scan_rows(text) AS f", docs=docs).select(*columns).collect()
     expected = detect.scan_texts(docs, rules).select(*columns).collect()
     assert len(got) == 6 and sorted(map(repr, got)) == sorted(map(repr, expected))
+
+
+def test_table_function_reads_batches(spark):
+    """Python gets texts by Arrow batches, once each, and not one a call."""
+    surface.register(spark, R.builtin("creds"), "scan_batches")
+    docs = spark.range(10).selectExpr("id", "CAST(id AS STRING) AS text")
+    plan = spark.sql("SELECT id, f.* FROM {docs}, LATERAL scan_batches(text) AS f", docs=docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "UDTF" not in plan
+    assert spark.sql("SELECT f.* FROM {docs}, LATERAL scan_batches(text) AS f", docs=docs).count() == 0

@@ -158,3 +158,16 @@ def test_mask_queries_cover_all_lines(spark, tmp_path):
     assert {tuple(r) for r in got} == expected and len(got) == len(expected)
     whole = {r["path"]: r["text"] for r in queries["mask_file"](spark, str(tmp_path)).collect()}
     assert whole == {str(i): "\n".join(pattern.sub("<REDACTED>", line) for line in brute_lines(text)) for i, text in rows}
+
+
+def test_pages_that_share_a_url_and_numbers_that_occur_twice(spark, tmp_path):
+    """Each page is masked by itself, and a number is valid by its digits, however often it occurs."""
+    from sievekit.plans import catalog
+
+    spark.createDataFrame([(1, "u", "mail a@b.org x"), (2, "u", "plain"), (3, "u", "more and c@d.org")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = [r["line"] for r in catalog.QUERIES["filter_log"](spark, str(tmp_path)).collect()]
+    assert len(got) == 3 and "plain" in got and not any("@" in t for t in got) and any(t.startswith("mail ") and t.endswith(" x") for t in got) and any(t.startswith("more and ") for t in got)
+    text = "9807915762804490 and 9807915762804490, 4111111111111111"
+    spark.createDataFrame([(45, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["d"]: r["valid"] for r in catalog.QUERIES["validator_luhn_digits"](spark, str(tmp_path)).collect()}
+    assert got == {"9807915762804490": False, "4111111111111111": True}

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 #: Below and above all keys.
 LEAST, MOST = "", "~"
 RANGE = "struct<low:string,high:string,pre:array<string>>"
+#: First major versions of the stretches, after 0, by which packages and advisories of a name are dealt.
+STRETCHES = (1, 2, 3, 4, 8, 16, 64, 1024)
 _FULL = r"^\s*[v=]?\s*([0-9]+)(?:\.([0-9]+))?(?:\.([0-9]+))?(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]*)?\s*$"
 
 
 def _digits(text: Column) -> Column:
-    return F.lpad(F.coalesce(F.nullif(text, F.lit("")), F.lit("0")), 20, "0")
+    return F.lpad(F.coalesce(text, F.lit("")), 20, "0")
 
 
 def _core(major: Column, minor: Column, patch: Column) -> Column:
@@ -25,7 +27,8 @@ def _core(major: Column, minor: Column, patch: Column) -> Column:
 
 def _fields(version: Column) -> Column:
     """Major, minor, patch and pre-release as they are written, empty where they are not; null for what is no version."""
-    return F.when(version.rlike(_FULL), F.split(F.regexp_replace(version, _FULL, "$1\x01$2\x01$3\x01$4"), "\x01"))
+    said = F.regexp_replace(version, _FULL, "$1\x01$2\x01$3\x01$4")
+    return F.when(said != version, F.split(said, "\x01"))  # what matches has no such mark, so it never stays as it was
 
 
 def _core_of(fields: Column) -> Column:
@@ -119,23 +122,31 @@ def satisfies(version: Column, text: Column) -> Column:
     return inside(version, requirement(text))
 
 
+def _stretch(k: Column) -> Column:
+    """The number of the stretch of major versions that a key, or the end of a range, lies in."""
+    out = F.when(k < f"{STRETCHES[0]:020}", 0)
+    for number, first in enumerate(STRETCHES[1:], 1):
+        out = out.when(k < f"{first:020}", number)
+    return out.otherwise(len(STRETCHES))
+
+
 def vulnerable(packages: DataFrame, advisories: DataFrame) -> DataFrame:
     """A row for each package and advisory of its name whose range holds its version; packages: name, version and more, advisories: crate_name, vulnerable_versions and more.
 
-    Each distinct requirement is read once, however many advisories have it, and each package's version is made a key once.  An advisory goes only to those major versions of its
-    name that its range touches, and packages are joined by name and major version, so a name with many of both is dealt to many tasks.
+    Each distinct requirement is read once, however many advisories have it, and each package's version once; packages are read and moved once.  Both sides are joined by name and
+    stretch of major versions (STRETCHES), so a name with many of both is dealt to several tasks; an advisory goes to the stretches that its range touches, a fixed number at most.
     """
     # the text to be read is a result of the grouping, so that no filter on the range is made a filter on every advisory
     asked = advisories.groupBy("vulnerable_versions").agg(F.max("vulnerable_versions").alias("__text"))
     ranges = asked.select("vulnerable_versions", requirement(F.col("__text")).alias("__range")).filter("__range is not null")
-    ranged = advisories.join(ranges, "vulnerable_versions").select(*advisories.columns, "__range")
+    ranged = advisories.join(ranges, "vulnerable_versions").select(*advisories.columns, "__range", F.explode(F.array(*map(F.lit, range(len(STRETCHES) + 1)))).alias("__part"))
+    low, high = F.col("__range.low"), F.col("__range.high")
+    # one condition that needs the stretch, so that no part of it is made a filter below, where it would read requirements again
+    dealt = ranged.filter(F.when(low < high, F.col("__part").between(_stretch(low), _stretch(high))))
     # what is no version has an empty key, which no range holds; as that is never null, no filter makes the keys a second time
     fields = packages.withColumn("__fields", _fields(F.col("version")))
-    majors = fields.select("name", F.coalesce(F.substring(_core_of(F.col("__fields")), 1, 20), F.lit("")).alias("__own")).distinct()
-    touched = (F.concat("__own", F.lit(MOST)) >= F.col("__range.low")) & (F.col("__own") < F.col("__range.high"))
-    dealt = ranged.join(majors, F.col("crate_name") == F.col("name")).filter(touched).drop("name")
-    keyed = fields.withColumn("__key", F.coalesce(_key_of(F.col("__fields")), F.lit(""))).drop("__fields")
-    hits = keyed.join(dealt, (F.col("name") == F.col("crate_name")) & (F.substring("__key", 1, 20) == F.col("__own"))).filter(_within(F.col("__key"), F.col("__range")))
+    keyed = fields.withColumn("__key", F.coalesce(_key_of(F.col("__fields")), F.lit(""))).drop("__fields").withColumn("__of", _stretch(F.col("__key")))
+    hits = keyed.join(dealt, (F.col("name") == F.col("crate_name")) & (F.col("__of") == F.col("__part"))).filter(_within(F.col("__key"), F.col("__range")))
     rest = [c for c in packages.columns if c not in ("name", "version")]
     return hits.select("name", "version", *rest, *(c for c in advisories.columns if c != "crate_name"))
 

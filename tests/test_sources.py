@@ -210,3 +210,16 @@ def test_a_requirement_is_read_once_and_a_version_has_few_patterns(spark):
     reading = [line for line in plan.splitlines() if "split(__text" in line or "Aggregate [vulnerable_versions" in line]
     assert "split(__text" in reading[0] and "Aggregate" in reading[-1]  # read above the grouping
     assert "split(vulnerable_versions" not in plan
+
+
+def test_packages_are_read_once_and_dealt_by_stretch(spark, tmp_path):
+    majors = [0, 1, 2, 3, 4, 7, 8, 15, 16, 63, 64, 1023, 1024, 2024, 10**12]
+    packages = [("hot", f"{m}.{k}.0{end}", "at") for m in majors for k in (0, 5) for end in ("", "-rc.1")] + [("hot", "a\x01b\x01c\x01d", "at"), ("hot", "", "at"), ("hot", None, "at")]
+    texts = ["*", "< 4.5.0", ">= 7", ">= 8.0.0, < 64.0.0", "< 2, > 3", ">= 64.0.0-rc.1", "<= 2024.5", "^1023.1", f"< {10**12}.1.0", "=3.5.0-rc.1"]
+    spark.createDataFrame(packages, "name string, version string, location string").write.parquet(str(tmp_path / "p"))
+    advisories = spark.createDataFrame([(f"X-{k}", "hot", t) for k, t in enumerate(texts)], "id string, crate_name string, vulnerable_versions string")
+    found = versions.vulnerable(spark.read.parquet(str(tmp_path / "p")), advisories)
+    expected = [(v, f"X-{k}") for _, v, _ in packages if v and v[0] != "a" for k, t in enumerate(texts) if meets(v, t)]
+    assert sorted((r["version"], r["id"]) for r in found.collect()) == sorted(expected) and len(expected) > 100
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1  # no second pass over the packages

@@ -31,6 +31,13 @@ def _fields(version: Column) -> Column:
     return F.when(said != version, F.split(said, "\x01"))  # what matches has no such mark, so it never stays as it was
 
 
+def _fields_of_many(version: Column) -> Column:
+    """As _fields, for many rows: three numbers with dots between them, as most versions are, are cut at the dots, and only others meet the pattern."""
+    cut = F.split(version, "\\.")
+    plain = (F.translate(version, "0123456789", "") == "..") & (cut[0] != "") & (cut[1] != "") & (cut[2] != "")
+    return F.when(plain, F.concat(cut, F.array(F.lit("")))).otherwise(_fields(version))
+
+
 def _core_of(fields: Column) -> Column:
     return F.when(fields.isNotNull(), _core(fields[0], fields[1], fields[2]))
 
@@ -144,7 +151,7 @@ def vulnerable(packages: DataFrame, advisories: DataFrame) -> DataFrame:
     # one condition that needs the stretch, so that no part of it is made a filter below, where it would read requirements again
     dealt = ranged.filter(F.when(low < high, F.col("__part").between(_stretch(low), _stretch(high))))
     # what is no version has an empty key, which no range holds; as that is never null, no filter makes the keys a second time
-    fields = packages.withColumn("__fields", _fields(F.col("version")))
+    fields = packages.withColumn("__fields", _fields_of_many(F.col("version")))
     keyed = fields.withColumn("__key", F.coalesce(_key_of(F.col("__fields")), F.lit(""))).drop("__fields").withColumn("__of", _stretch(F.col("__key")))
     hits = keyed.join(dealt, (F.col("name") == F.col("crate_name")) & (F.col("__of") == F.col("__part"))).filter(_within(F.col("__key"), F.col("__range")))
     rest = [c for c in packages.columns if c not in ("name", "version")]

@@ -223,3 +223,9 @@ def test_packages_are_read_once_and_dealt_by_stretch(spark, tmp_path):
     assert sorted((r["version"], r["id"]) for r in found.collect()) == sorted(expected) and len(expected) > 100
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parquet") == 1  # no second pass over the packages
+
+
+def test_versions_cut_at_dots_are_those_of_the_pattern(spark):
+    odd = ["1..2", ".1.2", "1.2.", "..", "...", "1.2.3.4", "1.2.3\n", " 1.2.3 ", "v1.2.3", "\u0663.1.2", "1.2.3-", "1.2.3-rc.1", "1.2.3+b.1", "01.002.0003", "9" * 25 + ".0.1", "1.2.x", "1. 2.3", "", None, "..-1"]
+    rows = spark.createDataFrame([(v,) for v in VERSIONS + odd], "v string").select("v", versions._fields(F.col("v")).alias("a"), versions._fields_of_many(F.col("v")).alias("b")).collect()
+    assert not [r for r in rows if r["a"] != r["b"]] and sum(r["a"] is None for r in rows) > 8

@@ -46,13 +46,15 @@ class Model:
 
     def share(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """An id's share of its class behind the slot before it; where the counts say little, its share anywhere."""
-        own, within = self.slot[ids], self.within[ids]
+        out = self.within[ids]
         if self.pairs is None:
-            return within
-        fits = (before < SLOTS) & (self.group[ids] >= STARTS)
-        p = np.where(fits, before, 0)
-        seen = np.where(fits & (own < SLOTS), self.pairs[p, np.minimum(own, SLOTS - 1)], 0)
-        return (seen + PRIOR * within) / (np.where(fits, self.follow[p, self.group[ids]], 0) + PRIOR)
+            return out
+        fits = np.flatnonzero((before < SLOTS) & (self.group[ids] >= STARTS))
+        ids, p = ids[fits], before[fits]
+        own = self.slot[ids]
+        seen = np.where(own < SLOTS, self.pairs[p, np.minimum(own, SLOTS - 1)], 0)
+        out[fits] = (seen + PRIOR * out[fits]) / (self.follow[p, self.group[ids]] + PRIOR)
+        return out
 
     @property
     def end(self) -> int:
@@ -84,51 +86,68 @@ _LIMIT = 20.0
 
 _ONES = np.ones((max(WINDOW, CLASSES), 1), np.float32)
 _SCALE = np.float32(WIDTH**-0.5)
+#: Windows that are computed together, whatever the batch: their arrays then stay in a core's cache.
+TOGETHER = 64
+#: Places of a slot's weights among all of `embed`.
+_CELLS = np.arange((SLOTS + 2) * WIDTH).reshape(-1, WIDTH)
 
 
-def step(w: dict[str, np.ndarray], state: dict[str, np.ndarray], slots: np.ndarray, classes: np.ndarray, mask: np.ndarray, rate: float) -> float:
-    """One AdaGrad step on a batch of windows; the mean loss before it.
+def _gradients(w: dict[str, np.ndarray], three: np.ndarray, table: np.ndarray, at_place: np.ndarray, slots: np.ndarray, classes: np.ndarray, share: np.ndarray) -> tuple:
+    """Of some windows: their part of the loss, and gradients for out, bias, at_place, three and each place's input row.
 
+    three, table, at_place: query, key and value side by side, what they give for each slot, and what is added by place.  share: each place's part of the mean.
     Sums over short rows are products with ones, and what queries, keys and values share is one product.
     """
-    many = slots.shape[0]
-    three = np.concatenate([w["query"], w["key"], w["value"]], axis=1)
-    x = np.take(w["embed"], slots, axis=0)
-    each = x @ three
-    q, k, v = each[:, :, :WIDTH] + w["at_query"], each[:, :, WIDTH : 2 * WIDTH] + w["at_key"], each[:, :, 2 * WIDTH :]
+    many, n = slots.shape[0], slots.size
+    x = np.take(w["embed"], slots.ravel(), axis=0)
+    each = np.take(table, slots, axis=0)
+    each += at_place
+    q, k, v = each[:, :, :WIDTH], each[:, :, WIDTH : 2 * WIDTH], each[:, :, 2 * WIDTH :]
     a = np.matmul(q, k.transpose(0, 2, 1))
-    a *= _SCALE
     np.clip(a, -_LIMIT, _LIMIT, out=a)
     np.exp(a, out=a)
     a *= _CAUSAL
     a /= a @ _ONES[:WINDOW]
     mixed = np.matmul(a, v)
-    h = x + mixed
-    z = h.reshape(-1, WIDTH) @ w["out"]
+    h = x + mixed.reshape(-1, WIDTH)
+    z = h @ w["out"]
     z += w["bias"]
     np.clip(z, -60, 60, out=z)
     np.exp(z, out=z)
-    z /= z @ _ONES[:CLASSES]
-    flat_mask = mask.ravel().astype(np.float32)
-    n = max(float(flat_mask.sum()), 1.0)
-    at = np.arange(len(z)) * CLASSES + classes.ravel()
-    loss = -float(np.log(np.take(z, at) + 1e-12) @ flat_mask) / n
-    z.ravel()[at] -= 1
-    z *= (flat_mask / np.float32(n))[:, None]
-    g = {"out": h.reshape(-1, WIDTH).T @ z, "bias": z.sum(axis=0)}
+    total = z @ _ONES[:CLASSES, 0]
+    at = np.arange(n) * CLASSES + classes.ravel()
+    loss = -float(np.log(np.take(z, at) / total + 1e-12) @ share)
+    z *= (share / total)[:, None]
+    z.ravel()[at] -= share
     dh = (z @ w["out"].T).reshape(many, WINDOW, WIDTH)
     ds = np.matmul(dh, v.transpose(0, 2, 1))
-    ds -= (dh * mixed) @ _ONES[:WIDTH]  # a row's attention times its gradient sums to this
+    ds -= np.einsum("ijk,ijk->ij", dh, mixed)[:, :, None]  # a row's attention times its gradient sums to this
     ds *= a
-    ds *= _SCALE
-    dq, dk, dv = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dh)
-    g["at_query"], g["at_key"] = dq.sum(axis=0), dk.sum(axis=0)
-    back = np.concatenate([dq, dk, dv], axis=2).reshape(-1, 3 * WIDTH)
-    g["query"], g["key"], g["value"] = np.split(x.reshape(-1, WIDTH).T @ back, 3, axis=1)
+    back = np.empty((many, WINDOW, 3 * WIDTH), np.float32)
+    np.matmul(ds, k, out=back[:, :, :WIDTH])
+    np.matmul(ds.transpose(0, 2, 1), q, out=back[:, :, WIDTH : 2 * WIDTH])
+    np.matmul(a.transpose(0, 2, 1), dh, out=back[:, :, 2 * WIDTH :])
+    g_place = (np.ones(many, np.float32) @ back.reshape(many, -1)).reshape(WINDOW, -1)
+    back = back.reshape(n, -1)
     dx = back @ three.T
-    dx += dh.reshape(-1, WIDTH)
-    cell = slots.reshape(-1, 1) * WIDTH + np.arange(WIDTH, dtype=slots.dtype)
-    g["embed"] = np.bincount(cell.ravel(), dx.ravel(), w["embed"].size).reshape(-1, WIDTH).astype(np.float32)
+    dx += dh.reshape(n, -1)
+    return loss, (z.T @ h).T, np.ones(n, np.float32) @ z, g_place, (back.T @ x).T, dx
+
+
+def step(w: dict[str, np.ndarray], state: dict[str, np.ndarray], slots: np.ndarray, classes: np.ndarray, mask: np.ndarray, rate: float) -> float:
+    """One AdaGrad step on a batch of windows; the mean loss before it."""
+    # the scale of the attention's products is in the query's weights, and again in their gradients
+    three = np.concatenate([w["query"] * _SCALE, w["key"], w["value"]], axis=1)
+    at_place = np.concatenate([w["at_query"] * _SCALE, w["at_key"], np.zeros((WINDOW, WIDTH), np.float32)], axis=1)
+    table = w["embed"] @ three
+    share = mask.astype(np.float32) / np.float32(max(float(mask.sum()), 1.0))
+    parts = [slice(lo, lo + TOGETHER) for lo in range(0, len(slots), TOGETHER)]
+    *sums, rows = zip(*(_gradients(w, three, table, at_place, slots[p], classes[p], share[p].ravel()) for p in parts))
+    loss, g_out, g_bias, g_place, g_three = (sum(x[1:], x[0]) for x in sums)
+    cells = np.take(_CELLS, slots.ravel(), axis=0).ravel()
+    g = {"out": g_out, "bias": g_bias, "at_query": g_place[:, :WIDTH] * _SCALE, "at_key": g_place[:, WIDTH : 2 * WIDTH]}
+    g |= {"query": g_three[:, :WIDTH] * _SCALE, "key": g_three[:, WIDTH : 2 * WIDTH], "value": g_three[:, 2 * WIDTH :]}
+    g["embed"] = np.bincount(cells, np.concatenate(rows).ravel(), w["embed"].size).reshape(-1, WIDTH).astype(np.float32)
     for name, d in g.items():
         state[name] += d * d
         w[name] -= (rate * d / np.sqrt(state[name])).astype(np.float32)
@@ -167,7 +186,7 @@ def train(model: Model, ids: np.ndarray, lengths: np.ndarray, rounds: int, rate:
     """Train the model's weights in place on texts of ids (each ends with the end's id); the last round's mean loss."""
     starts = np.cumsum(lengths) - lengths
     text, place, _ = windows(lengths, WINDOW)
-    seen = _seen(model, ids, starts)
+    seen, group = _seen(model, ids, starts), model.group[ids]
     random, state = np.random.default_rng(seed), start_state(model.weights) if state is None else state
     loss = 0.0
     for _ in range(rounds):
@@ -175,12 +194,12 @@ def train(model: Model, ids: np.ndarray, lengths: np.ndarray, rounds: int, rate:
         for lo in range(0, len(order), batch):
             some = order[lo : lo + batch]
             target, real = _targets(starts, lengths, text[some], place[some])
-            losses.append(step(model.weights, state, seen[target], model.group[ids[target]], real.astype(np.float32), rate))
+            losses.append(step(model.weights, state, np.take(seen, target), np.take(group, target), real, rate))
         loss = float(np.mean(losses)) if losses else 0.0
     return loss
 
 
-def log_probabilities(model: Model, ids: np.ndarray, lengths: np.ndarray, batch: int = 128) -> tuple[np.ndarray, np.ndarray]:
+def log_probabilities(model: Model, ids: np.ndarray, lengths: np.ndarray, batch: int = 2 * TOGETHER) -> tuple[np.ndarray, np.ndarray]:
     """For each id its natural log probability, and that of any id that begins a word or ends the text in its place.
 
     Windows overlap: but for a text's first, a window's first ids are context, and each id is scored once.
@@ -193,34 +212,40 @@ def log_probabilities(model: Model, ids: np.ndarray, lengths: np.ndarray, batch:
     seen, group = _seen(model, ids, starts), model.group[ids]
     within = np.log(model.share(seen, ids))
     text, place, first = windows(lengths, WINDOW - CONTEXT)
-    # what a slot gives to the layer is looked up, not multiplied again: query, key, value and itself
-    scale = np.float32(WIDTH**-0.5)
-    table = np.concatenate([w["embed"] @ w["query"] * scale, w["embed"] @ w["key"], w["embed"] @ w["value"], w["embed"]], axis=1)
-    at_place = np.concatenate([w["at_query"] * scale, w["at_key"], np.zeros((WINDOW, 2 * WIDTH), np.float32)], axis=1)
+    # what a slot gives to the layer is looked up, not multiplied again: query, key, value, and its own part of the classes' sums
+    queries, keys, values = w["embed"] @ (w["query"] * _SCALE), w["embed"] @ w["key"], w["embed"] @ w["value"]
+    direct = w["embed"] @ w["out"] + w["bias"]
+    # attention mixes values with weights that sum to one, so no sum is beyond this
+    clipped = float(np.abs(direct).max() + np.abs(values @ w["out"]).max()) > 60
     sides = np.stack([np.ones(CLASSES), np.arange(CLASSES) < STARTS], axis=1).astype(np.float32)
-    scored = np.arange(WINDOW)[None, :] >= np.where(first, 0, CONTEXT)[:, None]
-    for lo in range(0, len(text), batch):
-        part = slice(lo, lo + batch)
-        target, real = _targets(starts, lengths, text[part], place[part])
-        x = np.take(table, np.take(seen, target), axis=0, mode="clip")
-        x += at_place
-        a = np.matmul(x[:, :, :WIDTH], x[:, :, WIDTH : 2 * WIDTH].transpose(0, 2, 1))
-        np.clip(a, -_LIMIT, _LIMIT, out=a)
-        np.exp(a, out=a)
-        a *= _CAUSAL
-        mixed = np.matmul(a, x[:, :, 2 * WIDTH : 3 * WIDTH])
-        mixed /= np.matmul(a, np.ones((WINDOW, 1), np.float32))
-        mixed += x[:, :, 3 * WIDTH :]
-        kept = np.flatnonzero(scored[part] & real)
-        at = np.take(target, kept)
-        z = np.take(mixed.reshape(-1, WIDTH), kept, axis=0) @ w["out"]
-        z += w["bias"]
-        np.clip(z, -60, 60, out=z)
-        chosen = np.take(z, np.arange(len(at)) * CLASSES + np.take(group, at))
-        np.exp(z, out=z)
-        sums = np.log(z @ sides)
-        logp[at] = chosen - sums[:, 0]
-        begins[at] = sums[:, 1] - sums[:, 0]
+    cell = np.arange(batch * WINDOW) * CLASSES
+    # context has keys and values, but asks nothing
+    for begin, some in ((0, np.flatnonzero(first)), (CONTEXT, np.flatnonzero(~first))):
+        at_query, causal = w["at_query"][begin:] * _SCALE, _CAUSAL[begin:]
+        for lo in range(0, len(some), batch):
+            part = some[lo : lo + batch]
+            target, real = _targets(starts, lengths, text[part], place[part])
+            slots, at, real = np.take(seen, target), target[:, begin:].ravel(), real[:, begin:].ravel()
+            own = np.ascontiguousarray(slots[:, begin:])
+            q, k = np.take(queries, own, axis=0), np.take(keys, slots, axis=0)
+            q += at_query
+            k += w["at_key"]
+            a = np.matmul(q, k.transpose(0, 2, 1))
+            np.clip(a, -_LIMIT, _LIMIT, out=a)
+            np.exp(a, out=a)
+            a *= causal
+            mixed = np.matmul(a, np.take(values, slots, axis=0))
+            mixed /= a @ _ONES[:WINDOW]
+            z = mixed.reshape(-1, WIDTH) @ w["out"]
+            z += np.take(direct, own.ravel(), axis=0)
+            if clipped:
+                np.clip(z, -60, 60, out=z)
+            chosen = np.take(z, cell[: len(at)] + np.take(group, at))
+            np.exp(z, out=z)
+            sums = np.log(z @ sides)
+            total, at = sums[:, 0], at[real]
+            logp[at] = (chosen - total)[real]
+            begins[at] = (sums[:, 1] - total)[real]
     logp += within
     return logp, begins
 

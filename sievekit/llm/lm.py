@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -74,26 +75,28 @@ def _answers(docs: DataFrame, content, buckets: int, tasks: int, folds: int, asi
         return np.array([i is not None and zlib.crc32(str(i).encode()) % folds != aside for i in ids.to_pylist()], np.int64)
 
     def close(bucket: int, held: list[tuple], subwords: Subwords) -> list[tuple]:
-        total: dict[bytes, int] = {}
-        lists = []
-        for _, _, count, size, words, counted in held:
-            some = wordblocks.words_of(count, size, words)
-            lists.append(some)
-            for word, c in zip(some, np.frombuffer(unpack(8 * count, counted), np.int64).tolist()):
-                total[word] = total.get(word, 0) + c
-        ids = {word: np.array(subwords.one_piece(b" " + word), np.uint32) for word in total}
-        out = []
-        for (block, guard, count, *_), some in zip(held, lists):
-            size, reply = pack(np.array([total[w] for w in some], np.int64), np.fromiter((len(ids[w]) for w in some), np.uint32, count), np.concatenate([ids[w] for w in some]))
+        sizes, words = zip(*(wordblocks.word_bytes(count, size, packed) for _, _, count, size, packed, _ in held))
+        size, data = np.concatenate(sizes).astype(np.int64), np.concatenate(words)
+        starts = np.cumsum(size) - size
+        codes, first, _ = textscan.distinct(data, starts, starts + size)
+        each = np.concatenate([np.frombuffer(unpack(8 * count, counted), np.int64) for _, _, count, _, _, counted in held])
+        total = np.bincount(codes, each, len(first)).astype(np.int64)
+        raw = data.tobytes()
+        found = [subwords.one_piece(b" " + raw[s:e]) for s, e in zip(starts[first].tolist(), (starts + size)[first].tolist())]
+        length = np.fromiter(map(len, found), np.int64, len(found))
+        ids, start = np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum())), np.cumsum(length) - length
+        out, at = [], 0
+        for block, guard, count, *_ in held:
+            some = codes[at : at + count]
+            size, reply = pack(total[some], length[some].astype(np.uint32), ids[gather_ranges(start[some], length[some])])
             out.append((0, block, bucket, guard, count, size, reply))
-        used = [(w, c) for w, c in total.items() if c]
-        flat = np.concatenate([ids[w] for w, _ in used]) if used else np.zeros(0, np.uint32)
-        by_id = np.bincount(flat, np.repeat([c for _, c in used], [len(ids[w]) for w, _ in used]), minlength=1).astype(np.int64) if used else np.zeros(1, np.int64)
+            at += count
+        used = np.flatnonzero(total)
+        flat, weight, word = ids[gather_ranges(start[used], length[used])], np.repeat(total[used], length[used]), np.repeat(np.arange(len(used)), length[used])
+        by_id = np.bincount(flat, weight, 1).astype(np.int64)
         some = np.flatnonzero(by_id)
         size, reply = pack(some.astype(np.int64), by_id[some])
-        out.append((1, sum(c for _, c in used), bucket, len(used), len(some), size, reply))
-        weight = np.repeat([c for _, c in used], [len(ids[w]) for w, _ in used]) if used else np.zeros(0, np.int64)
-        word = np.repeat(np.arange(len(used)), [len(ids[w]) for w, _ in used]) if used else np.zeros(0, np.int64)
+        out.append((1, int(total.sum()), bucket, len(used), len(some), size, reply))
         both = np.flatnonzero(word[1:] == word[:-1])
         keys, place = np.unique(flat[both].astype(np.int64) * subwords.size + flat[both + 1], return_inverse=True)
         size, reply = pack(keys, np.bincount(place, weight[both], len(keys)).astype(np.int64))
@@ -166,12 +169,12 @@ def _word_ids(spans: DataFrame, answers: DataFrame, tasks: int) -> DataFrame:
         start = np.cumsum(length) - length
 
         def chunk(doc_ids: pa.Array, n_words: np.ndarray, numbers: np.ndarray) -> pa.Table:
-            edge = np.concatenate([[0], np.cumsum(n_words)])
+            words, own = np.concatenate([[0], np.cumsum(n_words)]), length[numbers]
+            places = np.concatenate([[0], np.cumsum(own)])[words].tolist()
+            counts, lengths, ids = count[numbers], own.astype(np.int32), flat[gather_ranges(start[numbers], own)]
             sizes, packed = [], []
-            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                some = numbers[a:b]
-                own = length[some]
-                size, raw = pack(count[some], own.astype(np.int32), flat[gather_ranges(start[some], own)])
+            for a, b, c, d in zip(words[:-1].tolist(), words[1:].tolist(), places[:-1], places[1:]):
+                size, raw = pack(counts[a:b], lengths[a:b], ids[c:d])
                 sizes.append(size)
                 packed.append(raw)
             return pa.table({"doc_id": doc_ids, "n": pa.array(n_words.astype(np.int32)), "size": pa.array(sizes, pa.int32()), "packed": pa.array(packed, pa.binary())})
@@ -187,20 +190,18 @@ def _opened(batches: Iterator[pa.RecordBatch], end: int, least: int = 1 << 16) -
     Every text has an end behind its last word, which is one id.
     """
     held: list[tuple] = []
-    total = 0
+    total, last = 0, (np.array([-1]), np.array([1]), np.array([end]))
 
     def flush():
-        ids = [i for i, *_ in held]
-        return ids, *(np.concatenate([h[k] for h in held]) for k in (1, 2, 3)), np.array([len(h[1]) for h in held], np.int64)
+        parts = ([x for h in held for x in (h[k], last[k - 1])] for k in (1, 2, 3))
+        return [h[0] for h in held], *(np.concatenate(p, dtype=np.int64) for p in parts), np.array([len(h[1]) + 1 for h in held], np.int64)
 
     for batch in batches:
         for i, n, size, packed in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "size", "packed"))):
             raw = unpack(size, packed)
-            count = np.append(np.frombuffer(raw, np.int64, n), -1)
-            lengths = np.append(np.frombuffer(raw, np.int32, n, 8 * n), 1).astype(np.int64)
-            own = np.append(np.frombuffer(raw, np.uint32, -1, 12 * n), end).astype(np.int64)
-            held.append((i, count, lengths, own))
-            total += len(own)
+            own = np.frombuffer(raw, np.uint32, -1, 12 * n)
+            held.append((i, np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.int32, n, 8 * n), own))
+            total += len(own) + 1
             if total >= least:
                 yield flush()
                 held, total = [], 0
@@ -304,21 +305,20 @@ class Fitted:
 
     def scores(self, counts: np.ndarray, lengths: np.ndarray, ids: np.ndarray, words: np.ndarray) -> dict[str, np.ndarray]:
         """Of each text, given all texts' words in a row as _opened gives them."""
-        n, is_end = len(words), counts < 0
+        is_end = counts < 0
         c = np.where(is_end, self.ends, counts)
-        row = np.repeat(np.arange(n), words)
+        begin = np.cumsum(words) - words  # every text has a word, its end
         first = np.cumsum(lengths) - lengths
         logp, begins = attention.log_probabilities(self.model, ids, _per_text(lengths, words))
         word = np.add.reduceat(logp, first) - begins[first]
         word += np.where(is_end, 0, begins[np.append(first[1:], 0)])
-        with np.errstate(divide="ignore"):
-            counted = np.log(COUNTS_WEIGHT) + np.log(c) - float(np.log(max(self.total, 1)))
-        mixed = np.logaddexp(counted, np.log(1 - COUNTS_WEIGHT) + word)
+        word += np.log(1 - COUNTS_WEIGHT)
+        mixed = np.where(c > 0, np.log(COUNTS_WEIGHT / max(self.total, 1) * np.maximum(c, 1) + np.exp(word)), word)
         return {
             "n_tokens": words,
-            "n_known": np.bincount(row, c > 0, n).astype(np.int64),
-            "base_score": np.bincount(row, np.log10((c + 1) / (self.total + self.known + 1)), n),
-            "score": np.bincount(row, mixed, n) / np.log(10),
+            "n_known": np.add.reduceat((c > 0).astype(np.int64), begin),
+            "base_score": np.add.reduceat(np.log((c + 1) / (self.total + self.known + 1)), begin) / np.log(10),
+            "score": np.add.reduceat(mixed, begin) / np.log(10),
         }
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievekit.llm import textscan
-from sievekit.llm.common import pack, partitions, unpack
+from sievekit.llm.common import gather_ranges, pack, partitions, unpack
 
 #: Bytes of text of a block.
 BLOCK_BYTES = 8 << 20
@@ -46,31 +46,36 @@ class _Block:
     """The distinct words of some documents, by their bytes, and the numbers of all their words."""
 
     def __init__(self) -> None:
-        self.bytes = 0
+        self.bytes = self.count = 0
         self.chunks: list[tuple] = []
-        self.known: dict[bytes, int] = {}
-        self.hashes: list[np.ndarray] = []
+        self.words: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
 
     def add(self, ids: pa.Array, data: np.ndarray, offs: np.ndarray, scan: Scan, weight: np.ndarray | None) -> None:
+        """Of a chunk only the distinct words are kept, one behind another; its words have their places there until close()."""
         data, starts, ends, rows = scan(data, offs)
-        codes, first, hashes = textscan.distinct(data, starts, ends)
-        raw, known, before = data.tobytes(), self.known, len(self.known)
-        own = np.fromiter((known.setdefault(raw[s:e], len(known)) for s, e in zip(starts[first].tolist(), ends[first].tolist())), np.int32, len(first))
-        new = own >= before  # these come in the order of their numbers
-        self.hashes.append(hashes[new])
-        self.chunks.append((ids, rows, own[codes], weight))
+        codes, first, _ = textscan.distinct(data, starts, ends)
+        size = (ends - starts)[first]
+        self.words.append(data[gather_ranges(starts[first], size)])
+        self.sizes.append(size)
+        self.chunks.append((ids, rows, (codes + self.count).astype(np.int32), weight))
+        self.count += len(first)
         self.bytes += len(data)
 
     def close(self, buckets: int):
-        """The order of the distinct words by bucket, each word's number in it, their buckets, a sum over them."""
-        hashes = np.concatenate(self.hashes) if self.hashes else np.zeros(0, np.uint64)
+        """The number of each chunk's distinct words in the order by bucket; in that order buckets, word sizes and all words' bytes; a sum over the words."""
+        data = np.concatenate(self.words) if self.words else np.zeros(0, np.uint8)
+        size = np.concatenate(self.sizes) if self.sizes else np.zeros(0, np.int64)
+        starts = np.cumsum(size) - size
+        codes, first, hashes = textscan.distinct(data, starts, starts + size)
         bucket = ((hashes >> np.uint64(17)) % np.uint64(buckets)).astype(np.int32)
         # within a bucket by hash: the order then depends on the words alone (on their first places, where words share a hash)
         order = np.lexsort((hashes, bucket))
         number = np.empty(len(order), np.uint32)
         number[order] = np.arange(len(order), dtype=np.uint32)
         guard = int(np.bitwise_xor.reduce(textscan.mix(hashes)).astype(np.int64)) if len(hashes) else 0
-        return order, number, bucket, guard
+        first = first[order]
+        return number[codes], bucket[order], size[first], data[gather_ranges(starts[first], size[first])], guard
 
 
 def blocks(batches: Iterator[pa.RecordBatch], scan: Scan, weigh: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, _Block]]:
@@ -97,19 +102,17 @@ def word_rows(docs: DataFrame, scan: Scan, buckets: int, weigh: Callable | None
 
     def run(batches):
         for made, block in blocks(batches, scan, weigh):
-            order, _, bucket, guard = block.close(buckets)
-            counts, words = np.zeros(len(order), np.int64), list(block.known)
-            for _, rows, numbers, weight in block.chunks:
+            number, inside, sizes, words, guard = block.close(buckets)
+            counts = np.zeros(len(inside), np.int64)
+            for _, rows, own, weight in block.chunks:
                 each = None if weight is None else np.repeat(weight, np.diff(rows))
-                counts += np.bincount(numbers, each, len(order)).astype(np.int64)
-            inside = bucket[order]
+                counts += np.bincount(number[own], each, len(inside)).astype(np.int64)
             edges = np.flatnonzero(np.diff(inside, prepend=-1, append=-1))
+            places = np.concatenate([[0], np.cumsum(sizes)])
             out: list[tuple] = []
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                chosen = order[lo:hi]
-                some = [words[i] for i in chosen.tolist()]
-                size, packed = pack(np.fromiter(map(len, some), np.uint32, len(some)), np.frombuffer(b"".join(some), np.uint8))
-                out.append((int(inside[lo]), made, guard, hi - lo, size, packed, pack(counts[chosen])[1]))
+                size, packed = pack(sizes[lo:hi].astype(np.uint32), words[places[lo] : places[hi]])
+                out.append((int(inside[lo]), made, guard, hi - lo, size, packed, pack(counts[lo:hi])[1]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "block", "guard", "n", "size", "words", "counted"])
 
@@ -121,9 +124,9 @@ def span_rows(docs: DataFrame, scan: Scan, buckets: int) -> DataFrame:
 
     def run(batches):
         for made, block in blocks(batches, scan):
-            _, number, _, guard = block.close(buckets)
-            for k, (ids, rows, numbers, _) in enumerate(block.chunks):
-                size, packed = pack(number[numbers])
+            number, *_, guard = block.close(buckets)
+            for k, (ids, rows, own, _) in enumerate(block.chunks):
+                size, packed = pack(number[own])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([made], pa.int64()), pa.array([k], pa.int32()), pa.array([guard], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([np.diff(rows).astype(np.uint32).tobytes()], pa.binary()), pa.array([size], pa.int32()), pa.array([packed], pa.binary())],
                     names=["block", "part", "guard", "doc_ids", "lengths", "size", "numbers"],
@@ -132,6 +135,12 @@ def span_rows(docs: DataFrame, scan: Scan, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, SPANS_SCHEMA)
 
 
+def word_bytes(n: int, size: int, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The sizes of a row's words, and their bytes one word behind another."""
+    raw = unpack(size, packed)
+    return np.frombuffer(raw, np.uint32, n), np.frombuffer(raw, np.uint8, -1, 4 * n)
+
+
 def words_of(n: int, size: int, packed: bytes) -> list[bytes]:
     raw = unpack(size, packed)
     ends = 4 * n + np.cumsum(np.frombuffer(raw, np.uint32, n), dtype=np.int64)

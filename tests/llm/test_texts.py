@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sievekit.llm import attention, bpe, lm, packing, quality, secrets, simhash, substring, textscan, toxicity
+from sievekit.llm import attention, bpe, lm, packing, quality, secrets, simhash, substring, textscan, toxicity, wordblocks
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -332,6 +333,85 @@ def test_language_model_knows_ids_of_all_learning_rows(spark):
         assert (ours == brute).all()
 
 
+@pytest.mark.parametrize("alike", [False, True])
+def test_blocks_number_words_without_a_call_a_word(monkeypatch, alike):
+    """Each word keeps its place and bytes, also where words share a hash; the calls made don't grow with the distinct words."""
+    if alike:
+        monkeypatch.setattr(textscan, "word_hashes", lambda data, starts, ends: ((ends - starts) % 3).astype(np.uint64))
+    r = random.Random(3)
+    chunks = [[" ".join(str(r.randint(0, 20_000)) for _ in range(n)) for n in (2_000, 0, 3_000)] for _ in range(4)]
+    block, calls = wordblocks._Block(), 0
+    textscan.distinct(*lm._scan(*textscan.buffer_of(pa.array(["what is imported once"])))[:3])
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        for some in chunks:
+            block.add(pa.array(range(len(some))), *textscan.buffer_of(pa.array(some)), lm._scan, None)
+        number, bucket, sizes, words, _ = block.close(8)
+    finally:
+        sys.setprofile(None)
+    ends = np.cumsum(sizes).tolist()
+    known = [words.tobytes()[e - n : e].decode() for e, n in zip(ends, sizes.tolist())]
+    assert len(set(known)) == len(known) and (np.diff(bucket) >= 0).all()
+    for some, (_, rows, own, _) in zip(chunks, block.chunks):
+        for i, text in enumerate(some):
+            assert [known[k] for k in number[own[rows[i] : rows[i + 1]]].tolist()] == text.split()
+    assert alike or calls < len(known) / 4
+
+
+@pytest.mark.parametrize("scale", [1, 30])
+def test_attention_scores_in_one_window_match_the_formula(scale):
+    """Also where sums over classes and attention are so large that they are clipped."""
+    tokens, n = 60, 20
+    r = np.random.default_rng(7)
+    begins = np.arange(tokens + 1) % 3 == 0
+    begins[tokens] = True
+    ids = np.append(r.integers(0, tokens, n - 1), tokens)
+    group, slot = attention.cluster(np.append(r.integers(0, tokens, 500), tokens), tokens, begins)
+    w = {k: v * scale for k, v in attention.start_weights(attention.SLOTS + 2).items()}
+    within = np.full(tokens + 1, 0.5)
+    logp, starts = attention.log_probabilities(attention.Model(slot, group, within, None, w), ids, np.array([n]))
+    x = w["embed"][slot[np.append(tokens, ids[:-1])]].astype(float)
+    q, k = x @ w["query"] + w["at_query"][:n], x @ w["key"] + w["at_key"][:n]
+    a = np.exp(np.clip(q @ k.T * attention.WIDTH**-0.5, -attention._LIMIT, attention._LIMIT)) * np.tril(np.ones((n, n)))
+    plain = (x + a / a.sum(axis=1, keepdims=True) @ (x @ w["value"])) @ w["out"] + w["bias"]
+    assert (abs(plain).max() > 60) == (scale > 1)
+    z = np.clip(plain, -60, 60)
+    total = np.log(np.exp(z).sum(axis=1))
+    assert logp == pytest.approx(z[np.arange(n), group[ids]] - total + math.log(0.5), rel=1e-3, abs=1e-3)
+    assert starts == pytest.approx(np.log(np.exp(z[:, : attention.STARTS]).sum(axis=1)) - total, rel=1e-3, abs=1e-3)
+
+
+def test_attention_step_follows_the_gradient(monkeypatch):
+    """By finite differences of the loss, and the same step whether windows are computed together or in parts."""
+    r = np.random.default_rng(5)
+    slots, classes, mask = r.integers(0, attention.SLOTS + 2, (100, attention.WINDOW)).astype(np.int32), r.integers(0, attention.CLASSES, (100, attention.WINDOW)), r.random((100, attention.WINDOW)) < 0.9
+
+    def loss(weights):
+        return attention.step({k: v.copy() for k, v in weights.items()}, attention.start_state(weights), slots, classes, mask, 0.0)
+
+    after, state = [], []
+    for together in (1000, 7):
+        monkeypatch.setattr(attention, "TOGETHER", together)
+        after.append(attention.start_weights(attention.SLOTS + 2))
+        state.append({k: np.full_like(v, 1e-12) for k, v in after[-1].items()})
+        attention.step(after[-1], state[-1], slots, classes, mask, 0.1)
+    before = attention.start_weights(attention.SLOTS + 2)
+    for name in before:
+        assert state[0][name] == pytest.approx(state[1][name], rel=1e-3, abs=1e-10)
+        place = np.unravel_index(state[0][name].argmax(), before[name].shape)
+        up, down = ({k: v.copy() for k, v in before.items()} for _ in range(2))
+        up[name][place] += 0.02
+        down[name][place] -= 0.02
+        slope = (loss(up) - loss(down)) / 0.04
+        assert abs(slope) == pytest.approx(math.sqrt(state[0][name][place]), rel=0.05, abs=2e-5)
+        assert (after[0][name][place] < before[name][place]) == (slope > 0)
+
+
 def test_attention_gives_probabilities():
     """Over all ids the probabilities sum to one, and windows leave no id out."""
     tokens = 40

@@ -171,3 +171,27 @@ def test_pages_that_share_a_url_and_numbers_that_occur_twice(spark, tmp_path):
     spark.createDataFrame([(45, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["d"]: r["valid"] for r in catalog.QUERIES["validator_luhn_digits"](spark, str(tmp_path)).collect()}
     assert got == {"9807915762804490": False, "4111111111111111": True}
+
+
+def test_mask_file_masks_all_rules(spark, tmp_path):
+    """Cards, numbers and keys go as well as addresses; every text stays, those with carriage returns, repeated, empty and missing ones too."""
+    duckdb = pytest.importorskip("duckdb")
+    from sievekit.plans import catalog
+
+    good, bad, key = "4539" + "1488" + "0343" + "6467", "4539" + "1488" + "0343" + "6468", "AKIA" + "Q3EXMPLK7RT2WZ9B"
+    rows = [
+        (1, f"card {good}\r\nmail ann@example.com, {key}\rend\r\n\r\nlast"), (2, f"card {bad}\n"), (3, "個人番号：１２３４－５６７８－９０１２"), (4, None), (5, ""), (6, "\n"), (7, "a\r"),
+        (8, f"{key} # sieve:ignore\n{key}"), (8, "one"), (8, f"two\n{key}"), (9, "host 10.1.2.3 and bob@example.org\n\n"),
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    order = lambda found: sorted(map(tuple, found), key=repr)
+    got = order(catalog.QUERIES["mask_file"](spark, str(tmp_path)).select("path", "text").collect())
+    gone = "<REDACTED>"
+    expected = [
+        ("1", f"{gone}\nmail {gone}, {gone}\rend\n\nlast"), ("2", f"card {bad}"), ("3", gone), ("4", None), ("5", ""), ("6", ""), ("7", "a\r"),
+        ("8", f"{key} # sieve:ignore\n{gone}"), ("8", "one"), ("8", f"two\n{gone}"), ("9", f"host {gone} and {gone}\n"),
+    ]
+    assert got == order(expected)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert order(con.sql(catalog.ORACLE_SQL["mask_file"]).fetchall()) == got
